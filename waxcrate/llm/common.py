@@ -75,15 +75,16 @@ def word_array(text: Column) -> Column:
     return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
 
 
-def shingle_hashes(words: Column) -> Column:
-    """64-bit hashes of all runs of five words; shorter texts have none. Three passes, each over pairs of numbers."""
+def shingles_of(hashes: Column) -> Column:
+    """64-bit hashes of all runs of five word hashes; fewer words have none. Three passes, each over pairs of numbers."""
 
     def joined(a: Column, b: Column, skip: int) -> Column:
         """Hashes of a[i] with b[i + skip], as long as both exist."""
         n = F.size(b) - skip
         return F.when(n > 0, F.zip_with(F.slice(a, 1, n), F.slice(b, skip + 1, n), lambda x, y: F.xxhash64(x, y))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(
-        F.transform(words, lambda w: F.xxhash64(w)),
-        lambda one: let(joined(one, one, 1), lambda two: let(joined(two, two, 2), lambda four: joined(four, one, 4))),
-    )
+    return let(hashes, lambda one: let(joined(one, one, 1), lambda two: let(joined(two, two, 2), lambda four: joined(four, one, 4))))
+
+
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))

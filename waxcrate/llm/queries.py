@@ -43,3 +43,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_spans import section_tokens
 
     return section_tokens(table(spark, sf_dir, "documents"), vocab="byte_bpe_50k.json", rule="middle")
+
+
+@query("op1_near_duplicates")
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8).select("doc_id", "class_id", "kept")
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8)
+    return found.select("doc_id", "item_id", "similarity", "start")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import COUNTS, quality
+
+    judged = quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", *[judged[f"q_{k}"].alias(k) for k in COUNTS], judged["q_base_failed"].alias("base_failed"), judged["q_kept"].alias("kept"))
