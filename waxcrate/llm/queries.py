@@ -66,3 +66,30 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", *[judged[f"q_{k}"].alias(k) for k in COUNTS], judged["q_base_failed"].alias("base_failed"), judged["q_kept"].alias("kept"))
+
+
+@query("op4_pii_pseudonyms")
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", *[f"pii_{k}" for k in KINDS])
+
+
+def _licence_sql() -> str:
+    from .licences import oracle
+
+    return oracle()
+
+
+@query("op6_licence_scan", _licence_sql())
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licence_scan
+
+    return licence_scan(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query("op7_tool_calls")
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import DERIVED, derived_messages, link_tool_calls
+
+    return link_tool_calls(derived_messages(table(spark, sf_dir, "conversations")), DERIVED)
