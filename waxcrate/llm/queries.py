@@ -93,3 +93,12 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import DERIVED, derived_messages, link_tool_calls
 
     return link_tool_calls(derived_messages(table(spark, sf_dir, "conversations")), DERIVED)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(scored["doc_id"]).alias("held_out"), "score", "predicted")
