@@ -126,13 +126,18 @@ def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], kind="stable", na_position="first", ignore_index=True)
 
 
+def _numbers(bins: list[list[int]], n: int) -> np.ndarray:
+    """The bin of each of n items."""
+    out = np.empty(n, np.int32)
+    out[[i for items in bins for i in items]] = np.repeat(np.arange(len(bins)), [len(items) for items in bins])
+    return out
+
+
 def _first_epoch(capacity: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _ordered(pdf)
         bins = evolve(pdf["length"].tolist(), capacity, seed=zlib.crc32(repr(tuple(map(int, key))).encode()))
-        pdf["bin"] = 0
-        for n, items in enumerate(bins):
-            pdf.loc[items, "bin"] = n
+        pdf["bin"] = _numbers(bins, len(pdf))
         return pdf
 
     return run
@@ -143,16 +148,20 @@ def _second_epoch(capacity: int):
         elites = []
         for _, own in sorted(pdf.groupby("island")):
             own = _ordered(own)
-            elites.append([g.index.tolist() for _, g in own.groupby("bin")])
+            order = own["bin"].to_numpy().argsort(kind="stable")
+            elites.append([x.tolist() for x in np.split(order, np.flatnonzero(np.diff(own["bin"].to_numpy()[order])) + 1)])
         own = own.drop(columns=["island", "bin"])
         sizes = own["length"].tolist()
         bins = max((evolve(sizes, capacity, int(key[0]) * 2 + k, elites) for k in (0, 1)), key=lambda x: fitness(x, sizes, capacity))
-        own["bin"], own["offset"], own["held"] = 0, 0, 0
-        for n, items in enumerate(bins):
-            lengths = np.array([sizes[i] for i in items])
-            own.loc[items, "bin"] = n
-            own.loc[items, "offset"] = np.cumsum(lengths) - lengths
-            own.loc[items, "held"] = lengths.sum()
+        order = np.array([i for items in bins for i in items])
+        lengths = own["length"].to_numpy()[order]
+        counts = np.array([len(items) for items in bins])
+        before = np.cumsum(lengths) - lengths
+        first = np.cumsum(counts) - counts
+        offset, held = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+        offset[order] = before - np.repeat(before[first], counts)
+        held[order] = np.repeat(np.add.reduceat(lengths, first), counts)
+        own["bin"], own["offset"], own["held"] = _numbers(bins, len(own)), offset, held
         return own.drop(columns="shard")
 
     return run
