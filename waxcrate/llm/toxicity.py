@@ -24,8 +24,8 @@ from .common import small_batches, steps
 #: Words of a window and words between windows; buckets and width of the embeddings; width of the states and of the attention.
 WINDOW, STRIDE = 64, 48
 WORD_BUCKETS, CHAR_BUCKETS, EMBED, HIDDEN, ATTEND = 1 << 15, 1 << 13, 12, 12, 8
-#: Labelled texts taken for training, of each class at most; windows of one text looked at in an epoch; epochs.
-SAMPLE, TRAIN_WINDOWS, EPOCHS = {1: 800, 0: 2000}, 12, 9
+#: Labelled texts taken for training, of each class at most; windows of one text looked at in an epoch; epochs and steps, at least.
+SAMPLE, TRAIN_WINDOWS, EPOCHS, LEAST_STEPS = {1: 800, 0: 2000}, 12, 9, 250
 #: Weight decay of the embeddings; words that a worker keeps, and windows of a step.
 DECAY = 2e-5
 KEPT_WORDS, WINDOWS_AT_ONCE = 200_000, 2048
@@ -213,9 +213,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7
     balance = {k: len(own) / (2 * max(1, sum(labels[i] == k for i in own))) for k in (0, 1)}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(own) // batch)))
     for epoch in range(epochs):
         some = [c if len(c) <= TRAIN_WINDOWS else c[rng.choice(len(c), TRAIN_WINDOWS, replace=False)] for c in (cut[i] for i in own)]
-        if epoch < 2:
+        if epoch < epochs // 4:
             chosen = np.array([c[rng.integers(len(c))] for c in some])
         else:
             sizes = np.array([len(c) for c in some])
@@ -228,7 +229,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7
             target = y[[own[i] for i in at]]
             g = gradients(p, inputs, chosen[at], target, np.array([balance[int(k)] for k in target], np.float32))
             step += 1
-            lr = rate * min(1.0, (epochs - epoch) / 3)
+            lr = rate * min(1.0, 3 * (epochs - epoch) / epochs)
             for k in ("words", "chars"):
                 g[k] += DECAY * p[k]
             for k, v in g.items():
