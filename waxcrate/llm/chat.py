@@ -47,7 +47,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
 
     status: "ok"; "bad_arguments", "duplicate_call" (its id was used before in the conversation) or "unanswered" for a message with
     such a call, the first that applies; "orphan" for a result without a call, "repeated" for a second result of a call. errors
-    lists argument errors by call, joined by semicolons. A null tool_call_id or call id links to nothing. Null conversations are
+    lists argument errors by call, in the order of the arguments' names, joined by semicolons. A null tool_call_id or call id links to nothing. Null conversations are
     one conversation. Messages with equal conv_id and seq are ordered by role, identifier and content; wholly equal ones are
     interchangeable. Null contents stay null in the JSON, where null members are left out.
     """
