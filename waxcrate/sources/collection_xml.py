@@ -49,19 +49,20 @@ def tracks(collections: DataFrame) -> DataFrame:
 
 
 def nodes(collections: DataFrame) -> DataFrame:
-    """One row for each NODE: place (positions from the root down), path (names, without the root's), type, key_type, count, entries, keys."""
-    level = collections.select("collection_id", F.array(F.lit(0)).alias("place"), F.array().cast("array<string>").alias("path"), F.col("doc.PLAYLISTS.NODE").alias("n"))
-    out = None
-    for depth in range(DEPTH):
-        rows = level.where("n IS NOT NULL").select(
-            "collection_id", "place", "path", F.col("n._Name").alias("name"), F.col("n._Type").alias("type"), F.col("n._KeyType").alias("key_type"), F.col("n._Count").alias("count"), F.col("n._Entries").alias("entries"), F.col("n.TRACK._Key").alias("keys"),
-            (F.lit(depth == DEPTH - 1) & (F.size(F.coalesce(F.col("n.NODE").cast("array<string>"), F.array())) > 0)).alias("too_deep") if depth == DEPTH - 1 else F.lit(False).alias("too_deep"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-        if depth < DEPTH - 1:
-            below = level.select("collection_id", "place", "path", F.posexplode("n.NODE").alias("at", "m"))
-            level = below.select("collection_id", F.concat("place", F.array("at")).alias("place"), F.concat("path", F.array("m._Name")).alias("path"), F.col("m").alias("n"))
-    return out
+    """One row for each NODE: place (positions from the root down), path (names, without the root's), type, key_type, count, entries, keys; too_deep if the
+    collection holds nodes below the last level, which are left out."""
+    flat = lambda x: F.struct(
+        x["place"].alias("place"), x["path"].alias("path"), x["n"]["_Name"].alias("name"), x["n"]["_Type"].alias("type"), x["n"]["_KeyType"].alias("key_type"), x["n"]["_Count"].alias("count"),
+        x["n"]["_Entries"].alias("entries"), x["n"]["TRACK"]["_Key"].alias("keys"),
+    )
+    below = lambda x: F.transform(F.coalesce(x["n"]["NODE"], F.array()), lambda m, i: F.struct(F.concat(x["place"], F.array(i)).alias("place"), F.concat(x["path"], F.array(m["_Name"])).alias("path"), m.alias("n")))
+    root = F.struct(F.array(F.lit(0)).alias("place"), F.array().cast("array<string>").alias("path"), F.col("doc.PLAYLISTS.NODE").alias("n"))
+    t = collections.where("doc.PLAYLISTS.NODE IS NOT NULL").select("collection_id", F.array(root).alias("level0"))
+    for depth in range(1, DEPTH):  # each level is an array of its own kind of struct, from the level above
+        t = t.withColumn(f"level{depth}", F.flatten(F.transform(f"level{depth - 1}", below)))
+    deeper = F.exists(f"level{DEPTH - 1}", lambda x: F.coalesce(F.size(x["n"]["NODE"]) > 0, F.lit(False)))
+    every = F.concat(*[F.transform(f"level{d}", flat) for d in range(DEPTH)])
+    return t.select("collection_id", deeper.alias("too_deep"), F.explode(every).alias("x")).select("collection_id", "x.*", "too_deep")
 
 
 def playlists(all_nodes: DataFrame) -> DataFrame:
