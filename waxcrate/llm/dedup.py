@@ -1,10 +1,11 @@
 """Near-duplicate classes: BagMinHash signatures, banding, exact verification of the multiset overlap, connected components.
 
 Documents with the same words are one node (a digest of the words), so exact copies are never paired. Nodes that share a band meet
-at the band's smallest node only; verified links give components. Then nodes of different components that share a band are
-paired, whatever their components' sizes, so every pair of different components that shares a band has been compared in full:
-no link that joins two classes is lost, and pairs inside a class are not listed. Before texts are fetched, pairs whose
-signatures agree in too few registers go: at similarity 0.8 one in 10^8 would.
+at the band's smallest node only; verified links give components. What those links may have missed is a link between nodes of
+different components that share a band. Where a band has few nodes they are paired. A large component is dealt to blocks instead,
+and meets all nodes that share a band with it block by block; so do the nodes of small components in a crowded band. A task takes
+two blocks of bounded size, and returns one link at most for each node, enough to join what belongs together. So links inside a component are not listed, and every two components that share a band have been
+compared in full. Before texts are fetched, pairs whose signatures agree in too few registers go: at similarity 0.8 one in 10^8 would.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import functions as F
 
 from . import bagminhash
 from .common import small_batches, steps, written
-from .shingles import shingle_sets, similarity
+from .shingles import mixed, shingle_sets, similarity
 
 THRESHOLD = 0.8
 #: Registers of 125 that two signatures must share; at similarity 0.8 the mean is 100 and the deviation 4.5.
 AGREE = 75
+#: Nodes from which a component is large, and nodes of a block.
+LARGE, BLOCK = 24, 256
 STEP = 2 << 20
 
 
@@ -62,17 +65,19 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, least: int = AGREE) -> DataFram
     return both.mapInArrow(agree, "a binary, b binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs a, b whose weighted similarity is at least the threshold, with it."""
-    at = nodes.select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
-    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
+def _with_texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, side: str, doc_id: str, text: str) -> DataFrame:
+    """wanted with the text of the nodes in column side. Repeated rows of docs may repeat it."""
+    at = nodes.select(F.col("node").alias(side), F.col("first.doc_id").alias("_doc"), F.col("first.key").alias("_key"))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_own"), F.col(text).alias("text"))
+    found = wanted.join(at, side).join(texts, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own")))
+    return found.drop("_doc", "_key", "_id", "_own")
 
-    def fetched(wanted: DataFrame) -> DataFrame:
-        found = wanted.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")))
-        return found.drop("doc_id", "key", "id", "own")
 
-    members = fetched(pairs.join(at.withColumnRenamed("node", "b"), "b")).withColumnRenamed("text", "text_b")
-    centres = fetched(pairs.select("a").distinct().join(at.withColumnRenamed("node", "a"), "a")).withColumnRenamed("text", "text_a")
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs a, b whose weighted similarity is at least the threshold, with it."""
+    fetched = lambda wanted, side: _with_texts(wanted, nodes, docs, side, doc_id, text)
+    members = fetched(pairs, "b").withColumnRenamed("text", "text_b")
+    centres = fetched(pairs.select("a").distinct(), "a").withColumnRenamed("text", "text_a")
     both = members.join(centres, "a").select("a", "b", "text_a", "text_b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +98,115 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
     return scored.dropDuplicates(["a", "b"])
 
 
+def elements(shingle_set: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A multiset of shingles as a sorted set: the k-th time a shingle occurs is an element of its own."""
+    values, counts = shingle_set
+    if not len(values) or counts.max() == 1:
+        return values
+    again = np.repeat(values, counts)
+    time = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
+    with np.errstate(over="ignore"):
+        return np.sort(np.where(time == 0, again, mixed(again + time.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+
+
+def block_scores(left: list[np.ndarray], right: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each set of right its similarity to each set of left."""
+    flat = np.concatenate(left) if left else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner, sizes = flat[order], np.repeat(np.arange(len(left)), [len(x) for x in left])[order], np.array([len(x) for x in left], np.int64)
+    for own in right:
+        lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+        n = hi - lo
+        hits = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        shared = np.bincount(owner[hits], minlength=len(left))
+        yield shared / np.maximum(1, sizes + len(own) - shared)
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """For each set of right the most similar set of left, if it is at least as similar as the threshold: places in left and right."""
+    return [(i, j) for j, score in enumerate(block_scores(left, right)) if len(score) and score[i := int(np.argmax(score))] >= threshold]
+
+
+def joining_links(left: list[np.ndarray], right: list[np.ndarray], classes: list, threshold: float) -> list[tuple[int, int]]:
+    """Of all links between left and right as many as join their classes: places in left and right; classes are left's, then right's."""
+    root: dict = {c: c for c in classes}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for j, score in enumerate(block_scores(left, right)):
+        for i in np.flatnonzero(score >= threshold).tolist():
+            a, b = find(classes[i]), find(classes[len(left) + j])
+            if a != b:
+                root[a] = b
+                out.append((i, j))
+    return out
+
+
+def element_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """node, elements: the sorted shingle multiset of each wanted node, as bytes."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in steps(texts, STEP):
+                own = [elements(s).tobytes() for s in shingle_sets(texts[a:b])[0]]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array(own, pa.binary())], names=["node", "elements"])
+
+    sets = _with_texts(wanted, nodes, docs, "node", doc_id, text).select("node", "text").mapInArrow(take, "node binary, elements binary")
+    return written(sets.dropDuplicates(["node"]), "elements")
+
+
+def crowded_links(owned: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links a, b that join the classes of owned (band, node, class) in each band, found block by block."""
+    sizes = owned.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = owned.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = dealt.select("band", "node", "class", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    sets = element_sets(owned.select("node").distinct(), nodes, docs, doc_id, text)
+
+    def compare(group: pa.Table) -> pa.Table:
+        block, lo, hi = (np.array(group.column(c)) for c in ("block", "lo", "hi"))
+        names, classes = group.column("node").to_pylist(), group.column("class").to_pylist()
+        data = [np.frombuffer(x, np.uint64) for x in group.column("elements").to_pylist()]
+        left, right = np.flatnonzero(block == lo).tolist(), np.flatnonzero(block == hi).tolist()
+        found = joining_links([data[i] for i in left], [data[i] for i in right], [classes[i] for i in [*left, *right]], threshold)
+        return pa.table({"a": pa.array([names[left[i]] for i, _ in found], pa.binary()), "b": pa.array([names[right[j]] for _, j in found], pa.binary())})
+
+    return rows.join(sets, "node").groupBy("band", "lo", "hi").applyInArrow(compare, "a binary, b binary")
+
+
+def large_links(owned: DataFrame, classes: DataFrame, large: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links a, b between large components and other nodes that share a band with them.
+
+    owned: band, node, class of the bands that hold several components; classes: node, class; large: class, size.
+    Of two large components the one with the smaller name is dealt to blocks.
+    """
+    hubs = owned.join(large, "class").select("band", F.col("class").alias("hub")).distinct()
+    partners = owned.join(large.select("class", F.lit(True).alias("big")), "class", "left").join(hubs, "band").where((F.col("class") != F.col("hub")) & (F.col("big").isNull() | (F.col("class") > F.col("hub"))))
+    partners = written(partners.select("hub", "node").distinct(), "partners")
+    chunks = partners.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks")).join(large.withColumnRenamed("class", "hub"), "hub").select("hub", "chunks", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    chunks = written(chunks, "chunks")
+    dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = classes.withColumnRenamed("class", "hub").join(chunks, "hub").select("hub", "node", dealt("blocks").alias("block"), every("chunks").alias("chunk"), F.lit(True).alias("own"))
+    right = partners.join(chunks, "hub").select("hub", "node", every("blocks").alias("block"), dealt("chunks").alias("chunk"), F.lit(False).alias("own"))
+    rows = left.unionByName(right)
+
+    sets = element_sets(rows.select("node").distinct(), nodes, docs, doc_id, text)
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, names = np.array(group.column("own")), group.column("node").to_pylist()
+        data = [np.frombuffer(x, np.uint64) for x in group.column("elements").to_pylist()]
+        left_at, right_at = np.flatnonzero(own), np.flatnonzero(~own)
+        found = block_links([data[i] for i in left_at], [data[i] for i in right_at], threshold)
+        return pa.table({"a": pa.array([names[left_at[i]] for i, _ in found], pa.binary()), "b": pa.array([names[right_at[j]] for _, j in found], pa.binary())})
+
+    return rows.join(sets, "node").groupBy("hub", "block", "chunk").applyInArrow(compare, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, class of all nodes in links a, b: class is the smallest node of the connected component.
 
@@ -130,19 +244,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str =
     links = written(verified(pairs, nodes, docs, threshold, doc_id, text), "near")
     found = components(links)
 
-    # Pairs of nodes that share a band but no class yet, once: only bands that still hold several classes.
+    # Nodes that share a band but no class yet: only bands that still hold several classes.
     label = F.coalesce(F.col("class"), F.col("node"))
     crowded = written(met.join(shared.select("band"), "band"), "crowded")
     owned = crowded.join(found, "node", "left").select("band", "node", label.alias("class"))
-    mixed = owned.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band")
-    owned = written(owned.join(mixed, "band"), "mixed")
-    per = owned.select("band", "class").distinct()
-    apart = per.toDF("band", "ca").join(per.toDF("band", "cb"), "band").where("ca < cb")
-    across = apart.join(owned.toDF("band", "a", "ca"), ["band", "ca"]).join(owned.toDF("band", "b", "cb"), ["band", "cb"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    several = owned.groupBy("band").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("band")
+    owned = written(owned.join(several, "band"), "several")
+    named = nodes.select("node").join(found, "node", "left").select("node", label.alias("class"))
+    large = written(found.groupBy("class").agg((F.count("*") + 1).alias("size")).where(F.col("size") >= LARGE), "large")
+    if not large.isEmpty():
+        links = links.select("a", "b").unionByName(written(large_links(owned, named, large, nodes, docs, threshold, doc_id, text), "near"))
+        owned = written(owned.join(large, "class", "left_anti"), "several")
+    many = written(owned.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("band"), "many")
+    if not many.isEmpty():
+        links = links.select("a", "b").unionByName(written(crowded_links(owned.join(many, "band"), nodes, docs, threshold, doc_id, text), "near"))
+        owned = owned.join(many, "band", "left_anti")
+    apart = owned.select("band", F.col("node").alias("a"), F.col("class").alias("ca"))
+    across = apart.join(owned.select("band", F.col("node").alias("b"), F.col("class").alias("cb")), "band").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = across.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(agreeing(across, nodes), "pairs")
-    if not more.isEmpty():
-        found = components(links.unionByName(written(verified(more, nodes, docs, threshold, doc_id, text), "near")))
+    links = links.select("a", "b").unionByName(written(verified(more, nodes, docs, threshold, doc_id, text).select("a", "b"), "near"))
+    found = components(links)
 
     classes = nodes.select("node", "first").join(found, "node", "left").withColumn("class", label)
     heads = classes.groupBy("class").agg(F.min("first").alias("head"))
