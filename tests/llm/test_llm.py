@@ -127,6 +127,36 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in rows) and len(rows) == len(texts)
 
 
+def test_large_components_in_blocks(spark, monkeypatch):
+    """A group whose texts are each a few edits from one, so that many pairs lie on either side of the threshold."""
+    monkeypatch.setattr(dedup, "LARGE", 3)
+    monkeypatch.setattr(dedup, "BLOCK", 4)
+    rng = random.Random(31)
+    texts = []
+    for n in (60, 90):
+        base = prose(rng, n).split()
+        for _ in range(40):
+            w = list(base)
+            for _ in range(rng.randint(0, n // 20)):
+                w[rng.randrange(n)] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    rows = dedup.near_duplicates(table(spark, texts)).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == brute_classes(texts, range(len(texts)), 0.8)
+
+
+def test_block_links_are_exact():
+    rng = random.Random(32)
+    texts = ["a b a b a b a b a b " + prose(rng, 20), *(prose(rng, 12) for _ in range(8))]
+    texts += [t + " tail" for t in texts] + [texts[0] + " a b a b a"]
+    sets = shingles.shingle_sets(texts)[0]
+    own = [dedup.elements(s) for s in sets]
+    for threshold in (0.3, 0.8):
+        found = {j: i for i, j in dedup.block_links(own[:9], own[9:], threshold)}
+        for j in range(len(texts) - 9):
+            scores = [shingles.similarity(sets[i], sets[9 + j]) for i in range(9)]
+            assert (found.get(j) is not None) == (max(scores) >= threshold) and (j not in found or scores[found[j]] == max(scores))
+
+
 def test_links_between_classes_are_found(spark):
     """A chain: neighbours are similar, ends are not, and all share bands with the smallest."""
     rng = random.Random(5)
@@ -537,7 +567,9 @@ def brute_outliers(x):
     return far(), n
 
 
-def test_outliers_equal_brute_force(spark):
+@pytest.mark.parametrize("groups", [quality.BROADCAST_GROUPS, 0])
+def test_outliers_equal_brute_force(spark, monkeypatch, groups):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", groups)
     rng = random.Random(18)
     texts = [prose(rng, rng.randint(25, 200)) for _ in range(120)] + [" ".join(w + "###" for w in prose(rng, 60).split()) for _ in range(6)] + [prose(rng, 60).upper() + "!" for _ in range(5)]
     docs = table(spark, texts)

@@ -110,6 +110,16 @@ def _distance() -> Column:
 
 
 _KEYS = ["q_k0", "q_k1"]
+#: Groups up to which a table of estimates is broadcast (350 bytes each, so 7 MB); above, parts of each group that are joined apart.
+BROADCAST_GROUPS, SALTS = 20_000, 64
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """rows with the row of their group. A group may hold any share of the rows, so it isn't gathered: groups go to the rows."""
+    if small:
+        return rows.join(F.broadcast(groups), _KEYS, how)
+    salted = rows.withColumn("q_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    return salted.join(groups.withColumn("q_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*_KEYS, "q_salt"], how).drop("q_salt")
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -117,20 +127,24 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*_KEYS).agg(*sums, *[F.covar_pop(f"q_x{i}", f"q_x{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """Means and precision of each group of q_k0, q_k1 (no nulls) with enough rows; each step is a small table in the shared folder."""
+def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
+    """Means and precision of each group of q_k0, q_k1 (no nulls) with enough rows, and whether they are few enough to broadcast.
+
+    Each step is a small table in the shared folder.
+    """
     rows = stats.where(~F.col("q_base_failed")).select(*_KEYS, *[f"q_x{i}" for i in range(P)])
     centre = rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), *[F.percentile_approx(f"q_x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)]).where(F.col("n") >= LEAST_ROWS)
     centre = written(centre, "mcd-centre")
-    spread = rows.join(centre, _KEYS).groupBy(*_KEYS).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
+    small = centre.count() <= BROADCAST_GROUPS
+    spread = _with_groups(rows, centre, small).groupBy(*_KEYS).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
     start = spread.withColumns({f"c{i}{j}": (1.4826 * F.col(f"s{i}")) ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)})
     found = written(_precision(start, _KEYS, 1.0), "mcd-start")
     for _ in range(STEPS):
-        far = rows.join(found, _KEYS).withColumn("d", _distance())
-        bound = far.groupBy(*_KEYS).agg(F.percentile_approx("d", SHARE, 10_000).alias("bound"))
-        found = written(_precision(_moments(far.join(bound, _KEYS).where("d <= bound")), _KEYS, consistency(SHARE, P)), "mcd-step")
-    inside = rows.join(found, _KEYS).where(_distance() <= chi_square_quantile(0.975, P))
-    return written(_precision(_moments(inside), _KEYS, consistency(0.975, P)), "mcd-final")
+        far = _with_groups(rows, found, small).withColumn("d", _distance())
+        bound = written(far.groupBy(*_KEYS).agg(F.percentile_approx("d", SHARE, 10_000).alias("bound")), "mcd-bound")
+        found = written(_precision(_moments(_with_groups(far, bound, small).where("d <= bound")), _KEYS, consistency(SHARE, P)), "mcd-step")
+    inside = _with_groups(rows, found, small).where(_distance() <= chi_square_quantile(0.975, P))
+    return written(_precision(_moments(inside), _KEYS, consistency(0.975, P)), "mcd-final"), small
 
 
 def quality(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", level: float = LEVEL, keep: list[str] | None = None) -> DataFrame:
@@ -143,6 +157,6 @@ def quality(docs: DataFrame, lang: str = "lang", source: str = "source", text: s
     keep = [c for c in keep or docs.columns if not c.startswith("q_")]
     groups = {k: F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for k, c in zip(_KEYS, (lang, source), strict=True)}
     stats = written(statistics(docs.withColumns(groups), text, [*keep, *_KEYS]), "quality")
-    judged = stats.join(estimates(stats), _KEYS, "left").withColumn("q_distance", _distance())
+    judged = _with_groups(stats, *estimates(stats), "left").withColumn("q_distance", _distance())
     kept = ~F.col("q_base_failed") & F.coalesce(F.col("q_distance") <= chi_square_quantile(level, P), F.lit(True))
     return judged.select(*[F.col(f"`{c}`") for c in keep], *[f"q_{k}" for k in COUNTS], "q_base_failed", kept.alias("q_kept"), "q_distance")
