@@ -584,6 +584,27 @@ def test_outliers_equal_brute_force(spark, monkeypatch, groups):
     assert quality.quality(nulls).where("q_kept").count() == 120
 
 
+@pytest.mark.parametrize("groups", [quality.BROADCAST_GROUPS, 0])
+def test_outliers_of_small_groups(spark, monkeypatch, groups):
+    """Groups under LEAST_ROWS are judged by their language's estimate, or that of all rows."""
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", groups)
+    rng = random.Random(33)
+    good = lambda n: [prose(rng, rng.randint(25, 200)) for _ in range(n)]
+    junk = lambda: " ".join(w + "###" for w in prose(rng, 60).split())
+    parts = [("en", "big", good(60)), ("en", "five", [*good(4), junk()]), ("fr", "five", [*good(4), junk()]), (None, None, [*good(4), junk()]), ("es", "failed", ["few words"])]
+    texts = [(lang, source, t) for lang, source, own in parts for t in own]
+    docs = spark.createDataFrame([(i, t, lang, source, len(t)) for i, (lang, source, t) in enumerate(texts)], DOCS)
+    rows = sorted(quality.quality(docs).collect(), key=lambda r: r["doc_id"])
+    assert [r["doc_id"] for r in rows if not r["q_kept"]] == [64, 69, 74, 75]
+    stats = sorted(quality.statistics(docs, "text", ["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    x = np.array([[r[f"q_x{i}"] for i in range(quality.P)] for r in stats])
+    for judged, pool in ((range(60), range(60)), (range(60, 65), range(65)), (range(65, 75), range(75))):
+        d = dict(zip(pool, brute_outliers(x[list(pool)])[0], strict=True))
+        assert np.allclose([rows[i]["q_distance"] for i in judged], [d[i] for i in judged], rtol=1e-6)
+    tail = docs.where("doc_id < 40").withColumn("source", F.col("doc_id").cast("string"))  # a source for each row
+    assert quality.quality(tail).where("q_distance IS NULL").count() == 0
+
+
 # the pipeline
 
 

@@ -4,8 +4,9 @@ Every text gives counts, and from them a vector of transformed rates. For each (
 median absolute deviations; concentration steps then take the mean and covariance of the share of rows that are nearest so far,
 and a last step reweights with all rows inside the 97.5 % bound. Rates that hardly vary in a group (no symbols anywhere, say) would
 make its covariance singular, so each rate has a least standard deviation, added to the diagonal. A row is rejected when its
-squared Mahalanobis distance is over the chi-square bound. All of it is DataFrame expressions and grouped sums: a group of any size
-is pre-aggregated, and only one row of estimates a group moves.
+squared Mahalanobis distance is over the chi-square bound. A group too small for an estimate of its own is judged by that of all
+rows of its language, and where those are too few as well, by that of all rows. All of it is DataFrame expressions and grouped sums:
+a group of any size is pre-aggregated, and only one row of estimates a group moves.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rates of the vector, with the least standard deviation of each.
 RATES = {"length": 0.06, "symbols": 0.25, "capitals": 0.15, "marks": 0.25, "lines": 0.3, "repeats": 0.25}
 P = len(RATES)
-#: Share of rows in a concentration step, steps, rows that a group needs for an estimate, and the level of rejection.
+#: Share of rows in a concentration step, steps, rows that an estimate needs, and the level of rejection.
 SHARE, STEPS, LEAST_ROWS, LEVEL = 0.75, 3, 30, 0.99999
 _BLANK = r"[\x20\x09-\x0D]"
 
@@ -110,6 +111,8 @@ def _distance() -> Column:
 
 
 _KEYS = ["q_k0", "q_k1"]
+#: Stands for any value of a key; keys of rows begin with + or -.
+_ANY = "*"
 #: Groups up to which a table of estimates is broadcast (350 bytes each, so 7 MB); above, parts of each group that are joined apart.
 BROADCAST_GROUPS, SALTS = 20_000, 64
 
@@ -127,15 +130,36 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*_KEYS).agg(*sums, *[F.covar_pop(f"q_x{i}", f"q_x{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
 
 
+def pools(stats: DataFrame) -> DataFrame:
+    """q_k0, q_k1 of each group with judge, the pool that it is judged by, and joined, the pools that its rows are part of.
+
+    A pool is a struct of q_k0, q_k1: a group with enough rows, a language (q_k1 is _ANY), or all rows (both are); the smallest with
+    enough rows judges a group, none does where even all rows are too few. Only pools that judge a group have rows.
+    """
+    groups = stats.groupBy(*_KEYS).agg(F.count_if(~F.col("q_base_failed")).alias("n"))
+    groups = written(groups, "mcd-groups")
+    langs = groups.groupBy("q_k0").agg(F.sum("n").alias("of_lang"), (F.min("n") < LEAST_ROWS).alias("lang_judges"))
+    every = langs.agg(F.sum("of_lang").alias("of_all"), F.max((F.col("of_lang") < LEAST_ROWS)).alias("all_judge"))
+    pool = lambda a, b: F.struct(a.alias("q_k0"), b.alias("q_k1"))
+    own, lang, whole = pool(F.col("q_k0"), F.col("q_k1")), pool(F.col("q_k0"), F.lit(_ANY)), pool(F.lit(_ANY), F.lit(_ANY))
+    enough = {n: F.col(n) >= LEAST_ROWS for n in ("n", "of_lang", "of_all")}
+    joined = F.array(F.when(enough["n"], own), F.when(enough["of_lang"] & F.col("lang_judges"), lang), F.when(enough["of_all"] & F.col("all_judge"), whole))
+    judge = F.when(enough["n"], own).when(enough["of_lang"], lang).when(enough["of_all"], whole)
+    return groups.join(langs, "q_k0").crossJoin(F.broadcast(every)).select(*_KEYS, judge.alias("judge"), F.array_compact(joined).alias("joined"))
+
+
 def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
-    """Means and precision of each group of q_k0, q_k1 (no nulls) with enough rows, and whether they are few enough to broadcast.
+    """Means and precision for each group of q_k0, q_k1 (no nulls), its own or a pool's, and whether they are few enough to broadcast.
 
-    Each step is a small table in the shared folder.
+    Each step is a small table in the shared folder; so are the rows' vectors, once for each pool that they are part of.
     """
-    rows = stats.where(~F.col("q_base_failed")).select(*_KEYS, *[f"q_x{i}" for i in range(P)])
-    centre = rows.groupBy(*_KEYS).agg(F.count("*").alias("n"), *[F.percentile_approx(f"q_x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)]).where(F.col("n") >= LEAST_ROWS)
+    placed = written(pools(stats), "mcd-pools")
+    small = placed.count() <= BROADCAST_GROUPS
+    passed = stats.where(~F.col("q_base_failed")).select(*_KEYS, *[f"q_x{i}" for i in range(P)])
+    apart = _with_groups(passed, placed.select(*_KEYS, "joined"), small).withColumn("pool", F.explode("joined"))
+    rows = written(apart.select("pool.*", *[f"q_x{i}" for i in range(P)]), "mcd-rows")
+    centre = rows.groupBy(*_KEYS).agg(*[F.percentile_approx(f"q_x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)])
     centre = written(centre, "mcd-centre")
-    small = centre.count() <= BROADCAST_GROUPS
     spread = _with_groups(rows, centre, small).groupBy(*_KEYS).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
     start = spread.withColumns({f"c{i}{j}": (1.4826 * F.col(f"s{i}")) ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)})
     found = written(_precision(start, _KEYS, 1.0), "mcd-start")
@@ -144,14 +168,18 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
         bound = written(far.groupBy(*_KEYS).agg(F.percentile_approx("d", SHARE, 10_000).alias("bound")), "mcd-bound")
         found = written(_precision(_moments(_with_groups(far, bound, small).where("d <= bound")), _KEYS, consistency(SHARE, P)), "mcd-step")
     inside = _with_groups(rows, found, small).where(_distance() <= chi_square_quantile(0.975, P))
-    return written(_precision(_moments(inside), _KEYS, consistency(0.975, P)), "mcd-final"), small
+    found = written(_precision(_moments(inside), _KEYS, consistency(0.975, P)), "mcd-final")
+    judged = placed.select(*[F.col(k).alias(f"own_{k}") for k in _KEYS], "judge.*").where(F.col("q_k0").isNotNull())
+    own = _with_groups(judged, found, small).drop(*_KEYS).withColumnsRenamed({f"own_{k}": k for k in _KEYS})
+    return written(own, "mcd-groups-final"), small
 
 
 def quality(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", level: float = LEVEL, keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (None: all) with q_n_words, q_word_chars, q_n_symbols, q_n_dup_lines, q_n_repeat_words, q_base_failed, q_kept, q_distance.
 
-    Null languages and sources are groups of their own. A group with fewer than LEAST_ROWS rows that pass the base rules has no
-    estimate, and rejects none of them; its distances are null. Empty and null texts fail the base rules. Repeated rows count each
+    Null languages and sources are groups of their own. A group with fewer than LEAST_ROWS rows that pass the base rules is judged
+    by the estimate of its language's rows, or of all rows if those are too few. If all rows together are too few, there is no
+    estimate: none that passes is rejected, and distances are null. Empty and null texts fail the base rules. Repeated rows count each
     time. Columns of docs come back as they were; names that begin with q_ are replaced.
     """
     keep = [c for c in keep or docs.columns if not c.startswith("q_")]
