@@ -375,6 +375,24 @@ def test_pseudonyms():
     assert len({replace(f"10.0.{i}.1")[0] for i in range(256)}) == 256
 
 
+def test_secrets_in_any_case_and_quotes():
+    replace = pii.replacer("k")
+    upper = "9233A8EC" * 5
+    for text, kind, value in [
+        (f'TOKEN = "{upper}"', "hex_secret", upper), (f"token={upper}", "password", upper), ("Password: 'hunter22'", "password", "hunter22"), ('password = "abc, def; gh"', "password", "abc, def; gh"),
+        ('{"api_key": "Zq9-Zq9-Zq9"}', "password", "Zq9-Zq9-Zq9"), ('SECRET="a\\"bcdefg"', "password", 'a\\"bcdefg'), ("PWD: correct", "password", "correct"), (f"x '{'aB' * 20}'", "hex_secret", "aB" * 20), ("Api_Key = \"open_ended\n", "password", "open_ended"),
+    ]:
+        out, counts = replace(text)
+        assert counts == [int(k == kind) for k in pii.KINDS], text
+        before, after = text.split(value)
+        new = out[len(before) : len(out) - len(after)]
+        assert out == before + new + after and len(new) == len(value) and new != value and pii.hex_form(new) == pii.hex_form(value)
+    assert replace(f'TOKEN = "{upper}"')[0].split('"')[1] == replace(f"secret={upper}")[0].split("=")[1]
+    forms = [f"{i:06X}" for i in range(3000)] + [f"{i:06x}" for i in range(3000)] + ["ZZZZZ" + c for c in pii.UPPER]
+    assert len({replace(f"pwd={x}")[0] for x in forms}) == len(set(forms))
+    assert replace("token: 'abc' is short, a secret is not") == ("token: 'abc' is short, a secret is not", [0] * 9)
+
+
 def test_pseudonyms_odd_inputs(spark):
     texts = [*odd(random.Random(13)), "a b@c.example.com"]
     docs = table(spark, texts).withColumn("pii_email", F.lit("mine"))

@@ -7,7 +7,8 @@ apart and give equal values equal pseudonyms, in all documents. The key is a par
 Formats: e-mail addresses (the local part; the domain stays), 13 to 19-digit card numbers with a valid check digit (the pseudonym
 has one too), phone numbers (country code stays, area codes don't begin with 0), IPv4 addresses, dates (ISO, or with / and the
 year last; the years 1900 to 2099 are permuted as days, so a date is the same day in either form), US social security numbers,
-access keys of the form AKIA and 16 letters or digits, values of password= and the like, and quoted runs of 40 hex digits.
+access keys of the form AKIA and 16 letters or digits, values of password= and the like in any case (a quoted value up to its
+closing quote), and quoted runs of 40 hex digits of either case (which stays).
 """
 
 from __future__ import annotations
@@ -29,18 +30,19 @@ KINDS = ("email", "card", "phone", "ipv4", "date", "ssn", "access_key", "passwor
 ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
+_SECRET_NAME = r"\b(?i:password|passwd|pwd|secret|token|api_key)[\"']?\s?"
 _FOUND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?P<password>\b(?:password|passwd|pwd|secret|token|api_key)\s?[=:]\s?)(?P<secret>[^\s\"',;]{6,})"
+    rf"|(?P<password>{_SECRET_NAME}[=:]\s?(?![\"'][0-9A-Fa-f]{{40}}[\"']))(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n]){{6,}})(?P=quote)|[\"']?(?P<secret>[^\s\"',;]{{6,}}))"
     r"|(?P<access_key>\bAKIA[0-9A-Z]{16}\b)"
-    r"|(?P<hex_secret>(?<=[\"'])[0-9a-f]{40}(?=[\"']))"
+    r"|(?P<hex_secret>(?<=[\"'])[0-9A-Fa-f]{40}(?=[\"']))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w))"
     r"|(?P<ipv4>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\w/-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\w/-]))"
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?![\w-]))"
 )
-_MAYBE = re.compile(r"[0-9@=]|\b(?:password|passwd|pwd|secret|token|api_key)\s?:")
+_MAYBE = re.compile(rf"[0-9@=]|[\"'][A-Fa-f]{{40}}[\"']|{_SECRET_NAME}:")
 
 
 class Permutation:
@@ -78,9 +80,9 @@ class Permutation:
             out.append(alphabet[i])
         return "".join(reversed(out))
 
-    def shape(self, value: str, tweak: str) -> str:
+    def shape(self, value: str, tweak: str, alphabets: tuple[str, ...] = (LOWER, UPPER, DIGITS)) -> str:
         """The letters and digits of value permuted, each kind within itself; other characters stay."""
-        made = {a: iter(self.text("".join(c for c in value if c in a), a, tweak)) for a in (LOWER, UPPER, DIGITS)}
+        made = {a: iter(self.text("".join(c for c in value if c in a), a, tweak)) for a in alphabets}
         return "".join(next((next(made[a]) for a in made if c in a), c) for c in value)
 
 
@@ -96,6 +98,12 @@ def _fill(pattern: str, digits: str) -> str:
     return "".join(next(new) if c in DIGITS else c for c in pattern)
 
 
+def hex_form(secret: str) -> str | None:
+    """lower (or digits alone), upper, mixed (of 40 digits only), or None: secrets are permuted within their form."""
+    forms = {"lower": "[0-9a-f]+", "upper": "[0-9A-F]+", "mixed": "[0-9A-Fa-f]{40}"}
+    return next((k for k, x in forms.items() if re.fullmatch(x, secret)), None)
+
+
 _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
@@ -148,11 +156,15 @@ def pseudonym(kind: str, value: str, p: Permutation) -> str | None:
                 return _fill(value, digits)
     if kind == "access_key":
         return value[:4] + p.text(value[4:], UPPER + DIGITS, "access_key")
-    if kind == "hex_secret":
-        return p.text(value, DIGITS + "abcdef", "hex")
-    if re.fullmatch("[0-9a-f]+", value):
-        return p.text(value, DIGITS + "abcdef", "password")
-    return p.shape(value, "password")
+    form = hex_form(value)
+    tweak = "hex" if form and len(value) == 40 else "password"
+    while True:
+        if form == "mixed":
+            value = p.shape(value, tweak, ("abcdef", "ABCDEF", DIGITS))
+        else:
+            value = p.text(value, DIGITS + ("abcdef" if form == "lower" else "ABCDEF"), tweak) if form else p.shape(value, tweak)
+        if hex_form(value) == form:
+            return value
 
 
 def replacer(key: str) -> Callable[[str], tuple[str, list[int]]]:
@@ -167,12 +179,12 @@ def replacer(key: str) -> Callable[[str], tuple[str, list[int]]]:
 
         def one(m: re.Match) -> str:
             kind = next(k for k in KINDS if m[k] is not None)
-            head = m["password"] or ""
-            new = of(kind, m["secret"] if kind == "password" else m[0])
+            part = 0 if kind != "password" else "secret" if m["quoted"] is None else "quoted"
+            new = of(kind, m[part])
             if new is None:
                 return m[0]
             counts[KINDS.index(kind)] += 1
-            return head + new
+            return text[m.start() : m.start(part)] + new + text[m.end(part) : m.end()]
 
         return _FOUND.sub(one, text), counts
 
