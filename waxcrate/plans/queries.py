@@ -306,16 +306,20 @@ def _converted_collection(entries, tracks):
 
 
 def _documents(tracks: DataFrame, entries: DataFrame) -> DataFrame:
-    """XML texts of many collections: each holds up to 500 of the tracks, and playlists of up to 50 of them in one folder."""
+    """XML texts of many collections: each holds up to 500 of the tracks, and playlists of up to 50 of them in one folder.
+
+    They hold attributes, children and a top-level element that the tables don't.
+    """
     own = tracks.withColumn("collection_id", F.concat(F.lit("c"), F.floor(F.col("doc_pos") / 500).cast("string")))
     fields = {k: F.col(k) if k in tracks.columns else F.lit(None).cast("string") for k in xml.TRACK_FIELDS}
-    track = F.struct(*[fields[k].alias(f"_{x}") for k, x in xml.TRACK_FIELDS.items()], F.array(F.struct(F.lit("0.025").alias("_Inizio"), F.col("average_bpm").alias("_Bpm"), F.lit("4/4").alias("_Metro"), F.lit("1").alias("_Battito"))).alias("TEMPO"))
+    track = F.struct(*[fields[k].alias(f"_{x}") for k, x in xml.TRACK_FIELDS.items()], F.array(F.struct(F.lit("0.025").alias("_Inizio"), F.col("average_bpm").alias("_Bpm"), F.lit("4/4").alias("_Metro"), F.lit("1").alias("_Battito"))).alias("TEMPO"), F.concat(F.lit('Album "'), "track_id", F.lit('" & more')).alias("_Album"), F.lit("204").alias("_Rating"), F.struct(F.col("track_id").alias("_Value")).alias("OTHER"))
     body = own.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("doc_pos", track.alias("t"))))["t"].alias("tracks"))
     lists = own.withColumn("list", F.floor(F.col("doc_pos") % 500 / 50)).groupBy("collection_id", "list").agg(F.reverse(F.sort_array(F.collect_list(F.struct("doc_pos", "track_id")))["track_id"]).alias("keys"))
     per = lists.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("list", F.concat(F.lit("List "), F.col("list").cast("string")).alias("name"), "keys"))).alias("lists"))
     folder = xml.folder_node("Folder", F.col("lists"))
     root = F.struct(F.lit("ROOT").alias("_Name"), F.lit("0").alias("_Type"), F.lit("1").alias("_Count"), F.array(folder).alias("NODE"))
-    doc = F.struct(F.lit("1.0.0").alias("_Version"), F.struct(F.size("tracks").cast("string").alias("_Entries"), F.col("tracks").alias("TRACK")).alias("COLLECTION"), F.struct(root.alias("NODE")).alias("PLAYLISTS"))
+    product = F.struct(F.lit("waxcrate").alias("_Name"))
+    doc = F.struct(F.lit("1.0.0").alias("_Version"), product.alias("PRODUCT"), F.struct(F.size("tracks").cast("string").alias("_Entries"), F.col("tracks").alias("TRACK")).alias("COLLECTION"), F.struct(root.alias("NODE")).alias("PLAYLISTS"))
     return body.join(per, "collection_id").select("collection_id", xml.document_text(doc).alias("xml"))
 
 

@@ -1,11 +1,21 @@
-"""Collection documents: XML texts to tables of tracks, playlists, entries and nodes, and tables to XML texts."""
+"""Collection documents: XML texts to tables of tracks, playlists, entries and nodes, and exports of the texts with more in them.
+
+An export is the original text with new tracks and nodes put in, and counters raised: what the tables don't hold (other attributes,
+children and top-level elements) stays as it is. A new track is its source's text with the recomputed attributes.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from xml.parsers import expat
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Levels of nodes read, the root included; deeper ones are reported.
+#: Levels of nodes read, the root included; deeper ones are an error.
 DEPTH = 8
 _TEMPO = "array<struct<_Inizio:string,_Bpm:string,_Metro:string,_Battito:string>>"
 _MARK = "array<struct<_Name:string,_Type:string,_Start:string,_Num:string,_Red:string,_Green:string,_Blue:string>>"
@@ -22,23 +32,20 @@ def _node(depth: int) -> str:
 
 
 DOCUMENT = f"struct<_Version:string,COLLECTION:struct<_Entries:string,TRACK:array<{_TRACK}>>,PLAYLISTS:struct<NODE:{_node(DEPTH)}>>"
+#: Attributes of a new track that aren't its source's.
+RECOMPUTED = {"TrackID": "new_id", "Location": "location", "Kind": "kind", "Size": "size", "BitRate": "bit_rate", "SampleRate": "sample_rate", "Comments": "comments"}
 _OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST", "rowTag": "DJ_PLAYLISTS"}
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    """collection_id (the file's path), doc: one row for each collection file."""
-    inner = DOCUMENT[len("struct<") : -1]
-    rows = spark.read.format("xml").options(**_OPTIONS).schema(_ddl(spark, inner)).load(path)
-    return rows.select(F.input_file_name().alias("collection_id"), F.struct(*rows.columns).alias("doc"))
-
-
-def _ddl(spark: SparkSession, inner: str):
-    return spark.sql(f"SELECT CAST(NULL AS struct<{inner}>) AS x").schema["x"].dataType
+    """collection_id (the file's path), xml (its text), doc: one row for each collection file."""
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("collection_id"), F.regexp_replace("value", "^\ufeff", "").alias("xml"))
+    return parse_collections(texts)
 
 
 def parse_collections(texts: DataFrame, xml: str = "xml", by: str = "collection_id") -> DataFrame:
     """The same from a column of XML texts; a malformed one is an error."""
-    return texts.select(F.col(by).alias("collection_id"), F.from_xml(F.col(xml), DOCUMENT, _OPTIONS).alias("doc"))
+    return texts.select(F.col(by).alias("collection_id"), F.col(xml).alias("xml"), F.from_xml(F.col(xml), DOCUMENT, _OPTIONS).alias("doc"))
 
 
 def tracks(collections: DataFrame) -> DataFrame:
@@ -66,8 +73,9 @@ def nodes(collections: DataFrame) -> DataFrame:
 
 
 def playlists(all_nodes: DataFrame) -> DataFrame:
-    """Playlists (type 1) with place as their document order; entries as an array."""
-    return all_nodes.where("type = '1'").select("collection_id", F.col("place").alias("playlist_ord"), "path", "key_type", "keys")
+    """Playlists (type 1) with place as their document order; entries as an array. A collection with nodes below the last level is an error."""
+    too_deep = F.raise_error(F.concat(F.lit("too_deep: nodes below level "), F.lit(DEPTH), F.lit(" in collection "), F.coalesce("collection_id", F.lit("null"))))
+    return all_nodes.where(F.when(F.col("too_deep"), too_deep.cast("boolean")).otherwise(F.col("type") == "1")).select("collection_id", F.col("place").alias("playlist_ord"), "path", "key_type", "keys")
 
 
 def entries(all_playlists: DataFrame) -> DataFrame:
@@ -80,19 +88,6 @@ def document_text(doc: Column) -> Column:
     return F.regexp_replace(F.to_xml(doc, {"rowTag": "DJ_PLAYLISTS"}), r"\n$", "")
 
 
-def _with_folder(doc: Column, folder: Column, new_tracks: Column | None) -> Column:
-    """doc with a node below its root after all others, and tracks after all others; counters raised."""
-    plus = lambda value, n: (F.coalesce(F.regexp_extract(F.trim(value), r"^\+?[0-9]+$", 0).try_cast("long"), F.lit(0).cast("long")) + n).cast("string")
-    root = doc["PLAYLISTS"]["NODE"]
-    grown = root.withField("NODE", F.concat(F.coalesce(root["NODE"], F.array().cast(f"array<{_node(DEPTH - 1)}>")), F.array(folder.cast(_node(DEPTH - 1))))).withField("_Count", plus(root["_Count"], 1))
-    out = doc.withField("PLAYLISTS", doc["PLAYLISTS"].withField("NODE", grown))
-    if new_tracks is not None:
-        own = doc["COLLECTION"]
-        every = F.concat(F.coalesce(own["TRACK"], F.array().cast(f"array<{_TRACK}>")), new_tracks.cast(f"array<{_TRACK}>"))
-        out = out.withField("COLLECTION", own.withField("TRACK", every).withField("_Entries", plus(own["_Entries"], F.size(new_tracks))))
-    return out
-
-
 def folder_node(name: str, lists: Column) -> Column:
     """A folder node of playlists, given as an array of (name, keys)."""
     none = F.lit(None)
@@ -101,19 +96,103 @@ def folder_node(name: str, lists: Column) -> Column:
     return F.struct(F.lit(name).alias("_Name"), F.lit("0").alias("_Type"), none.cast("string").alias("_KeyType"), F.size(lists).cast("string").alias("_Count"), none.cast("string").alias("_Entries"), none.cast("array<struct<_Key:string>>").alias("TRACK"), nodes_.alias("NODE"))
 
 
+_START_TAG = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
+
+
+class _Element:
+    """Where an element stands in its document: its start tag, its content, and its attributes in order."""
+
+    def __init__(self, name: str, attributes: list[str], data: bytes, at: int):
+        self.name, self.attributes = name, dict(zip(attributes[::2], attributes[1::2], strict=True))
+        self.at, self.inner = at, _START_TAG.match(data, at).end()
+        self.empty = data[at : self.inner].endswith(b"/>")
+        self.end = self.inner  # of its content
+
+    def grown(self, data: bytes, attributes: dict[str, str], more: str = "") -> bytes:
+        """The element as text without its end tag, with attributes set, and more after its content; an empty one has an end tag if it has more."""
+        tag = _tag(self.name, self.attributes | attributes)
+        if self.empty:
+            return f"<{tag}>{more}</{self.name}>".encode() if more else f"<{tag}/>".encode()
+        return f"<{tag}>".encode() + data[self.inner : self.end] + more.encode()
+
+    def plus(self, counter: str, n: int) -> dict[str, str]:
+        """The counter raised by n; one that is no number counts as 0."""
+        old = self.attributes.get(counter, "").strip()
+        number = int(old) if re.fullmatch(r"\+?[0-9]+", old, re.ASCII) else 0
+        return {counter: str((number if number < 1 << 63 else 0) + n)}
+
+
+def _tag(name: str, attributes: dict[str, str | None]) -> str:
+    quoted = lambda v: escape(v, {'"': "&quot;", "\n": "&#10;", "\r": "&#13;", "\t": "&#9;"})
+    return " ".join([name, *(f'{k}="{quoted(v)}"' for k, v in attributes.items() if v is not None)])
+
+
+def _found(data: bytes) -> tuple[_Element | None, _Element | None, list[_Element]]:
+    """The collection, the root node and the collection's tracks."""
+    parser, path, named, tracks_ = expat.ParserCreate("UTF-8"), [], {}, []
+    parser.ordered_attributes = True
+
+    def start(name: str, attributes: list[str]) -> None:
+        path.append((name, None))
+        names = [x for x, _ in path[1:]] if len(path) < 4 else None
+        if names in (["COLLECTION"], ["PLAYLISTS", "NODE"], ["COLLECTION", "TRACK"]):
+            own = _Element(name, attributes, data, parser.CurrentByteIndex)
+            path[-1] = (name, own)
+            tracks_.append(own) if name == "TRACK" else named.setdefault(name, own)
+
+    def end(name: str) -> None:
+        own = path.pop()[1]
+        if own and not own.empty:
+            own.end = parser.CurrentByteIndex
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.Parse(data, True)
+    return named.get("COLLECTION"), named.get("NODE"), tracks_
+
+
+def rewritten(xml: str, folder: str, lists: list[dict], made: list[dict]) -> str:
+    """The document with a folder of playlists (name, keys) after all nodes below its root, and new tracks (doc_pos of the source, attributes) after all others."""
+    data = xml.encode()
+    collection, root, own = _found(data)
+    if root is None or (made and collection is None):
+        raise ValueError("the document has no root node or no collection")
+    inner = "".join(f"<{_tag('NODE', {'Name': x['name'], 'Type': '1', 'KeyType': '0', 'Entries': str(len(x['keys']))})}>" + "".join(f"<{_tag('TRACK', {'Key': k})}/>" for k in x["keys"]) + "</NODE>" for x in lists)
+    changed = [(root, root.grown(data, root.plus("Count", 1), f"<{_tag('NODE', {'Name': folder, 'Type': '0', 'Count': str(len(lists))})}>{inner}</NODE>"))]
+    if made:
+        parts = [(own[m["doc_pos"]], {k: v for k, v in m["attributes"].items() if v is not None}) for m in made]
+        texts = [t.grown(data, new).decode() + ("" if t.empty else "</TRACK>") for t, new in parts]
+        changed.append((collection, collection.grown(data, collection.plus("Entries", len(made)), "".join(texts))))
+    out, at = [], 0
+    for element, text in sorted(changed, key=lambda x: x[0].at):
+        out += [data[at : element.at], text]
+        at = element.end
+    return b"".join([*out, data[at:]]).decode()
+
+
+def _exported(rows: DataFrame, folder: str) -> DataFrame:
+    """collection_id, xml from rows collection_id, xml, lists, made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([rewritten(row["xml"], folder, row["lists"], row["made"])], pa.string())], names=["collection_id", "xml"])
+
+    return rows.mapInArrow(run, rows.select("collection_id", "xml").schema)
+
+
 def export_sorted(collections: DataFrame, sorted_entries: DataFrame, names: DataFrame, folder: str) -> DataFrame:
     """collection_id, xml: each document with a folder of its sorted playlists. A collection's document is one row, as its file is one."""
     lists = sorted_entries.groupBy("collection_id", "playlist_ord").agg(F.sort_array(F.collect_list(F.struct("new_pos", "track_id")))["track_id"].alias("keys"))
     lists = names.select("collection_id", "playlist_ord", "name").join(lists, ["collection_id", "playlist_ord"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
     per = lists.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("playlist_ord", "name", "keys"))).alias("lists"))
-    return collections.join(per, "collection_id").select("collection_id", document_text(_with_folder(F.col("doc"), folder_node(folder, F.col("lists")), None)).alias("xml"))
+    none = F.array().cast("array<struct<doc_pos:bigint>>").alias("made")
+    return _exported(collections.join(per, "collection_id").select("collection_id", "xml", F.transform("lists", lambda x: F.struct(x["name"].alias("name"), x["keys"].alias("keys"))).alias("lists"), none), folder)
 
 
 def export_converted(collections: DataFrame, made: DataFrame, playlist_name: str, folder: str) -> DataFrame:
-    """collection_id, xml: each document with its new tracks, and a folder with their playlist."""
-    fields = {k: F.col(k) for k in TRACK_FIELDS} | {"track_id": F.col("new_id").cast("string"), "size": F.col("size").cast("string")}
-    track = F.struct(*[fields[k].alias(f"_{x}") for k, x in TRACK_FIELDS.items()], F.col("tempos").alias("TEMPO"), F.col("position_marks").alias("POSITION_MARK"))
-    per = made.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("pos", track.alias("track")))).alias("made"))
-    lists = F.array(F.struct(F.lit(playlist_name).alias("name"), F.transform("made", lambda m: m["track"]["_TrackID"]).alias("keys")))
-    doc = _with_folder(F.col("doc"), folder_node(folder, lists), F.transform("made", lambda m: m["track"]))
-    return collections.join(per, "collection_id").select("collection_id", document_text(doc).alias("xml"))
+    """collection_id, xml: each document with its new tracks (doc_pos is their source's), and a folder with their playlist."""
+    attributes = F.struct(*[F.col(k).cast("string").alias(x) for x, k in RECOMPUTED.items()])
+    per = made.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("pos", "doc_pos", attributes.alias("attributes")))).alias("made"))
+    lists = F.array(F.struct(F.lit(playlist_name).alias("name"), F.transform("made", lambda m: m["attributes"]["TrackID"]).alias("keys"))).alias("lists")
+    return _exported(collections.join(per, "collection_id").select("collection_id", "xml", lists, F.transform("made", lambda m: F.struct(m["doc_pos"].alias("doc_pos"), m["attributes"].alias("attributes"))).alias("made")), folder)
