@@ -525,6 +525,13 @@ def test_index_finds_all_within_the_radius():
         assert any(((a ^ b) >> (decontaminate.BLOCK_BITS * k)) & width in masks for k in range(decontaminate.BLOCKS))
 
 
+def test_index_finds_all_within_19_bits():
+    rng, masks = random.Random(34), decontaminate.near_masks()
+    for _ in range(300):
+        apart = sum(1 << bit for bit in rng.sample(range(decontaminate.BITS), 19))
+        assert decontaminate.RADIUS >= 19 and any((apart >> (decontaminate.BLOCK_BITS * k)) % (1 << decontaminate.BLOCK_BITS) in masks for k in range(decontaminate.BLOCKS))
+
+
 def test_simhash(spark):
     hashes = [[3, -1, 7, 1 << 59], [], [-5]]
     df = spark.createDataFrame([(h,) for h in hashes], "h array<long>")

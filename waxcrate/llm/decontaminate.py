@@ -3,7 +3,7 @@
 An item of n words is looked for in windows of n words. A window that shares no five-word shingle with any item has similarity 0
 with all of them, so only windows that some shared shingle lines up with an item are fingerprinted (a shingle at word p of the
 text and q of an item gives the window at p - q, moved inside the text). Fingerprints are weighted SimHashes of the words, 60 bits
-in 5 blocks of 12. Two within 14 bits agree up to 2 bits in some block, so an index with all 79 near values of each item's blocks
+in 5 blocks of 12. Two within 19 bits agree up to 3 bits in some block, so an index with all 299 near values of each item's blocks
 finds every item within the radius; only items of the window's size are looked up. What is found is verified by the exact
 weighted Jaccard similarity of the shingles. DataFrame functions only.
 """
@@ -21,7 +21,7 @@ from .common import hashed, let, shingles_of, word_array, written
 THRESHOLD, WIDTH = 0.8, 5
 BLOCKS, BLOCK_BITS, LANES = 5, 12, 3
 BITS = BLOCKS * BLOCK_BITS
-RADIUS = 14
+RADIUS = 19
 #: Rows of the items' shingle table up to which it is broadcast: 24 bytes each, so 24 MB. More are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
