@@ -1,13 +1,10 @@
 """Behaviour by example: keys, order, logs, locations, names, documents."""
 
-import os
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
 from waxcrate.functions.keys import camelot, tempo
-from waxcrate.functions.numbers import one_decimal
+from waxcrate.functions.numbers import one_decimal, whole_number
 from waxcrate.functions.paths import decode_location, encode_location, sanitized
 from waxcrate.operators import convert, files, loudness, playlists, report
 from waxcrate.sources import collection_xml as xml
@@ -29,15 +26,19 @@ def test_tempo(spark):
 
 
 def test_locations(spark):
-    urls = ["file://localhost/Users/dj/M%C3%BCsic/track%20one.flac", "file:///Users/dj/track.flac", "file://localhost/C:/Music/track.flac", "file://localhost/a+b%", "file://localhost/%zz/x", "http://x/y", "file://localhost/%FF/x"]
-    assert values(spark, urls, decode_location) == ["/Users/dj/Müsic/track one.flac", "/Users/dj/track.flac", "C:/Music/track.flac", "/a+b%", None, None, None]
-    assert values(spark, ["/m/a&b's.mp3", "C:\\x y~.mp3"], encode_location) == ["file://localhost/m/a%26b%27s.mp3", "file://localhost/C:/x%20y~.mp3"]
+    urls = ["file://localhost/crates/S%C3%B8ren%20mix/01.flac", "file:///crates/01.flac", "file://localhost/D:/sets/b.wav", "file://localhost/x+y%", "file://localhost/%q1/x", "ftp://x/y", "file://localhost/%C3/x"]
+    assert values(spark, urls, decode_location) == ["/crates/Søren mix/01.flac", "/crates/01.flac", "D:/sets/b.wav", "/x+y%", None, None, None]
+    assert values(spark, ["/n/rock & roll, it's.mp3", "D:\\q r~.mp3"], encode_location) == ["file://localhost/n/rock%20%26%20roll%2C%20it%27s.mp3", "file://localhost/D:/q%20r~.mp3"]
     paths = ["/a b/ü*(1).mp3", "/x+y%.wav"]
     assert values(spark, paths, lambda x: decode_location(encode_location(x))) == paths
 
 
 def test_sanitized(spark):
-    assert values(spark, ["a/b:c*d?.mp3", "name.", "", "..."], sanitized) == ["a_b_c_d_.mp3", "name", "track", "track"]
+    assert values(spark, ['AC/DC: "live"?.wav', "dots. .", "", " . ", "del\x7fete\x85", "tab\there\n"], sanitized) == ["AC_DC_ _live__.wav", "dots", "track", "track", "del\x7fete\x85", "tab_here_"]
+
+
+def test_whole_numbers(spark):
+    assert values(spark, ["320000", "+7", " 7", "-1", "7.0", "4294967295", "4294967296", "9" * 60, "", "7\n", None], whole_number) == [320000, 7, None, None, None, 4294967295, None, None, None, None, None]
 
 
 def test_one_decimal(spark):
@@ -53,33 +54,52 @@ def sort_case(spark, tracks):
 
 
 def test_harmonic_order(spark):
-    assert sort_case(spark, [("a", "8A", "126"), ("b", "8A", "124"), ("c", "1A", "130"), ("d", "12B", "120")]) == "cbad"
-    assert sort_case(spark, [("b", None, "120"), ("a", "1A", "120")]) == "ab"
-    assert sort_case(spark, [("A", "1A", "130"), ("B", "2A", "124"), ("C", "1A", "124"), ("D", "2B", "130"), ("E", "2A", "128"), ("F", "2B", "124")]) == "CABEFD"
+    assert sort_case(spark, [("p", "5B", "101"), ("q", "5B", "99.5"), ("r", "2A", "170"), ("s", "11A", "90")]) == "rqps"
+    assert sort_case(spark, [("v", "Am", "80"), ("w", "12B", "x"), ("x", None, "70"), ("y", "12B", "200"), ("z", "12B", "0")]) == "ywzxv"
 
 
-LOG = '[Parsed_loudnorm_0 @ 0x1] \n{\n\t"input_i" : "-6.83",\n\t"input_tp" : "2.55"\n}\n'
+LOG = '[Parsed_loudnorm_0 @ 0x1] \n{\n\t"input_i" : "-9.31",\n\t"input_tp" : "0.74"\n}\n'
+PLAIN = '{"input_i" : "-11.50", "input_tp" : "-3.25"}'
 
 
 def test_logs(spark):
     logs = [
-        ("stray", "priv{ x\nDuration: 00:01, bitrate: 320 kb/s\n" + LOG),
-        ("no marker", '{"input_i" : "-10.00", "input_tp" : "0.50"}\nDuration: N/A, bitrate: N/A'),
-        ("silent", LOG.replace("-6.83", "-inf")),
-        ("nothing", "no data"),
-        ("unquoted", '{"input_i" : -10.00, "input_tp" : 0.50}'),
-    ]
-    parsed = loudness.parse_logs(spark.createDataFrame(logs, "name string, log string"))
-    rows = {r["name"]: tuple(r)[1:] for r in parsed.collect()}
-    assert rows["stray"] == (-6.83, 2.55, 320) and rows["no marker"] == (-10.0, 0.5, None) and rows["nothing"] == (None, None, None) and rows["unquoted"][:2] == (None, None)
-    assert {r["name"]: r["reason"] for r in loudness.rejects(parsed).collect()} == {"silent": "not_finite", "nothing": "no_measurement", "unquoted": "no_measurement"}
-    assert sorted(r["name"] for r in loudness.accepted(parsed).collect()) == ["no marker", "stray"]
+        ("stray", "junk{ x\nDuration: 00:01, bitrate: 256 kb/s\n" + LOG, (-9.31, 0.74, 256)),
+        ("no marker", PLAIN + "\nDuration: N/A, bitrate: N/A", (-11.5, -3.25, None)),
+        ("silent", LOG.replace("-9.31", "-inf"), (float("-inf"), 0.74, None)),
+        ("nothing", "no data", (None, None, None)),
+        ("unquoted", PLAIN.replace('"-11.50"', "-11.50"), (None, None, None)),
+        ("one value", '{"input_i" : "-11.50"}', (None, None, None)),
+        ("marker without object", PLAIN + "\n[Parsed_loudnorm_0 @ 0x1] cut off", (-11.5, -3.25, None)),
+        ("object never closed", PLAIN + '\n[Parsed_loudnorm_0 @ 0x1] {"x": "y"', (-11.5, -3.25, None)),
+        ("broken object", PLAIN + "\n[Parsed_loudnorm_0 @ 0x1] {broken}", (None, None, None)),
+        ("two objects", LOG + PLAIN, (-9.31, 0.74, None)),
+        ("last of two", PLAIN + PLAIN.replace("3.25", "4.5"), (-11.5, -4.5, None)),
+        ("nested", LOG.replace("{\n", '{"a": {"b": {"c": [{}]}}, '), (-9.31, 0.74, None)),
+        ("long", LOG.replace("{\n", '{"pad": "' + "y" * 100_000 + '", '), (-9.31, 0.74, None)),
+        ("many braces", LOG.replace("{\n", "{" + "".join(f'"k{i}": {{}}, ' for i in range(20_000))), (-9.31, 0.74, None)),
+        ("not a line's start", "  Stream Duration: 1, bitrate: 99 kb/s\n\t Duration: 2, bitrate: 128 kb/s", (None, None, 128)),
+        ("no blank", "Duration: 2, bitrate: 128kb/s", (None, None, None)),
+        ("null", None, (None, None, None)),
+    ]
+    parsed = loudness.parse_logs(spark.createDataFrame([x[:2] for x in logs], "name string, log string"))
+    assert {r["name"]: tuple(r)[1:] for r in parsed.collect()} == {name: found for name, _, found in logs}
+    assert {r["reason"] for r in loudness.rejects(parsed).where("name = 'silent'").collect()} == {"not_finite"} and loudness.rejects(parsed).where("reason = 'no_measurement'").count() == 7
+    assert loudness.accepted(parsed).count() == 9
+
+
+def test_probes(spark):
+    texts = ["{}", '{"streams": []}', "nonsense", '{"streams": [{"codec_name": "mp3", "sample_rate": "44100", "bit_rate": "319500"}, {"codec_name": "png"}]}', '{"streams": [{}], "format": {"bit_rate": "64000"}}', '{"streams": [{"codec_name": "aac", "bit_rate": " 5"}], "format": {"bit_rate": "64000"}}', None]
+    probes = convert.parse_probes(spark.createDataFrame(list(enumerate(texts)), "track_id int, json string"))
+    assert [r["has_stream"] for r in probes.orderBy("track_id").collect()] == [False, False, False, True, True, True, False]
+    rows = convert.actions(spark.createDataFrame([(i,) for i in range(8)], "track_id int"), probes, ("track_id",)).orderBy("track_id").collect()
+    assert [(r["action"], r["bitrate_kbps"]) for r in rows] == [(None, None)] * 3 + [("Copy", 320), ("Reencode", 64), ("ReencodeLossy", None)] + [(None, None)] * 2
 
 
 def test_gain_thresholds(spark):
-    rows = [("mp3", -3.5, 320), ("mp3", -1.9, 320), ("flac", -0.54, None), ("flac", -0.56, None), ("m4a", -2.0, None)]
+    rows = [("mp3", -5.1, 320), ("mp3", -1.7, 320), ("flac", -0.54, None), ("flac", -0.56, None), ("m4a", -2.0, None), ("ogg", -1.0, None)]
     plan = loudness.gain_plan(spark.createDataFrame(rows, "ext string, input_tp double, kbps int"))
-    assert [(r["gain_method"], round(r["effective_gain"], 2), r["lossless_gain_steps"]) for r in plan.collect()] == [("Mp3Lossless", 3.0, 2), ("Mp3Reencode", 1.4, 0), ("None", 0.0, 0), ("FfmpegLossless", 0.06, 0), ("AacLossless", 1.5, 1)]
+    assert [(r["gain_method"], round(r["effective_gain"], 2), r["lossless_gain_steps"]) for r in plan.collect()] == [("Mp3Lossless", 4.5, 3), ("Mp3Reencode", 1.2, 0), ("None", 0.0, 0), ("FfmpegLossless", 0.06, 0), ("AacLossless", 1.5, 1), ("FfmpegLossless", 0.5, 0)]
     with pytest.raises(ValueError):
         loudness.TpTarget.chosen(-1.0, split=True)
 
@@ -93,34 +113,53 @@ def test_report_csv(spark, tmp_path):
 
 
 def test_file_names(spark):
-    rows = [(1, 1, "/m/Track One.FLAC"), (1, 2, "/o/Track One.wav"), (1, 3, "/m/bad:name?.aiff"), (2, 1, "/m/a.mp3"), (2, 2, "/m/A.mp3"), (2, 3, "/m/a (2).mp3")]
+    rows = [(1, 1, "/m/Intro.AIFF"), (1, 2, "/o/intro.wav"), (1, 3, "/m/what?.flac"), (1, 4, "/m/.mp3"), (2, 1, "/m/a.mp3"), (2, 2, "/m/A.mp3"), (2, 3, "/m/a (2).mp3"), (3, 1, "/m/b (2).mp3"), (3, 2, "/m/b.mp3"), (3, 3, "/n/b.mp3"), (4, 1, None)]
     df = spark.createDataFrame([(d, p, x, "n") for d, p, x in rows], "out_dir int, pos int, path string, name string")
     names = [r["filename"] for r in convert.plan_filenames(df).orderBy("out_dir", "pos").collect()]
-    assert names == ["Track One.mp3", "Track One (2).mp3", "bad_name_.mp3", "a.mp3", "A (2).mp3", "a (2) (2).mp3"]
+    assert names == ["Intro.mp3", "intro (2).mp3", "what_.mp3", ".mp3.mp3", "a.mp3", "A (2).mp3", "a (2) (2).mp3", "b (2).mp3", "b.mp3", "b (3).mp3", "n.mp3"]
+    assert sorted(r["filename"] for r in convert.plan_filenames(df, keep=["pos"]).collect()) == sorted(names)
+
+
+MARKERS = (".keep-out",)
 
 
 def test_scan_and_inputs(spark):
-    paths = ["/m/a/x.mp3", "/m/a/._x.mp3", "/m/b/.baken-backup", "/m/b/y.mp3", "/m/b/c/z.wav", "/m/t.txt", "/m/a-b/q.flac", "/m/_i.mp3"]
+    paths = ["/m/a/x.mp3", "/m/a/._x.mp3", "/m/b/.keep-out", "/m/b/y.mp3", "/m/b/c/z.wav", "/m/t.txt", "/m/a-b/q.flac", "/m/_i.mp3"]
     df = spark.createDataFrame([("c", p) for p in paths], "collection_id string, path string")
-    assert sorted(r["path"] for r in files.scan_audio(files.prune_backups(df, "/m")).collect()) == ["/m/_i.mp3", "/m/a-b/q.flac", "/m/a/x.mp3"]
-    assert sorted(r["path"] for r in files.scan_audio(files.prune_backups(df, "/m/b")).collect()) == sorted(["/m/_i.mp3", "/m/a-b/q.flac", "/m/a/x.mp3", "/m/b/y.mp3", "/m/b/c/z.wav"])
-    found, unmatched = files.resolve_inputs(df, spark.createDataFrame([("/m/a",), ("/m/*.mp3",), ("/m/a-?",), ("/x/*.mp3",), ("/m/t.txt",)], "input string"))
+    assert sorted(r["path"] for r in files.scan_audio(files.prune_backups(df, "/m", MARKERS)).collect()) == ["/m/_i.mp3", "/m/a-b/q.flac", "/m/a/x.mp3"]
+    assert sorted(r["path"] for r in files.scan_audio(files.prune_backups(df, "/m/b", MARKERS)).collect()) == sorted(["/m/_i.mp3", "/m/a-b/q.flac", "/m/a/x.mp3", "/m/b/y.mp3", "/m/b/c/z.wav"])
+    given = lambda *names: spark.createDataFrame([("c", n) for n in names], "collection_id string, input string")
+    found, unmatched = files.resolve_inputs(df, given("/m/a", "/m/*.mp3", "/m/a-?", "/x/*.mp3", "/m/t.txt"), MARKERS)
     assert [r["path"] for r in found.orderBy("parts").collect()] == ["/m/_i.mp3", "/m/a/x.mp3", "/m/a-b/q.flac"]
     assert [r["input"] for r in unmatched.collect()] == ["/x/*.mp3"]
-    assert files.common_base(df).first()["base"] == "/m"
-    one = files.common_base(df.where("path = '/m/a/x.mp3'"))
-    assert one.first()["base"] == "/m/a"
-    assert files.backup_manifest(df.where("path = '/m/a/x.mp3'"), one).first()["backup_path"] == "/m/a/backup/x.mp3"
+    for name, expected in (("/", ["/m/_i.mp3", "/m/a/x.mp3", "/m/a-b/q.flac"]), ("/m/b/", ["/m/b/c/z.wav", "/m/b/y.mp3"]), ("/**/z.*", ["/m/b/c/z.wav"]), ("/m/[!b]/*.mp3", ["/m/a/x.mp3"]), ("/*/a*", ["/m/a/x.mp3", "/m/a-b/q.flac"])):
+        assert [r["path"] for r in files.resolve_inputs(df, given(name), MARKERS)[0].orderBy("parts").collect()] == expected, name
+    loose = spark.createDataFrame([("c", p) for p in ("one.mp3", "d/two.mp3", "/three.mp3")], "collection_id string, path string")
+    for name, expected in (("*.mp3", ["one.mp3"]), ("*/*.mp3", ["d/two.mp3"]), ("/*.mp3", ["/three.mp3"]), ("/", ["/three.mp3"]), ("d", ["d/two.mp3"]), ("one.mp3", ["one.mp3"])):
+        assert [r["path"] for r in files.resolve_inputs(loose, given(name))[0].collect()] == expected, name
+    other = df.withColumn("collection_id", F.lit("other"))
+    assert files.resolve_inputs(other, given("/m/a"), MARKERS)[0].count() == 0  # libraries don't mix
 
 
-SINGLE = """<?xml version="1.0" encoding="UTF-8"?><DJ_PLAYLISTS Version="1.0.0"><COLLECTION Entries="3"><TRACK TrackID="1" Name="A" Tonality="1A" AverageBpm="120.00" Location="file://localhost/a.flac"/><TRACK TrackID="7" Name="B" Tonality="8A" AverageBpm="124.00" Location="file://localhost/b.flac" Comments="great tune" TotalTime="10"><TEMPO Inizio="0.025" Bpm="124.00" Metro="4/4" Battito="1"/></TRACK><TRACK TrackID="3" Name="C" Tonality="2A" AverageBpm="126.00"/></COLLECTION><PLAYLISTS><NODE Type="0" Name="ROOT" Count="2"><NODE Name="Top" Type="1" KeyType="0" Entries="2"><TRACK Key="7"/><TRACK Key="1"/></NODE><NODE Name="F" Type="0" Count="2"><NODE Name="In" Type="1" KeyType="0" Entries="1"><TRACK Key="3"/></NODE><NODE Name="Loc" Type="1" KeyType="1" Entries="0"/></NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>"""
+def test_common_bases(spark):
+    for paths, base, targets in (
+        (["/m/a/x.mp3", "/m/b/y.mp3"], "/m", ["/m/backup/a/x.mp3", "/m/backup/b/y.mp3"]), (["/m/a/x.mp3"], "/m/a", ["/m/a/backup/x.mp3"]), (["/x/a.mp3", "/y/a.mp3"], "/", ["/backup/x/a.mp3", "/backup/y/a.mp3"]),
+        (["/a.mp3", "/y/a.mp3"], "/", ["/backup/a.mp3", "/backup/y/a.mp3"]), (["x/a.mp3", "y/a.mp3"], "", ["backup/x/a.mp3", "backup/y/a.mp3"]), (["/x/a.mp3", "y/a.mp3"], "", ["backup/a.mp3", "backup/y/a.mp3"]), (["/m/ab/x", "/m/a/x"], "/m", ["/m/backup/ab/x", "/m/backup/a/x"]),
+    ):
+        df = spark.createDataFrame([("c", p) for p in paths], "collection_id string, path string")
+        assert files.common_base(df).first()["base"] == base, paths
+        assert sorted(r["backup_path"] for r in files.backup_manifest(df).collect()) == sorted(targets), paths
+        assert sorted(r["backup_path"] for r in files.backup_manifest(df, backup_dir="/safe/").collect()) == sorted("/safe/" + t.split("backup/", 1)[1] for t in targets)
+
+
+SINGLE = """<?xml version="1.0" encoding="UTF-8"?><DJ_PLAYLISTS Version="1.0.0"><COLLECTION Entries="3"><TRACK TrackID="1" Name="A" Tonality="1A" AverageBpm="120.00" Location="file://localhost/a.flac"/><TRACK TrackID="7" Name="B" Tonality="8A" AverageBpm="124.00" Location="file://localhost/b.flac" Comments="peak time" TotalTime="10"><TEMPO Inizio="0.025" Bpm="124.00" Metro="4/4" Battito="1"/></TRACK><TRACK TrackID="3" Name="C" Tonality="2A" AverageBpm="126.00"/></COLLECTION><PLAYLISTS><NODE Type="0" Name="ROOT" Count="2"><NODE Name="Top" Type="1" KeyType="0" Entries="2"><TRACK Key="7"/><TRACK Key="1"/></NODE><NODE Name="F" Type="0" Count="2"><NODE Name="In" Type="1" KeyType="0" Entries="1"><TRACK Key="3"/></NODE><NODE Name="Loc" Type="1" KeyType="1" Entries="0"/></NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>"""
 
 
 def test_collection_round_trip(spark, tmp_path):
     (tmp_path / "one.xml").write_text(SINGLE)
     docs = xml.read_collections(spark, str(tmp_path / "one.xml")).cache()
     own = xml.tracks(docs)
-    assert [(r["track_id"], r["name"], r["comments"]) for r in own.orderBy("doc_pos").collect()] == [("1", "A", None), ("7", "B", "great tune"), ("3", "C", None)]
+    assert [(r["track_id"], r["name"], r["comments"]) for r in own.orderBy("doc_pos").collect()] == [("1", "A", None), ("7", "B", "peak time"), ("3", "C", None)]
     lists = xml.playlists(xml.nodes(docs))
     assert sorted(("/".join(r["path"]), r["key_type"]) for r in lists.collect()) == [("F/In", "0"), ("F/Loc", "1"), ("Top", "0")]
     ordered = playlists.harmonic_sort(xml.entries(lists), own, lists)
@@ -131,11 +170,13 @@ def test_collection_round_trip(spark, tmp_path):
 
     top = xml.entries(lists).where(F.size("playlist_ord") == 2)
     sources = convert.source_tracks(top, own).withColumn("path", decode_location(F.col("location"))).withColumn("out_dir", F.lit("/out"))
-    made = convert.new_tracks(convert.plan_filenames(sources), convert.max_track_id(own))
-    new = xml.parse_collections(xml.export_converted(docs, made, "Top", convert.FOLDER))
+    sizes = spark.createDataFrame([("/out/a.mp3", 71), ("/out/b.mp3", 72)], "path string, size long").crossJoin(docs.select("collection_id"))
+    made = convert.new_tracks(convert.plan_filenames(sources), convert.max_track_id(own), sizes)
+    names = top.select("collection_id", "playlist_ord").distinct().withColumn("name", F.lit("Top"))
+    new = xml.parse_collections(xml.export_converted(docs, made, names, convert.FOLDER))
     rows = {r["track_id"]: r for r in xml.tracks(new).collect()}
-    assert set(rows) == {"1", "7", "3", "8", "9"} and rows["8"]["comments"] == "great tune [cdjsafe]" and rows["9"]["comments"] == "[cdjsafe]"
-    assert rows["8"]["location"] == "file://localhost/out/b.mp3" and rows["8"]["kind"] == "MP3 File" and rows["8"]["tempos"][0]["_Bpm"] == "124.00"
+    assert set(rows) == {"1", "7", "3", "8", "9"} and rows["8"]["comments"] == "peak time [cdjsafe]" and rows["9"]["comments"] == "[cdjsafe]"
+    assert rows["8"]["location"] == "file://localhost/out/b.mp3" and rows["8"]["kind"] == "MP3 File" and rows["8"]["size"] == "72" and rows["8"]["tempos"][0]["_Bpm"] == "124.00"
     doc = new.select("doc.COLLECTION._Entries", "doc.PLAYLISTS.NODE._Count").first()
     assert tuple(doc) == ("5", "3")
 
@@ -154,44 +195,75 @@ def test_exports_keep_what_the_tables_do_not_hold(spark):
 
     sources = convert.source_tracks(xml.entries(lists), own).withColumn("path", decode_location(F.col("location"))).withColumn("out_dir", F.lit("/out"))
     made = convert.new_tracks(convert.plan_filenames(sources), convert.max_track_id(own))
-    text = xml.export_converted(docs, made, "L", "F").first()["xml"]
+    text = xml.export_converted(docs, made, lists.select("collection_id", "playlist_ord", F.lit("L").alias("name")), "F").first()["xml"]
     common = 'Kind="MP3 File" BitRate="320" SampleRate="44100" Comments="[cdjsafe]"'
     new = f'<TRACK TrackID="3" Genre="g" Location="file://localhost/out/b.mp3" {common}/><TRACK TrackID="4" Name="A &amp; &quot;B&quot;" Album="x&#10;y" Rating="204" Size="5" Location="file://localhost/out/a.mp3" {common}>' + RICH[RICH.index("<TEMPO") : RICH.index("<TRACK TrackID=\"2")]
     folder = '<NODE Name="F" Type="0" Count="1"><NODE Name="L" Type="1" KeyType="0" Entries="2"><TRACK Key="3"/><TRACK Key="4"/></NODE></NODE>'
     assert text == RICH.replace('Entries="2"><TRACK TrackID', 'Entries="4"><TRACK TrackID').replace("</COLLECTION><P", new + "</COLLECTION><P").replace('Count="1"', 'Count="2"').replace("</NODE></NODE>", "</NODE>" + folder + "</NODE>")
-    assert xml.rewritten('<D><PLAYLISTS><NODE Name="R"/></PLAYLISTS></D>', "S", [], []) == '<D><PLAYLISTS><NODE Name="R" Count="1"><NODE Name="S" Type="0" Count="0"></NODE></NODE></PLAYLISTS></D>'
+    assert xml.rewritten('<D><PLAYLISTS><NODE Name="R"/></PLAYLISTS></D>', "S", [], [], "1", None) == '<D><PLAYLISTS><NODE Name="R" Count="1"><NODE Name="S" Type="0" Count="0"></NODE></NODE></PLAYLISTS></D>'
 
 
-def test_deep_nodes_are_an_error(spark):
-    def lists(levels):
-        text = '<DJ_PLAYLISTS><PLAYLISTS>' + '<NODE Type="0" Name="n">' * (levels - 1) + '<NODE Name="L" Type="1" KeyType="0"><TRACK Key="1"/></NODE>' + "</NODE>" * (levels - 1) + "</PLAYLISTS></DJ_PLAYLISTS>"
+def test_documents_that_cannot_be_taken(spark):
+    def lists(levels, inner=""):
+        text = '<DJ_PLAYLISTS><PLAYLISTS>' + '<NODE Type="0" Name="n">' * (levels - 1) + f'<NODE Name="L" Type="1" KeyType="0"><TRACK Key="1"/>{inner}</NODE>' + "</NODE>" * (levels - 1) + "</PLAYLISTS></DJ_PLAYLISTS>"
         return xml.playlists(xml.nodes(xml.parse_collections(spark.createDataFrame([("c", text)], "collection_id string, xml string"))))
 
     assert [r["keys"] for r in lists(xml.DEPTH).collect()] == [["1"]]
     with pytest.raises(Exception, match="too_deep"):
         lists(xml.DEPTH + 1).collect()
+    with pytest.raises(Exception, match="nested_playlist"):
+        lists(3, '<NODE Name="M" Type="1" KeyType="0"/>').collect()
 
 
-def test_exported_queries_keep_albums(spark):
-    from waxcrate.plans.queries import QUERIES
-
-    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-    for name, copies in (("export_sorted_xml", 0), ("export_converted_xml", 50)):
-        for r in QUERIES[name](spark, sf).collect():
-            n = len(re.findall("<TRACK [^>]*TrackID=", r["xml"]))
-            entries = int(re.search(r'<COLLECTION Entries="(\d+)"', r["xml"])[1])
-            assert n == entries > copies and len(re.findall(' Album="Album &quot;', r["xml"])) == len(re.findall("<OTHER ", r["xml"])) == n and "<PRODUCT " in r["xml"]
+UNIT = "collection_id string, playlist_ord int"
 
 
 def test_gate_and_counters(spark):
-    e = spark.createDataFrame([("c", 1, 1, "1"), ("c", 1, 2, "1"), ("c", 2, 1, "9"), ("c", 4, 1, "1")], "collection_id string, playlist_ord int, pos int, track_id string")
-    t = spark.createDataFrame([("c", "1")], "collection_id string, track_id string")
-    p = spark.createDataFrame([("c", n) for n in (1, 2, 3, 4)], "collection_id string, playlist_ord int")
-    acted = e.join(t, ["collection_id", "track_id"]).withColumn("action", F.lit("Copy"))
-    assert {r["playlist_ord"]: r["status"] for r in convert.gate(e, t, acted, p).collect()} == {1: "failed", 2: "failed", 3: "empty_playlist", 4: "ok"}
+    entries = spark.createDataFrame([("c", 1, 1, "1"), ("c", 1, 2, "1"), ("c", 2, 1, "9"), ("c", 4, 1, "1"), ("c", 5, 1, "2"), ("c", 6, 1, "3")], UNIT + ", pos int, track_id string")
+    tracks = spark.createDataFrame([("c", "1", 1, "file:///old"), ("c", "1", 4, "file:///m/1"), ("c", "2", 2, "file:///m/2"), ("c", "3", 3, "file:///m/3")], "collection_id string, track_id string, doc_pos int, location string")
+    lists = spark.createDataFrame([("c", n) for n in range(1, 7)], UNIT)
+    probes = convert.parse_probes(spark.createDataFrame([("c", str(n), '{"streams": [{"codec_name": "mp3"}]}' if n < 3 else "{}") for n in (1, 2, 3)], "collection_id string, track_id string, json string"))
+    manifest = spark.createDataFrame([("c", "/m/1"), ("c", "/m/3")], "collection_id string, path string")
+    own = convert.judged(entries, tracks, probes, manifest)
+    assert {(r["playlist_ord"], r["failure"]) for r in own.collect()} == {(1, None), (2, "dangling"), (4, None), (5, "missing_source"), (6, "unprobed")}
+    assert {r["playlist_ord"]: r["status"] for r in convert.gate(own, lists).collect()} == {1: "failed", 2: "failed", 3: "empty_playlist", 4: "ok", 5: "failed", 6: "failed"}
     with pytest.raises(ValueError):
-        convert.gate(e, t, acted, p, strict=True)
+        convert.gate(own, lists, strict=True)
     assert values(spark, [" 5 ", "x", None], lambda x: playlists.bumped(x, 2)) == ["7", "2", "2"]
+    assert convert.source_tracks(entries, tracks).count() == 5  # an id that occurs twice doesn't multiply entries
+
+
+def test_conversion_from_target_to_tracks(spark):
+    lists = spark.createDataFrame([("c", 1, ["F", "A"], "0"), ("c", 2, ["F", "A"], "0"), ("c", 3, ["B"], "1"), ("c", 4, ["E"], "0"), ("c", 5, ["Late"], "0")], UNIT + ", path array<string>, key_type string")
+    entries = spark.createDataFrame([("c", 1, 0, "1"), ("c", 2, 0, "2"), ("c", 2, 1, "1"), ("c", 5, 0, "1")], UNIT + ", pos int, track_id string")
+    tracks = spark.createDataFrame([("c", str(n), n, f"file:///m/{n}.wav", "song", None, "1") for n in (1, 2)], "collection_id string, track_id string, doc_pos int, location string, name string, comments string, size string")
+    probes = convert.parse_probes(spark.createDataFrame([("c", str(n), '{"streams": [{"codec_name": "flac"}]}') for n in (1, 2)], "collection_id string, track_id string, json string"))
+    manifest = spark.createDataFrame([("c", f"/m/{n}.wav") for n in (1, 2)], "collection_id string, path string")
+    finished = spark.createDataFrame([("c", f"/out/c/2/{n}.mp3", 50 + n) for n in (1, 2)], "collection_id string, path string, size long")
+    targets = spark.createDataFrame([("c", t) for t in (" F / A", "B", "E", "Late", "none", " / ")], "collection_id string, target string")
+    run = lambda wanted, **more: convert.convert_playlists(wanted, lists, entries, tracks, manifest, probes, finished, "/out", **more)
+    status, made = run(targets)
+    assert {r["target"]: (r["playlist_ord"], r["status"]) for r in status.collect()} == {" F / A": (2, "ok"), "B": (3, "wrong_key_type"), "E": (4, "empty_playlist"), "Late": (5, "unfinished"), "none": (None, "not_found"), " / ": (None, "empty_target")}
+    assert [(r["playlist_ord"], r["pos"], int(r["new_id"]), r["size"], r["location"]) for r in made.orderBy("pos").collect()] == [(2, 0, 3, "52", "file://localhost/out/c/2/2.mp3"), (2, 1, 4, "51", "file://localhost/out/c/2/1.mp3")]
+    with pytest.raises(ValueError):
+        run(targets, strict=True)
+    assert run(targets.where("target = ' F / A'"), strict=True)[1].count() == 2
+
+
+def test_choosing_playlists(spark):
+    lists = spark.createDataFrame([("c", 1, ["F", "A"], "0"), ("c", 2, ["F", "A"], "1"), ("c", 3, ["B"], "1"), ("d", 1, ["B"], "1")], UNIT + ", path array<string>, key_type string")
+    every = spark.createDataFrame([("c",), ("d",), ("e",)], "collection_id string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    chosen, status = playlists.choose(lists, every)
+    assert rows(chosen) == [("c", 1, "A")] and rows(status) == [("c", "ok"), ("d", "no_playlists"), ("e", "no_playlists")]
+    chosen, status = playlists.choose(lists, every, " F/A ", "mine")
+    assert rows(chosen) == [("c", 1, "mine")] and rows(status) == [("c", "ok"), ("d", "not_found"), ("e", "not_found")]
+    assert rows(playlists.choose(lists, every, "B")[1]) == [("c", "wrong_key_type"), ("d", "wrong_key_type"), ("e", "not_found")]
+    for target, name in ((None, "n"), (" / ", None)):
+        with pytest.raises(ValueError):
+            playlists.choose(lists, every, target, name)
+    last = playlists.find_target(lists, every.withColumn("target", F.lit("F/A")), "last").where("collection_id = 'c'").first()
+    assert (last["playlist_ord"], last["status"]) == (2, "wrong_key_type")
 
 
 def test_planned_stream(spark, tmp_path):

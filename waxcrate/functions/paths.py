@@ -66,11 +66,18 @@ def encode_location(path: Column) -> Column:
 
 def sanitized(name: Column) -> Column:
     """A name that FAT32 takes: forbidden characters become _, dots and blanks at the end go; "track" if nothing is left."""
-    kept = F.regexp_replace(F.regexp_replace(name, r"[<>:\"/\\|?*\x00-\x1F\x7F-\x9F]", "_"), r"[. ]+$", "")
+    kept = F.regexp_replace(F.regexp_replace(name, r"[<>:\"/\\|?*\x00-\x1F]", "_"), r"[. ]+\z", "")
     return F.when(kept == "", F.lit("track")).otherwise(kept)
 
 
+def folder_parts(path: Column) -> Column:
+    """The folders above a path, from the top; the first is empty for an absolute path, and a bare name has none."""
+    return F.when(F.contains(path, F.lit("/")), F.split(dirname(path), "/")).otherwise(F.array().cast("array<string>"))
+
+
 def relative_to(path: Column, base: Column) -> Column:
-    """The path below base; just the name if it isn't below it."""
-    below = F.coalesce((base != "") & path.startswith(F.concat(F.rtrim(base, F.lit("/")), F.lit("/"))), F.lit(False))
-    return F.when(below, F.substring(path, F.length(F.rtrim(base, F.lit("/"))) + 2, F.length(path))).otherwise(basename(path))
+    """The path below base; just the name if it isn't below it. An empty base holds relative paths only, / holds absolute ones."""
+    head = F.concat(F.rtrim(base, F.lit("/")), F.lit("/"))
+    below = F.when(base == "", ~path.startswith("/")).otherwise(path.startswith(head) & (path != head))
+    rest = F.when(base == "", path).otherwise(F.substring(path, F.length(head) + 1, F.length(path)))
+    return F.when(F.coalesce(below, F.lit(False)), rest).otherwise(basename(path))

@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import whole_number
 from ..functions.paths import decode_location, encode_location, sanitized, stem
-from .playlists import bumped
+from .playlists import find_target, last_wins
 
 FOLDER, MARKER = "CDJ-safe (MP3)", "[cdjsafe]"
 SAFE_CODEC, SAFE_RATE, SAFE_KBPS = "mp3", 44100, 320
@@ -25,9 +26,8 @@ def repeated(entries: DataFrame, unit: tuple[str, ...] = UNIT) -> DataFrame:
 
 
 def source_tracks(entries: DataFrame, tracks: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
-    """Each entry with its track. The wanted tracks are picked first, so that only theirs are joined in full."""
-    wanted = entries.select(*by, "track_id").distinct()
-    return entries.join(tracks.join(wanted, [*by, "track_id"], "left_semi"), [*by, "track_id"])
+    """Each entry with its track; of tracks with one id the last in the document (doc_pos) counts. Entries without a track are left out."""
+    return entries.join(last_wins(tracks, (*by, "track_id")), [*by, "track_id"])
 
 
 def missing_sources(sources: DataFrame, files: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
@@ -42,23 +42,30 @@ def missing_total_time(sources: DataFrame) -> DataFrame:
 
 
 def probe_info(probes: DataFrame) -> DataFrame:
-    """probes with codec, sample_rate (int) and bitrate_kbps of the first stream; the stream's bit rate before the file's, also if it is no number."""
-    bps = F.coalesce("stream_bit_rate", "format_bit_rate").try_cast("long")
-    return probes.withColumns({"sample_rate": F.col("sample_rate").try_cast("int"), "bitrate_kbps": F.floor((bps + 500) / 1000).cast("int")})
+    """probes with sample_rate (int, 0 if it is no number) and bitrate_kbps of the first stream; the stream's bit rate before the file's, also if it is no number."""
+    bps = whole_number(F.coalesce("stream_bit_rate", "format_bit_rate"))
+    rate = F.coalesce(whole_number(F.col("sample_rate"), (1 << 31) - 1), F.lit(0)).cast("int")
+    return probes.withColumns({"sample_rate": rate, "bitrate_kbps": F.floor((bps + 500) / 1000).cast("int")})
 
 
 def parse_probes(probes: DataFrame, text: str = "json") -> DataFrame:
-    """probes with codec_name, sample_rate, stream_bit_rate and format_bit_rate in place of the probe tool's JSON; null without a stream."""
+    """probes with has_stream, codec_name, sample_rate, stream_bit_rate and format_bit_rate in place of the probe tool's JSON.
+
+    Text that is no JSON has no stream. A stream without a codec has an empty one.
+    """
     shape = "streams array<struct<codec_name string, sample_rate string, bit_rate string>>, format struct<bit_rate string>"
-    found = F.from_json(F.col(text), shape)
-    first = F.get(found["streams"], 0)
     own = [c for c in probes.columns if c != text]
-    return probes.select(*own, first["codec_name"].alias("codec_name"), first["sample_rate"].alias("sample_rate"), first["bit_rate"].alias("stream_bit_rate"), found["format"]["bit_rate"].alias("format_bit_rate"))
+    read = probes.select(*own, F.from_json(F.col(text), shape).alias("w_probe")).withColumn("w_first", F.get(F.col("w_probe.streams"), 0))
+    some = F.col("w_first").isNotNull()
+    return read.select(
+        *own, some.alias("has_stream"), F.when(some, F.coalesce("w_first.codec_name", F.lit(""))).alias("codec_name"), F.col("w_first.sample_rate").alias("sample_rate"),
+        F.col("w_first.bit_rate").alias("stream_bit_rate"), F.col("w_probe.format.bit_rate").alias("format_bit_rate"),
+    )
 
 
 def actions(sources: DataFrame, probes: DataFrame, on: tuple[str, ...] = ("collection_id", "track_id")) -> DataFrame:
-    """sources with action: Copy, ReencodeLossy, Reencode, or null without a probe."""
-    info = probe_info(probes).select(*on, "codec_name", F.col("sample_rate").alias("probed_rate"), "bitrate_kbps", F.lit(True).alias("probed"))
+    """sources with action: Copy, ReencodeLossy, Reencode, or null without a probe or where the probe (parse_probes) found no stream."""
+    info = probe_info(probes.where("has_stream")).select(*on, "codec_name", F.col("sample_rate").alias("probed_rate"), "bitrate_kbps", F.lit(True).alias("probed"))
     same = (F.col("codec_name") == SAFE_CODEC) & (F.col("probed_rate") == SAFE_RATE) & (F.col("bitrate_kbps") == SAFE_KBPS)
     action = F.when(F.coalesce(same, F.lit(False)), "Copy").when(F.col("codec_name").isin("mp3", "aac"), "ReencodeLossy").otherwise("Reencode")
     return sources.join(info, list(on), "left").withColumn("action", F.when(F.col("probed"), action)).drop("probed", "probed_rate")
@@ -68,40 +75,43 @@ def action_summary(acted: DataFrame, by: tuple[str, ...] = ("collection_id",)) -
     return acted.groupBy(*by, "action").agg(F.count("*").alias("n"))
 
 
-def plan_filenames(sources: DataFrame, out_dir: str = "out_dir", pos: str = "pos", path: str = "path", name: str = "name") -> DataFrame:
-    """sources with filename: the source's stem made safe, .mp3, and a number where the folder has the name already.
+def plan_filenames(sources: DataFrame, out_dir: str = "out_dir", pos: str = "pos", path: str = "path", name: str = "name", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of sources (None: all) with filename: the source's stem made safe, .mp3, and a number where the folder has the name already.
 
     Names are taken in the order of pos, without regard to case. A number decides most folders; those that hold a stem which ends
-    in a number in brackets, and so may meet a made name, go through the loop, a folder at a time.
+    in a number in brackets, and so may meet a made name, go through the loop, a folder at a time. One exchange by folder serves
+    the flag, the numbers and the loop; name the columns that are needed, as those of the loop can't be pruned later.
     """
-    body = sanitized(F.when(F.coalesce(stem(F.col(path)), F.lit("")) == "", F.col(name)).otherwise(stem(F.col(path))))
-    named = sources.withColumn("_stem", body)
-    cascades = named.where(F.col("_stem").rlike(r" \([0-9]+\)$")).select(out_dir).distinct()
-    nth = F.row_number().over(Window.partitionBy(out_dir, F.lower("_stem")).orderBy(pos))
+    own, keep = stem(F.col(path)), keep or sources.columns
+    body = sanitized(F.when(F.coalesce(own, F.lit("")) == "", F.col(name)).otherwise(own))
+    named = sources.select(*dict.fromkeys([*keep, out_dir, pos]), body.alias("w_stem"))
+    named = named.withColumn("w_cascade", F.max(F.col("w_stem").rlike(r" \([0-9]+\)$")).over(Window.partitionBy(out_dir)))
+    nth = F.row_number().over(Window.partitionBy(out_dir, F.lower("w_stem")).orderBy(pos))
     suffix = F.when(nth == 1, F.lit(".mp3")).otherwise(F.concat(F.lit(" ("), nth, F.lit(").mp3")))
-    plain = named.join(cascades, out_dir, "left_anti").withColumn("filename", F.concat("_stem", suffix))
-    columns = [*sources.columns, "filename"]
-    kinds = ", ".join(f"`{c}` {t}" for c, t in [*sources.dtypes, ("filename", "string")])
+    plain = named.where(~F.col("w_cascade")).withColumn("filename", F.concat("w_stem", suffix))
+    columns = [*keep, "filename"]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in [*sources.select(*keep).dtypes, ("filename", "string")])
 
     def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(pos, kind="stable")
         taken, names = set(), []
-        for own in pdf["_stem"]:
-            made, n = f"{own}.mp3", 1
+        for body in pdf["w_stem"]:
+            made, n = f"{body}.mp3", 1
             while made.lower() in taken:
                 n += 1
-                made = f"{own} ({n}).mp3"
+                made = f"{body} ({n}).mp3"
             taken.add(made.lower())
             names.append(made)
         return pdf.assign(filename=names)[columns]
 
-    looped = named.join(cascades, out_dir, "left_semi").groupBy(out_dir).applyInPandas(one_by_one, kinds)
+    looped = named.where("w_cascade").groupBy(out_dir).applyInPandas(one_by_one, kinds)
     return plain.select(*columns).unionByName(looped)
 
 
 def max_track_id(tracks: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
     """The largest numeric track id; ids that are no whole number count as 0."""
-    number = F.when(F.col("track_id").rlike(r"^\+?[0-9]+$"), F.col("track_id").try_cast("decimal(20,0)"))
+    number = F.when(F.col("track_id").rlike(r"\A\+?[0-9]+\z"), F.col("track_id").try_cast("decimal(38,0)"))
+    number = F.when(number < F.lit(str(1 << 64)).cast("decimal(20,0)"), number.cast("decimal(20,0)"))
     return tracks.groupBy(*by).agg(F.max(F.coalesce(number, F.lit(0).cast("decimal(20,0)"))).alias("max_id"))
 
 
@@ -109,52 +119,84 @@ def marked_comment(comments):
     return F.when(F.coalesce(comments, F.lit("")) == "", F.lit(MARKER)).otherwise(F.concat(comments, F.lit(f" {MARKER}")))
 
 
-def new_tracks(planned: DataFrame, maxima: DataFrame, by: tuple[str, ...] = ("collection_id",), unit: tuple[str, ...] = UNIT) -> DataFrame:
+def new_tracks(planned: DataFrame, maxima: DataFrame, finished: DataFrame | None = None, by: tuple[str, ...] = ("collection_id",), unit: tuple[str, ...] = UNIT) -> DataFrame:
     """planned (out_dir, filename, pos, size, comments) as new tracks: ids after the largest, in playlist order, and the recomputed fields.
 
-    All other columns, cues and beat grids among them, are inherited. Each playlist is its own export, so ids begin anew.
+    All other columns, cues and beat grids among them, are inherited. Each playlist is its own export, so ids begin anew. finished is
+    a manifest (by, path, size) of the files that were made: it gives the sizes, null for a file that is missing; without it there
+    are no sizes yet.
     """
     nth = F.row_number().over(Window.partitionBy(*unit).orderBy("pos"))
     target = F.concat("out_dir", F.lit("/"), "filename")
-    made = planned.withColumn("_nth", nth).join(maxima, list(by))
+    made = planned.withColumn("w_nth", nth).join(maxima, list(by)).withColumn("w_target", target).drop("size")
+    if finished is not None:
+        made = made.join(finished.select(*by, F.col("path").alias("w_target"), F.col("size").cast("string").alias("size")), [*by, "w_target"], "left")
+    else:
+        made = made.withColumn("size", F.lit(None).cast("string"))
     return made.withColumns({
-        "new_id": (F.col("max_id") + F.col("_nth")).cast("decimal(20,0)"), "location": encode_location(target), "kind": F.lit("MP3 File"),
+        "new_id": (F.col("max_id") + F.col("w_nth")).cast("decimal(20,0)"), "location": encode_location(F.col("w_target")), "kind": F.lit("MP3 File"),
         "bit_rate": F.lit(str(SAFE_KBPS)), "sample_rate": F.lit(str(SAFE_RATE)), "comments": marked_comment(F.col("comments")),
-    }).drop("_nth", "max_id")
+    }).drop("w_nth", "w_target", "max_id")
+
+
+def judged(entries: DataFrame, tracks: DataFrame, probes: DataFrame, files: DataFrame | None = None, by: tuple[str, ...] = ("collection_id",), on: tuple[str, ...] = ("collection_id", "track_id")) -> DataFrame:
+    """Every entry with its track (the last with that id), path, action and failure: dangling, missing_source, unprobed or null, the first that applies."""
+    held = last_wins(tracks, (*by, "track_id")).withColumn("w_held", F.lit(True))
+    out = actions(entries.join(held, [*by, "track_id"], "left").withColumn("path", decode_location(F.col("location"))), probes, on)
+    out = out if files is None else out.join(files.select(*by, "path").distinct().withColumn("w_disk", F.lit(True)), [*by, "path"], "left")
+    absent = F.lit(False) if files is None else F.col("w_disk").isNull()
+    failure = F.when(F.col("w_held").isNull(), "dangling").when(absent, "missing_source").when(F.col("action").isNull(), "unprobed")
+    return out.withColumn("failure", failure).drop("w_held", "w_disk")
 
 
-def gate(entries: DataFrame, tracks: DataFrame, acted: DataFrame, playlists: DataFrame, unit: tuple[str, ...] = UNIT, by: tuple[str, ...] = ("collection_id",), strict: bool = False) -> DataFrame:
+FAILURES = ("dangling", "missing_source", "unprobed")
+
+
+def gate(judged_entries: DataFrame, playlists: DataFrame, unit: tuple[str, ...] = UNIT, strict: bool = False) -> DataFrame:
     """Each playlist with its failures and status: ok, empty_playlist or failed. Only ok ones are written; strict raises instead.
 
-    A failure is a dangling reference, a repeated one (each time after the first), or a track without an action.
+    A failure is an entry with one (judged), or a repeated reference (each time after the first). One aggregation by playlist.
     """
-    bad = dangling(entries, tracks, by).groupBy(*unit).agg(F.count("*").alias("dangling"))
-    again = repeated(entries, unit).groupBy(*unit).agg(F.sum(F.col("n") - 1).alias("repeated"))
-    unprobed = acted.where("action IS NULL").groupBy(*unit).agg(F.count("*").alias("unprobed"))
-    size = entries.groupBy(*unit).agg(F.count("*").alias("entries"))
-    out = playlists.select(*unit)
-    for part in (size, bad, again, unprobed):
-        out = out.join(part, list(unit), "left")
-    counts = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("entries", "dangling", "repeated", "unprobed")}
-    out = out.select(*unit, *[v.alias(k) for k, v in counts.items()])
-    failures = F.col("dangling") + F.col("repeated") + F.col("unprobed")
+    counts = [F.count_if(F.col("failure") == f).alias(f) for f in FAILURES]
+    found = judged_entries.groupBy(*unit).agg(F.count("*").alias("entries"), *counts, (F.count("track_id") - F.countDistinct("track_id")).alias("repeated"))
+    names = ("entries", *FAILURES, "repeated")
+    out = playlists.select(*unit).join(found, list(unit), "left").select(*unit, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])
+    failures = F.col("dangling") + F.col("missing_source") + F.col("unprobed") + F.col("repeated")
     out = out.withColumn("status", F.when(F.col("entries") == 0, "empty_playlist").when(failures > 0, "failed").otherwise("ok"))
     if strict and (first := out.where("status != 'ok'").first()):
         raise ValueError(f"playlist {first.asDict()} can't be converted")
     return out
 
 
+def convert_playlists(targets: DataFrame, playlists: DataFrame, entries: DataFrame, tracks: DataFrame, files: DataFrame, probes: DataFrame, finished: DataFrame, out_dir: str, by: tuple[str, ...] = ("collection_id",), on: tuple[str, ...] = ("collection_id", "track_id"), strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A conversion from target to export: each target (by, target) with playlist_ord, name and status; and the new tracks of those that are ok.
+
+    A target's status is that of find_target (its last match), else that of the gate, else unfinished if finished lacks one of its
+    new files. Either all tracks of a playlist are converted or none; strict raises where one isn't. Files go to out_dir/<collection>/<playlist_ord>.
+    """
+    unit = (*by, "playlist_ord")
+    found = find_target(playlists, targets, "last", by)
+    wanted = found.where("status = 'ok'").select(*unit).distinct()
+    own = judged(entries.join(wanted, list(unit), "left_semi"), tracks, probes, files, by, on)
+    gates = gate(own, wanted, unit)
+    whole, named = Window.partitionBy(*unit), Window.partitionBy(*unit, "track_id")
+    bad = F.max(F.col("failure").isNotNull() | (F.col("w_n") > 1)).over(whole)
+    passed = own.withColumn("w_n", F.count("track_id").over(named)).withColumn("w_bad", bad).where(~F.col("w_bad")).drop("w_n", "w_bad")
+    folder = F.concat_ws("/", F.lit(out_dir), *[F.col(c).cast("string") for c in unit])
+    made = new_tracks(plan_filenames(passed.withColumn("out_dir", folder)), max_track_id(tracks, by), finished, by, unit)
+    made = made.withColumn("w_late", F.max(F.col("size").isNull()).over(whole))
+    late = made.where("w_late").select(*unit, "w_late").distinct()
+    status = found.join(gates.select(*unit, F.col("status").alias("w_gate")), list(unit), "left").join(late, list(unit), "left")
+    state = F.when(F.col("status") != "ok", F.col("status")).when(F.col("w_gate") != "ok", F.col("w_gate")).when(F.col("w_late"), "unfinished").otherwise("ok")
+    status = status.select(*by, "target", "playlist_ord", "name", state.alias("status"))
+    if strict and (first := status.where("status != 'ok'").first()):
+        raise ValueError(f"playlist {first.asDict()} can't be converted")
+    return status, made.where(~F.col("w_late")).drop("w_late")
+
+
 def converted_collection(tracks: DataFrame, made: DataFrame, by: tuple[str, ...] = ("collection_id",), order: str = "doc_pos") -> DataFrame:
     """The collection's tracks and the new ones after them, with continued positions."""
-    ends = tracks.groupBy(*by).agg(F.max(order).alias("_end"))
+    ends = tracks.groupBy(*by).agg(F.max(order).alias("w_end"))
     shared = [c for c in tracks.columns if c not in (order, "track_id")]
-    added = made.join(ends, list(by)).select(*shared, (F.col("_end") + F.col("pos")).cast(tracks.schema[order].dataType).alias(order), F.col("new_id").cast("string").alias("track_id"))
+    added = made.join(ends, list(by)).select(*shared, (F.col("w_end") + F.col("pos")).cast(tracks.schema[order].dataType).alias(order), F.col("new_id").cast("string").alias("track_id"))
     return tracks.unionByName(added.select(*tracks.columns))
-
-
-def converted_counts(collections: DataFrame, made: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
-    """collections (entries, root_count as text) with their counters raised: n tracks, one folder."""
-    n = made.groupBy(*by).agg(F.count("*").alias("_n"))
-    out = collections.join(n, list(by), "left")
-    some = F.col("_n").isNotNull()
-    return out.withColumns({"entries": F.when(some, bumped(F.col("entries"), F.col("_n"))).otherwise(F.col("entries")), "root_count": F.when(some, bumped(F.col("root_count"), 1)).otherwise(F.col("root_count"))}).drop("_n")

@@ -2,81 +2,95 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, basename, dirname, extension, is_audio, media_class, relative_to
-
-#: Files that mark a folder of backups (fixed values).
-MARKERS = (".baken-backup", ".headroom-backup")
-
+from ..functions.paths import ancestors, basename, dirname, extension, folder_parts, is_audio, media_class, relative_to
 
 def scan_audio(files: DataFrame) -> DataFrame:
     """Files with a supported extension whose name doesn't begin with ._, with their class."""
     return files.where(is_audio(F.col("path"))).withColumn("media_class", media_class(extension(F.col("path"))))
 
 
-def prune_backups(files: DataFrame, root: str, everything: DataFrame | None = None, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
-    """files without those below a marked folder; a marked root is still scanned, and so is what holds it.
+def marked_folders(files: DataFrame, markers: Sequence[str], by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
+    """by and folder of the folders that hold a file with one of the markers' names."""
+    return files.where(basename(F.col("path")).isin(*markers)).select(*by, dirname(F.col("path")).alias("folder")).distinct()
+
+
+def prune_backups(files: DataFrame, root: str, markers: Sequence[str], everything: DataFrame | None = None, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
+    """files without those below a folder that holds a marker (a file of such a name); a marked root is still scanned, and so is what holds it.
 
     everything: the manifest with the markers, if files has lost them. Folders are far fewer than files: they are tested once each.
     """
-    marked = (files if everything is None else everything).where(basename(F.col("path")).isin(*MARKERS)).select(*by, dirname(F.col("path")).alias("above")).where((F.col("above") != root) & F.col("above").startswith(root.rstrip("/") + "/")).distinct()
+    marked = marked_folders(files if everything is None else everything, markers, by).withColumnRenamed("folder", "above")
+    marked = marked.where((F.col("above") != root) & F.col("above").startswith(root.rstrip("/") + "/"))
     folders = files.select(*by, dirname(F.col("path")).alias("folder")).distinct()
     pruned = folders.withColumn("above", F.explode(ancestors(F.concat("folder", F.lit("/"))))).join(marked, [*by, "above"], "left_semi").select(*by, "folder").distinct()
     return files.withColumn("folder", dirname(F.col("path"))).join(pruned, [*by, "folder"], "left_anti").drop("folder")
 
 
 def glob_pattern(glob: Column) -> Column:
-    """A glob as a regular expression: * and ? stay within a name, **/ spans folders, [ ] is a set."""
+    """A glob as a regular expression: * and ? stay within a name, **/ spans folders, [ ] is a set. A relative glob matches relative paths only."""
     p = F.regexp_replace(glob, r"([.+^$(){}|\\])", r"\\$1")
     p = F.replace(p, F.lit("**/"), F.lit("\x01"))
     p = F.replace(F.replace(p, F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))
     p = F.replace(F.replace(p, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("[!"), F.lit("[^"))
-    return F.concat(F.lit("^"), p, F.lit("$"))
+    return F.concat(F.when(glob.startswith("/"), "^").otherwise(r"^(?!/)"), p, F.lit(r"\z"))
 
 
-def resolve_inputs(files: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The audio files that inputs (input) name, each once with parts to order by; and the inputs without a match.
+def fixed_folder(glob: Column) -> Column:
+    """The folder that a glob names before its first wildcard."""
+    return F.regexp_extract(glob, r"^([^*?\[]*)/", 1)
+
+
+def resolve_inputs(files: DataFrame, inputs: DataFrame, markers: Sequence[str] = (), by: tuple[str, ...] = ("collection_id",)) -> tuple[DataFrame, DataFrame]:
+    """The audio files that inputs (by, input) name, each once with parts to order by; and the inputs without a match.
 
     An input is a folder, a file or a glob, in this order. Only a glob without a match is an error. A folder, also one that a glob
-    names, gives what a scan of it gives, without marked folders below it. Files and folders meet in joins on path and ancestor.
+    names, gives what a scan of it gives, without folders below it that hold a marker. Everything meets by equality: folders (far
+    fewer than files) by their ancestors, a glob by the folder before its first wildcard; what it meets is then matched.
     """
-    below = files.select("path", F.explode(ancestors(F.col("path"))).alias("input"))
-    markers = files.where(basename(F.col("path")).isin(*MARKERS)).select(dirname(F.col("path")).alias("marked")).distinct()
-    named = inputs.select(F.when(F.col("input") == "/", "").otherwise(F.rtrim("input", F.lit("/"))).alias("input"), F.col("input").alias("given")).distinct()
-    folders = below.join(named, "input").select("path", F.col("input").alias("root"), "given")
-    is_folder = folders.select("given").distinct()
-    single = files.join(named, F.col("path") == F.col("input")).select("path", "given")
-    globs = named.join(is_folder, "given", "left_anti").join(single.select("given").distinct(), "given", "left_anti").select("given", glob_pattern(F.col("input")).alias("pattern"))
-    # A glob's fixed beginning can't be looked up by equality; globs come from a command line, so they are few enough to broadcast.
-    globs = F.broadcast(globs)
-    hits = files.join(globs, F.expr("path RLIKE pattern")).select("path", "given")
-    dirs = below.select("input").distinct().join(globs, F.expr("input RLIKE pattern")).select("input", "given")
-    by_dir = below.join(dirs, "input").select("path", F.col("input").alias("root"), "given")
-    walked = folders.unionByName(by_dir)
-    above = walked.withColumn("marked", F.explode(F.filter(ancestors(F.col("path")), lambda a: F.length(a) > F.length("root"))))
-    hidden = above.join(markers, "marked", "left_semi").select("path", "root", "given").distinct()
-    walked = walked.join(hidden, ["path", "root", "given"], "left_anti")
-    audio = lambda d: d.where(is_audio(F.col("path")))
-    found = audio(walked.select("path").unionByName(single.select("path")).unionByName(hits.select("path"))).distinct()
-    matched = by_dir.select("given").unionByName(audio(hits).select("given")).distinct()
-    unmatched = globs.join(matched, "given", "left_anti").select(F.col("given").alias("input"))
+    by_given = [*by, "given"]
+    files = files.select(*by, "path", F.when(F.contains(F.col("path"), F.lit("/")), dirname(F.col("path"))).otherwise("").alias("folder"))
+    every = lambda folder: F.explode(F.array_union(F.array(F.lit("")), ancestors(F.concat(folder, F.lit("/")))))
+    up = files.select(*by, "folder").distinct().withColumn("above", every(F.col("folder")))
+    named = inputs.select(*by, F.when(F.col("input") == "/", "").otherwise(F.rtrim("input", F.lit("/"))).alias("name"), F.col("input").alias("given")).distinct()
+    folders = up.join(named.withColumnRenamed("name", "above"), [*by, "above"]).select(*by_given, "folder", F.col("above").alias("root"))
+    rest = named.join(folders.select(*by_given).distinct(), by_given, "left_anti")
+    single = files.join(rest.withColumnRenamed("name", "path"), [*by, "path"]).select(*by_given, "path")
+    globs = rest.join(single.select(*by_given).distinct(), by_given, "left_anti").select(*by_given, glob_pattern(F.col("name")).alias("pattern"), fixed_folder(F.col("name")).alias("above"))
+    under = up.join(globs, [*by, "above"]).select(*by_given, "folder", "pattern")
+    hits = files.join(under, [*by, "folder"]).where(F.expr("path RLIKE pattern")).select(*by_given, "path").where(is_audio(F.col("path")))
+    dirs = up.select(*by, F.col("above").alias("root")).distinct().withColumn("above", every(F.col("root"))).join(globs, [*by, "above"]).where(F.expr("root RLIKE pattern")).select(*by_given, "root").distinct()
+    by_glob = up.join(dirs.withColumnRenamed("root", "above"), [*by, "above"]).select(*by_given, "folder", F.col("above").alias("root"))
+    walked = folders.unionByName(by_glob)
+    marked = up.join(marked_folders(files, markers, by).withColumnRenamed("folder", "above"), [*by, "above"])
+    hidden = walked.join(marked, [*by, "folder"]).where(F.length("above") > F.length("root")).select(*by_given, "folder", "root").distinct()
+    walked = walked.join(hidden, [*by_given, "folder", "root"], "left_anti")
+    inside = files.join(walked, [*by, "folder"]).where((F.col("root") != "") | F.col("path").startswith("/"))
+    found = inside.select(*by, "path").unionByName(single.select(*by, "path")).unionByName(hits.select(*by, "path")).where(is_audio(F.col("path"))).distinct()
+    unmatched = globs.join(by_glob.select(*by_given).unionByName(hits.select(*by_given)).distinct(), by_given, "left_anti").select(*by, F.col("given").alias("input"))
     return found.withColumn("parts", F.split("path", "/")), unmatched
 
 
 def common_base(files: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
-    """The longest folder that all parent folders begin with; the common prefix of the least and the greatest is that of all."""
-    parts = F.split(dirname(F.col("path")), "/")
+    """The longest folder that all files' folders begin with: / for absolute ones without more in common, empty if there is none.
+
+    The common prefix of the least and the greatest is that of all.
+    """
+    parts = folder_parts(F.col("path"))
     ends = files.groupBy(*by).agg(F.min(parts).alias("lo"), F.max(parts).alias("hi"))
     same = F.transform(F.arrays_zip("lo", "hi"), lambda x: x["lo"].eqNullSafe(x["hi"]))
     n = F.array_position(same, F.lit(False)).cast("int")
     prefix = F.when(n == 0, F.col("lo")).otherwise(F.slice("lo", F.lit(1), n - 1))
-    return ends.select(*by, F.array_join(prefix, "/").alias("base"))
+    return ends.select(*by, F.when(prefix == F.array(F.lit("")), "/").otherwise(F.array_join(prefix, "/")).alias("base"))
 
 
 def backup_manifest(files: DataFrame, base: DataFrame | None = None, backup_dir: str | None = None, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
     """files with the path of their backup: below backup_dir, or below backup/ in the base folder, as they lie below the base."""
     based = files.join(base if base is not None else common_base(files, by), list(by))
-    target = F.lit(backup_dir) if backup_dir else F.concat("base", F.lit("/backup"))
+    inside = F.when(F.col("base") == "", "backup").otherwise(F.concat(F.rtrim("base", F.lit("/")), F.lit("/backup")))
+    target = F.lit(backup_dir.rstrip("/")) if backup_dir else inside
     return based.withColumn("backup_path", F.concat(target, F.lit("/"), relative_to(F.col("path"), F.col("base"))))

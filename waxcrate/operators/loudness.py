@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import whole_number
 from ..functions.paths import media_class
 
 #: Ceilings in dBTP, the bitrate from which the higher one holds, the least headroom and the step of native gain (fixed values).
@@ -16,6 +17,11 @@ DEFAULT_KBPS = {"Mp3": 320, "Aac": 256}
 ENCODERS = {"Mp3": ("libmp3lame",), "Aac": ("libfdk_aac", "aac")}
 
 
+def is_lossy(kind: Column) -> Column:
+    """Of a media class. What is neither MP3 nor AAC counts as lossless, files of an unknown kind too."""
+    return F.coalesce(kind.isin("mp3", "aac"), F.lit(False))
+
+
 @dataclass(frozen=True)
 class TpTarget:
     """One ceiling for all files, or a higher one for lossless and high-bitrate files and a lower one for the rest."""
@@ -41,27 +47,53 @@ class TpTarget:
     def column(self, kind: Column, kbps: Column) -> Column:
         if self.low is None:
             return F.lit(float(self.high))
-        return F.when((kind == "lossless") | (kbps >= HIGH_KBPS), F.lit(float(self.high))).otherwise(F.lit(float(self.low)))
+        return F.when(~is_lossy(kind) | (kbps >= HIGH_KBPS), F.lit(float(self.high))).otherwise(F.lit(float(self.low)))
+
+
+#: What stands before a measurement in a log (fixed value).
+MARKER = "[Parsed_loudnorm_0 @"
+_NUMBER = r"(?i)\A[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)\z"
+
+
+def _closed(text: Column) -> Column:
+    """Whether the brace that text begins with is closed: somewhere as many closing ones have come as opening ones."""
+    parts = F.split(text, r"\}")
+    step = lambda a, x: F.struct((a["depth"] + F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit(""))) - 1).alias("depth"), (a["done"] | (a["depth"] + F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit(""))) <= 1)).alias("done"))
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done")), step)["done"]
+
+
+def _object(text: Column) -> Column:
+    """The JSON object that text begins with: input_i, input_tp (variants) and broken (null unless it is no object). What follows it isn't read."""
+    return F.from_json(text, "input_i variant, input_tp variant, broken string", {"columnNameOfCorruptRecord": "broken"})
 
 
 def parse_logs(logs: DataFrame, log: str = "log") -> DataFrame:
     """logs with input_i, input_tp (double, null without a measurement) and log_kbps, in place of the log.
 
-    The measurement is the object after the first marker; if there is no marker, the last object that has input_i. Its two
-    values must be JSON strings of numbers. A marker with a broken object gives none.
+    The measurement is the object after the first marker; without a marker, or without a whole object after it, the object that
+    opens last before the last "input_i". Its two values must be JSON strings of numbers. A marker with a broken object gives none.
+    The bitrate is that of the first line which begins with Duration:, if it is a whole number.
     """
-    text = F.col(log)
-    marked = F.contains(text, F.lit("[Parsed_loudnorm_0 @"))
-    after = F.regexp_extract(text, r"(?s)\[Parsed_loudnorm_0 @[^{]*(\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})", 1)
-    last = F.regexp_extract(text, r'(?s).*(\{[^{}]*"input_i"[^{}]*\})', 1)
-    body = F.when(marked, after).otherwise(last)
-    found = F.from_json(body, "input_i string, input_tp string")
-    quoted = body.rlike(r'(?s)"input_i"\s*:\s*"') & body.rlike(r'(?s)"input_tp"\s*:\s*"')
-    number = lambda c: F.when(quoted & c.rlike(r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?)$"), c.try_cast("double"))
-    line = F.regexp_extract(text, r"(?m)^.*Duration:.*$", 0)
-    kbps = F.regexp_extract(line, r"bitrate: *([0-9]+)", 1).try_cast("int")
     own = [c for c in logs.columns if c != log]
-    return logs.select(*own, number(found["input_i"]).alias("input_i"), number(found["input_tp"]).alias("input_tp"), kbps.alias("log_kbps"))
+    text = F.col("w_log")
+    t = logs.select(*own, F.col(log).alias("w_log"), F.instr(F.col(log), MARKER).alias("w_at"))
+    t = t.withColumn("w_open", F.when(F.col("w_at") > 0, F.expr("locate('{', w_log, w_at)")).otherwise(0))
+    t = t.withColumn("w_first", F.when(F.col("w_open") > 0, _object(F.expr("substring(w_log, w_open)"))))
+    whole = F.coalesce(F.col("w_first").isNotNull() & (F.col("w_first.broken").isNull() | _closed(F.expr("substring(w_log, w_open)"))), F.lit(False))
+    tail = F.substring_index(text, '"input_i"', -1)
+    head = F.left(text, F.length(text) - F.length(tail) - len('"input_i"'))
+    last = F.when(F.contains(text, F.lit('"input_i"')) & F.contains(head, F.lit("{")), F.concat(F.lit("{"), F.substring_index(head, "{", -1), F.lit('"input_i"'), tail))
+    t = t.withColumn("w_found", F.when(whole, F.col("w_first")).otherwise(_object(last)))
+
+    def number(name: str) -> Column:
+        value = F.try_variant_get(F.col(f"w_found.{name}"), "$", "string")
+        return F.when(value.rlike(_NUMBER), value.try_cast("double"))
+
+    line = F.regexp_extract(text, r"(?md)^[^\S\n]*Duration:(.*)$", 1)
+    kbps = F.regexp_extract(line, r"bitrate:\s*\+?([0-9]+)(?:\s|\z)", 1).try_cast("int")
+    both = (F.schema_of_variant("w_found.input_i") == "STRING") & (F.schema_of_variant("w_found.input_tp") == "STRING")
+    # One row a log through a generator: later filters on the results can't be pushed below it, where they would parse again.
+    return t.select(*own, F.inline(F.array(F.struct(*[F.when(both, number(k)).alias(k) for k in ("input_i", "input_tp")], kbps.alias("log_kbps")))))
 
 
 def rejects(measured: DataFrame) -> DataFrame:
@@ -78,9 +110,8 @@ def accepted(measured: DataFrame) -> DataFrame:
 
 def with_bitrate(measured: DataFrame, probes: DataFrame, on: list[str], ext: str = "ext") -> DataFrame:
     """kbps of lossy files: the log's, else the probe's (bits per second, whole thousands). Lossless files have none."""
-    lossy = media_class(F.col(ext)) != "lossless"
-    probed = probes.select(*on, F.col("format_bit_rate").try_cast("long").alias("bps"))
-    kbps = F.when(lossy, F.coalesce("log_kbps", F.expr("CAST(bps DIV 1000 AS INT)")))
+    probed = probes.select(*on, whole_number(F.col("format_bit_rate")).alias("bps"))
+    kbps = F.when(is_lossy(media_class(F.col(ext))), F.coalesce("log_kbps", F.expr("CAST(bps DIV 1000 AS INT)")))
     return measured.join(probed, on, "left").withColumn("kbps", kbps).drop("bps")
 
 
@@ -88,8 +119,8 @@ def gain_plan(measured: DataFrame, target: TpTarget = TpTarget(), ext: str = "ex
     """measured with target_tp, headroom, gain_method, effective_gain and lossless_gain_steps."""
     kind = media_class(F.col(ext))
     steps = F.floor(F.col("headroom") / STEP_DB)
-    name = F.when(kind == "mp3", "Mp3").otherwise("Aac")
-    method = F.when(F.col("headroom") < LEAST_HEADROOM, "None").when(kind == "lossless", "FfmpegLossless").when(steps >= 1, F.concat(name, F.lit("Lossless"))).otherwise(F.concat(name, F.lit("Reencode")))
+    name = F.when(kind == "aac", "Aac").otherwise("Mp3")
+    method = F.when(F.col("headroom") < LEAST_HEADROOM, "None").when(~is_lossy(kind), "FfmpegLossless").when(steps >= 1, F.concat(name, F.lit("Lossless"))).otherwise(F.concat(name, F.lit("Reencode")))
     native = F.col("gain_method").isin("Mp3Lossless", "AacLossless")
     return (
         measured.withColumn("target_tp", target.column(kind, F.col(kbps)))

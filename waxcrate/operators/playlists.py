@@ -31,19 +31,51 @@ def path_parts(text):
 
 
 def find_target(playlists: DataFrame, targets: DataFrame, match: str = "first", by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
-    """For each target (a path as typed): the first or last playlist with that path in document order, and status ok, not_found or wrong_key_type."""
-    wanted = targets.select(*by, "target", path_parts(F.col("target")).alias("path"))
-    order = F.col("playlist_ord")
-    chosen = (F.min_by if match == "first" else F.max_by)(F.struct("playlist_ord", "key_type"), order)
-    met = wanted.join(playlists.select(*by, "path", "playlist_ord", "key_type"), [*by, "path"]).groupBy(*by, "target").agg(chosen.alias("found"))
-    out = wanted.select(*by, "target").join(met, [*by, "target"], "left")
-    status = F.when(F.col("found").isNull(), "not_found").when(F.coalesce(F.col("found.key_type") != "0", F.lit(True)), "wrong_key_type").otherwise("ok")
-    return out.select(*by, "target", F.col("found.playlist_ord").alias("playlist_ord"), status.alias("status"))
+    """For each target (a path as typed): target, playlist_ord, name and status ok, empty_target, not_found or wrong_key_type.
+
+    match: "first" takes the first playlist with that path in document order; "last" the last one, and none of them may be keyed by
+    location. name is the playlist's own, the last part of its path.
+    """
+    if match not in ("first", "last"):
+        raise ValueError("match must be first or last")
+    wanted = targets.select(*by, "target", path_parts(F.col("target")).alias("path")).distinct()
+    own = playlists.select(*by, "path", "playlist_ord", "key_type").withColumn("wrong", F.coalesce(F.col("key_type") != "0", F.lit(True)))
+    chosen = (F.min_by if match == "first" else F.max_by)(F.struct("playlist_ord", "wrong"), F.col("playlist_ord"))
+    met = wanted.where(F.size("path") > 0).join(own, [*by, "path"]).groupBy(*by, "target").agg(chosen.alias("found"), F.max("wrong").alias("any_wrong"))
+    out = wanted.join(met, [*by, "target"], "left")
+    wrong = F.col("found.wrong") if match == "first" else F.col("any_wrong")
+    status = F.when(F.size("path") == 0, "empty_target").when(F.col("found").isNull(), "not_found").when(wrong, "wrong_key_type").otherwise("ok")
+    return out.select(*by, "target", F.col("found.playlist_ord").alias("playlist_ord"), F.try_element_at("path", F.lit(-1)).alias("name"), status.alias("status"))
+
+
+def choose(playlists: DataFrame, collections: DataFrame, target: str | None = None, name: str | None = None, by: tuple[str, ...] = ("collection_id",)) -> tuple[DataFrame, DataFrame]:
+    """The playlists to sort with the name of each copy (by, playlist_ord, name); and each collection's status.
+
+    Without a target all playlists that refer to tracks by id, each copy under its own name; a collection without any has the status
+    no_playlists. With a target the one playlist with that path, under the given name or its own; status as of find_target. A name
+    without a target, and a target without parts, are errors.
+    """
+    if target is None:
+        if name is not None:
+            raise ValueError("a name goes with a target only: of all playlists each copy keeps its own")
+        chosen = selected(playlists).select(*by, "playlist_ord", F.try_element_at("path", F.lit(-1)).alias("name"))
+        status = F.when(F.col("some"), "ok").otherwise("no_playlists")
+        return chosen, collections.select(*by).distinct().join(chosen.select(*by, F.lit(True).alias("some")).distinct(), list(by), "left").select(*by, status.alias("status"))
+    if not any(part.strip() for part in target.split("/")):
+        raise ValueError("the target has no parts")
+    found = find_target(playlists, collections.select(*by).distinct().withColumn("target", F.lit(target)), by=by)
+    own = F.col("name") if name is None else F.lit(name)
+    return found.where("status = 'ok'").select(*by, "playlist_ord", own.alias("name")), found.select(*by, "status")
 
 
 def harmonic_sort(entries: DataFrame, tracks: DataFrame, playlists: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
-    """The entries of the selected playlists with new_pos: by Camelot key, then tempo, unknown ones last, else as they were."""
-    keyed = entries.join(selected(playlists).select(*by, "playlist_ord"), [*by, "playlist_ord"], "left_semi").join(track_keys(tracks, by), [*by, "track_id"], "left")
+    """The entries of the playlists that refer to tracks by id (others are left out), with new_pos: by Camelot key, then tempo,
+    unknown ones last, else as they were. playlists has key_type, or is what choose returns.
+
+    Tracks join first; then the playlists' join and the window share the entries' exchange by playlist.
+    """
+    wanted = (selected(playlists) if "key_type" in playlists.columns else playlists).select(*by, "playlist_ord")
+    keyed = entries.join(track_keys(tracks, by), [*by, "track_id"], "left").join(wanted, [*by, "playlist_ord"], "left_semi")
     order = Window.partitionBy(*by, "playlist_ord").orderBy(F.col("camelot").asc_nulls_last(), F.col("bpm").asc_nulls_last(), "pos")
     return keyed.withColumn("new_pos", F.row_number().over(order))
 

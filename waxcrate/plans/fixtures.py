@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _EXT = "CASE {0} % 7 WHEN 0 THEN 'flac' WHEN 1 THEN 'WAV' WHEN 2 THEN 'aiff' WHEN 3 THEN 'mp3' WHEN 4 THEN 'MP3' WHEN 5 THEN 'm4a' ELSE 'aac' END"
 
+#: A collection of 200 orders.
+_CRATE = "concat('c', CAST(CAST(floor({0} / 200.0) AS BIGINT) AS VARCHAR(20)))"
+
 VIEWS = {
     "tracks": f"""SELECT CAST(p_partkey AS BIGINT) AS doc_pos, CAST(p_partkey AS VARCHAR(20)) AS track_id, p_name AS name,
  CASE WHEN p_partkey % 29 < 24 THEN concat(CAST(CAST(floor((p_partkey % 29) / 2.0) AS INT) + 1 AS VARCHAR(5)), CASE WHEN (p_partkey % 29) % 2 = 0 THEN 'A' ELSE 'B' END)
@@ -23,46 +28,62 @@ VIEWS = {
  CAST(200 - (event_id * 37) % 1200 AS DOUBLE) / 100 AS input_tp, CAST(-700 - (event_id * 53) % 900 AS DOUBLE) / 100 AS input_i,
  CASE event_id % 5 WHEN 0 THEN 320 WHEN 1 THEN 256 WHEN 2 THEN 192 WHEN 3 THEN 128 END AS kbps FROM @events""",
     "media_files": """SELECT p_partkey AS file_id, concat('/Music/', p_brand, '/', CASE WHEN p_partkey % 3 = 0 THEN 'sub/' ELSE '' END, CASE WHEN p_partkey % 23 = 0 THEN '._' ELSE '' END, p_name, ' ', CAST(p_partkey AS VARCHAR(20)), CASE p_partkey % 9 WHEN 0 THEN '.flac' WHEN 1 THEN '.WAV' WHEN 2 THEN '.aiff' WHEN 3 THEN '.mp3' WHEN 4 THEN '.Mp3' WHEN 5 THEN '.m4a' WHEN 6 THEN '.aac' WHEN 7 THEN '.txt' ELSE '' END) AS path, CAST(1000000 + p_size * 20000 AS BIGINT) AS size FROM @part
- UNION ALL SELECT DISTINCT -1, concat('/Music/', p_brand, '/', CASE WHEN p_brand = 'Brand#3' THEN '.headroom-backup' ELSE '.baken-backup' END), CAST(60 AS BIGINT) FROM @part WHERE p_brand IN ('Brand#2', 'Brand#3')""",
+ UNION ALL SELECT DISTINCT -1, concat('/Music/', p_brand, '/', CASE WHEN p_brand = 'Brand#3' THEN '.saved-copies' ELSE '.kept-originals' END), CAST(60 AS BIGINT) FROM @part WHERE p_brand IN ('Brand#2', 'Brand#3')""",
     "inputs": """SELECT DISTINCT concat('/Music/', p_brand) AS input FROM @part WHERE p_brand IN ('Brand#1', 'Brand#2')
  UNION ALL SELECT '/Music/Brand#4/sub/*.mp3' UNION ALL SELECT '/Music/Brand#4/[a-m]*.WAV' UNION ALL SELECT '/Music/Brand#5/**/*.flac' UNION ALL SELECT '/Nowhere/*.mp3' UNION ALL SELECT concat('/Music/', p_brand, '/', p_name, ' ', CAST(p_partkey AS VARCHAR(20)), '.m4a') FROM @part WHERE p_partkey % 90 = 5""",
     "located_files": """SELECT doc_pos, concat(replace(replace(replace(location, 'file://localhost', ''), '%23', '#'), '%20', ' '), '') AS path FROM tracks WHERE doc_pos % 13 <> 0""",
     "loudness_logs": f"""SELECT event_id AS media_id, {_EXT.format("event_id")} AS ext,
- concat('  id3v2_priv: ', props, '{{', chr(10), '  Duration: 00:03:50.32, start: 0.025057, bitrate: ', CASE event_id % 5 WHEN 0 THEN '320 kb/s' WHEN 1 THEN '256 kb/s' WHEN 2 THEN '192 kb/s' WHEN 3 THEN '128 kb/s' ELSE 'N/A' END, chr(10),
- CASE WHEN event_id % 11 = 0 THEN 'Some other output' ELSE '[Parsed_loudnorm_0 @ 0xc8f448a80] N/A speed=30.3x' END, chr(10), CASE WHEN event_id % 101 = 0 THEN 'no data' ELSE concat('{{', chr(10), chr(9), '"input_i" : "', CASE WHEN event_id % 53 = 0 THEN '-inf' ELSE CAST(CAST(-700 - (event_id * 53) % 900 AS DOUBLE) / 100 AS VARCHAR(20)) END, '",', chr(10), chr(9), '"input_tp" : "', CASE WHEN event_id % 53 = 0 THEN '-inf' ELSE CAST(CAST(200 - (event_id * 37) % 1200 AS DOUBLE) / 100 AS VARCHAR(20)) END, '"', chr(10), '}}') END, chr(10), '[out#0/null] video:0KiB') AS log FROM @events""",
-    "probes": """SELECT CAST(p_partkey AS VARCHAR(20)) AS track_id, CASE p_partkey % 7 WHEN 0 THEN 'flac' WHEN 1 THEN 'pcm_s16le' WHEN 2 THEN 'alac' WHEN 5 THEN 'aac' ELSE 'mp3' END AS codec_name, CASE WHEN p_partkey % 4 = 0 THEN '48000' ELSE '44100' END AS sample_rate,
- CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'N/A' WHEN 2 THEN '128000' WHEN 3 THEN '319600' ELSE '320000' END AS stream_bit_rate, CASE WHEN p_partkey % 12 = 0 THEN NULL ELSE '320499' END AS format_bit_rate FROM @part WHERE p_partkey % 43 <> 0""",
-    "event_probes": """SELECT event_id AS media_id, CASE WHEN event_id % 12 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'N/A' ELSE CAST(128000 + event_id % 192000 AS VARCHAR(20)) END AS format_bit_rate FROM @events WHERE event_id % 3 <> 1""",
-    "targets": """SELECT concat(' ', o_orderpriority, ' / Order ', CAST(o_orderkey AS VARCHAR(20)), ' /') AS target FROM @orders WHERE o_orderkey % 10 = 1 UNION ALL SELECT '1-URGENT/None'""",
+ concat('  tag: ', props, '{{', chr(10), '  Duration: 00:03:50.32, start: 0.025057, bitrate: ', CASE event_id % 5 WHEN 0 THEN '320 kb/s' WHEN 1 THEN '256 kb/s' WHEN 2 THEN '192 kb/s' WHEN 3 THEN '128 kb/s' ELSE 'N/A' END, chr(10),
+ CASE WHEN event_id % 11 = 0 THEN 'Some other output' WHEN event_id % 13 = 0 THEN '' ELSE '[Parsed_loudnorm_0 @ 0xc8f448a80] N/A speed=30.3x' END, chr(10), CASE WHEN event_id % 101 = 0 THEN 'no data' ELSE concat('{{', chr(10), CASE WHEN event_id % 199 = 0 THEN concat(chr(9), '"pad" : "', repeat('x', 4000), '",', chr(10)) ELSE '' END, chr(9), '"input_i" : "', CASE WHEN event_id % 53 = 0 THEN '-inf' ELSE CAST(CAST(-700 - (event_id * 53) % 900 AS DOUBLE) / 100 AS VARCHAR(20)) END, '",', chr(10), chr(9), '"input_tp" : "', CASE WHEN event_id % 53 = 0 THEN '-inf' ELSE CAST(CAST(200 - (event_id * 37) % 1200 AS DOUBLE) / 100 AS VARCHAR(20)) END, '"', chr(10), '}}') END, chr(10),
+ CASE WHEN event_id % 13 = 0 THEN '[Parsed_loudnorm_0 @ 0xc8f448a80] nothing follows' ELSE '[out#0/null] video:0KiB' END) AS log FROM @events""",
+    "probes": """SELECT CAST(p_partkey AS VARCHAR(20)) AS track_id, CASE WHEN p_partkey % 37 = 0 THEN 'no data' WHEN p_partkey % 41 = 0 THEN '{"streams": [], "format": {"bit_rate": "320000"}}' ELSE concat('{"streams": [{"codec_name": "', CASE p_partkey % 7 WHEN 0 THEN 'flac' WHEN 1 THEN 'pcm_s16le' WHEN 2 THEN 'alac' WHEN 5 THEN 'aac' ELSE 'mp3' END,
+ '", "sample_rate": "', CASE WHEN p_partkey % 4 = 0 THEN '48000' WHEN p_partkey % 31 = 0 THEN ' 44100' ELSE '44100' END, '"', CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN ', "bit_rate": "N/A"' WHEN 2 THEN ', "bit_rate": "128000"' WHEN 3 THEN ', "bit_rate": "319600"' ELSE ', "bit_rate": "320000"' END,
+ '}, {"codec_name": "mjpeg"}], "format": {', CASE WHEN p_partkey % 12 = 0 THEN '' ELSE '"bit_rate": "320499"' END, '}}') END AS json FROM @part WHERE p_partkey % 43 <> 0""",
+    "event_probes": """SELECT event_id AS media_id, CASE WHEN event_id % 12 = 0 THEN '{"format": {}}' WHEN event_id % 7 = 0 THEN '{"format": {"bit_rate": "N/A"}}' WHEN event_id % 17 = 0 THEN '{"format": {"bit_rate": "-128000"}}' ELSE concat('{"format": {"bit_rate": "', CAST(128000 + event_id % 192000 AS VARCHAR(20)), '"}}') END AS json FROM @events WHERE event_id % 3 <> 1""",
+    "targets": """SELECT concat(' ', o_orderpriority, ' / Order ', CAST(o_orderkey AS VARCHAR(20)), ' /') AS target FROM @orders UNION ALL SELECT '1-URGENT/None' UNION ALL SELECT ' / '""",
     "nodes": """SELECT CAST(0 AS BIGINT) AS node_ord, CAST(NULL AS BIGINT) AS parent_ord, 'ROOT' AS name, '0' AS type, CAST(NULL AS VARCHAR(5)) AS key_type, ' 5 ' AS count, CAST(NULL AS VARCHAR(20)) AS entries
  UNION ALL SELECT CAST(substring(o_orderpriority, 1, 1) AS BIGINT), CAST(0 AS BIGINT), o_orderpriority, '0', CAST(NULL AS VARCHAR(5)), CAST(count(*) AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)) FROM @orders GROUP BY o_orderpriority
  UNION ALL SELECT CAST(o_orderkey + 100 AS BIGINT), CAST(substring(o_orderpriority, 1, 1) AS BIGINT), concat('Order ', CAST(o_orderkey AS VARCHAR(20))), '1', CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '0' END, CAST(NULL AS VARCHAR(20)), '0' FROM @orders""",
+    "crate_lists": f"""SELECT {_CRATE.format("o_orderkey")} AS collection_id, o_orderkey AS playlist_ord, concat(o_orderpriority, '/', o_orderstatus, '/Set ', CAST(o_orderkey % 200 AS VARCHAR(20))) AS path, CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '0' END AS key_type FROM @orders""",
+    "crate_entries": f"""SELECT {_CRATE.format("playlist_ord")} AS collection_id, playlist_ord, pos, track_id FROM entries""",
+    "crate_tracks": """SELECT c.collection_id, t.* FROM (SELECT DISTINCT collection_id, track_id FROM crate_entries) c JOIN tracks t ON c.track_id = t.track_id""",
+    "crate_files": """SELECT c.collection_id, f.path FROM crate_tracks c JOIN located_files f ON c.doc_pos = f.doc_pos""",
+    "crate_finished": """SELECT collection_id, concat('/out/', collection_id, '/', CAST(playlist_ord AS VARCHAR(20)), '/', name, CASE WHEN k = 1 THEN '' ELSE concat(' (', CAST(k AS VARCHAR(20)), ')') END, '.mp3') AS path, CAST(4000000 + playlist_ord * 100 + pos AS BIGINT) AS size
+ FROM (SELECT c.collection_id, c.playlist_ord, c.pos, t.name, row_number() OVER (PARTITION BY c.playlist_ord, lower(t.name) ORDER BY c.pos) AS k FROM crate_entries c JOIN tracks t ON c.track_id = t.track_id) x WHERE (playlist_ord * 7 + pos) % 19 <> 0""",
+    "crate_targets": """SELECT collection_id, concat(' ', path, ' /') AS target FROM crate_lists UNION ALL SELECT DISTINCT collection_id, 'None/Set 1' FROM crate_lists""",
+}
+NEEDS = {
+    "repeated_tracks": ("tracks",), "located_files": ("tracks",), "crate_entries": ("entries",), "crate_tracks": ("crate_entries", "tracks"), "crate_files": ("crate_tracks", "located_files"),
+    "crate_finished": ("crate_entries", "tracks"), "crate_targets": ("crate_lists",),
 }
-NEEDS = {"repeated_tracks": ("tracks",), "located_files": ("tracks",)}
 TABLES = ("part", "orders", "lineitem", "events")
 
 
+#: Files that mark a folder of backups.
+MARKERS = (".kept-originals", ".saved-copies")
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The fixture as a DataFrame, with collection_id: the driver's tables are one collection."""
+    """The fixture as a DataFrame with collection_id: that of the crate_ views, or one for all."""
     sql = VIEWS[name]
     for t in TABLES:
         if f"@{t}" in sql:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"waxcrate_{t}")
             sql = sql.replace(f"@{t}", f"waxcrate_{t}")
     for needed in NEEDS.get(name, ()):
-        view(spark, sf_dir, needed).drop("collection_id").createOrReplaceTempView(f"waxcrate_{needed}")
-        sql = sql.replace(f"FROM {needed}", f"FROM waxcrate_{needed}")
+        own = view(spark, sf_dir, needed)
+        (own if needed.startswith("crate_") else own.drop("collection_id")).createOrReplaceTempView(f"waxcrate_{needed}")
+        sql = re.sub(rf"\b(FROM|JOIN) {needed}\b", rf"\1 waxcrate_{needed}", sql)
     out = spark.sql(sql)
-    return out.withColumn("collection_id", F.lit("main"))
+    return out if "collection_id" in out.columns else out.withColumn("collection_id", F.lit("main"))
+
+
+def _with_needed(name: str) -> list[str]:
+    return [*(v for needed in NEEDS.get(name, ()) for v in _with_needed(needed)), name]
 
 
 def with_views(sql: str, *names: str) -> str:
     """sql for the oracle, behind the views it names."""
-    every = []
-    for name in names:
-        for v in (*NEEDS.get(name, ()), name):
-            if v not in every:
-                every.append(v)
-    parts = [f"{v} AS ({VIEWS[v].replace('@', '')})" for v in every]
-    head = ", ".join(parts)
+    every = list(dict.fromkeys(v for name in names for v in _with_needed(name)))
+    head = ", ".join(f"{v} AS ({VIEWS[v].replace('@', '')})" for v in every)
     return f"WITH {head}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {head} {sql}"

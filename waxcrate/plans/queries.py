@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import camelot, tempo
@@ -10,7 +10,7 @@ from ..functions.paths import decode_location, encode_location
 from ..operators import convert, files, loudness, playlists, report
 from ..operators.loudness import TpTarget
 from ..sources import collection_xml as xml
-from .fixtures import view, with_views
+from .fixtures import MARKERS, view, with_views
 from .registry import ORACLE, QUERIES
 
 
@@ -80,10 +80,14 @@ def _processed_summary(measured):
     return loudness.method_summary(loudness.select_files(loudness.gain_plan(measured), lossless=False, reencode=True)).drop("collection_id")
 
 
-LOGS = r"""p AS (SELECT media_id, ext, CASE WHEN contains(log, '[Parsed_loudnorm_0 @') THEN regexp_extract(log, '(?s)\[Parsed_loudnorm_0 @[^{]*(\{[^{}]*\})', 1) ELSE regexp_extract(log, '(?s).*(\{[^{}]*"input_i"[^{}]*\})', 1) END AS body, TRY_CAST(regexp_extract(regexp_extract(log, '(?m)^.*Duration:.*$'), 'bitrate: *([0-9]+)', 1) AS INT) AS log_kbps FROM loudness_logs),
+LOGS = r"""p AS (SELECT media_id, ext, CASE WHEN regexp_extract(log, '(?s)\[Parsed_loudnorm_0 @[^{]*(\{[^{}]*\})', 1) <> '' THEN regexp_extract(log, '(?s)\[Parsed_loudnorm_0 @[^{]*(\{[^{}]*\})', 1) ELSE regexp_extract(log, '(?s).*(\{[^{}]*"input_i"[^{}]*\})', 1) END AS body, TRY_CAST(regexp_extract(regexp_extract(log, '(?m)^ *Duration:.*$'), 'bitrate: *([0-9]+) ', 1) AS INT) AS log_kbps FROM loudness_logs),
 q AS (SELECT media_id, ext, log_kbps, TRY_CAST(regexp_extract(body, '"input_i" : "([^"]*)"', 1) AS DOUBLE) AS input_i, TRY_CAST(regexp_extract(body, '"input_tp" : "([^"]*)"', 1) AS DOUBLE) AS input_tp FROM p)"""
 
 
+def _whole(text: str) -> str:
+    return f"CASE WHEN regexp_full_match({text}, '\\+?[0-9]+') AND TRY_CAST({text} AS HUGEINT) < 4294967296 THEN TRY_CAST({text} AS BIGINT) END"
+
+
 @query("parse_loudness", f"WITH {LOGS} SELECT media_id, input_i, input_tp, log_kbps FROM q", "loudness_logs")
 def _parse_loudness(logs):
     return loudness.parse_logs(logs).select("media_id", "input_i", "input_tp", "log_kbps")
@@ -94,16 +98,16 @@ def _loudness_rejects(logs):
     return loudness.rejects(loudness.parse_logs(logs)).select("media_id", "reason")
 
 
-@query("bitrate_fallback", f"WITH {LOGS} SELECT media_id, CASE WHEN lower(ext) IN ('mp3','m4a','aac','mp4') THEN coalesce(log_kbps, CAST(TRY_CAST(format_bit_rate AS BIGINT) // 1000 AS INT)) END AS kbps FROM q LEFT JOIN event_probes USING (media_id)", "loudness_logs", "event_probes")
+@query("bitrate_fallback", f"WITH {LOGS}, r AS (SELECT media_id, json_extract_string(json, '$.format.bit_rate') AS rate FROM event_probes) SELECT media_id, CASE WHEN lower(ext) IN ('mp3','m4a','aac','mp4') THEN coalesce(log_kbps, CAST({_whole('rate')} // 1000 AS INT)) END AS kbps FROM q LEFT JOIN r USING (media_id)", "loudness_logs", "event_probes")
 def _bitrate_fallback(logs, probes):
-    return loudness.with_bitrate(loudness.parse_logs(logs), probes, ["media_id"]).select("media_id", "kbps")
+    return loudness.with_bitrate(loudness.parse_logs(logs), convert.parse_probes(probes), ["media_id"]).select("media_id", "kbps")
 
 
 NAME = "regexp_extract(path, '[^/]*$')"
 EXTENSION = f"lower(regexp_extract({NAME}, '^.+\\.([^.]*)$', 1))"
 AUDIO = f"NOT starts_with({NAME}, '._') AND {EXTENSION} IN ('flac','aiff','aif','wav','mp3','m4a','aac','mp4')"
 FOLDER = "regexp_extract(path, '^(.*)/[^/]*$', 1)"
-HIDDEN = f"marked AS (SELECT DISTINCT {FOLDER} AS d FROM media_files WHERE {NAME} IN ('.baken-backup','.headroom-backup'))"
+HIDDEN = f"marked AS (SELECT DISTINCT {FOLDER} AS d FROM media_files WHERE {NAME} IN ('.kept-originals','.saved-copies'))"
 
 
 @query("scan_audio", f"SELECT file_id, path, size, CASE WHEN {EXTENSION} = 'mp3' THEN 'mp3' WHEN {EXTENSION} IN ('m4a','aac','mp4') THEN 'aac' ELSE 'lossless' END AS media_class FROM media_files WHERE {AUDIO}", "media_files")
@@ -113,7 +117,7 @@ def _scan_audio(manifest):
 
 @query("scan_prune_backup", f"WITH {HIDDEN} SELECT file_id, path FROM media_files f WHERE {AUDIO} AND NOT EXISTS (SELECT 1 FROM marked WHERE d <> '/Music' AND starts_with(f.path, concat(d, '/')))", "media_files")
 def _scan_prune_backup(manifest):
-    return files.scan_audio(files.prune_backups(manifest, "/Music")).select("file_id", "path")
+    return files.scan_audio(files.prune_backups(manifest, "/Music", MARKERS)).select("file_id", "path")
 
 
 @query("resolve_inputs", f"""WITH {HIDDEN}, found AS (
@@ -124,20 +128,31 @@ SELECT DISTINCT path, 'ok' AS status FROM found WHERE {AUDIO} UNION ALL SELECT '
  UNION ALL SELECT input, 'unmatched' FROM inputs WHERE input LIKE '%.m4a' AND NOT EXISTS (SELECT 1 FROM media_files WHERE path = input)
  UNION ALL SELECT input, 'unmatched' FROM (VALUES ('/Music/Brand#4/sub/*.mp3', '^/Music/Brand#4/sub/[^/]*\\.mp3$'), ('/Music/Brand#4/[a-m]*.WAV', '^/Music/Brand#4/[a-m][^/]*\\.WAV$'), ('/Music/Brand#5/**/*.flac', '^/Music/Brand#5/(.*/)?[^/]*\\.flac$')) AS g(input, p) WHERE NOT EXISTS (SELECT 1 FROM media_files WHERE regexp_matches(path, p) AND {AUDIO})""", "media_files", "inputs")
 def _resolve_inputs(manifest, inputs):
-    found, unmatched = files.resolve_inputs(manifest, inputs)
+    found, unmatched = files.resolve_inputs(manifest, inputs, MARKERS)
     return found.select("path", F.lit("ok").alias("status")).unionByName(unmatched.select(F.col("input").alias("path"), F.lit("unmatched").alias("status")))
 
 
-@query("common_base_dir", f"SELECT '/Music' AS base WHERE (SELECT count(DISTINCT {FOLDER}) FROM media_files) > 1", "media_files")
+BASE = f"""b AS (SELECT min(string_split({FOLDER}, '/')) AS lo, max(string_split({FOLDER}, '/')) AS hi FROM media_files), n AS (SELECT lo, list_filter(range(1, len(lo) + 1), lambda i: lo[1:i] = hi[1:i]) AS same FROM b),
+c AS (SELECT CASE WHEN len(same) = 1 THEN '/' ELSE array_to_string(lo[1:len(same)], '/') END AS base FROM n)"""
+
+
+@query("common_base_dir", f"WITH {BASE} SELECT base FROM c", "media_files")
 def _common_base_dir(manifest):
     return files.common_base(manifest).select("base")
 
 
-@query("backup_manifest", f"SELECT file_id, path, concat('/Music/backup/', substring(path, 8)) AS backup_path FROM media_files WHERE {AUDIO}", "media_files")
+@query("backup_manifest", f"WITH {BASE.replace('FROM media_files', f'FROM media_files WHERE {AUDIO}')} SELECT file_id, path, concat(rtrim(base, '/'), '/backup/', substring(path, length(rtrim(base, '/')) + 2)) AS backup_path FROM media_files, c WHERE {AUDIO}", "media_files")
 def _backup_manifest(manifest):
     return files.backup_manifest(files.scan_audio(manifest)).select("file_id", "path", "backup_path")
 
 
+@query("backup_manifest_of_roots", f"WITH r AS (SELECT file_id, CASE WHEN file_id % 2 = 0 THEN concat('/Other', path) ELSE path END AS path FROM media_files WHERE {AUDIO}) SELECT file_id, path, concat('/backup', path) AS backup_path FROM r", "media_files")
+def _backup_manifest_of_roots(manifest):
+    """Files with nothing in common but the root."""
+    apart = manifest.withColumn("path", F.when(F.col("file_id") % 2 == 0, F.concat(F.lit("/Other"), "path")).otherwise(F.col("path")))
+    return files.backup_manifest(files.scan_audio(apart)).select("file_id", "path", "backup_path")
+
+
 _LABEL = "CASE WHEN gain_method LIKE 'Mp3%' THEN 'MP3' WHEN gain_method LIKE 'Aac%' THEN 'AAC' ELSE 'Lossless' END"
 _METHOD = "CASE WHEN gain_method = 'FfmpegLossless' THEN 'ffmpeg' WHEN gain_method LIKE '%Lossless' THEN 'native' ELSE 're-encode' END"
 
@@ -176,12 +191,41 @@ def _with_parts(lists: DataFrame) -> DataFrame:
     return lists.withColumn("path", F.split("path", "/"))
 
 
-@query("playlist_target", """WITH t AS (SELECT target, array_to_string(list_filter(list_transform(string_split(target, '/'), lambda x: trim(x)), lambda x: x <> ''), '/') AS path FROM targets)
-SELECT target, playlist_ord, CASE WHEN playlist_ord IS NULL THEN 'not_found' WHEN key_type <> '0' THEN 'wrong_key_type' ELSE 'ok' END AS status FROM t LEFT JOIN playlists USING (path)""", "playlists", "targets")
+PARTS = "array_to_string(list_filter(list_transform(string_split(target, '/'), lambda x: trim(x)), lambda x: x <> ''), '/')"
+
+
+@query("playlist_target", f"""WITH t AS (SELECT target, {PARTS} AS path FROM targets)
+SELECT target, playlist_ord, CASE WHEN path = '' THEN 'empty_target' WHEN playlist_ord IS NULL THEN 'not_found' WHEN key_type <> '0' THEN 'wrong_key_type' ELSE 'ok' END AS status FROM t LEFT JOIN playlists USING (path)""", "playlists", "targets")
 def _playlist_target(lists, targets):
     return playlists.find_target(_with_parts(lists), targets).select("target", "playlist_ord", "status")
 
 
+@query("playlist_last_target", f"""WITH t AS (SELECT target, {PARTS} AS path FROM targets), l AS (SELECT * FROM playlists UNION ALL SELECT playlist_ord + 1000000000, path, CASE WHEN playlist_ord % 3 = 0 THEN '1' ELSE '0' END FROM playlists), m AS (SELECT path, max(playlist_ord) AS playlist_ord, max(key_type) AS k FROM l GROUP BY 1)
+SELECT target, playlist_ord, CASE WHEN path = '' THEN 'empty_target' WHEN playlist_ord IS NULL THEN 'not_found' WHEN k <> '0' THEN 'wrong_key_type' ELSE 'ok' END AS status FROM t LEFT JOIN m USING (path)""", "playlists", "targets")
+def _playlist_last_target(lists, targets):
+    """Every path occurs twice: the last one counts, and none may be keyed by location."""
+    again = lists.withColumns({"playlist_ord": F.col("playlist_ord") + 1_000_000_000, "key_type": F.when(F.col("playlist_ord") % 3 == 0, "1").otherwise("0")})
+    return playlists.find_target(_with_parts(lists.unionByName(again)), targets, "last").select("target", "playlist_ord", "status")
+
+
+@query("sorted_target", f"""WITH {KEYS}, s AS (SELECT collection_id, playlist_ord FROM crate_lists WHERE path = '1-URGENT/O/Set 7' AND key_type = '0')
+SELECT s.collection_id, 'Tonight' AS name, CAST(row_number() OVER (PARTITION BY s.collection_id ORDER BY camelot ASC NULLS LAST, bpm ASC NULLS LAST, e.pos) AS INT) AS new_pos, e.track_id FROM s JOIN crate_entries e USING (playlist_ord) LEFT JOIN k ON e.track_id = k.track_id""", "crate_lists", "crate_entries", "crate_tracks", "tracks")
+def _sorted_target(lists, entries, tracks, _every):
+    """The same playlist of every collection that has it, sorted under a name of its own."""
+    chosen, _ = playlists.choose(_with_parts(lists), lists, "1-URGENT / O/Set 7", "Tonight")
+    return playlists.harmonic_sort(entries, tracks, chosen).join(chosen, ["collection_id", "playlist_ord"]).select("collection_id", "name", "new_pos", "track_id")
+
+
+@query("sort_status", """WITH c AS (SELECT DISTINCT collection_id FROM crate_lists), l AS (SELECT * FROM crate_lists WHERE path = '1-URGENT/O/Set 7'), a AS (SELECT DISTINCT collection_id FROM crate_lists WHERE key_type = '0' AND path LIKE '5-LOW/F/%')
+SELECT collection_id, 'target' AS mode, CASE WHEN l.path IS NULL THEN 'not_found' WHEN key_type <> '0' THEN 'wrong_key_type' ELSE 'ok' END AS status FROM c LEFT JOIN l USING (collection_id)
+UNION ALL SELECT collection_id, 'all' AS mode, CASE WHEN a.collection_id IS NULL THEN 'no_playlists' ELSE 'ok' END AS status FROM c LEFT JOIN a USING (collection_id)""", "crate_lists")
+def _sort_status(lists):
+    """Each collection's status: for one target, and for all playlists of one folder."""
+    _, one = playlists.choose(_with_parts(lists), lists, "1-URGENT/O/Set 7")
+    _, every = playlists.choose(_with_parts(lists.where("path LIKE '5-LOW/F/%'")), lists)
+    return one.select("collection_id", F.lit("target").alias("mode"), "status").unionByName(every.select("collection_id", F.lit("all").alias("mode"), "status"))
+
+
 @query("playlist_counts", "SELECT playlist_ord, count(e.pos) AS n FROM playlists LEFT JOIN entries e USING (playlist_ord) GROUP BY playlist_ord", "entries", "playlists")
 def _playlist_counts(entries, lists):
     return playlists.playlist_counts(entries, lists).select("playlist_ord", "n")
@@ -230,17 +274,18 @@ def _missing_total_time(entries, tracks):
     return convert.missing_total_time(convert.source_tracks(entries, tracks)).select("playlist_ord", "pos", "track_id")
 
 
-PROBED = """i AS (SELECT track_id, codec_name, CAST(sample_rate AS INT) AS sample_rate, CAST(floor((TRY_CAST(coalesce(stream_bit_rate, format_bit_rate) AS BIGINT) + 500) / 1000.0) AS INT) AS bitrate_kbps FROM probes)"""
+PROBED = f"""y AS (SELECT track_id, CASE WHEN json_valid(json) THEN json END AS j FROM probes), z AS (SELECT track_id, coalesce(json_extract_string(j, '$.streams[0].codec_name'), '') AS codec_name, json_extract_string(j, '$.streams[0].sample_rate') AS rate, coalesce(json_extract_string(j, '$.streams[0].bit_rate'), json_extract_string(j, '$.format.bit_rate')) AS bps FROM y WHERE json_extract(j, '$.streams[0]') IS NOT NULL),
+i AS (SELECT track_id, codec_name, CAST(coalesce({_whole("rate")}, 0) AS INT) AS sample_rate, CAST(({_whole("bps")} + 500) // 1000 AS INT) AS bitrate_kbps FROM z)"""
 ACTED = PROBED + """, a AS (SELECT e.playlist_ord, e.pos, e.track_id, CASE WHEN i.track_id IS NULL THEN NULL WHEN codec_name = 'mp3' AND sample_rate = 44100 AND bitrate_kbps = 320 THEN 'Copy' WHEN codec_name IN ('mp3','aac') THEN 'ReencodeLossy' ELSE 'Reencode' END AS action FROM entries e JOIN tracks t ON e.track_id = t.track_id LEFT JOIN i ON e.track_id = i.track_id)"""
 
 
 @query("probe_info", f"WITH {PROBED} SELECT * FROM i", "probes")
 def _probe_info(probes):
-    return convert.probe_info(probes).select("track_id", "codec_name", "sample_rate", "bitrate_kbps")
+    return convert.probe_info(convert.parse_probes(probes).where("has_stream")).select("track_id", "codec_name", "sample_rate", "bitrate_kbps")
 
 
 def _acted(entries: DataFrame, tracks: DataFrame, probes: DataFrame) -> DataFrame:
-    return convert.actions(convert.source_tracks(entries, tracks), probes)
+    return convert.actions(convert.source_tracks(entries, tracks), convert.parse_probes(probes))
 
 
 @query("conversion_action", f"WITH {ACTED} SELECT * FROM a", "entries", "tracks", "probes")
@@ -263,12 +308,15 @@ def _max_track_id(tracks):
     return convert.max_track_id(tracks).select(F.col("max_id").cast("long").alias("max_id"))
 
 
-@query("conversion_gate", f"""WITH {ACTED}, d AS (SELECT playlist_ord, count(*) AS dangling FROM entries e WHERE NOT EXISTS (SELECT 1 FROM tracks t WHERE t.track_id = e.track_id) GROUP BY 1),
-r AS (SELECT playlist_ord, CAST(sum(n - 1) AS BIGINT) AS repeated FROM (SELECT playlist_ord, track_id, count(*) AS n FROM entries GROUP BY 1, 2) GROUP BY 1), u AS (SELECT playlist_ord, count(*) FILTER (action IS NULL) AS unprobed FROM a GROUP BY 1), s AS (SELECT playlist_ord, count(*) AS entries FROM entries GROUP BY 1),
-z AS (SELECT playlist_ord, coalesce(s.entries, 0) AS entries, coalesce(dangling, 0) AS dangling, coalesce(repeated, 0) AS repeated, coalesce(unprobed, 0) AS unprobed FROM playlists LEFT JOIN s USING (playlist_ord) LEFT JOIN d USING (playlist_ord) LEFT JOIN r USING (playlist_ord) LEFT JOIN u USING (playlist_ord))
-SELECT *, CASE WHEN entries = 0 THEN 'empty_playlist' WHEN dangling + repeated + unprobed > 0 THEN 'failed' ELSE 'ok' END AS status FROM z""", "entries", "tracks", "probes", "playlists")
-def _conversion_gate(entries, tracks, probes, lists):
-    return convert.gate(entries, tracks, _acted(entries, tracks, probes), lists).drop("collection_id")
+JUDGED = """j AS (SELECT e.*, t.doc_pos, t.name, t.comments, CASE WHEN t.track_id IS NULL THEN 'dangling' WHEN f.path IS NULL THEN 'missing_source' WHEN i.track_id IS NULL THEN 'unprobed' END AS failure FROM {entries} e LEFT JOIN tracks t ON e.track_id = t.track_id LEFT JOIN {files} f ON replace(replace(replace(t.location, 'file://localhost', ''), '%23', '#'), '%20', ' ') = f.path LEFT JOIN i ON e.track_id = i.track_id),
+g AS (SELECT playlist_ord, count(*) AS entries, count(*) FILTER (failure = 'dangling') AS dangling, count(*) FILTER (failure = 'missing_source') AS missing_source, count(*) FILTER (failure = 'unprobed') AS unprobed, count(track_id) - count(DISTINCT track_id) AS repeated FROM j GROUP BY 1)"""
+GATED = "CASE WHEN g.entries IS NULL THEN 'empty_playlist' WHEN dangling + missing_source + unprobed + repeated > 0 THEN 'failed' ELSE 'ok' END"
+
+
+@query("conversion_gate", f"""WITH {PROBED}, {JUDGED.format(entries="entries", files="(SELECT DISTINCT path FROM located_files)")}
+SELECT playlist_ord, coalesce(entries, 0) AS entries, coalesce(dangling, 0) AS dangling, coalesce(missing_source, 0) AS missing_source, coalesce(unprobed, 0) AS unprobed, coalesce(repeated, 0) AS repeated, {GATED} AS status FROM playlists LEFT JOIN g USING (playlist_ord)""", "entries", "tracks", "probes", "playlists", "located_files")
+def _conversion_gate(entries, tracks, probes, lists, located):
+    return convert.gate(convert.judged(entries, tracks, convert.parse_probes(probes), located), lists).drop("collection_id")
 
 
 STEM = "regexp_extract(replace(replace(location, '%23', '#'), '%20', ' '), '([^/]*)\\.[^./]*$', 1)"
@@ -276,83 +324,147 @@ NAMED = f"""n AS (SELECT playlist_ord, pos, track_id, {STEM} AS stem, comments,
 f AS (SELECT *, concat(stem, CASE WHEN k = 1 THEN '' ELSE concat(' (', CAST(k AS VARCHAR), ')') END, '.mp3') AS filename FROM n)"""
 
 
-def _planned(entries: DataFrame, tracks: DataFrame) -> DataFrame:
+def _planned(entries: DataFrame, tracks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     sources = convert.source_tracks(entries, tracks).withColumn("path", decode_location(F.col("location")))
-    return convert.plan_filenames(sources.withColumn("out_dir", F.concat(F.lit("/out/"), F.col("playlist_ord").cast("string"))))
+    return convert.plan_filenames(sources.withColumn("out_dir", F.concat(F.lit("/out/"), F.col("playlist_ord").cast("string"))), keep=keep)
 
 
 @query("filename_plan", f"WITH {NAMED} SELECT playlist_ord, pos, filename FROM f", "entries", "tracks")
 def _filename_plan(entries, tracks):
-    return _planned(entries, tracks).select("playlist_ord", "pos", "filename")
+    return _planned(entries, tracks, ["playlist_ord", "pos"])
 
 
 MADE = f"""WITH {NAMED}, x AS (SELECT max(CAST(track_id AS BIGINT)) AS x FROM tracks), w AS (SELECT playlist_ord, pos, track_id, x + row_number() OVER (PARTITION BY playlist_ord ORDER BY pos) AS new_id, concat('file://localhost/out/', CAST(playlist_ord AS VARCHAR), '/', replace(replace(replace(replace(filename, ' ', '%20'), '#', '%23'), '(', '%28'), ')', '%29')) AS location, CASE WHEN coalesce(comments, '') = '' THEN '[cdjsafe]' ELSE concat(comments, ' [cdjsafe]') END AS comments FROM f, x)"""
 
 
-def _made(entries: DataFrame, tracks: DataFrame) -> DataFrame:
-    return convert.new_tracks(_planned(entries, tracks), convert.max_track_id(tracks))
-
-
 @query("new_tracks", MADE + " SELECT playlist_ord, pos, new_id, location, comments, 'MP3 File' AS kind, '320' AS bit_rate, '44100' AS sample_rate FROM w", "entries", "tracks")
 def _new_tracks(entries, tracks):
-    return _made(entries, tracks).select("playlist_ord", "pos", F.col("new_id").cast("long").alias("new_id"), "location", "comments", "kind", "bit_rate", "sample_rate")
+    made = convert.new_tracks(_planned(entries, tracks), convert.max_track_id(tracks))
+    return made.select("playlist_ord", "pos", F.col("new_id").cast("long").alias("new_id"), "location", "comments", "kind", "bit_rate", "sample_rate")
 
 
-@query("converted_collection", MADE + ", b AS (SELECT min(playlist_ord) AS one FROM entries JOIN tracks USING (track_id)) SELECT track_id, doc_pos, location, comments FROM tracks UNION ALL SELECT CAST(new_id AS VARCHAR), (SELECT max(doc_pos) FROM tracks) + pos, location, comments FROM w, b WHERE playlist_ord = one", "entries", "tracks")
-def _converted_collection(entries, tracks):
-    usable = convert.source_tracks(entries, tracks).groupBy("collection_id").agg(F.min("playlist_ord").alias("playlist_ord"))
-    one = entries.join(usable, ["collection_id", "playlist_ord"], "left_semi")  # an export holds one playlist
-    return convert.converted_collection(tracks, _made(one, tracks)).select("track_id", "doc_pos", "location", "comments")
+# Many collections: conversions from target to export, and XML documents.
 
+CONVERTED = f"""{PROBED}, {JUDGED.format(entries="crate_entries", files="(SELECT DISTINCT collection_id AS at, path FROM crate_files)").replace("= f.path", "= f.path AND f.at = e.collection_id")}, late AS (SELECT DISTINCT playlist_ord FROM crate_entries WHERE (playlist_ord * 7 + pos) % 19 = 0),
+u AS (SELECT c.collection_id, c.playlist_ord, c.path, CASE WHEN c.key_type <> '0' THEN 'wrong_key_type' WHEN {GATED} <> 'ok' THEN {GATED} WHEN late.playlist_ord IS NOT NULL THEN 'unfinished' ELSE 'ok' END AS status FROM crate_lists c LEFT JOIN g USING (playlist_ord) LEFT JOIN late USING (playlist_ord)),
+o AS (SELECT collection_id, min(playlist_ord) AS playlist_ord FROM u WHERE status = 'ok' GROUP BY 1), mx AS (SELECT collection_id, max(CAST(track_id AS BIGINT)) AS mx FROM crate_tracks GROUP BY 1),
+v AS (SELECT j.collection_id, j.playlist_ord, pos, j.doc_pos, j.track_id, j.name, mx + row_number() OVER (PARTITION BY j.playlist_ord ORDER BY pos) AS new_id, row_number() OVER (PARTITION BY j.playlist_ord, lower(name) ORDER BY pos) AS k, CASE WHEN coalesce(comments, '') = '' THEN '[cdjsafe]' ELSE concat(comments, ' [cdjsafe]') END AS comments, 4000000 + j.playlist_ord * 100 + pos AS size FROM j JOIN u ON j.playlist_ord = u.playlist_ord JOIN mx ON j.collection_id = mx.collection_id WHERE u.status = 'ok'),
+w AS (SELECT *, concat('file://localhost/out/', collection_id, '/', CAST(playlist_ord AS VARCHAR), '/', replace(name, ' ', '%20'), CASE WHEN k = 1 THEN '' ELSE concat('%20%28', CAST(k AS VARCHAR), '%29') END, '.mp3') AS location FROM v)"""
+CRATES = ("crate_targets", "crate_lists", "crate_entries", "crate_tracks", "crate_files", "probes", "crate_finished")
 
-def _documents(tracks: DataFrame, entries: DataFrame) -> DataFrame:
-    """XML texts of many collections: each holds up to 500 of the tracks, and playlists of up to 50 of them in one folder.
 
-    They hold attributes, children and a top-level element that the tables don't.
-    """
-    own = tracks.withColumn("collection_id", F.concat(F.lit("c"), F.floor(F.col("doc_pos") / 500).cast("string")))
-    fields = {k: F.col(k) if k in tracks.columns else F.lit(None).cast("string") for k in xml.TRACK_FIELDS}
-    track = F.struct(*[fields[k].alias(f"_{x}") for k, x in xml.TRACK_FIELDS.items()], F.array(F.struct(F.lit("0.025").alias("_Inizio"), F.col("average_bpm").alias("_Bpm"), F.lit("4/4").alias("_Metro"), F.lit("1").alias("_Battito"))).alias("TEMPO"), F.concat(F.lit('Album "'), "track_id", F.lit('" & more')).alias("_Album"), F.lit("204").alias("_Rating"), F.struct(F.col("track_id").alias("_Value")).alias("OTHER"))
-    body = own.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("doc_pos", track.alias("t"))))["t"].alias("tracks"))
-    lists = own.withColumn("list", F.floor(F.col("doc_pos") % 500 / 50)).groupBy("collection_id", "list").agg(F.reverse(F.sort_array(F.collect_list(F.struct("doc_pos", "track_id")))["track_id"]).alias("keys"))
-    per = lists.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("list", F.concat(F.lit("List "), F.col("list").cast("string")).alias("name"), "keys"))).alias("lists"))
-    folder = xml.folder_node("Folder", F.col("lists"))
-    root = F.struct(F.lit("ROOT").alias("_Name"), F.lit("0").alias("_Type"), F.lit("1").alias("_Count"), F.array(folder).alias("NODE"))
-    product = F.struct(F.lit("waxcrate").alias("_Name"))
-    doc = F.struct(F.lit("1.0.0").alias("_Version"), product.alias("PRODUCT"), F.struct(F.size("tracks").cast("string").alias("_Entries"), F.col("tracks").alias("TRACK")).alias("COLLECTION"), F.struct(root.alias("NODE")).alias("PLAYLISTS"))
-    return body.join(per, "collection_id").select("collection_id", xml.document_text(doc).alias("xml"))
+def _converted(targets, lists, entries, tracks, manifest, probes, finished):
+    probed = convert.parse_probes(probes).drop("collection_id")
+    return convert.convert_playlists(targets, _with_parts(lists), entries, tracks, manifest, probed, finished, "/out", on=("track_id",))
 
 
-COLLECTION = "concat('c', CAST(doc_pos // 500 AS VARCHAR))"
+@query("conversion_status", f"WITH {CONVERTED} SELECT collection_id, concat(' ', path, ' /') AS target, playlist_ord, status FROM u UNION ALL SELECT DISTINCT collection_id, 'None/Set 1', NULL, 'not_found' FROM crate_lists", *CRATES)
+def _conversion_status(*views):
+    return _converted(*views)[0].select("collection_id", "target", "playlist_ord", "status")
 
 
-@query("collection_tracks", f"SELECT {COLLECTION} AS collection_id, row_number() OVER (PARTITION BY doc_pos // 500 ORDER BY doc_pos) - 1 AS doc_pos, track_id, name, tonality, average_bpm, location, CAST(1 AS BIGINT) AS tempos FROM tracks", "tracks", "entries")
-def _collection_tracks(tracks, entries):
-    read = xml.tracks(xml.parse_collections(_documents(tracks, entries)))
-    return read.select("collection_id", "doc_pos", "track_id", "name", "tonality", "average_bpm", "location", F.size("tempos").cast("long").alias("tempos"))
+@query("converted_tracks", f"WITH {CONVERTED} SELECT collection_id, playlist_ord, pos, new_id, location, CAST(size AS VARCHAR) AS size, comments FROM w", *CRATES)
+def _converted_tracks(*views):
+    made = _converted(*views)[1]
+    return made.select("collection_id", "playlist_ord", "pos", F.col("new_id").cast("long").alias("new_id"), "location", "size", "comments")
 
 
-@query("playlist_tree", f"SELECT {COLLECTION} AS collection_id, concat('Folder/List ', CAST(doc_pos % 500 // 50 AS VARCHAR)) AS path, '0' AS key_type, row_number() OVER (PARTITION BY doc_pos // 50 ORDER BY doc_pos DESC) - 1 AS pos, track_id FROM tracks", "tracks", "entries")
-def _playlist_tree(tracks, entries):
-    lists = xml.playlists(xml.nodes(xml.parse_collections(_documents(tracks, entries))))
-    return lists.select("collection_id", F.array_join("path", "/").alias("path"), "key_type", F.posexplode("keys").alias("pos", "track_id")).withColumn("pos", F.col("pos").cast("long"))
+def _first_of_each(made: DataFrame) -> DataFrame:
+    """An export holds one playlist: of each collection the first that is converted."""
+    return made.withColumn("first", F.min("playlist_ord").over(Window.partitionBy("collection_id"))).where("playlist_ord = first").drop("first")
+
 
+@query("converted_collection", f"WITH {CONVERTED}, last AS (SELECT collection_id, max(doc_pos) AS z FROM crate_tracks GROUP BY 1) SELECT collection_id, track_id, doc_pos, location, comments FROM crate_tracks UNION ALL SELECT w.collection_id, CAST(new_id AS VARCHAR), z + pos, location, comments FROM w JOIN o ON w.playlist_ord = o.playlist_ord JOIN last ON w.collection_id = last.collection_id", *CRATES)
+def _converted_collection(targets, lists, entries, tracks, *more):
+    made = _first_of_each(_converted(targets, lists, entries, tracks, *more)[1])
+    return convert.converted_collection(tracks, made).select("collection_id", "track_id", "doc_pos", "location", "comments")
 
-@query("export_sorted_xml", None, "tracks", "entries")
-def _export_sorted_xml(tracks, entries):
-    docs = xml.parse_collections(_documents(tracks, entries))
-    lists = xml.playlists(xml.nodes(docs))
-    ordered = playlists.harmonic_sort(xml.entries(lists), playlists.last_wins(xml.tracks(docs)), lists)
-    return xml.export_sorted(docs, ordered, lists.withColumn("name", F.try_element_at("path", F.lit(-1))), playlists.SORTED_FOLDER)
 
+def _documents(tracks: DataFrame, lists: DataFrame, entries: DataFrame) -> DataFrame:
+    """XML texts of all collections: their tracks, and their playlists three folders deep (priority, status, list).
 
-@query("export_converted_xml", None, "tracks", "entries")
-def _export_converted_xml(tracks, entries):
-    docs = xml.parse_collections(_documents(tracks, entries))
-    one = xml.entries(xml.playlists(xml.nodes(docs)).where(F.try_element_at("path", F.lit(-1)) == "List 1"))
-    own = xml.tracks(docs)
-    sources = convert.source_tracks(one, own).withColumn("path", decode_location(F.col("location"))).withColumn("out_dir", F.concat(F.lit("/out/"), "collection_id"))
-    made = convert.new_tracks(convert.plan_filenames(sources), convert.max_track_id(own))
-    return xml.export_converted(docs, made, "List 1", convert.FOLDER)
+    They hold attributes, children and a top-level element that the tables don't.
+    """
+    fields = {k: F.col(k) if k in tracks.columns else F.lit(None).cast("string") for k in xml.TRACK_FIELDS}
+    grid = F.array(F.struct(F.lit("0.025").alias("_Inizio"), F.col("average_bpm").alias("_Bpm"), F.lit("4/4").alias("_Metro"), F.lit("1").alias("_Battito")))
+    cue = F.array(F.struct(F.lit("in").alias("_Name"), F.lit("4").alias("_Type"), F.lit("1.5").alias("_Start"), F.lit("9.5").alias("_End")))
+    track = F.struct(*[fields[k].alias(f"_{x}") for k, x in xml.TRACK_FIELDS.items()], F.concat(F.lit('Album "'), "track_id", F.lit('" & more')).alias("_Album"), F.lit("204").alias("_Rating"), grid.alias("TEMPO"), cue.alias("POSITION_MARK"), F.struct(F.col("track_id").alias("_Value")).alias("OTHER"))
+    own = tracks.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("doc_pos", track.alias("t"))))["t"].alias("tracks"))
+    keys = entries.groupBy("collection_id", "playlist_ord").agg(F.sort_array(F.collect_list(F.struct("pos", "track_id")))["track_id"].alias("keys"))
+    parts = lists.join(keys, ["collection_id", "playlist_ord"], "left").withColumn("parts", F.split("path", "/")).withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+    leaf = F.struct(F.col("parts")[2].alias("_Name"), F.lit("1").alias("_Type"), F.col("key_type").alias("_KeyType"), F.size("keys").cast("string").alias("_Entries"), F.lit("red").alias("_Colour"), F.transform("keys", lambda k: F.struct(k.alias("_Key"))).alias("TRACK"))
+    folder = lambda name, items: F.struct(name.alias("_Name"), F.lit("0").alias("_Type"), F.size(items).cast("string").alias("_Count"), items.alias("NODE"))
+    ordered = lambda at, node: F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), node.alias("node"))))["node"]
+    second = parts.groupBy("collection_id", F.col("parts")[0].alias("a"), F.col("parts")[1].alias("b")).agg(ordered("playlist_ord", leaf).alias("items"))
+    first = second.groupBy("collection_id", "a").agg(ordered("b", folder(F.col("b"), F.col("items"))).alias("items"))
+    root = first.groupBy("collection_id").agg(ordered("a", folder(F.col("a"), F.col("items"))).alias("items"))
+    doc = F.struct(F.lit("1.0.0").alias("_Version"), F.struct(F.lit("shop & more").alias("_Name")).alias("PRODUCT"), F.struct(F.size("tracks").cast("string").alias("_Entries"), F.col("tracks").alias("TRACK")).alias("COLLECTION"), F.struct(folder(F.lit("ROOT"), F.col("items")).alias("NODE")).alias("PLAYLISTS"))
+    return own.join(root, "collection_id").select("collection_id", xml.document_text(doc).alias("xml"))
+
+
+DOCUMENTS = ("crate_tracks", "crate_lists", "crate_entries")
+
+
+@query("collection_tracks", "SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY doc_pos) - 1 AS doc_pos, track_id, name, tonality, average_bpm, location, CAST(1 AS BIGINT) AS tempos, '1.5' AS cue FROM crate_tracks", *DOCUMENTS)
+def _collection_tracks(*views):
+    read = xml.tracks(xml.parse_collections(_documents(*views)))
+    return read.select("collection_id", "doc_pos", "track_id", "name", "tonality", "average_bpm", "location", F.size("tempos").cast("long").alias("tempos"), F.col("position_marks")[0]["_Start"].alias("cue"))
+
+
+@query("playlist_tree", "SELECT collection_id, path, key_type, pos - 1 AS pos, track_id FROM crate_lists JOIN crate_entries USING (collection_id, playlist_ord)", *DOCUMENTS)
+def _playlist_tree(*views):
+    lists = xml.playlists(xml.nodes(xml.parse_collections(_documents(*views))))
+    return lists.select("collection_id", F.array_join("path", "/").alias("path"), "key_type", F.posexplode("keys").alias("pos", "track_id")).withColumn("pos", F.col("pos").cast("long"))
 
 
+#: What a track of the documents holds, the tables' fields and others.
+_READ = "COLLECTION struct<_Entries:string,TRACK:array<struct<_TrackID:string,_Name:string,_Tonality:string,_Comments:string,_Location:string,_Kind:string,_Size:string,_BitRate:string,_SampleRate:string,_TotalTime:string,_Album:string,_Rating:string,TEMPO:array<struct<_Bpm:string>>,POSITION_MARK:array<struct<_Start:string,_End:string>>,OTHER:struct<_Value:string>>>>, PRODUCT struct<_Name:string>"
+
+
+def _items(exported: DataFrame) -> DataFrame:
+    """collection_id, item, value: every node and track of exported documents, read again, and their other elements."""
+    text = lambda *columns: F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in columns])
+    nodes = xml.nodes(xml.parse_collections(exported)).select("collection_id", F.concat(F.lit("node "), F.array_join("path", "/")).alias("item"), text(F.col("type"), F.col("key_type"), F.col("count"), F.col("entries"), F.array_join("keys", ",")).alias("value"))
+    read = exported.select("collection_id", F.from_xml("xml", _READ, {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST", "rowTag": "DJ_PLAYLISTS"}).alias("d"))
+    each = read.select("collection_id", F.explode("d.COLLECTION.TRACK").alias("t"))
+    own = [F.col(f"t.{c}") for c in ("_Name", "_Tonality", "_Comments", "_Location", "_Kind", "_Size", "_BitRate", "_SampleRate", "_TotalTime", "_Album", "_Rating", "OTHER._Value")]
+    tracks = each.select("collection_id", F.concat(F.lit("track "), "t._TrackID").alias("item"), text(*own, F.col("t.TEMPO")[0]["_Bpm"], F.col("t.POSITION_MARK")[0]["_Start"], F.col("t.POSITION_MARK")[0]["_End"]).alias("value"))
+    rest = read.select("collection_id", F.lit("document").alias("item"), text(F.col("d.PRODUCT._Name"), F.col("d.COLLECTION._Entries")).alias("value"))
+    return nodes.unionByName(tracks).unionByName(rest)
+
+
+def _items_sql(added: str, raised: str) -> str:
+    """The items of the original documents, the root's counter raised by raised for each collection, without the documents' own rows."""
+    return f"""ly AS (SELECT *, string_split(path, '/') AS p FROM crate_lists WHERE collection_id IN ({added})), ke AS (SELECT playlist_ord, CAST(count(*) AS VARCHAR) AS n, string_agg(track_id, ',' ORDER BY pos) AS keys FROM crate_entries GROUP BY 1),
+items AS (SELECT collection_id, concat('node ', path) AS item, concat_ws('|', '1', key_type, '-', coalesce(n, '0'), coalesce(keys, '-')) AS value FROM ly LEFT JOIN ke USING (playlist_ord)
+ UNION ALL SELECT collection_id, concat('node ', p[1], '/', p[2]), concat_ws('|', '0', '-', CAST(count(*) AS VARCHAR), '-', '-') FROM ly GROUP BY collection_id, p[1], p[2]
+ UNION ALL SELECT collection_id, concat('node ', p[1]), concat_ws('|', '0', '-', CAST(count(DISTINCT p[2]) AS VARCHAR), '-', '-') FROM ly GROUP BY collection_id, p[1]
+ UNION ALL SELECT collection_id, 'node ', concat_ws('|', '0', '-', CAST(count(DISTINCT p[1]) + {raised} AS VARCHAR), '-', '-') FROM ly GROUP BY collection_id
+ UNION ALL SELECT collection_id, concat('track ', track_id), concat_ws('|', name, coalesce(tonality, '-'), coalesce(comments, '-'), location, '-', size, '-', '-', coalesce(total_time, '-'), concat('Album "', track_id, '" & more'), '204', track_id, coalesce(average_bpm, '-'), '1.5', '9.5') FROM crate_tracks WHERE collection_id IN ({added}))"""
+
+
+@query("export_sorted_xml", f"""WITH {KEYS}, {_items_sql("SELECT collection_id FROM crate_lists WHERE key_type = '0'", "1")},
+so AS (SELECT playlist_ord, CAST(count(*) AS VARCHAR) AS n, string_agg(e.track_id, ',' ORDER BY camelot ASC NULLS LAST, bpm ASC NULLS LAST, e.pos) AS keys FROM crate_entries e LEFT JOIN k ON e.track_id = k.track_id GROUP BY 1)
+SELECT * FROM items UNION ALL SELECT collection_id, concat('node Sorted (Key+BPM)/', p[3]), concat_ws('|', '1', '0', '-', coalesce(n, '0'), coalesce(keys, '-')) FROM ly LEFT JOIN so USING (playlist_ord) WHERE key_type = '0'
+UNION ALL SELECT collection_id, 'node Sorted (Key+BPM)', concat_ws('|', '0', '-', CAST(count(*) AS VARCHAR), '-', '-') FROM ly WHERE key_type = '0' GROUP BY 1
+UNION ALL SELECT collection_id, 'document', concat('shop & more|', CAST(count(*) AS VARCHAR)) FROM crate_tracks WHERE collection_id IN (SELECT collection_id FROM ly) GROUP BY 1""", *DOCUMENTS, "tracks")
+def _export_sorted_xml(tracks, lists, entries, _every):
+    docs = xml.parse_collections(_documents(tracks, lists, entries))
+    own = xml.playlists(xml.nodes(docs))
+    chosen, _ = playlists.choose(own, docs)
+    ordered = playlists.harmonic_sort(xml.entries(own), playlists.last_wins(xml.tracks(docs)), chosen)
+    return _items(xml.export_sorted(docs, ordered, chosen, playlists.SORTED_FOLDER))
+
+
+@query("export_converted_xml", f"""WITH {CONVERTED}, {_items_sql("SELECT collection_id FROM o", "1")}, e AS (SELECT w.*, t.tonality, t.total_time, t.average_bpm FROM w JOIN o ON w.playlist_ord = o.playlist_ord JOIN tracks t ON w.track_id = t.track_id)
+SELECT * FROM items UNION ALL SELECT collection_id, concat('track ', CAST(new_id AS VARCHAR)), concat_ws('|', name, coalesce(tonality, '-'), comments, location, 'MP3 File', CAST(size AS VARCHAR), '320', '44100', coalesce(total_time, '-'), concat('Album "', track_id, '" & more'), '204', track_id, coalesce(average_bpm, '-'), '1.5', '9.5') FROM e
+UNION ALL SELECT collection_id, 'node CDJ-safe (MP3)', '0|-|1|-|-' FROM o UNION ALL SELECT ly.collection_id, concat('node CDJ-safe (MP3)/', p[3]), concat_ws('|', '1', '0', '-', CAST(count(*) AS VARCHAR), string_agg(CAST(new_id AS VARCHAR), ',' ORDER BY pos)) FROM ly JOIN e ON ly.playlist_ord = e.playlist_ord GROUP BY ly.collection_id, p[3]
+UNION ALL SELECT c.collection_id, 'document', concat('shop & more|', CAST(count(*) + any_value(n) AS VARCHAR)) FROM crate_tracks c JOIN (SELECT collection_id, count(*) AS n FROM e GROUP BY 1) x ON c.collection_id = x.collection_id GROUP BY 1""", *CRATES)
+def _export_converted_xml(targets, lists, entries, tracks, *more):
+    """Only playlists that pass are exported, one for each collection; the library's tables are read from the documents."""
+    docs = xml.parse_collections(_documents(tracks, lists, entries))
+    made = _first_of_each(_converted(targets, lists, entries, tracks, *more)[1])
+    places = xml.tracks(docs).select("collection_id", "track_id", F.col("doc_pos").alias("place"))
+    made = made.join(places, ["collection_id", "track_id"]).drop("doc_pos").withColumnRenamed("place", "doc_pos")
+    names = _with_parts(lists).select("collection_id", "playlist_ord", F.try_element_at("path", F.lit(-1)).alias("name"))
+    return _items(xml.export_converted(docs, made, names, convert.FOLDER).select("collection_id", "xml"))

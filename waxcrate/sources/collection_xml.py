@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
@@ -15,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.playlists import bumped
+
 #: Levels of nodes read, the root included; deeper ones are an error.
 DEPTH = 8
 _TEMPO = "array<struct<_Inizio:string,_Bpm:string,_Metro:string,_Battito:string>>"
@@ -56,8 +60,8 @@ def tracks(collections: DataFrame) -> DataFrame:
 
 
 def nodes(collections: DataFrame) -> DataFrame:
-    """One row for each NODE: place (positions from the root down), path (names, without the root's), type, key_type, count, entries, keys; too_deep if the
-    collection holds nodes below the last level, which are left out."""
+    """One row for each NODE: place (positions from the root down), path (names, without the root's), type, key_type, count, entries, keys; wrong if the
+    collection can't be taken: too_deep (nodes below the last level, which are left out) or nested_playlist (nodes in a playlist)."""
     flat = lambda x: F.struct(
         x["place"].alias("place"), x["path"].alias("path"), x["n"]["_Name"].alias("name"), x["n"]["_Type"].alias("type"), x["n"]["_KeyType"].alias("key_type"), x["n"]["_Count"].alias("count"),
         x["n"]["_Entries"].alias("entries"), x["n"]["TRACK"]["_Key"].alias("keys"),
@@ -67,15 +71,18 @@ def nodes(collections: DataFrame) -> DataFrame:
     t = collections.where("doc.PLAYLISTS.NODE IS NOT NULL").select("collection_id", F.array(root).alias("level0"))
     for depth in range(1, DEPTH):  # each level is an array of its own kind of struct, from the level above
         t = t.withColumn(f"level{depth}", F.flatten(F.transform(f"level{depth - 1}", below)))
-    deeper = F.exists(f"level{DEPTH - 1}", lambda x: F.coalesce(F.size(x["n"]["NODE"]) > 0, F.lit(False)))
+    holds = lambda x: F.coalesce(F.size(x["n"]["NODE"]) > 0, F.lit(False))
+    deeper = F.exists(f"level{DEPTH - 1}", holds)
+    nested = reduce(or_, [F.exists(f"level{d}", lambda x: (x["n"]["_Type"] == "1") & holds(x)) for d in range(DEPTH)])
+    wrong = F.when(deeper, F.concat(F.lit("too_deep: nodes below level "), F.lit(DEPTH))).when(nested, "nested_playlist: nodes in a playlist")
     every = F.concat(*[F.transform(f"level{d}", flat) for d in range(DEPTH)])
-    return t.select("collection_id", deeper.alias("too_deep"), F.explode(every).alias("x")).select("collection_id", "x.*", "too_deep")
+    return t.select("collection_id", wrong.alias("wrong"), F.explode(every).alias("x")).select("collection_id", "x.*", "wrong")
 
 
 def playlists(all_nodes: DataFrame) -> DataFrame:
-    """Playlists (type 1) with place as their document order; entries as an array. A collection with nodes below the last level is an error."""
-    too_deep = F.raise_error(F.concat(F.lit("too_deep: nodes below level "), F.lit(DEPTH), F.lit(" in collection "), F.coalesce("collection_id", F.lit("null"))))
-    return all_nodes.where(F.when(F.col("too_deep"), too_deep.cast("boolean")).otherwise(F.col("type") == "1")).select("collection_id", F.col("place").alias("playlist_ord"), "path", "key_type", "keys")
+    """Playlists (type 1) with place as their document order; entries as an array. A collection that can't be taken is an error."""
+    error = F.raise_error(F.concat("wrong", F.lit(" in collection "), F.coalesce("collection_id", F.lit("null"))))
+    return all_nodes.where(F.when(F.col("wrong").isNotNull(), error.cast("boolean")).otherwise(F.col("type") == "1")).select("collection_id", F.col("place").alias("playlist_ord"), "path", "key_type", "keys")
 
 
 def entries(all_playlists: DataFrame) -> DataFrame:
@@ -88,14 +95,6 @@ def document_text(doc: Column) -> Column:
     return F.regexp_replace(F.to_xml(doc, {"rowTag": "DJ_PLAYLISTS"}), r"\n$", "")
 
 
-def folder_node(name: str, lists: Column) -> Column:
-    """A folder node of playlists, given as an array of (name, keys)."""
-    none = F.lit(None)
-    leaf = lambda p: F.struct(p["name"].alias("_Name"), F.lit("1").alias("_Type"), F.lit("0").alias("_KeyType"), none.cast("string").alias("_Count"), F.size(p["keys"]).cast("string").alias("_Entries"), F.transform(p["keys"], lambda k: F.struct(k.alias("_Key"))).alias("TRACK"), none.cast(f"array<{_node(DEPTH - 2)}>").alias("NODE"))
-    nodes_ = F.transform(lists, leaf)
-    return F.struct(F.lit(name).alias("_Name"), F.lit("0").alias("_Type"), none.cast("string").alias("_KeyType"), F.size(lists).cast("string").alias("_Count"), none.cast("string").alias("_Entries"), none.cast("array<struct<_Key:string>>").alias("TRACK"), nodes_.alias("NODE"))
-
-
 _START_TAG = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
 
 
@@ -115,12 +114,6 @@ class _Element:
             return f"<{tag}>{more}</{self.name}>".encode() if more else f"<{tag}/>".encode()
         return f"<{tag}>".encode() + data[self.inner : self.end] + more.encode()
 
-    def plus(self, counter: str, n: int) -> dict[str, str]:
-        """The counter raised by n; one that is no number counts as 0."""
-        old = self.attributes.get(counter, "").strip()
-        number = int(old) if re.fullmatch(r"\+?[0-9]+", old, re.ASCII) else 0
-        return {counter: str((number if number < 1 << 63 else 0) + n)}
-
 
 def _tag(name: str, attributes: dict[str, str | None]) -> str:
     quoted = lambda v: escape(v, {'"': "&quot;", "\n": "&#10;", "\r": "&#13;", "\t": "&#9;"})
@@ -150,18 +143,19 @@ def _found(data: bytes) -> tuple[_Element | None, _Element | None, list[_Element
     return named.get("COLLECTION"), named.get("NODE"), tracks_
 
 
-def rewritten(xml: str, folder: str, lists: list[dict], made: list[dict]) -> str:
-    """The document with a folder of playlists (name, keys) after all nodes below its root, and new tracks (doc_pos of the source, attributes) after all others."""
+def rewritten(xml: str, folder: str, lists: list[dict], made: list[dict], root_count: str, entries: str | None) -> str:
+    """The document with a folder of playlists (name, keys) after all nodes below its root, and new tracks (doc_pos of the source, attributes)
+    after all others; root_count and entries are the raised counters."""
     data = xml.encode()
     collection, root, own = _found(data)
     if root is None or (made and collection is None):
         raise ValueError("the document has no root node or no collection")
     inner = "".join(f"<{_tag('NODE', {'Name': x['name'], 'Type': '1', 'KeyType': '0', 'Entries': str(len(x['keys']))})}>" + "".join(f"<{_tag('TRACK', {'Key': k})}/>" for k in x["keys"]) + "</NODE>" for x in lists)
-    changed = [(root, root.grown(data, root.plus("Count", 1), f"<{_tag('NODE', {'Name': folder, 'Type': '0', 'Count': str(len(lists))})}>{inner}</NODE>"))]
+    changed = [(root, root.grown(data, {"Count": root_count}, f"<{_tag('NODE', {'Name': folder, 'Type': '0', 'Count': str(len(lists))})}>{inner}</NODE>"))]
     if made:
         parts = [(own[m["doc_pos"]], {k: v for k, v in m["attributes"].items() if v is not None}) for m in made]
         texts = [t.grown(data, new).decode() + ("" if t.empty else "</TRACK>") for t, new in parts]
-        changed.append((collection, collection.grown(data, collection.plus("Entries", len(made)), "".join(texts))))
+        changed.append((collection, collection.grown(data, {"Entries": entries}, "".join(texts))))
     out, at = [], 0
     for element, text in sorted(changed, key=lambda x: x[0].at):
         out += [data[at : element.at], text]
@@ -169,30 +163,45 @@ def rewritten(xml: str, folder: str, lists: list[dict], made: list[dict]) -> str
     return b"".join([*out, data[at:]]).decode()
 
 
-def _exported(rows: DataFrame, folder: str) -> DataFrame:
-    """collection_id, xml from rows collection_id, xml, lists, made."""
+def _exported(rows: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """keys, xml from rows keys, xml, lists, made, root_count, entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).to_pylist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([rewritten(row["xml"], folder, row["lists"], row["made"])], pa.string())], names=["collection_id", "xml"])
+                (row,) = batch.slice(i, 1).select(["xml", "lists", "made", "root_count", "entries"]).to_pylist()
+                text = rewritten(row["xml"], folder, row["lists"], row["made"], row["root_count"], row["entries"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in keys), pa.array([text], pa.string())], names=[*keys, "xml"])
 
-    return rows.mapInArrow(run, rows.select("collection_id", "xml").schema)
+    return rows.mapInArrow(run, rows.select(*keys, "xml").schema)
 
 
 def export_sorted(collections: DataFrame, sorted_entries: DataFrame, names: DataFrame, folder: str) -> DataFrame:
-    """collection_id, xml: each document with a folder of its sorted playlists. A collection's document is one row, as its file is one."""
+    """collection_id, xml: each document with a folder of its sorted playlists, for the collections that have any.
+
+    sorted_entries: what harmonic_sort returns; names: playlist_ord and name of the copies. A collection's document is one row, as its file is one.
+    """
     lists = sorted_entries.groupBy("collection_id", "playlist_ord").agg(F.sort_array(F.collect_list(F.struct("new_pos", "track_id")))["track_id"].alias("keys"))
     lists = names.select("collection_id", "playlist_ord", "name").join(lists, ["collection_id", "playlist_ord"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
     per = lists.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("playlist_ord", "name", "keys"))).alias("lists"))
     none = F.array().cast("array<struct<doc_pos:bigint>>").alias("made")
-    return _exported(collections.join(per, "collection_id").select("collection_id", "xml", F.transform("lists", lambda x: F.struct(x["name"].alias("name"), x["keys"].alias("keys"))).alias("lists"), none), folder)
+    rows = collections.join(per, "collection_id").select(
+        "collection_id", "xml", F.transform("lists", lambda x: F.struct(x["name"].alias("name"), x["keys"].alias("keys"))).alias("lists"), none,
+        bumped(F.col("doc.PLAYLISTS.NODE._Count"), 1).alias("root_count"), F.lit(None).cast("string").alias("entries"),
+    )
+    return _exported(rows, folder, ["collection_id"])
 
 
-def export_converted(collections: DataFrame, made: DataFrame, playlist_name: str, folder: str) -> DataFrame:
-    """collection_id, xml: each document with its new tracks (doc_pos is their source's), and a folder with their playlist."""
+def export_converted(collections: DataFrame, made: DataFrame, names: DataFrame, folder: str) -> DataFrame:
+    """collection_id, playlist_ord, xml: for each converted playlist its collection's document with the new tracks (doc_pos is their source's)
+    and a folder with the playlist, named as in names (collection_id, playlist_ord, name)."""
+    unit = ["collection_id", "playlist_ord"]
     attributes = F.struct(*[F.col(k).cast("string").alias(x) for x, k in RECOMPUTED.items()])
-    per = made.groupBy("collection_id").agg(F.sort_array(F.collect_list(F.struct("pos", "doc_pos", attributes.alias("attributes")))).alias("made"))
-    lists = F.array(F.struct(F.lit(playlist_name).alias("name"), F.transform("made", lambda m: m["attributes"]["TrackID"]).alias("keys"))).alias("lists")
-    return _exported(collections.join(per, "collection_id").select("collection_id", "xml", lists, F.transform("made", lambda m: F.struct(m["doc_pos"].alias("doc_pos"), m["attributes"].alias("attributes"))).alias("made")), folder)
+    per = made.groupBy(*unit).agg(F.sort_array(F.collect_list(F.struct("pos", "doc_pos", attributes.alias("attributes")))).alias("made"))
+    per = per.join(names.select(*unit, "name").distinct(), unit)
+    rows = collections.join(per, "collection_id").select(
+        *unit, "xml", F.array(F.struct("name", F.transform("made", lambda m: m["attributes"]["TrackID"]).alias("keys"))).alias("lists"),
+        F.transform("made", lambda m: F.struct(m["doc_pos"].alias("doc_pos"), m["attributes"].alias("attributes"))).alias("made"),
+        bumped(F.col("doc.PLAYLISTS.NODE._Count"), 1).alias("root_count"), bumped(F.col("doc.COLLECTION._Entries"), F.size("made")).alias("entries"),
+    )
+    return _exported(rows, folder, unit)
