@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import scratch_path, small_batches, steps, written
 from .tokens import encoder
 
+#: Documents whose offsets and ids a reader takes at a time.
+DOCS_AT_ONCE = 1000
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, path string, dtype string, n_docs long, n_tokens long"
 _FIELDS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -36,11 +38,13 @@ def filesystem(uri: str):
 def write_token_files(docs: DataFrame, folder: str, vocab: str = "byte_bpe_50k.json", end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of every whole text in ascending document id order; returns the manifest, one row for each partition.
 
-    Null texts count as empty: they have the end id only. A null id comes first. Repeated ids stay next to one another. An empty
-    table gives an empty manifest. Files of failed attempts keep other names, which no manifest row mentions.
+    Null texts count as empty: they have the end id only. A null id comes first. Rows of one id go by the hash of their text, so that
+    an id with any share of the rows is dealt to many partitions. An empty table gives an empty manifest. Columns of docs other than
+    these two aren't looked at, whatever their names. Files of failed attempts keep other names, which no manifest row mentions.
     """
     small_batches(docs.sparkSession)
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = filesystem(folder)
@@ -70,20 +74,28 @@ def write_token_files(docs: DataFrame, folder: str, vocab: str = "byte_bpe_50k.j
     return written(ordered.mapInArrow(write, MANIFEST), "token-manifest")
 
 
+def _array(store, path: str, dtype: str) -> Callable[[int, int], np.ndarray]:
+    """(first, last) -> those values of a file of numbers: through a memory map, or by reading that range where files aren't local."""
+    kind = np.dtype(dtype)
+    if store.type_name == "local":
+        return (lambda a, b, m=np.memmap(path, kind, "r"): m[a:b]) if store.get_file_info(path).size else lambda a, b: np.zeros(0, kind)
+    file = store.open_input_file(path)
+    return lambda a, b: np.frombuffer(file.read_at((b - a) * kind.itemsize, a * kind.itemsize), kind)
+
+
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """For each document in the files: doc_id, start (ids before it), n_tokens (with the end id), ids_crc32 of its uint32 ids."""
     based = manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = filesystem(folder)
-        local = store.type_name == "local"
         for batch in batches:
             for row in batch.to_pylist():
-                offsets, ids = (np.frombuffer(store.open_input_file(f"{row['path']}.{kind}").read(), "<i8") for kind in ("off", "doc"))
-                values = np.memmap(f"{row['path']}.bin", np.dtype(row["dtype"]), "r") if local else np.frombuffer(store.open_input_file(f"{row['path']}.bin").read(), np.dtype(row["dtype"]))
-                for a in range(0, len(ids), 10_000):
-                    at, own = offsets[a : a + 10_001], ids[a : a + 10_000]
-                    crc = [zlib.crc32(values[x:y].astype("<u4")) for x, y in zip(at[:-1], at[1:], strict=True)]
+                offsets, ids, values = (_array(store, f"{row['path']}.{kind}", dtype) for kind, dtype in (("off", "<i8"), ("doc", "<i8"), ("bin", row["dtype"])))
+                for a in range(0, row["n_docs"], DOCS_AT_ONCE):
+                    at, own = offsets(a, min(a + DOCS_AT_ONCE, row["n_docs"]) + 1), ids(a, min(a + DOCS_AT_ONCE, row["n_docs"]))
+                    held, edges = values(int(at[0]), int(at[-1])), (at - at[0]).tolist()
+                    crc = [zlib.crc32(held[x:y].astype("<u4")) for x, y in zip(edges[:-1], edges[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NO_ID), pa.array(at[:-1] + row["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())], schema=_FIELDS)
 
     return based.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

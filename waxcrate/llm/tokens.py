@@ -3,7 +3,9 @@
 The public BPE tokenizers cut a text before their merges, always between a letter and a following blank, line break or one of
 ``,.!?``, and before a blank between two visible characters. So a text has the ids of its pieces between such places, one after
 the other: each different piece goes to the library once and is kept in a bounded table that the Python worker reuses. Pieces of
-Latin letters go straight to the tokenizer's BPE model; any other piece, to its whole encoding.
+Latin letters go straight to the tokenizer's BPE model; any other piece, to its whole encoding. The text of a special token has
+the token's id, as the library gives it by default: such texts hold no blank and are no plain letters, so no cut falls inside one,
+which the encoder checks when it loads a vocabulary.
 """
 
 from __future__ import annotations
@@ -63,8 +65,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.keep = self.tokenizer.model, keep
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            if len(_PIECE.findall(f"a{token.content}a")) > 1 or _PLAIN.match(token.content) or token.lstrip or token.rstrip or token.single_word or token.normalized:
+                raise ValueError(f"the special token {token.content!r} doesn't stay in one piece")
         self.letters = byte_letters()
         self.spelt = {chr(i): "".join(self.letters[b] for b in chr(i).encode()) for i in range(128, 256)}
         ids = self.tokenizer.encode("A b", add_special_tokens=False).ids
@@ -134,8 +138,10 @@ def encoder(name: str) -> PieceEncoder:
 @lru_cache(maxsize=4)
 def byte_widths(name: str) -> np.ndarray:
     """Bytes of text that each id of a byte-level tokenizer stands for: its characters each stand for one byte."""
-    vocab = encoder(name).tokenizer.get_vocab(with_added_tokens=False)
-    widths = np.zeros(max(vocab.values()) + 1, np.int64)
-    for token, i in vocab.items():
+    t = encoder(name).tokenizer
+    widths = np.zeros(t.get_vocab_size(with_added_tokens=True), np.int64)
+    for token, i in t.get_vocab(with_added_tokens=False).items():
         widths[i] = len(token)
+    for i, token in t.get_added_tokens_decoder().items():
+        widths[i] = len(token.content.encode())
     return widths
