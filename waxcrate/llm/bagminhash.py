@@ -13,9 +13,9 @@ import numpy as np
 
 from .shingles import mixed
 
-#: Registers; bands of rows. Two documents of similarity 0.8 share a band with probability 1 - (1 - 0.8^5)^25 > 0.9999.
-BANDS, ROWS = 25, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 125
+#: Probability at most with which two documents just as similar as the threshold share no band, or agree in too few registers.
+MISS = 1e-4
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
@@ -59,12 +59,28 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGIS
     return out
 
 
-def bands(times: np.ndarray, count: int = BANDS) -> np.ndarray:
-    """A 64-bit key for each band of each row of times; keys of different bands differ."""
-    bits = mixed(times.view(np.uint64)).reshape(len(times), count, -1)
+def band_rows(threshold: float, registers: int = REGISTERS) -> int:
+    """Registers of a band: as many as keep the probability of sharing no band, (1 - threshold^rows)^(registers // rows), under MISS.
+
+    5 (25 bands) for 0.8, 2 for 0.5, 7 for 0.9.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and 1 at most")
+    return max(r for r in range(1, registers + 1) if r == 1 or (1 - threshold**r) ** (registers // r) <= MISS)
+
+
+def least_agreeing(threshold: float, registers: int = REGISTERS) -> int:
+    """Registers in which two documents at least as similar as the threshold agree, but for one pair in 10^7: the mean less 5.5 deviations."""
+    return max(1, int(registers * threshold - 5.5 * (registers * threshold * (1 - threshold)) ** 0.5))
+
+
+def bands(times: np.ndarray, rows: int) -> np.ndarray:
+    """A 64-bit key for each band of rows registers of each row of times; keys of different bands differ. Registers left over are in no band."""
+    count = times.shape[1] // rows
+    bits = mixed(np.ascontiguousarray(times[:, : count * rows]).view(np.uint64)).reshape(len(times), count, rows)
     with np.errstate(over="ignore"):
         key = np.zeros((len(times), count), np.uint64) + np.arange(1, count + 1, dtype=np.uint64)
-        for k in range(bits.shape[2]):
+        for k in range(rows):
             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + bits[:, :, k])
     return key.view(np.int64)
 
