@@ -1,15 +1,20 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows, a multi-index over their blocks, exact verification.
 
-An item of n words is looked for in windows of n words. A window that shares no five-word shingle with any item has similarity 0
-with all of them, so only windows that some shared shingle lines up with an item are fingerprinted (a shingle at word p of the
-text and q of an item gives the window at p - q, moved inside the text). Fingerprints are weighted SimHashes of the words, 60 bits
-in 5 blocks of 12. Two within 19 bits agree up to 3 bits in some block, so an index with all 299 near values of each item's blocks
-finds every item within the radius; only items of the window's size are looked up. What is found is verified by the exact
-weighted Jaccard similarity of the shingles. DataFrame functions only.
+An item of n words is looked for in windows of n words. Fingerprints are weighted SimHashes of the words, 60 bits in 5 blocks of 12.
+Two within the radius agree, up to a fifth of it, in some block, so an index with all near values of each item's blocks finds every
+item within the radius; only items of the window's size are looked up. What is found is verified by the exact weighted Jaccard
+similarity of the shingles.
+
+Which windows are fingerprinted: a window and an item with v and m shingles that are at least t similar share t / (1 + t) * (v + m)
+of them or more. So a text's positions that hold a shingle of the item are gathered, and all windows, and only those, that hold that
+many of them go on: no window of similarity t or more is missed. The radius follows from the threshold too: such a window may differ
+in a share d = (1 - t) / (1 + t) of its words, so in each bit with probability acos(1 - d) / pi; it is the mean of that and three and
+a half deviations, 19 bits for 0.8. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -21,9 +26,14 @@ from .common import hashed, let, shingles_of, word_array, written
 THRESHOLD, WIDTH = 0.8, 5
 BLOCKS, BLOCK_BITS, LANES = 5, 12, 3
 BITS = BLOCKS * BLOCK_BITS
-RADIUS = 19
-#: Rows of the items' shingle table up to which it is broadcast: 24 bytes each, so 24 MB. More are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of the items' shingle table up to which it is broadcast: 32 bytes each, so 32 MB. A larger one is joined by shuffle, in so
+#: many parts a shingle, so that a passage that most texts share isn't one task.
+BROADCAST_ROWS, SALTS = 1_000_000, 16
+
+
+def radius(threshold: float) -> int:
+    p = math.acos(2 * threshold / (1 + threshold)) / math.pi
+    return min(BITS, math.ceil(BITS * p + 3.5 * math.sqrt(BITS * p * (1 - p))))
 
 
 def simhash(hashes: Column) -> Column:
@@ -48,9 +58,9 @@ def block(fingerprint: Column, b: int) -> Column:
     return F.shiftrightunsigned(fingerprint, BLOCK_BITS * b).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
 
 
-def near_masks() -> list[int]:
-    """What a block may differ by: up to RADIUS // BLOCKS bits."""
-    return [sum(1 << i for i in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), n)]
+def near_masks(within: int) -> list[int]:
+    """What a block may differ by: up to within // BLOCKS bits."""
+    return [sum(1 << i for i in c) for n in range(min(within // BLOCKS, BLOCK_BITS) + 1) for c in combinations(range(BLOCK_BITS), n)]
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -66,40 +76,63 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
     return let(a, lambda x: let(b, lambda y: of(x, y)))
 
 
+def candidate_starts(positions: Column, shingles: Column, needed: Column, last: Column) -> Column:
+    """All starts from 0 to last of windows of so many shingles that hold at least needed of the sorted positions."""
+
+    def of(p: Column) -> Column:
+        def through(i: Column) -> Column:
+            low, high = F.greatest(F.lit(0), F.get(p, i + needed - 1) - shingles + 1), F.least(F.get(p, i), last)
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - needed), through)))
+
+    return F.when(F.size(positions) >= needed, let(positions, of)).otherwise(F.array().cast("array<int>"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Rows doc_id, key (hash of the text), item_id, similarity, start (word of the best window, the first of equals), once each.
 
-    Items and texts with fewer than five words match nothing, nor do nulls. Of items with the same text each is reported. Repeated
-    rows of docs count once; documents with one id but different texts are told apart by key.
+    Items and texts with fewer than five words match nothing, nor do nulls; an empty table gives an empty result. A text shorter than
+    the item is one window. Of items with the same text each is reported. Repeated rows of docs count once; documents with one id
+    but different texts are told apart by key. Other columns of either table are not looked at, whatever their names.
     """
+    within = radius(threshold)
     own = items.select(F.col(item_id).alias("item_id"), hashed(word_array(F.col(item_text))).alias("h")).where(F.size("h") >= WIDTH)
     own = own.select("item_id", F.size("h").alias("size"), simhash(F.col("h")).alias("item_print"), shingles_of(F.col("h")).alias("item_shingles"))
-    own = written(own, "items")
-    places = written(own.select("size", F.posexplode("item_shingles").alias("at", "shingle")).distinct(), "item-shingles")
+    own = written(own.withColumn("item", F.monotonically_increasing_id()), "items")
+    places = written(own.select("item", "size", F.explode(F.array_distinct("item_shingles")).alias("shingle")), "item-shingles")
     small = places.count() <= BROADCAST_ROWS
 
     bodies = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), word_array(F.col(text)).alias("words"))
     runs = bodies.select("doc_id", "key", F.size("words").alias("n"), shingles_of(hashed(F.col("words"))).alias("s")).select("doc_id", "key", "n", F.posexplode("s").alias("pos", "shingle"))
-    hits = runs.join(F.broadcast(places) if small else places, "shingle")
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("size")))
-    windows = hits.select("doc_id", "key", start.alias("start"), "size").distinct()
-    by_doc = written(windows.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "size")).alias("windows")), "windows")
+    if small:
+        hits = runs.join(F.broadcast(places), "shingle")
+    else:
+        parts = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = runs.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key", "pos"), F.lit(SALTS)).cast("int")).join(parts, ["shingle", "salt"])
+    together = hits.groupBy("doc_id", "key", "n", "item", "size").agg(F.sort_array(F.collect_set("pos")).alias("at"))  # no more than the text has words
+    length, whole = F.least("n", "size"), F.col("size") - (WIDTH - 1)
+    needed = F.ceil(threshold / (1 + threshold) * (length - (WIDTH - 1) + whole) - 1e-9).cast("int")
+    starts = candidate_starts(F.col("at"), length - (WIDTH - 1), F.greatest(F.lit(1), needed), F.col("n") - length)
+    windows = together.select("doc_id", "key", "size", starts.alias("starts")).where(F.size("starts") > 0)
+    by_doc = windows.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("starts", lambda x: F.struct(x.alias("start"), F.col("size").alias("size")))))).alias("windows"))
+    by_doc = written(by_doc, "windows")
 
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
-    whole = by_doc.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")))
+    full = by_doc.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")))
     cut = let(hashed(word_array(F.col("text"))), lambda h: F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice(h, w["start"] + 1, w["size"]).alias("h"))))
-    each = whole.select("doc_id", "key", F.explode(cut).alias("w")).select("doc_id", "key", "w.start", "w.size", "w.h")
+    each = full.select("doc_id", "key", F.explode(cut).alias("w")).select("doc_id", "key", "w.start", "w.size", "w.h")
     printed = each.withColumn("print", simhash(F.col("h")))
 
     parts = lambda f: F.array(*[F.struct(F.lit(b).alias("b"), block(F.col(f), b).alias("v")) for b in range(BLOCKS)])
-    near = F.explode(F.array(*[F.lit(m).cast("long") for m in near_masks()]))
-    index = own.select("item_id", "size", "item_print", F.explode(parts("item_print")).alias("p")).withColumn("mask", near).select("item_id", "size", "item_print", F.col("p.b").alias("b"), F.col("p.v").bitwiseXOR(F.col("mask")).alias("v"))
+    near = F.explode(F.array(*[F.lit(m).cast("long") for m in near_masks(within)]))
+    index = own.select("item", "size", "item_print", F.explode(parts("item_print")).alias("p")).withColumn("mask", near).select("item", "size", "item_print", F.col("p.b").alias("b"), F.col("p.v").bitwiseXOR(F.col("mask")).alias("v"))
     index = written(index, "item-index")
     found = printed.select("*", F.explode(parts("print")).alias("p")).select("doc_id", "key", "start", "size", "h", "print", "p.b", "p.v").join(index, ["size", "b", "v"])
     apart = F.col("print").bitwiseXOR(F.col("item_print"))
-    earlier = reduce(lambda a, b: a | b, [(F.col("b") > b) & (F.bit_count(block(apart, b)) <= RADIUS // BLOCKS) for b in range(BLOCKS - 1)])
-    found = found.where((F.bit_count(apart) <= RADIUS) & ~earlier)  # once for each window and item: at the first block that finds it
-    scored = found.select("doc_id", "key", "start", "item_id", shingles_of(F.col("h")).alias("s")).join(own.select("item_id", "item_shingles"), "item_id")
+    earlier = reduce(lambda a, b: a | b, [(F.col("b") > b) & (F.bit_count(block(apart, b)) <= within // BLOCKS) for b in range(BLOCKS - 1)])
+    found = found.where((F.bit_count(apart) <= within) & ~earlier)  # once for each window and item: at the first block that finds it
+    scored = found.select("doc_id", "key", "start", "item", shingles_of(F.col("h")).alias("s")).join(own.select("item", "item_id", "item_shingles"), "item")
     scored = scored.withColumn("similarity", weighted_jaccard(F.col("s"), F.col("item_shingles"))).where(F.col("similarity") >= threshold)
     best = scored.groupBy("doc_id", "key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "key", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start"))
