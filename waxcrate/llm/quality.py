@@ -1,12 +1,14 @@
 """Quality rules: robust multivariate outliers, by minimum-covariance-determinant estimates for each language and source.
 
-Every text gives counts, and from them a vector of transformed rates. For each (lang, source) the estimate starts at medians and
-median absolute deviations; concentration steps then take the mean and covariance of the share of rows that are nearest so far,
-and a last step reweights with all rows inside the 97.5 % bound. Rates that hardly vary in a group (no symbols anywhere, say) would
-make its covariance singular, so each rate has a least standard deviation, added to the diagonal. A row is rejected when its
-squared Mahalanobis distance is over the chi-square bound. A group too small for an estimate of its own is judged by that of all
-rows of its language, and where those are too few as well, by that of all rows. All of it is DataFrame expressions and grouped sums:
-a group of any size is pre-aggregated, and only one row of estimates a group moves.
+Every text gives counts, and from them a vector of transformed rates. For each (lang, source) three estimates start at the medians:
+with the median absolute deviations alone, with the covariance of the rows' directions (spatial signs), and with that of their
+squashed values (tanh). Concentration steps take the mean and covariance of the share of rows that are nearest so far, which never
+raises the determinant. After two steps the start with the least determinant goes on until none falls any more; a last step
+reweights with all rows inside the 97.5 % bound. Rates that hardly vary in a group (no symbols anywhere, say) would make its
+covariance singular, so each rate has a least standard deviation, added to the diagonal. A row is rejected when its squared
+Mahalanobis distance is over the chi-square bound. A group too small for an estimate of its own is judged by that of all rows of its
+language, and where those are too few as well, by that of all rows. All of it is DataFrame expressions and grouped sums over all
+rows: a group of any size is pre-aggregated, and only one row of estimates a group and start moves.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import discard, let, written
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rates of the vector, with the least standard deviation of each.
 RATES = {"length": 0.06, "symbols": 0.25, "capitals": 0.15, "marks": 0.25, "lines": 0.3, "repeats": 0.25}
 P = len(RATES)
-#: Share of rows in a concentration step, steps, rows that an estimate needs, and the level of rejection.
-SHARE, STEPS, LEAST_ROWS, LEVEL = 0.75, 3, 30, 0.99999
+#: Share of rows in a concentration step, steps of all starts, rows that an estimate needs, and the level of rejection.
+SHARE, FIRST_STEPS, LEAST_ROWS, LEVEL = 0.75, 2, 30, 0.99999
+#: Logarithm by which the determinant of some group must fall for another step.
+LEAST_FALL = 1e-6
 _BLANK = r"[\x20\x09-\x0D]"
 
 
@@ -90,7 +94,7 @@ def statistics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 
 def _precision(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
-    """Means m* and the inverse p* of factor times the covariance c*, with the least deviations on its diagonal."""
+    """Means m* and the inverse p* of factor times the covariance c*, with the least deviations on its diagonal; det, the logarithm of its determinant."""
     floors = list(RATES.values())
     t = moments.withColumns({f"c{i}{j}": F.col(f"c{i}{j}") * factor + (floors[i] ** 2 if i == j else 0.0) for i in range(P) for j in range(i + 1)})
     for j in range(P):  # Cholesky: c = l l'
@@ -102,7 +106,8 @@ def _precision(moments: DataFrame, keys: list[str], factor: float) -> DataFrame:
         for i in range(j + 1, P):
             t = t.withColumn(f"k{i}{j}", -reduce(add, [F.col(f"l{i}{k}") * F.col(f"k{k}{j}") for k in range(j, i)]) / F.col(f"l{i}{i}"))
     precision = {f"p{i}{j}": reduce(add, [F.col(f"k{k}{i}") * F.col(f"k{k}{j}") for k in range(i, P)]) for i in range(P) for j in range(i + 1)}
-    return t.select(*keys, *[f"m{i}" for i in range(P)], *[v.alias(k) for k, v in precision.items()])
+    det = 2 * reduce(add, [F.log(f"l{j}{j}") for j in range(P)])
+    return t.select(*keys, *[f"m{i}" for i in range(P)], *[v.alias(k) for k, v in precision.items()], det.alias("det"))
 
 
 def _distance() -> Column:
@@ -117,17 +122,57 @@ _ANY = "*"
 BROADCAST_GROUPS, SALTS = 20_000, 64
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame, small: bool, how: str = "inner") -> DataFrame:
-    """rows with the row of their group. A group may hold any share of the rows, so it isn't gathered: groups go to the rows."""
+def _with_groups(rows: DataFrame, groups: DataFrame, small: bool, how: str = "inner", keys: list[str] = _KEYS) -> DataFrame:
+    """rows with the row, or rows, of their group. A group may hold any share of the rows, so it isn't gathered: groups go to the rows."""
     if small:
-        return rows.join(F.broadcast(groups), _KEYS, how)
+        return rows.join(F.broadcast(groups), keys, how)
     salted = rows.withColumn("q_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    return salted.join(groups.withColumn("q_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*_KEYS, "q_salt"], how).drop("q_salt")
+    return salted.join(groups.withColumn("q_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "q_salt"], how).drop("q_salt")
 
 
-def _moments(rows: DataFrame) -> DataFrame:
+_STARTS = [*_KEYS, "start"]
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     sums = [F.avg(f"q_x{i}").alias(f"m{i}") for i in range(P)]
-    return rows.groupBy(*_KEYS).agg(*sums, *[F.covar_pop(f"q_x{i}", f"q_x{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+    return rows.groupBy(*keys).agg(*sums, *[F.covar_pop(f"q_x{i}", f"q_x{j}").alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
+
+
+def _starts(rows: DataFrame, small: bool) -> DataFrame:
+    """Three first estimates of each group, all at its medians."""
+    floors = list(RATES.values())
+    medians = [F.percentile_approx(f"q_x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)]
+    centre = written(rows.groupBy(*_KEYS).agg(*medians), "mcd-centre")
+    apart = _with_groups(rows, centre, small)
+    spread = apart.groupBy(*_KEYS).agg(*[F.percentile_approx(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
+    scaled = spread.select(*_KEYS, *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(floors[i])).alias(f"s{i}") for i in range(P)], *[(1.4826 * F.col(f"s{i}")).alias(f"w{i}") for i in range(P)])
+    scale = written(scaled.join(centre, _KEYS), "mcd-scale")
+    z = _with_groups(rows, scale, small).select(*_KEYS, *[((F.col(f"q_x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(P)])
+    z = z.withColumn("zz", reduce(add, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)]))
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    sums = z.groupBy(*_KEYS).agg(
+        *[F.avg(F.when(F.col("zz") > 0, F.col(f"z{i}") * F.col(f"z{j}") / F.col("zz")).otherwise(0.0)).alias(f"a{i}{j}") for i, j in pairs],
+        *[F.covar_pop(F.tanh(f"z{i}"), F.tanh(f"z{j}")).alias(f"b{i}{j}") for i, j in pairs],
+    )
+    t = sums.join(scale, _KEYS)
+    kinds = (
+        lambda i, j: F.col(f"w{i}") ** 2 if i == j else F.lit(0.0),
+        lambda i, j: P * F.col(f"a{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}"),
+        lambda i, j: F.col(f"b{i}{j}") * F.col(f"s{i}") * F.col(f"s{j}"),
+    )
+    each = [F.struct(F.lit(k).alias("start"), *[kind(i, j).alias(f"c{i}{j}") for i, j in pairs]) for k, kind in enumerate(kinds)]
+    every = t.select(*_KEYS, *[f"m{i}" for i in range(P)], F.explode(F.array(*each)).alias("x")).select(*_KEYS, *[f"m{i}" for i in range(P)], "x.*")
+    found = written(_precision(every, _STARTS, 1.0), "mcd-start")
+    discard(centre, scale)
+    return found
+
+
+def _concentrated(rows: DataFrame, found: DataFrame, small: bool) -> DataFrame:
+    """The estimates from the share of rows that are nearest by found, for each start."""
+    far = _with_groups(rows, found, small).withColumn("d", _distance())
+    bound = far.groupBy(*_STARTS).agg(F.percentile_approx("d", SHARE, 10_000).alias("bound"))
+    near = _with_groups(far, bound, small, keys=_STARTS).where("d <= bound")
+    return written(_precision(_moments(near, _STARTS), _STARTS, consistency(SHARE, P)), "mcd-step")
 
 
 def pools(stats: DataFrame) -> DataFrame:
@@ -158,20 +203,27 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
     passed = stats.where(~F.col("q_base_failed")).select(*_KEYS, *[f"q_x{i}" for i in range(P)])
     apart = _with_groups(passed, placed.select(*_KEYS, "joined"), small).withColumn("pool", F.explode("joined"))
     rows = written(apart.select("pool.*", *[f"q_x{i}" for i in range(P)]), "mcd-rows")
-    centre = rows.groupBy(*_KEYS).agg(*[F.percentile_approx(f"q_x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)])
-    centre = written(centre, "mcd-centre")
-    spread = _with_groups(rows, centre, small).groupBy(*_KEYS).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile_approx(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
-    start = spread.withColumns({f"c{i}{j}": (1.4826 * F.col(f"s{i}")) ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)})
-    found = written(_precision(start, _KEYS, 1.0), "mcd-start")
-    for _ in range(STEPS):
-        far = _with_groups(rows, found, small).withColumn("d", _distance())
-        bound = written(far.groupBy(*_KEYS).agg(F.percentile_approx("d", SHARE, 10_000).alias("bound")), "mcd-bound")
-        found = written(_precision(_moments(_with_groups(far, bound, small).where("d <= bound")), _KEYS, consistency(SHARE, P)), "mcd-step")
+    found = _starts(rows, small)
+    for _ in range(FIRST_STEPS):
+        found, old = _concentrated(rows, found, small), found
+        discard(old)
+    best = found.groupBy(*_KEYS).agg(F.min_by(F.struct(*[c for c in found.columns if c not in _KEYS]), F.struct("det", "start")).alias("x"))
+    found, old = written(best.select(*_KEYS, "x.*"), "mcd-best"), found
+    discard(old)
+    while True:
+        after = _concentrated(rows, found, small)
+        fell = after.join(found.select(*_STARTS, F.col("det").alias("before")), _STARTS).where(F.col("det") < F.col("before") - LEAST_FALL)
+        if fell.isEmpty():
+            discard(after)
+            break
+        discard(found)
+        found = after
     inside = _with_groups(rows, found, small).where(_distance() <= chi_square_quantile(0.975, P))
-    found = written(_precision(_moments(inside), _KEYS, consistency(0.975, P)), "mcd-final")
+    found, old = written(_precision(_moments(inside, _KEYS), _KEYS, consistency(0.975, P)), "mcd-final"), found
     judged = placed.select(*[F.col(k).alias(f"own_{k}") for k in _KEYS], "judge.*").where(F.col("q_k0").isNotNull())
-    own = _with_groups(judged, found, small).drop(*_KEYS).withColumnsRenamed({f"own_{k}": k for k in _KEYS})
-    return written(own, "mcd-groups-final"), small
+    own = written(_with_groups(judged, found, small).drop(*_KEYS).withColumnsRenamed({f"own_{k}": k for k in _KEYS}), "mcd-groups-final")
+    discard(old, found, rows, placed)
+    return own, small
 
 
 def quality(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", level: float = LEVEL, keep: list[str] | None = None) -> DataFrame:
