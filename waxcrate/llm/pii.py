@@ -2,19 +2,23 @@
 
 Each value found is validated (check digits, octets, calendar), then permuted under a key within its own format by a Feistel
 network over its digits or letters, walking on until the result is valid too. Being permutations, they keep different values
-apart and give equal values equal pseudonyms, in all documents. The key is a parameter; without it they can't be undone.
-
-Formats: e-mail addresses (the local part; the domain stays), 13 to 19-digit card numbers with a valid check digit (the pseudonym
-has one too), phone numbers (country code stays, area codes don't begin with 0), IPv4 addresses, dates (ISO, or with / and the
-year last; the years 1900 to 2099 are permuted as days, so a date is the same day in either form), US social security numbers,
-access keys of the form AKIA and 16 letters or digits, values of password= and the like in any case (a quoted value up to its
-closing quote), and quoted runs of 40 hex digits of either case (which stays).
+apart and give equal values equal pseudonyms, in all documents and in all spellings of one value. The key is a parameter without a
+default: who holds it can undo them.
+
+Formats: e-mail addresses (the local part, without regard to case; the domain stays), 13 to 19-digit card numbers with a valid check
+digit (the pseudonym has one too), phone numbers (the country code stays; with or without blanks and brackets a number has one
+pseudonym, and North American ones also without their country code), IPv4 and IPv6 addresses, IBANs (country and form stay, check
+digits fit), dates (ISO, or with / and the year last; the years 1900 to 2099 are permuted as days, so a date is the same day in
+either form), US social security numbers, access keys of the form AKIA and 16 letters or digits, values of password= and the like in
+any case (a quoted value up to its closing quote; after a colon, a plain word counts only where the name begins a line or an entry,
+and never for secret and token, so prose stays), and quoted runs of 40 hex digits of either case (which stays).
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -26,23 +30,29 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-KINDS = ("email", "card", "phone", "ipv4", "date", "ssn", "access_key", "password", "hex_secret")
+KINDS = ("email", "card", "phone", "ipv4", "date", "ssn", "access_key", "password", "hex_secret", "ipv6", "iban")
 ROUNDS = 8
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
+#: Country codes of telephone numbers with one and with two digits; all others have three (fixed values).
+_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _SECRET_NAME = r"\b(?i:password|passwd|pwd|secret|token|api_key)[\"']?\s?"
+_PLAIN_NAME = r"(?m:^\s*|[{,;(]\s*)[\"']?(?i:password|passwd|pwd|api_key)[\"']?\s?"
 _FOUND = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     rf"|(?P<password>{_SECRET_NAME}[=:]\s?(?![\"'][0-9A-Fa-f]{{40}}[\"']))(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n]){{6,}})(?P=quote)|[\"']?(?P<secret>[^\s\"',;]{{6,}}))"
     r"|(?P<access_key>\bAKIA[0-9A-Z]{16}\b)"
     r"|(?P<hex_secret>(?<=[\"'])[0-9A-Fa-f]{40}(?=[\"']))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,3}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w.-])[2-9]\d\d(?P<dash>[.-])\d{3}(?P=dash)\d{4}(?![\w-]|\.\d))"
     r"|(?P<ipv4>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\w/-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\w/-]))"
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?![\w-]))"
 )
 _MAYBE = re.compile(rf"[0-9@=]|[\"'][A-Fa-f]{{40}}[\"']|{_SECRET_NAME}:")
+_PLAIN = re.compile(rf"{_PLAIN_NAME}:\s?\Z")
 
 
 class Permutation:
@@ -92,6 +102,11 @@ def check_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def iban_check(country: str, body: str) -> str:
+    """The check digits of an IBAN."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02}"
+
+
 def _fill(pattern: str, digits: str) -> str:
     """pattern with its digits replaced."""
     new = iter(digits)
@@ -111,7 +126,8 @@ def pseudonym(kind: str, value: str, p: Permutation) -> str | None:
     """The pseudonym of a value of that kind; None if the value isn't valid."""
     if kind == "email":
         local, _, domain = value.rpartition("@")
-        return p.shape(local, "email") + "@" + domain
+        made = p.shape(local.lower(), "email")
+        return "".join(m.upper() if c.isupper() else m for m, c in zip(made, local, strict=True)) + "@" + domain
     if kind == "card":
         digits = re.sub(r"\D", "", value)
         if check_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
@@ -119,15 +135,31 @@ def pseudonym(kind: str, value: str, p: Permutation) -> str | None:
         new = p.text(digits[:-1], DIGITS, "card")
         return _fill(value, new + check_digit(new))
     if kind == "phone":
-        head = re.match(r"\+\d{1,3}(?=[ .(-])|", value)[0]
-        digits = re.sub(r"\D", "", value[len(head) :])
-        if not 7 <= len(digits) + len(re.sub(r"\D", "", head)) <= 15:
+        digits = re.sub(r"\D", "", value)
+        code = _CODES.match(digits)[0] if value[0] == "+" and _CODES.match(digits) else "" if value[0] == "+" else "1"
+        own = digits[len(code) :] if value[0] == "+" else digits
+        if not 7 <= len(code + own) <= 15 or len(own) < 4:
             return None
-        first = digits[0] != "0"
+        kept = lambda d: [d[0] != "0", *([d[0] in "23456789", d[3] in "23456789"] if code == "1" and len(d) == 10 else [])]
+        form = kept(own)
         while True:
-            digits = p.text(digits, DIGITS, "phone")
-            if not first or digits[0] != "0":
-                return head + _fill(value[len(head) :], digits)
+            own = p.text(own, DIGITS, f"phone|{code}")
+            if kept(own) == form:
+                return _fill(value, digits[: len(digits) - len(own)] + own)
+    if kind == "ipv6":
+        if not re.search(r"\d", value) or len(value) < 6:
+            return None
+        try:
+            return str(ipaddress.IPv6Address(p.number(int(ipaddress.IPv6Address(value)), 1 << 128, "ipv6")))
+        except ipaddress.AddressValueError:
+            return None
+    if kind == "iban":
+        compact = value.replace(" ", "")
+        if iban_check(compact[:2], compact[4:]) != compact[2:4]:
+            return None
+        body = p.shape(compact[4:], f"iban|{compact[:2]}")
+        new = iter(compact[:2] + iban_check(compact[:2], body) + body)
+        return "".join(c if c == " " else next(new) for c in value)
     if kind == "ipv4":
         octets = [int(x) for x in value.split(".")]
         if max(octets) > 255:
@@ -180,6 +212,8 @@ def replacer(key: str) -> Callable[[str], tuple[str, list[int]]]:
         def one(m: re.Match) -> str:
             kind = next(k for k in KINDS if m[k] is not None)
             part = 0 if kind != "password" else "secret" if m["quoted"] is None else "quoted"
+            if part == "secret" and m["password"].rstrip().endswith(":") and re.fullmatch(r"[^\W\d_]+[.!?)]*", m["secret"]) and not _PLAIN.search(text, max(0, m.start() - 80), m.start("secret")):
+                return m[0]  # a word of prose
             new = of(kind, m[part])
             if new is None:
                 return m[0]
@@ -191,12 +225,15 @@ def replacer(key: str) -> Callable[[str], tuple[str, list[int]]]:
     return replace
 
 
-def pseudonymised(docs: DataFrame, key: str = "waxcrate", text: str = "text") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """docs with its text pseudonymised, and pii_<kind> (int) for each kind: how many values were replaced.
 
     Numbers that only look like a format (no valid check digit, no such day, an octet over 255) stay. Null texts stay null, with
-    counts of 0. Every row is its own; repeated rows give equal results. Columns of docs named pii_<kind> are replaced.
+    counts of 0; empty ones stay empty, and an empty table gives an empty result. Every row is its own; repeated rows give equal
+    results. Columns of docs named pii_<kind> are replaced. An empty key is an error.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     small_batches(docs.sparkSession)
     counts = [f"pii_{k}" for k in KINDS]
     names = [c for c in docs.columns if c not in counts]

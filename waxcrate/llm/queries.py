@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The setting spark.waxcrate.pseudonym.key; without it a fresh one, so pseudonyms are linked within this run only."""
+    return spark.conf.get("spark.waxcrate.pseudonym.key", None) or secrets.token_hex(32)
+
+
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import token_file_rows
@@ -72,7 +78,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, pseudonymised
 
-    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", *[f"pii_{k}" for k in KINDS])
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark)).select("doc_id", "text", *[f"pii_{k}" for k in KINDS])
 
 
 def _licence_sql() -> str:
