@@ -2,9 +2,9 @@
 
 A word's input is its own hashed embedding beside the mean embedding of its hashed character trigrams, so unseen words and
 spellings still say something. A text is read in overlapping windows of its words, all of them; each window's states are pooled
-by attention into a logit, and the text's score is that of its highest window. Training takes each text's highest window as it
-stands (at first any window), for toxic and clean texts alike. It runs on the driver over a bounded sample of labelled rows;
-scoring runs in the executors, where each different word's inputs are projected once and kept in a bounded table.
+by attention into a logit, and the text's score is that of its highest window. Training takes each text's highest window of all
+that it has, as the network stands (at first any window, then looked for anew every few epochs), for toxic and clean texts alike. It
+runs on the driver over a bounded sample of labelled rows, whole texts; scoring runs in the executors, where each different word's inputs are projected once and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .common import small_batches, steps
 #: Words of a window and words between windows; buckets and width of the embeddings; width of the states and of the attention.
 WINDOW, STRIDE = 64, 48
 WORD_BUCKETS, CHAR_BUCKETS, EMBED, HIDDEN, ATTEND = 1 << 15, 1 << 13, 12, 12, 8
-#: Labelled texts taken for training, of each class at most; windows of one text looked at in an epoch; epochs and steps, at least.
-SAMPLE, TRAIN_WINDOWS, EPOCHS, LEAST_STEPS = {1: 800, 0: 2000}, 12, 9, 250
+#: Labelled texts taken for training, of each class at most; epochs and steps, at least; the share of epochs that look for the highest windows anew.
+SAMPLE, EPOCHS, LEAST_STEPS, LOOKS = {1: 800, 0: 2000}, 9, 250, 0.34
 #: Weight decay of the embeddings; words that a worker keeps, and windows of a step.
 DECAY = 2e-5
 KEPT_WORDS, WINDOWS_AT_ONCE = 200_000, 2048
@@ -215,10 +215,10 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 7
     step = 0
     epochs = max(epochs, -(-LEAST_STEPS // -(-len(own) // batch)))
     for epoch in range(epochs):
-        some = [c if len(c) <= TRAIN_WINDOWS else c[rng.choice(len(c), TRAIN_WINDOWS, replace=False)] for c in (cut[i] for i in own)]
+        some = [cut[i] for i in own]
         if epoch < epochs // 4:
             chosen = np.array([c[rng.integers(len(c))] for c in some])
-        else:
+        elif (epoch - epochs // 4) % max(1, round(1 / LOOKS)) == 0:
             sizes = np.array([len(c) for c in some])
             score = logits(p, project(p, embedded(p, *inputs.tables())), np.concatenate(some))
             edges = np.cumsum(sizes) - sizes
@@ -291,7 +291,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[str,
 
 
 def score(docs: DataFrame, parameters: dict[str, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1), predicted (1 from 0.5 on) for each row of docs. A text without words, or null, scores 0."""
+    """doc_id, score (0 to 1), predicted (1 from 0.5 on) for each row of docs. A text without words, or null, scores 0.
+
+    Repeated rows are scored each time, alike; null ids stay null; an empty table gives an empty result. Other columns of docs are
+    not looked at, whatever their names.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parameters)
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
