@@ -131,23 +131,34 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(a) + len(b) - shared)
 
 
-def joining_links(left: list[np.ndarray], right: list[np.ndarray], classes: list, marks: np.ndarray, least: int, threshold: float) -> list[tuple[int, int]]:
-    """Of all links between left and right as many as join their classes: places in left and right; classes and marks are left's, then right's."""
-    root: dict = {c: c for c in classes}
+#: Candidates of a node up to which each is compared on its own; more are scored at once, with all nodes of the other block.
+FEW = 8
 
-    def find(c):
-        while root[c] != c:
-            root[c] = c = root[root[c]]
-        return c
 
+def joining_links(left: list[np.ndarray], right: list[np.ndarray], classes: list, marks: np.ndarray, least: int, threshold: float) -> list[tuple[int, int]]:
+    """Of all links between left and right as many as join their classes: places in left and right; classes and marks are left's, then right's."""
     n, out = len(left), []
+    code = np.unique([str(c) for c in classes], return_inverse=True)[1] if len(classes) else np.zeros(0, np.int64)
+    root = np.arange(len(classes))  # of each code
     sizes = np.array([len(x) for x in left], np.int64)
+    flat = np.concatenate(left) if left else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(n), sizes)[order]
     for j, own in enumerate(right):
-        near = (np.minimum(sizes, len(own)) >= threshold * np.maximum(sizes, len(own)) - 1e-9) & ((marks[:n] == marks[n + j]).sum(axis=1) >= least)
-        for i in np.flatnonzero(near).tolist():
-            a, b = find(classes[i]), find(classes[n + j])
+        apart = root[code[:n]] != root[code[n + j]]
+        apart &= np.minimum(sizes, len(own)) >= threshold * np.maximum(sizes, len(own)) - 1e-9
+        some = np.flatnonzero(apart)
+        some = some[(marks[some] == marks[n + j]).sum(axis=1) >= least]
+        if len(some) > FEW:
+            lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            times = hi - lo
+            hits = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            shared = np.bincount(owner[hits], minlength=n)[some]
+            some = some[shared >= threshold * (sizes[some] + len(own) - shared)]
+        for i in some.tolist():
+            a, b = root[code[i]], root[code[n + j]]
             if a != b and overlap(left[i], own) >= threshold:
-                root[a] = b
+                root[root == a] = b
                 out.append((i, j))
     return out
 
