@@ -184,13 +184,14 @@ def pools(stats: DataFrame) -> DataFrame:
     groups = stats.groupBy(*_KEYS).agg(F.count_if(~F.col("q_base_failed")).alias("n"))
     groups = written(groups, "mcd-groups")
     langs = groups.groupBy("q_k0").agg(F.sum("n").alias("of_lang"), (F.min("n") < LEAST_ROWS).alias("lang_judges"))
-    every = langs.agg(F.sum("of_lang").alias("of_all"), F.max((F.col("of_lang") < LEAST_ROWS)).alias("all_judge"))
+    every = langs.agg(F.coalesce(F.sum("of_lang"), F.lit(0)).alias("of_all"), F.coalesce(F.max(F.col("of_lang") < LEAST_ROWS), F.lit(False)).alias("all_judge")).first()
     pool = lambda a, b: F.struct(a.alias("q_k0"), b.alias("q_k1"))
     own, lang, whole = pool(F.col("q_k0"), F.col("q_k1")), pool(F.col("q_k0"), F.lit(_ANY)), pool(F.lit(_ANY), F.lit(_ANY))
     enough = {n: F.col(n) >= LEAST_ROWS for n in ("n", "of_lang", "of_all")}
     joined = F.array(F.when(enough["n"], own), F.when(enough["of_lang"] & F.col("lang_judges"), lang), F.when(enough["of_all"] & F.col("all_judge"), whole))
     judge = F.when(enough["n"], own).when(enough["of_lang"], lang).when(enough["of_all"], whole)
-    return groups.join(langs, "q_k0").crossJoin(F.broadcast(every)).select(*_KEYS, judge.alias("judge"), F.array_compact(joined).alias("joined"))
+    totals = {"of_all": F.lit(every["of_all"]), "all_judge": F.lit(every["all_judge"])}
+    return groups.join(langs, "q_k0").withColumns(totals).select(*_KEYS, judge.alias("judge"), F.array_compact(joined).alias("joined"))
 
 
 def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
