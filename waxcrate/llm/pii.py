@@ -19,6 +19,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import ipaddress
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,8 +39,9 @@ LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ
 _CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _SECRET_NAME = r"\b(?i:password|passwd|pwd|secret|token|api_key)[\"']?\s?"
 _PLAIN_NAME = r"(?m:^\s*|[{,;(]\s*)[\"']?(?i:password|passwd|pwd|api_key)[\"']?\s?"
+#: No value begins inside a word; saying so once, first, spares trying each form there.
 _FOUND = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+    r"(?<!\w)(?:(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
     rf"|(?P<password>{_SECRET_NAME}[=:]\s?(?![\"'][0-9A-Fa-f]{{40}}[\"']))(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n]){{6,}})(?P=quote)|[\"']?(?P<secret>[^\s\"',;]{{6,}}))"
     r"|(?P<access_key>\bAKIA[0-9A-Z]{16}\b)"
     r"|(?P<hex_secret>(?<=[\"'])[0-9A-Fa-f]{40}(?=[\"']))"
@@ -49,12 +51,18 @@ _FOUND = re.compile(
     r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<date>(?<![\w/-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\w/-]))"
-    r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?![\w-]))"
+    r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?![\w-])))"
 )
-_MAYBE = re.compile(rf"[0-9@=]|[\"'][A-Fa-f]{{40}}[\"']|{_SECRET_NAME}:")
+#: Where a text has none of these, it holds no value: cheap searches first.
+_MARK, _NAMED, _QUOTED = re.compile("[0-9@=]"), re.compile(rf"{_SECRET_NAME}:"), re.compile("[\"'][A-Fa-f]{40}[\"']")
 _PLAIN = re.compile(rf"{_PLAIN_NAME}:\s?\Z")
 
 
+def may_hold(text: str) -> bool:
+    """False only where text holds no value of any kind."""
+    return bool(_MARK.search(text) or (":" in text and _NAMED.search(text)) or _QUOTED.search(text))
+
+
 class Permutation:
     """Keyed permutations of numbers below a bound and of strings over an alphabet."""
 
@@ -66,9 +74,7 @@ class Permutation:
 
     def number(self, value: int, bound: int, tweak: str) -> int:
         """Another number below bound: rounds over its two halves a * n + b, and on until it is below bound."""
-        n = 1
-        while n * n < bound:
-            n += max(1, n >> 8)
+        n = math.isqrt(bound - 1) + 1
         while True:
             a, b = divmod(value, n)
             for r in range(0, ROUNDS, 2):
@@ -206,7 +212,7 @@ def replacer(key: str) -> Callable[[str], tuple[str, list[int]]]:
 
     def replace(text: str) -> tuple[str, list[int]]:
         counts = [0] * len(KINDS)
-        if not _MAYBE.search(text):
+        if not may_hold(text):
             return text, counts
 
         def one(m: re.Match) -> str:
