@@ -8,9 +8,10 @@ default: who holds it can undo them.
 Formats: e-mail addresses (the local part, without regard to case; the domain stays), 13 to 19-digit card numbers with a valid check
 digit (the pseudonym has one too), phone numbers (the country code stays; with or without blanks and brackets a number has one
 pseudonym, and North American ones also without their country code), IPv4 and IPv6 addresses, IBANs (country and form stay, check
-digits fit), dates (ISO, or with / and the year last; the years 1900 to 2099 are permuted as days, so a date is the same day in
-either form), US social security numbers, access keys of the form AKIA and 16 letters or digits, values of password= and the like in
-any case (a quoted value up to its closing quote; after a colon, a plain word counts only where the name begins a line or an entry,
+digits fit), dates (ISO, or with / and the year last; the years 1900 to 2099 are permuted as days, those up to the 12th and
+those after it each among themselves: so a date is the same day in every form, and one written day first stays apart from those
+written month first), US social security numbers, access keys of the form AKIA and 16 letters or digits, values of password= and the like in
+any case, also at the end of compound names (a quoted value up to its closing quote; after a colon, a plain word counts only where the name begins a line or an entry,
 and never for secret and token, so prose stays), and quoted runs of 40 hex digits of either case (which stays).
 """
 
@@ -33,16 +34,19 @@ from .common import small_batches
 
 KINDS = ("email", "card", "phone", "ipv4", "date", "ssn", "access_key", "password", "hex_secret", "ipv6", "iban")
 ROUNDS = 8
+#: Part of every permutation: pseudonyms of another version are others, under the same key too.
+VERSION = 3
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 #: Country codes of telephone numbers with one and with two digits; all others have three (fixed values).
 _CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
-_SECRET_NAME = r"\b(?i:password|passwd|pwd|secret|token|api_key)[\"']?\s?"
-_PLAIN_NAME = r"(?m:^\s*|[{,;(]\s*)[\"']?(?i:password|passwd|pwd|api_key)[\"']?\s?"
-#: No value begins inside a word; saying so once, first, spares trying each form there.
-_FOUND = re.compile(
+#: A name ends with one of these words; anything may stand before it in a compound name, as in DB_PASSWORD or userToken.
+_SECRET_NAME = r"(?=[PSTApsta\u017f])(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)(?:[_-]?(?:access[_-]?)?(?:key|token))?)[\"']?\s?"
+_PLAIN_NAME = r"(?m:^\s*|[{,;(]\s*)[\"']?[\w.-]*(?i:password|passwd|pwd|(?:api|access|private)[_-]?key)[\"']?\s?"
+_SECRET = rf"(?P<password>{_SECRET_NAME}[=:]\s?(?![\"'][0-9A-Fa-f]{{40}}[\"']))(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n]){{6,}})(?P=quote)|[\"']?(?P<secret>[^\s\"',;]{{6,}}))"
+#: No value but a named secret begins inside a word; saying so once, first, spares trying each form there.
+_OTHERS = (
     r"(?<!\w)(?:(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    rf"|(?P<password>{_SECRET_NAME}[=:]\s?(?![\"'][0-9A-Fa-f]{{40}}[\"']))(?:(?P<quote>[\"'])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\n]){{6,}})(?P=quote)|[\"']?(?P<secret>[^\s\"',;]{{6,}}))"
     r"|(?P<access_key>\bAKIA[0-9A-Z]{16}\b)"
     r"|(?P<hex_secret>(?<=[\"'])[0-9A-Fa-f]{40}(?=[\"']))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?!\w))"
@@ -53,14 +57,20 @@ _FOUND = re.compile(
     r"|(?P<date>(?<![\w/-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\w/-]))"
     r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<space>[ -])\d{6}(?P=space)\d{5})(?![\w-])))"
 )
+#: Texts without a named secret are searched without its form, which is tried at every character.
+_FOUND, _UNNAMED = re.compile(f"{_SECRET}|{_OTHERS}"), re.compile(_OTHERS)
 #: Where a text has none of these, it holds no value: cheap searches first.
-_MARK, _NAMED, _QUOTED = re.compile("[0-9@=]"), re.compile(rf"{_SECRET_NAME}:"), re.compile("[\"'][A-Fa-f]{40}[\"']")
+_MARK, _NAMED, _QUOTED = re.compile("[0-9@=]"), re.compile(f"{_SECRET_NAME}[=:]"), re.compile("[\"'][A-Fa-f]{40}[\"']")
 _PLAIN = re.compile(rf"{_PLAIN_NAME}:\s?\Z")
 
 
 def may_hold(text: str) -> bool:
     """False only where text holds no value of any kind."""
-    return bool(_MARK.search(text) or (":" in text and _NAMED.search(text)) or _QUOTED.search(text))
+    return bool(_MARK.search(text) or names_secret(text) or _QUOTED.search(text))
+
+
+def names_secret(text: str) -> bool:
+    return ("=" in text or ":" in text) and bool(_NAMED.search(text))
 
 
 class Permutation:
@@ -70,7 +80,7 @@ class Permutation:
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
 
     def _part(self, tweak: str, at: int, value: int) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{tweak}|{at}|{value}".encode(), key=self.key, digest_size=32).digest(), "big")
+        return int.from_bytes(hashlib.blake2b(f"{VERSION}|{tweak}|{at}|{value}".encode(), key=self.key, digest_size=32).digest(), "big")
 
     def number(self, value: int, bound: int, tweak: str) -> int:
         """Another number below bound: rounds over its two halves a * n + b, and on until it is below bound."""
@@ -181,8 +191,12 @@ def pseudonym(kind: str, value: str, p: Permutation) -> str | None:
             date = datetime.date(year, *((day, month) if swapped else (month, day)))
         except ValueError:
             return None
-        new = datetime.date.fromordinal(_FIRST + p.number(date.toordinal() - _FIRST, _DAYS, "date"))
-        return new.strftime("%Y-%m-%d" if iso else "%d/%m/%Y" if swapped else "%m/%d/%Y")
+        number = date.toordinal() - _FIRST
+        while True:
+            number = p.number(number, _DAYS, "date")
+            new = datetime.date.fromordinal(_FIRST + number)
+            if (new.day > 12) == (date.day > 12):  # a day written first stays one that can't be a month
+                return new.strftime("%Y-%m-%d" if iso else "%d/%m/%Y" if swapped else "%m/%d/%Y")
     if kind == "ssn":
         valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
         digits = value.replace("-", "")
@@ -216,7 +230,8 @@ def replacer(key: str) -> Callable[[str], tuple[str, list[int]]]:
             return text, counts
 
         def one(m: re.Match) -> str:
-            kind = next(k for k in KINDS if m[k] is not None)
+            found = m.groupdict()
+            kind = next(k for k in KINDS if found.get(k) is not None)
             part = 0 if kind != "password" else "secret" if m["quoted"] is None else "quoted"
             if part == "secret" and m["password"].rstrip().endswith(":") and re.fullmatch(r"[^\W\d_]+[.!?)]*", m["secret"]) and not _PLAIN.search(text, max(0, m.start() - 80), m.start("secret")):
                 return m[0]  # a word of prose
@@ -226,7 +241,7 @@ def replacer(key: str) -> Callable[[str], tuple[str, list[int]]]:
             counts[KINDS.index(kind)] += 1
             return text[m.start() : m.start(part)] + new + text[m.end(part) : m.end()]
 
-        return _FOUND.sub(one, text), counts
+        return (_FOUND if names_secret(text) else _UNNAMED).sub(one, text), counts
 
     return replace
 
