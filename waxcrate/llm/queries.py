@@ -108,3 +108,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(scored["doc_id"]).alias("held_out"), "score", "predicted")
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identified, is_learned, train
+
+    docs = table(spark, sf_dir, "documents")
+    filters = train(docs.where(is_learned(docs["doc_id"])), share=1e-5)
+    found = identified(docs.select("doc_id", "text"), filters)
+    return found.select("doc_id", (~is_learned(found["doc_id"])).alias("held_out"), "lang_pred", "score")
