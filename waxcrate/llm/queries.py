@@ -118,3 +118,10 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = train(docs.where(is_learned(docs["doc_id"])), share=1e-5)
     found = identified(docs.select("doc_id", "text"), filters)
     return found.select("doc_id", (~is_learned(found["doc_id"])).alias("held_out"), "lang_pred", "score")
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs, run_digests
+
+    return run_digests(periodic_runs(table(spark, sf_dir, "documents"), plant=True))
