@@ -125,3 +125,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .runs import periodic_runs, run_digests
 
     return run_digests(periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, repaired
+
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
