@@ -173,11 +173,13 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text", share: float
     most HASHES slots each, and the slots, whose number that bounds too, are what the driver gathers.
     """
     counts = written(gram_counts(docs, lang, text), "gram-counts")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    held = counts.join(totals, "lang").where(F.col("n") >= F.col("total") * share)
-    sizes = held.groupBy("lang").agg(F.count("*").alias("entries"), F.first("total").alias("total")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    spark = docs.sparkSession
+    few = spark.createDataFrame(totals, "lang string, total long")
+    held = counts.join(F.broadcast(few), "lang").where(F.col("n") >= F.col("total") * share)
+    sizes = held.groupBy("lang").agg(F.count("*").alias("entries"), F.first("total").alias("total")).orderBy("lang").collect()
     languages = [r["lang"] for r in sizes]
     bits = max(10, (SLOTS_PER_ENTRY * max((r["entries"] for r in sizes), default=0) - 1).bit_length())
     number = {name: i for i, name in enumerate(languages)}
