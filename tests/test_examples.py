@@ -1,5 +1,9 @@
 """Behaviour by example: keys, order, logs, locations, names, documents."""
 
+import random
+import re
+from urllib.parse import quote
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,11 +30,32 @@ def test_tempo(spark):
 
 
 def test_locations(spark):
-    urls = ["file://localhost/crates/S%C3%B8ren%20mix/01.flac", "file:///crates/01.flac", "file://localhost/D:/sets/b.wav", "file://localhost/x+y%", "file://localhost/%q1/x", "ftp://x/y", "file://localhost/%C3/x"]
-    assert values(spark, urls, decode_location) == ["/crates/Søren mix/01.flac", "/crates/01.flac", "D:/sets/b.wav", "/x+y%", None, None, None]
-    assert values(spark, ["/n/rock & roll, it's.mp3", "D:\\q r~.mp3"], encode_location) == ["file://localhost/n/rock%20%26%20roll%2C%20it%27s.mp3", "file://localhost/D:/q%20r~.mp3"]
-    paths = ["/a b/ü*(1).mp3", "/x+y%.wav"]
-    assert values(spark, paths, lambda x: decode_location(encode_location(x))) == paths
+    """Against a reader of escapes written byte by byte, on random URLs with whole, broken and cut escapes."""
+
+    def plainly(url):
+        if not url.startswith("file://"):
+            return None
+        data, out, at = url.removeprefix("file://").removeprefix("localhost").encode(), b"", 0
+        while at < len(data):
+            if data[at : at + 1] == b"%" and at + 2 < len(data):
+                if not re.fullmatch(rb"[0-9A-Fa-f]{2}", data[at + 1 : at + 3]):
+                    return None
+                out, at = out + bytes([int(data[at + 1 : at + 3], 16)]), at + 3
+            else:
+                out, at = out + data[at : at + 1], at + 1
+        try:
+            return re.sub(r"^/(?=[\x00-\x7F]:)", "", out.decode())
+        except UnicodeDecodeError:
+            return None
+
+    rng = random.Random(11)
+    parts = ["%20", "%C3%BC", "%c3%a9", "%E2%82%AC", "%F0%9F%8E%B5", "%FF", "%80", "%zz", "%", "%4", "+", "/", "Q:", "vinyl", "ü", "#", "%23", "%2F", "%25"]
+    urls = ["".join([rng.choice(["file://localhost/", "file:///", "file://", "smb://h/"]), *rng.choices(parts, weights=[5, 5, 5, 5, 5, 1, 1, 1, 1, 1, *[5] * 9], k=rng.randint(0, 6))]) for _ in range(600)]
+    expected = [plainly(u) for u in urls]
+    assert values(spark, urls, decode_location) == expected and 60 < expected.count(None) < 400
+    paths = ["/" + "".join(chr(rng.choice([*range(32, 127), 0xE9, 0x416, 0x6F22, 0x1F3B5])) for _ in range(12)).replace("\\", "") for _ in range(200)]
+    assert values(spark, paths, encode_location) == ["file://localhost" + quote(p, safe="/:~-._") for p in paths]
+    assert values(spark, paths, lambda x: decode_location(encode_location(x))) == [re.sub(r"^/(?=[\x00-\x7F]:)", "", p) for p in paths]
 
 
 def test_sanitized(spark):
@@ -112,12 +137,32 @@ def test_report_csv(spark, tmp_path):
     assert [tuple(r) for r in back] == [("x.mp3", "MP3", "320", "-10.0", "-3.5", "-0.5", "+3.0", "native", "+3.0", "c"), ("y.flac", "Lossless", "-", "-9.0", "-3.5", "-0.5", "+3.0", "ffmpeg", "+3.0", "d")]
 
 
+def named_one_by_one(rows):
+    taken, out = set(), []
+    for folder, pos, own in sorted(rows):
+        made, n = f"{own}.mp3", 1
+        while (folder, made.lower()) in taken:
+            n += 1
+            made = f"{own} ({n}).mp3"
+        taken.add((folder, made.lower()))
+        out.append(made)
+    return out
+
+
 def test_file_names(spark):
-    rows = [(1, 1, "/m/Intro.AIFF"), (1, 2, "/o/intro.wav"), (1, 3, "/m/what?.flac"), (1, 4, "/m/.mp3"), (2, 1, "/m/a.mp3"), (2, 2, "/m/A.mp3"), (2, 3, "/m/a (2).mp3"), (3, 1, "/m/b (2).mp3"), (3, 2, "/m/b.mp3"), (3, 3, "/n/b.mp3"), (4, 1, None)]
-    df = spark.createDataFrame([(d, p, x, "n") for d, p, x in rows], "out_dir int, pos int, path string, name string")
+    """Random folders against one row after the other: numbers in stems on several levels, either case, gaps between places."""
+    rng = random.Random(2)
+    stems = lambda: rng.choice(["drum", "DRUM", "Ümlaut", "ümlaut"]) + "".join(f" ({rng.choice([0, 1, 2, 2, 3, 4, '02'])})" for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 3])))
+    rows = [(d, p * 3 + rng.randint(0, 2), stems()) for d in range(120) for p in range(rng.randint(1, 16))]
+    rows += [(200, p, "same" if p % 3 else f"same ({p})") for p in range(300)]
+    df = spark.createDataFrame([(d or None, p, f"/in/{p}/{x}.wav", "n", "w") for d, p, x in rows], "out_dir int, pos int, path string, name string, w_key string").repartition(3)
     names = [r["filename"] for r in convert.plan_filenames(df).orderBy("out_dir", "pos").collect()]
-    assert names == ["Intro.mp3", "intro (2).mp3", "what_.mp3", ".mp3.mp3", "a.mp3", "A (2).mp3", "a (2) (2).mp3", "b (2).mp3", "b.mp3", "b (3).mp3", "n.mp3"]
-    assert sorted(r["filename"] for r in convert.plan_filenames(df, keep=["pos"]).collect()) == sorted(names)
+    assert names == named_one_by_one(rows)
+    assert sorted(r["filename"] for r in convert.plan_filenames(df, keep=["pos", "w_key"]).collect()) == sorted(names)
+    odd = [(1, "/x/.aiff", "n"), (2, "/x/a?b.flac", "n"), (3, "/x/A_B.wav", "n"), (4, None, "spare: name"), (5, "", None), (6, "/x/ (2).wav", "n")]
+    df = spark.createDataFrame([(1, *x) for x in odd], "out_dir int, pos int, path string, name string")
+    assert [r["filename"] for r in convert.plan_filenames(df).orderBy("pos").collect()] == [".aiff.mp3", "a_b.mp3", "A_B (2).mp3", "spare_ name.mp3", None, " (2).mp3"]
+    assert convert.plan_filenames(df.limit(0)).count() == 0
 
 
 MARKERS = (".keep-out",)
@@ -152,33 +197,118 @@ def test_common_bases(spark):
         assert sorted(r["backup_path"] for r in files.backup_manifest(df, backup_dir="/safe/").collect()) == sorted("/safe/" + t.split("backup/", 1)[1] for t in targets)
 
 
-SINGLE = """<?xml version="1.0" encoding="UTF-8"?><DJ_PLAYLISTS Version="1.0.0"><COLLECTION Entries="3"><TRACK TrackID="1" Name="A" Tonality="1A" AverageBpm="120.00" Location="file://localhost/a.flac"/><TRACK TrackID="7" Name="B" Tonality="8A" AverageBpm="124.00" Location="file://localhost/b.flac" Comments="peak time" TotalTime="10"><TEMPO Inizio="0.025" Bpm="124.00" Metro="4/4" Battito="1"/></TRACK><TRACK TrackID="3" Name="C" Tonality="2A" AverageBpm="126.00"/></COLLECTION><PLAYLISTS><NODE Type="0" Name="ROOT" Count="2"><NODE Name="Top" Type="1" KeyType="0" Entries="2"><TRACK Key="7"/><TRACK Key="1"/></NODE><NODE Name="F" Type="0" Count="2"><NODE Name="In" Type="1" KeyType="0" Entries="1"><TRACK Key="3"/></NODE><NODE Name="Loc" Type="1" KeyType="1" Entries="0"/></NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>"""
-
-
-def test_collection_round_trip(spark, tmp_path):
-    (tmp_path / "one.xml").write_text(SINGLE)
-    docs = xml.read_collections(spark, str(tmp_path / "one.xml")).cache()
-    own = xml.tracks(docs)
-    assert [(r["track_id"], r["name"], r["comments"]) for r in own.orderBy("doc_pos").collect()] == [("1", "A", None), ("7", "B", "peak time"), ("3", "C", None)]
-    lists = xml.playlists(xml.nodes(docs))
-    assert sorted(("/".join(r["path"]), r["key_type"]) for r in lists.collect()) == [("F/In", "0"), ("F/Loc", "1"), ("Top", "0")]
-    ordered = playlists.harmonic_sort(xml.entries(lists), own, lists)
-    names = playlists.selected(lists).withColumn("name", F.try_element_at("path", F.lit(-1)))
-    text = xml.export_sorted(docs, ordered, names, playlists.SORTED_FOLDER)
-    again = xml.nodes(xml.parse_collections(text)).collect()
-    assert {(tuple(r["path"]), r["count"], r["entries"], tuple(r["keys"] or ())) for r in again} >= {((), "3", None, ()), (("Sorted (Key+BPM)",), "2", None, ()), (("Sorted (Key+BPM)", "Top"), None, "2", ("1", "7")), (("Sorted (Key+BPM)", "In"), None, "1", ("3",))}
-
-    top = xml.entries(lists).where(F.size("playlist_ord") == 2)
-    sources = convert.source_tracks(top, own).withColumn("path", decode_location(F.col("location"))).withColumn("out_dir", F.lit("/out"))
-    sizes = spark.createDataFrame([("/out/a.mp3", 71), ("/out/b.mp3", 72)], "path string, size long").crossJoin(docs.select("collection_id"))
+def library(rng, n_tracks, depth):
+    """A document with tracks under odd ids, some of them twice, and lists that overlap, in folders down to depth; and what is in it."""
+    ids = [f"k{rng.randint(10, 99)}-{i % 17}" if i % 4 else str(rng.randint(5000, 9000)) for i in range(n_tracks)]
+    keys = [rng.choice(["4A", "11B", "7a", "x", ""]) for _ in ids]
+    track = '<TRACK TrackID="{}" Name="Song &lt;{}&gt;" Tonality="{}" AverageBpm="{}" Location="file://localhost/in/{}.wav" Mood="m{}">{}</TRACK>'
+    body = "".join(track.format(t, i, k, 90 + i % 7, i, i, '<TEMPO Bpm="1"/><POSITION_MARK Num="0"/>' * (i % 3)) for i, (t, k) in enumerate(zip(ids, keys, strict=True)))
+    lists = []
+
+    def folder(level, path):
+        own = [f"set {len(lists)}", f"set {len(lists) // 3}"]
+        text = ""
+        for name in own:
+            held = rng.choices(ids, k=rng.randint(0, 5))
+            lists.append(((*path, name), held))
+            text += f'<NODE Name="{name}" Type="1" KeyType="0" Entries="{len(held)}">' + "".join(f'<TRACK Key="{x}"/>' for x in held) + "</NODE>"
+        return text if level == depth else text + f'<NODE Name="deep {level}" Type="0">{folder(level + 1, (*path, f"deep {level}"))}</NODE>'
+
+    tree = folder(1, ())
+    return f'<DJ_PLAYLISTS><COLLECTION Entries=" {n_tracks}">{body}</COLLECTION><PLAYLISTS><NODE Name="Top" Type="0" Count="x">{tree}</NODE></PLAYLISTS></DJ_PLAYLISTS>', ids, lists
+
+
+COLLECTION = "collection_id string, xml string"
+
+
+def held_lists(spark, elements):
+    """(collection, path, track ids in order) of all playlists."""
+    lists, items = xml.playlists(elements).collect(), {}
+    for r in xml.entries(elements).orderBy("pos").collect():
+        items.setdefault((r["collection_id"], r["playlist_ord"]), []).append(r["track_id"])
+    return sorted((r["collection_id"], tuple(r["path"]), items.get((r["collection_id"], r["playlist_ord"]), [])) for r in lists)
+
+
+def test_reading_documents_of_any_depth(spark):
+    """Deep, flat, broken and missing documents in one run: what can be read is read, the others are rejects with their reason."""
+    rng = random.Random(7)
+    deep, ids, lists = library(rng, 40, 30)
+    flat, flat_ids, flat_lists = library(rng, 3, 1)
+    cases = [("deep", deep), ("flat", flat), ("cut", deep[:-30]), ("twice", flat + flat), ("null", None), ("blank", ""), ("bad", flat.replace("&lt;", "&none;", 1))]
+    elements = xml.parse_collections(spark.createDataFrame(cases, COLLECTION)).cache()
+    assert {r["collection_id"]: r["reason"].split(" at byte")[0] for r in xml.rejects(elements).collect()} == {
+        "cut": "malformed: unclosed token", "twice": "malformed: junk after document element", "null": "no document", "blank": "malformed: no element found", "bad": "malformed: undefined entity",
+    }
+    assert held_lists(spark, elements) == sorted([("deep", path, held) for path, held in lists] + [("flat", path, held) for path, held in flat_lists])
+    assert max(r["depth"] for r in xml.nodes(elements).collect()) == 30
+    own = xml.tracks(elements).orderBy("collection_id", "doc_pos").collect()
+    assert [r["track_id"] for r in own] == ids + flat_ids and [r["doc_pos"] for r in own] == [*range(40), *range(3)]
+    assert [(r["name"], r["attrs"]["Mood"], len(r["tempos"]), len(r["position_marks"])) for r in own[:40]] == [(f"Song <{i}>", f"m{i}", i % 3, i % 3) for i in range(40)]
+    with pytest.raises(Exception, match="malformed"):
+        xml.parse_collections(spark.createDataFrame(cases, COLLECTION), strict=True).count()
+    assert xml.parse_collections(spark.createDataFrame([], COLLECTION)).count() == 0
+
+
+def test_nodes_that_close_themselves_and_nest(spark):
+    tree = (
+        '<NODE Name="r" Type="0"><NODE Name="p" Type="1" KeyType="0"><TRACK Key="1"/><TRACK Key="2"></TRACK><TRACK NoKey=""/><NODE Name="q" Type="1" KeyType="0"><TRACK Key="3"/></NODE><TRACK Key="4"/></NODE>'
+        '<NODE Name="p" Type="1" KeyType="1"/><NODE Name="s" Type="1" KeyType="0"></NODE><NODE Type="1"/></NODE><NODE Name="top" Type="1" KeyType="0"><TRACK Key="9"/></NODE>'
+    )
+    elements = xml.parse_collections(spark.createDataFrame([("c", f"<X><TRACK Key='0'/><PLAYLISTS>{tree}</PLAYLISTS><NODE Name='outside' Type='1'/></X>")], COLLECTION)).cache()
+    assert held_lists(spark, elements) == [("c", ("",), []), ("c", ("p",), []), ("c", ("p",), ["1", "3", "4"]), ("c", ("s",), [])]
+    every = spark.createDataFrame([("c", "p")], "collection_id string, target string")
+    first, last = (playlists.find_target(xml.playlists(elements), every, match).first() for match in ("first", "last"))
+    assert first["status"] == last["status"] == "ok" and first["playlist_ord"] == last["playlist_ord"]  # the later p closes itself
+
+
+def test_sorted_export_reads_back(spark):
+    """All documents again with a folder of their sorted lists, at any depth; read back, they hold what they held and the new folder."""
+    rng = random.Random(8)
+    texts, lists = [], {}
+    for name, depth in (("a", 1), ("b", 12), ("c", 3)):
+        text, _, lists[name] = library(rng, 25, depth)
+        texts.append((name, text))
+    docs = spark.createDataFrame([*texts, ("broken", texts[0][1][:50])], COLLECTION)
+    elements = xml.parse_collections(docs).cache()
+    chosen, _ = playlists.choose(xml.playlists(elements), docs)
+    ordered = playlists.harmonic_sort(xml.entries(elements), playlists.last_wins(xml.tracks(elements)), chosen)
+    new = xml.export_sorted(docs, ordered, chosen, "Tonight & on").cache()
+    assert sorted(r["collection_id"] for r in new.collect()) == ["a", "b", "c"]
+    again = xml.parse_collections(new).cache()
+    back = held_lists(spark, again)
+    for name, own in lists.items():
+        assert [x[1:] for x in back if x[0] == name and x[1][0] != "Tonight & on"] == sorted(own)
+        made = [x for x in back if x[0] == name and x[1][0] == "Tonight & on"]
+        assert sorted((x[1][1], sorted(x[2])) for x in made) == sorted((path[-1], sorted(held)) for path, held in own)
+    root = xml.nodes(again).where("parent_ord IS NULL").select("count").distinct().collect()
+    assert [r["count"] for r in root] == ["1"] and xml.nodes(again).where("collection_id = 'a' AND name = 'Tonight & on'").first()["count"] == str(len(lists["a"]))
+
+
+def test_converted_export_reads_back(spark):
+    """New tracks take over what is theirs, and get what is recomputed; an id that occurs twice counts as the last one."""
+    rng = random.Random(9)
+    text, ids, lists = library(rng, 30, 4)
+    docs = spark.createDataFrame([("c", text)], COLLECTION)
+    elements = xml.parse_collections(docs).cache()
+    own = xml.tracks(elements)
+    path, held = max((x for x in lists if len(set(x[1])) == len(x[1])), key=lambda x: len(x[1]))
+    assert len(held) > 2
+    one = xml.playlists(elements).where(F.array_join("path", "/") == "/".join(path))
+    sources = convert.source_tracks(xml.entries(elements).join(one.select("collection_id", "playlist_ord"), ["collection_id", "playlist_ord"]), own).withColumn("path", decode_location(F.col("location"))).withColumn("out_dir", F.lit("/done"))
+    last = {t: i for i, t in enumerate(ids)}
+    sizes = spark.createDataFrame([("c", f"/done/{last[t]}.mp3", 1000 + last[t]) for t in held], "collection_id string, path string, size long")
     made = convert.new_tracks(convert.plan_filenames(sources), convert.max_track_id(own), sizes)
-    names = top.select("collection_id", "playlist_ord").distinct().withColumn("name", F.lit("Top"))
-    new = xml.parse_collections(xml.export_converted(docs, made, names, convert.FOLDER))
-    rows = {r["track_id"]: r for r in xml.tracks(new).collect()}
-    assert set(rows) == {"1", "7", "3", "8", "9"} and rows["8"]["comments"] == "peak time [cdjsafe]" and rows["9"]["comments"] == "[cdjsafe]"
-    assert rows["8"]["location"] == "file://localhost/out/b.mp3" and rows["8"]["kind"] == "MP3 File" and rows["8"]["size"] == "72" and rows["8"]["tempos"][0]["_Bpm"] == "124.00"
-    doc = new.select("doc.COLLECTION._Entries", "doc.PLAYLISTS.NODE._Count").first()
-    assert tuple(doc) == ("5", "3")
+    new = xml.export_converted(docs, made, one.select("collection_id", "playlist_ord", F.lit("copy").alias("name")), "Safe").cache()
+    again = xml.parse_collections(new.select("collection_id", "xml")).cache()
+    rows = xml.tracks(again).orderBy("doc_pos").collect()
+    start = max(int(t) for t in ids if t.isdigit())
+    assert [r["track_id"] for r in rows] == ids + [str(start + 1 + i) for i in range(len(held))]
+    for r, t in zip(rows[len(ids) :], held, strict=True):
+        source = rows[last[t]]
+        assert (r["name"], r["tonality"], r["attrs"]["Mood"], r["tempos"], r["position_marks"]) == (source["name"], source["tonality"], source["attrs"]["Mood"], source["tempos"], source["position_marks"])
+        assert (r["location"], r["size"], r["kind"], r["bit_rate"], r["sample_rate"], r["comments"]) == (f"file://localhost/done/{last[t]}.mp3", str(1000 + last[t]), "MP3 File", "320", "44100", convert.MARKER)
+    assert ("c", ("Safe", "copy"), [str(start + 1 + i) for i in range(len(held))]) in held_lists(spark, again)
+    assert f'<COLLECTION Entries="{30 + len(held)}">' in new.first()["xml"]
 
 
 RICH = """<?xml version="1.0" encoding="UTF-8"?>
@@ -186,33 +316,22 @@ RICH = """<?xml version="1.0" encoding="UTF-8"?>
 
 
 def test_exports_keep_what_the_tables_do_not_hold(spark):
-    docs = xml.parse_collections(spark.createDataFrame([("c", RICH)], "collection_id string, xml string")).cache()
-    own, lists = xml.tracks(docs), xml.playlists(xml.nodes(docs))
-    ordered = playlists.harmonic_sort(xml.entries(lists), own, lists)
+    docs = spark.createDataFrame([("c", RICH)], COLLECTION)
+    elements = xml.parse_collections(docs).cache()
+    own, lists = xml.tracks(elements), xml.playlists(elements)
+    ordered = playlists.harmonic_sort(xml.entries(elements), own, lists)
     text = xml.export_sorted(docs, ordered, lists.withColumn("name", F.try_element_at("path", F.lit(-1))), "S").first()["xml"]
     folder = '<NODE Name="S" Type="0" Count="1"><NODE Name="L" Type="1" KeyType="0" Entries="2"><TRACK Key="2"/><TRACK Key="1"/></NODE></NODE>'
     assert text == RICH.replace('Count="1"', 'Count="2"').replace("</NODE></NODE>", "</NODE>" + folder + "</NODE>")
 
-    sources = convert.source_tracks(xml.entries(lists), own).withColumn("path", decode_location(F.col("location"))).withColumn("out_dir", F.lit("/out"))
+    sources = convert.source_tracks(xml.entries(elements), own).withColumn("path", decode_location(F.col("location"))).withColumn("out_dir", F.lit("/out"))
     made = convert.new_tracks(convert.plan_filenames(sources), convert.max_track_id(own))
     text = xml.export_converted(docs, made, lists.select("collection_id", "playlist_ord", F.lit("L").alias("name")), "F").first()["xml"]
     common = 'Kind="MP3 File" BitRate="320" SampleRate="44100" Comments="[cdjsafe]"'
     new = f'<TRACK TrackID="3" Genre="g" Location="file://localhost/out/b.mp3" {common}/><TRACK TrackID="4" Name="A &amp; &quot;B&quot;" Album="x&#10;y" Rating="204" Size="5" Location="file://localhost/out/a.mp3" {common}>' + RICH[RICH.index("<TEMPO") : RICH.index("<TRACK TrackID=\"2")]
     folder = '<NODE Name="F" Type="0" Count="1"><NODE Name="L" Type="1" KeyType="0" Entries="2"><TRACK Key="3"/><TRACK Key="4"/></NODE></NODE>'
     assert text == RICH.replace('Entries="2"><TRACK TrackID', 'Entries="4"><TRACK TrackID').replace("</COLLECTION><P", new + "</COLLECTION><P").replace('Count="1"', 'Count="2"').replace("</NODE></NODE>", "</NODE>" + folder + "</NODE>")
-    assert xml.rewritten('<D><PLAYLISTS><NODE Name="R"/></PLAYLISTS></D>', "S", [], [], "1", None) == '<D><PLAYLISTS><NODE Name="R" Count="1"><NODE Name="S" Type="0" Count="0"></NODE></NODE></PLAYLISTS></D>'
-
-
-def test_documents_that_cannot_be_taken(spark):
-    def lists(levels, inner=""):
-        text = '<DJ_PLAYLISTS><PLAYLISTS>' + '<NODE Type="0" Name="n">' * (levels - 1) + f'<NODE Name="L" Type="1" KeyType="0"><TRACK Key="1"/>{inner}</NODE>' + "</NODE>" * (levels - 1) + "</PLAYLISTS></DJ_PLAYLISTS>"
-        return xml.playlists(xml.nodes(xml.parse_collections(spark.createDataFrame([("c", text)], "collection_id string, xml string"))))
-
-    assert [r["keys"] for r in lists(xml.DEPTH).collect()] == [["1"]]
-    with pytest.raises(Exception, match="too_deep"):
-        lists(xml.DEPTH + 1).collect()
-    with pytest.raises(Exception, match="nested_playlist"):
-        lists(3, '<NODE Name="M" Type="1" KeyType="0"/>').collect()
+    assert xml.rewritten('<D><PLAYLISTS><NODE Name="R"/></PLAYLISTS></D>', "S", [], []) == '<D><PLAYLISTS><NODE Name="R" Count="1"><NODE Name="S" Type="0" Count="0"></NODE></NODE></PLAYLISTS></D>'
 
 
 UNIT = "collection_id string, playlist_ord int"

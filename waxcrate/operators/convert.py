@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import whole_number
 from ..functions.paths import decode_location, encode_location, sanitized, stem
+from ..scratch import kept
 from .playlists import find_target, last_wins
 
 FOLDER, MARKER = "CDJ-safe (MP3)", "[cdjsafe]"
@@ -75,37 +75,66 @@ def action_summary(acted: DataFrame, by: tuple[str, ...] = ("collection_id",)) -
     return acted.groupBy(*by, "action").agg(F.count("*").alias("n"))
 
 
+#: A stem that a number made for a shorter one may meet: that one, and the number.
+_NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,8})\)\z"
+
+
 def plan_filenames(sources: DataFrame, out_dir: str = "out_dir", pos: str = "pos", path: str = "path", name: str = "name", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of sources (None: all) with filename: the source's stem made safe, .mp3, and a number where the folder has the name already.
 
-    Names are taken in the order of pos, without regard to case. A number decides most folders; those that hold a stem which ends
-    in a number in brackets, and so may meet a made name, go through the loop, a folder at a time. One exchange by folder serves
-    the flag, the numbers and the loop; name the columns that are needed, as those of the loop can't be pruned later.
+    Names are taken in the order of pos (one value for each row of a folder), without regard to case. A row's number is its place among
+    the rows of its stem, unless a stem like ``x (3)`` stands beside ``x``: then the first row of the one and some row of the other want
+    the same name, and the earlier has it (``taken_numbers``). Only those stems are looked at, and only if there are any.
     """
     own, keep = stem(F.col(path)), keep or sources.columns
     body = sanitized(F.when(F.coalesce(own, F.lit("")) == "", F.col(name)).otherwise(own))
-    named = sources.select(*dict.fromkeys([*keep, out_dir, pos]), body.alias("w_stem"))
-    named = named.withColumn("w_cascade", F.max(F.col("w_stem").rlike(r" \([0-9]+\)$")).over(Window.partitionBy(out_dir)))
-    nth = F.row_number().over(Window.partitionBy(out_dir, F.lower("w_stem")).orderBy(pos))
-    suffix = F.when(nth == 1, F.lit(".mp3")).otherwise(F.concat(F.lit(" ("), nth, F.lit(").mp3")))
-    plain = named.where(~F.col("w_cascade")).withColumn("filename", F.concat("w_stem", suffix))
-    columns = [*keep, "filename"]
-    kinds = ", ".join(f"`{c}` {t}" for c, t in [*sources.select(*keep).dtypes, ("filename", "string")])
-
-    def one_by_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        taken, names = set(), []
-        for body in pdf["w_stem"]:
-            made, n = f"{body}.mp3", 1
-            while made.lower() in taken:
-                n += 1
-                made = f"{body} ({n}).mp3"
-            taken.add(made.lower())
-            names.append(made)
-        return pdf.assign(filename=names)[columns]
-
-    looped = named.where("w_cascade").groupBy(out_dir).applyInPandas(one_by_one, kinds)
-    return plain.select(*columns).unionByName(looped)
+    folder = F.coalesce(F.concat(F.lit("="), F.col(out_dir).cast("string")), F.lit(""))
+    named = sources.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("w_kept"), F.col(pos).alias("w_pos"), folder.alias("w_dir"), body.alias("w_stem"), F.lower(body).alias("w_key"))
+    whole = Window.partitionBy("w_dir", "w_key")
+    placed = named.withColumn("w_nth", F.row_number().over(whole.orderBy("w_pos")))
+    taken = taken_numbers(named.select("w_dir", "w_key", "w_pos"))
+    nth = F.col("w_nth")
+    if taken is not None:
+        # the i-th number taken from a stem, m, is skipped from the row on whose place is over m - i - late
+        late = taken.where("NOT first").select("w_dir", "w_key", F.lit(1).alias("w_late"))
+        mth = Window.partitionBy("w_dir", "w_from").orderBy("m")
+        skips = taken.where("first").select("w_dir", F.col("w_from").alias("w_key"), (F.col("m") - F.row_number().over(mth) - F.col("late")).alias("w_nth"), F.lit(1).alias("w_skip"))
+        both = placed.unionByName(skips, allowMissingColumns=True).withColumn("w_skip", F.coalesce("w_skip", F.lit(0)))
+        skipped = F.sum("w_skip").over(whole.orderBy("w_nth", "w_skip").rowsBetween(Window.unboundedPreceding, 0))
+        placed = both.withColumn("w_skipped", skipped).where("w_skip = 0").join(late, ["w_dir", "w_key"], "left")
+        nth = nth + F.col("w_skipped") + F.coalesce("w_late", F.lit(0))
+    suffix = F.when(nth == 1, F.lit(".mp3")).otherwise(F.concat(F.lit(" ("), nth.cast("string"), F.lit(").mp3")))
+    return placed.select("w_kept.*", F.concat("w_stem", suffix).alias("filename"))
+
+
+def taken_numbers(named: DataFrame) -> DataFrame | None:
+    """Who has the name that a stem x and a stem ``x (m)`` both want: for each such pair w_dir, w_from (x), w_key (x (m)), m, first (whether
+    the latter's first row has it) and late (1 if x's own first name is taken). None where no folder holds such a pair.
+
+    Of a folder's stems w_key with places w_pos. x's rows take the least free number each, so x's c rows before that first row have used up
+    the numbers below m just if c >= m - late - (numbers below m that others took). Who took those depends on smaller numbers and on
+    shorter stems only, so doing this for all pairs at once settles after as many rounds as such names hang together; rounds end when
+    nothing moves.
+    """
+    found = named.where(F.col("w_key").rlike(_NUMBERED))
+    if found.isEmpty():
+        return None
+    stems = found.groupBy("w_dir", "w_key").agg(F.min("w_pos").alias("w_pos"))
+    stems = stems.withColumns({"w_from": F.regexp_extract("w_key", _NUMBERED, 1), "m": F.regexp_extract("w_key", _NUMBERED, 2).cast("int")})
+    asked = stems.select("w_dir", F.col("w_from").alias("w_key")).distinct()
+    rows = named.join(asked, ["w_dir", "w_key"], "left_semi").select("w_dir", F.col("w_key").alias("w_from"), "w_pos", F.lit(1).alias("row"))
+    before = Window.partitionBy("w_dir", "w_from").orderBy("w_pos")
+    events = rows.unionByName(stems, allowMissingColumns=True).withColumns({"c": F.coalesce(F.sum("row").over(before), F.lit(0)), "some": F.max("row").over(Window.partitionBy("w_dir", "w_from"))})
+    state = kept(events.where("row IS NULL AND some = 1").select("w_dir", "w_from", "w_key", "m", "c", F.lit(True).alias("first"), F.lit(0).alias("late")), "taken")
+    below = Window.partitionBy("w_dir", "w_from").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        late = state.where("NOT first").select("w_dir", F.col("w_key").alias("w_from"), F.lit(1).alias("w_late"))
+        moved = state.withColumn("w_others", F.coalesce(F.sum(F.col("first").cast("int")).over(below), F.lit(0))).join(late, ["w_dir", "w_from"], "left").withColumn("w_late", F.coalesce("w_late", F.lit(0)))
+        moved = moved.withColumn("w_first", F.col("c") < F.col("m") - F.col("w_late") - F.col("w_others"))
+        new = kept(moved.select("w_dir", "w_from", "w_key", "m", "c", F.col("w_first").alias("first"), F.col("w_late").alias("late"), ((F.col("first") != F.col("w_first")) | (F.col("late") != F.col("w_late"))).alias("w_moved")), "taken")
+        state = new.drop("w_moved")
+        if new.where("w_moved").isEmpty():
+            return None if state.isEmpty() else state
 
 
 def max_track_id(tracks: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:

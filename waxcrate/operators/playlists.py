@@ -34,12 +34,13 @@ def find_target(playlists: DataFrame, targets: DataFrame, match: str = "first",
     """For each target (a path as typed): target, playlist_ord, name and status ok, empty_target, not_found or wrong_key_type.
 
     match: "first" takes the first playlist with that path in document order; "last" the last one, and none of them may be keyed by
-    location. name is the playlist's own, the last part of its path.
+    location, those whose tag closes itself (closed, if playlists says so) left aside. name is the playlist's own, the last part of its path.
     """
     if match not in ("first", "last"):
         raise ValueError("match must be first or last")
     wanted = targets.select(*by, "target", path_parts(F.col("target")).alias("path")).distinct()
-    own = playlists.select(*by, "path", "playlist_ord", "key_type").withColumn("wrong", F.coalesce(F.col("key_type") != "0", F.lit(True)))
+    opened = playlists.where(~F.col("closed")) if match == "last" and "closed" in playlists.columns else playlists
+    own = opened.select(*by, "path", "playlist_ord", "key_type").withColumn("wrong", F.coalesce(F.col("key_type") != "0", F.lit(True)))
     chosen = (F.min_by if match == "first" else F.max_by)(F.struct("playlist_ord", "wrong"), F.col("playlist_ord"))
     met = wanted.where(F.size("path") > 0).join(own, [*by, "path"]).groupBy(*by, "target").agg(chosen.alias("found"), F.max("wrong").alias("any_wrong"))
     out = wanted.join(met, [*by, "target"], "left")

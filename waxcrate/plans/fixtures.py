@@ -50,6 +50,8 @@ VIEWS = {
     "crate_files": """SELECT c.collection_id, f.path FROM crate_tracks c JOIN located_files f ON c.doc_pos = f.doc_pos""",
     "crate_finished": """SELECT collection_id, concat('/out/', collection_id, '/', CAST(playlist_ord AS VARCHAR(20)), '/', name, CASE WHEN k = 1 THEN '' ELSE concat(' (', CAST(k AS VARCHAR(20)), ')') END, '.mp3') AS path, CAST(4000000 + playlist_ord * 100 + pos AS BIGINT) AS size
  FROM (SELECT c.collection_id, c.playlist_ord, c.pos, t.name, row_number() OVER (PARTITION BY c.playlist_ord, lower(t.name) ORDER BY c.pos) AS k FROM crate_entries c JOIN tracks t ON c.track_id = t.track_id) x WHERE (playlist_ord * 7 + pos) % 19 <> 0""",
+    "takes": """SELECT CAST(floor(l_orderkey / 16.0) AS BIGINT) AS folder, CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 16.0) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS BIGINT) AS pos,
+ concat('/in/', CASE l_partkey % 7 WHEN 0 THEN 'Take' WHEN 1 THEN 'take (2)' WHEN 2 THEN 'Take (3)' WHEN 3 THEN 'take (2) (2)' WHEN 4 THEN 'Take' WHEN 5 THEN 'TAKE (5)' ELSE concat('other (', CAST(l_partkey % 5 AS VARCHAR(5)), ')') END, '.wav') AS path, 'n' AS name FROM @lineitem""",
     "crate_targets": """SELECT collection_id, concat(' ', path, ' /') AS target FROM crate_lists UNION ALL SELECT DISTINCT collection_id, 'None/Set 1' FROM crate_lists""",
 }
 NEEDS = {
@@ -86,4 +88,6 @@ def with_views(sql: str, *names: str) -> str:
     """sql for the oracle, behind the views it names."""
     every = list(dict.fromkeys(v for name in names for v in _with_needed(name)))
     head = ", ".join(f"{v} AS ({VIEWS[v].replace('@', '')})" for v in every)
+    if sql.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {sql[15:]}"
     return f"WITH {head}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {head} {sql}"

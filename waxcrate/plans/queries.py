@@ -10,6 +10,7 @@ from ..functions.paths import decode_location, encode_location
 from ..operators import convert, files, loudness, playlists, report
 from ..operators.loudness import TpTarget
 from ..sources import collection_xml as xml
+from ..scratch import kept
 from .fixtures import MARKERS, view, with_views
 from .registry import ORACLE, QUERIES
 
@@ -334,6 +335,15 @@ def _filename_plan(entries, tracks):
     return _planned(entries, tracks, ["playlist_ord", "pos"])
 
 
+@query("filename_cascade", """WITH RECURSIVE s AS (SELECT folder, pos, regexp_extract(path, '([^/]*)\\.wav$', 1) AS stem FROM takes),
+r(folder, pos, filename, taken) AS (SELECT folder, pos, concat(stem, '.mp3'), [lower(concat(stem, '.mp3'))] FROM s WHERE pos = 1
+ UNION ALL SELECT folder, pos, filename, list_append(taken, lower(filename)) FROM (SELECT s.folder, s.pos, r.taken, list_filter(list_transform(range(1, s.pos + 1), lambda i: concat(s.stem, CASE WHEN i = 1 THEN '' ELSE concat(' (', CAST(i AS VARCHAR), ')') END, '.mp3')), lambda x: NOT list_contains(r.taken, lower(x)))[1] AS filename FROM r JOIN s ON s.folder = r.folder AND s.pos = r.pos + 1) x)
+SELECT folder, pos, filename FROM r""", "takes")
+def _filename_cascade(takes):
+    """Stems that end in numbers meet the names made for shorter stems, over several levels."""
+    return convert.plan_filenames(takes, out_dir="folder", keep=["folder", "pos"])
+
+
 MADE = f"""WITH {NAMED}, x AS (SELECT max(CAST(track_id AS BIGINT)) AS x FROM tracks), w AS (SELECT playlist_ord, pos, track_id, x + row_number() OVER (PARTITION BY playlist_ord ORDER BY pos) AS new_id, concat('file://localhost/out/', CAST(playlist_ord AS VARCHAR), '/', replace(replace(replace(replace(filename, ' ', '%20'), '#', '%23'), '(', '%28'), ')', '%29')) AS location, CASE WHEN coalesce(comments, '') = '' THEN '[cdjsafe]' ELSE concat(comments, ' [cdjsafe]') END AS comments FROM f, x)"""
 
 
@@ -405,16 +415,39 @@ def _documents(tracks: DataFrame, lists: DataFrame, entries: DataFrame) -> DataF
 DOCUMENTS = ("crate_tracks", "crate_lists", "crate_entries")
 
 
-@query("collection_tracks", "SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY doc_pos) - 1 AS doc_pos, track_id, name, tonality, average_bpm, location, CAST(1 AS BIGINT) AS tempos, '1.5' AS cue FROM crate_tracks", *DOCUMENTS)
+@query("collection_tracks", "SELECT collection_id, row_number() OVER (PARTITION BY collection_id ORDER BY doc_pos) - 1 AS doc_pos, track_id, name, tonality, average_bpm, location, CAST(1 AS BIGINT) AS tempos, '1.5' AS cue, concat('Album \"', track_id, '\" & more') AS album FROM crate_tracks", *DOCUMENTS)
 def _collection_tracks(*views):
     read = xml.tracks(xml.parse_collections(_documents(*views)))
-    return read.select("collection_id", "doc_pos", "track_id", "name", "tonality", "average_bpm", "location", F.size("tempos").cast("long").alias("tempos"), F.col("position_marks")[0]["_Start"].alias("cue"))
+    return read.select("collection_id", "doc_pos", "track_id", "name", "tonality", "average_bpm", "location", F.size("tempos").cast("long").alias("tempos"), F.col("position_marks")[0]["Start"].alias("cue"), F.col("attrs")["Album"].alias("album"))
 
 
 @query("playlist_tree", "SELECT collection_id, path, key_type, pos - 1 AS pos, track_id FROM crate_lists JOIN crate_entries USING (collection_id, playlist_ord)", *DOCUMENTS)
 def _playlist_tree(*views):
-    lists = xml.playlists(xml.nodes(xml.parse_collections(_documents(*views))))
-    return lists.select("collection_id", F.array_join("path", "/").alias("path"), "key_type", F.posexplode("keys").alias("pos", "track_id")).withColumn("pos", F.col("pos").cast("long"))
+    read = kept(xml.parse_collections(_documents(*views)).where("kind IN ('node', 'entry')"), "elements")
+    lists = xml.playlists(read).select("collection_id", "playlist_ord", F.array_join("path", "/").alias("path"), "key_type")
+    return lists.join(xml.entries(read), ["collection_id", "playlist_ord"]).select("collection_id", "path", "key_type", "pos", "track_id")
+
+
+#: Folders put above the trees of some documents.
+DEEP = [f"Level {n}" for n in range(30)]
+_KIND = "CAST(substring(collection_id, 2, 9) AS BIGINT) % 4"
+
+
+@query("collection_faults", f"""SELECT c.collection_id, CASE {_KIND} WHEN 1 THEN 'malformed' WHEN 3 THEN 'no document' ELSE 'ok' END AS status, CASE WHEN {_KIND} IN (0, 2) THEN path END AS path, CASE WHEN {_KIND} IN (0, 2) THEN n END AS n FROM
+ (SELECT collection_id, concat(CASE WHEN {_KIND} = 2 THEN '{"/".join([*DEEP[1:], "ROOT"])}/' ELSE '' END, path) AS path, count(track_id) AS n FROM crate_lists LEFT JOIN crate_entries USING (collection_id, playlist_ord) WHERE {_KIND} IN (0, 2) GROUP BY collection_id, playlist_ord, path
+ UNION ALL SELECT DISTINCT collection_id, NULL, NULL FROM crate_lists WHERE {_KIND} IN (1, 3)) c""", *DOCUMENTS)
+def _collection_faults(*views):
+    """Some documents are cut off, some are null, some have 30 folders above their tree: each is read or rejected by itself."""
+    kind = F.substring("collection_id", 2, 9).cast("long") % 4
+    open_tags, close_tags = "".join(f'<NODE Name="{n}" Type="0">' for n in DEEP), "</NODE>" * len(DEEP)
+    deep = F.replace(F.replace("xml", F.lit("<PLAYLISTS>"), F.lit(f"<PLAYLISTS>{open_tags}")), F.lit("</PLAYLISTS>"), F.lit(f"{close_tags}</PLAYLISTS>"))
+    cut = F.substring("xml", F.lit(1), (F.length("xml") / 2).cast("int"))
+    docs = _documents(*views).withColumn("xml", F.when(kind == 1, cut).when(kind == 2, deep).when(kind == 0, F.col("xml")))
+    read = kept(xml.parse_collections(docs).where("kind <> 'track'"), "elements")
+    counts = xml.entries(read).groupBy("collection_id", "playlist_ord").agg(F.count("*").alias("n"))
+    lists = xml.playlists(read).join(counts, ["collection_id", "playlist_ord"], "left").select("collection_id", F.lit("ok").alias("status"), F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).alias("n"))
+    bad = xml.rejects(read).select("collection_id", F.split("reason", ":")[0].alias("status"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("long").alias("n"))
+    return lists.unionByName(bad)
 
 
 #: What a track of the documents holds, the tables' fields and others.
@@ -424,7 +457,10 @@ _READ = "COLLECTION struct<_Entries:string,TRACK:array<struct<_TrackID:string,_N
 def _items(exported: DataFrame) -> DataFrame:
     """collection_id, item, value: every node and track of exported documents, read again, and their other elements."""
     text = lambda *columns: F.concat_ws("|", *[F.coalesce(c, F.lit("-")) for c in columns])
-    nodes = xml.nodes(xml.parse_collections(exported)).select("collection_id", F.concat(F.lit("node "), F.array_join("path", "/")).alias("item"), text(F.col("type"), F.col("key_type"), F.col("count"), F.col("entries"), F.array_join("keys", ",")).alias("value"))
+    exported = kept(exported, "exported")
+    elements = kept(xml.parse_collections(exported).where("kind <> 'track'"), "elements")
+    keys = xml.entries(elements).groupBy("collection_id", F.col("playlist_ord").alias("node_ord")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("pos", "track_id")))["track_id"], ",").alias("keys"))
+    nodes = xml.nodes(elements).join(keys, ["collection_id", "node_ord"], "left").select("collection_id", F.concat(F.lit("node "), F.array_join("path", "/")).alias("item"), text(F.col("type"), F.col("key_type"), F.col("count"), F.col("entries"), F.col("keys")).alias("value"))
     read = exported.select("collection_id", F.from_xml("xml", _READ, {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST", "rowTag": "DJ_PLAYLISTS"}).alias("d"))
     each = read.select("collection_id", F.explode("d.COLLECTION.TRACK").alias("t"))
     own = [F.col(f"t.{c}") for c in ("_Name", "_Tonality", "_Comments", "_Location", "_Kind", "_Size", "_BitRate", "_SampleRate", "_TotalTime", "_Album", "_Rating", "OTHER._Value")]
@@ -449,10 +485,10 @@ SELECT * FROM items UNION ALL SELECT collection_id, concat('node Sorted (Key+BPM
 UNION ALL SELECT collection_id, 'node Sorted (Key+BPM)', concat_ws('|', '0', '-', CAST(count(*) AS VARCHAR), '-', '-') FROM ly WHERE key_type = '0' GROUP BY 1
 UNION ALL SELECT collection_id, 'document', concat('shop & more|', CAST(count(*) AS VARCHAR)) FROM crate_tracks WHERE collection_id IN (SELECT collection_id FROM ly) GROUP BY 1""", *DOCUMENTS, "tracks")
 def _export_sorted_xml(tracks, lists, entries, _every):
-    docs = xml.parse_collections(_documents(tracks, lists, entries))
-    own = xml.playlists(xml.nodes(docs))
-    chosen, _ = playlists.choose(own, docs)
-    ordered = playlists.harmonic_sort(xml.entries(own), playlists.last_wins(xml.tracks(docs)), chosen)
+    docs = kept(_documents(tracks, lists, entries), "documents")
+    read = kept(xml.parse_collections(docs), "elements")
+    chosen, _ = playlists.choose(xml.playlists(read), docs)
+    ordered = playlists.harmonic_sort(xml.entries(read), playlists.last_wins(xml.tracks(read)), chosen)
     return _items(xml.export_sorted(docs, ordered, chosen, playlists.SORTED_FOLDER))
 
 
@@ -462,9 +498,9 @@ UNION ALL SELECT collection_id, 'node CDJ-safe (MP3)', '0|-|1|-|-' FROM o UNION
 UNION ALL SELECT c.collection_id, 'document', concat('shop & more|', CAST(count(*) + any_value(n) AS VARCHAR)) FROM crate_tracks c JOIN (SELECT collection_id, count(*) AS n FROM e GROUP BY 1) x ON c.collection_id = x.collection_id GROUP BY 1""", *CRATES)
 def _export_converted_xml(targets, lists, entries, tracks, *more):
     """Only playlists that pass are exported, one for each collection; the library's tables are read from the documents."""
-    docs = xml.parse_collections(_documents(tracks, lists, entries))
+    docs = kept(_documents(tracks, lists, entries), "documents")
     made = _first_of_each(_converted(targets, lists, entries, tracks, *more)[1])
-    places = xml.tracks(docs).select("collection_id", "track_id", F.col("doc_pos").alias("place"))
+    places = xml.tracks(xml.parse_collections(docs)).select("collection_id", "track_id", F.col("doc_pos").alias("place"))
     made = made.join(places, ["collection_id", "track_id"]).drop("doc_pos").withColumnRenamed("place", "doc_pos")
     names = _with_parts(lists).select("collection_id", "playlist_ord", F.try_element_at("path", F.lit(-1)).alias("name"))
     return _items(xml.export_converted(docs, made, names, convert.FOLDER).select("collection_id", "xml"))

@@ -1,5 +1,8 @@
 """Collection documents: XML texts to tables of tracks, playlists, entries and nodes, and exports of the texts with more in them.
 
+The texts are read as parser events, so playlist trees may have any depth, and one document that can't be read is a reject with its reason,
+not the end of a job. Attributes and children of tracks are carried whole, as a map and a list.
+
 An export is the original text with new tracks and nodes put in, and counters raised: what the tables don't hold (other attributes,
 children and top-level elements) stays as it is. A new track is its source's text with the recomputed attributes.
 """
@@ -7,9 +10,7 @@ children and top-level elements) stays as it is. A new track is its source's tex
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import reduce
-from operator import or_
+from collections.abc import Iterable, Iterator
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
@@ -17,77 +18,188 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.playlists import bumped
-
-#: Levels of nodes read, the root included; deeper ones are an error.
-DEPTH = 8
-_TEMPO = "array<struct<_Inizio:string,_Bpm:string,_Metro:string,_Battito:string>>"
-_MARK = "array<struct<_Name:string,_Type:string,_Start:string,_Num:string,_Red:string,_Green:string,_Blue:string>>"
+#: Bytes that the parser takes at a time, and elements of a batch.
+CHUNK, BATCH = 1 << 14, 5000
 TRACK_FIELDS = {
     "track_id": "TrackID", "name": "Name", "artist": "Artist", "kind": "Kind", "size": "Size", "total_time": "TotalTime", "average_bpm": "AverageBpm", "bit_rate": "BitRate",
     "sample_rate": "SampleRate", "comments": "Comments", "location": "Location", "tonality": "Tonality",
 }
-_TRACK = "struct<" + ",".join(f"_{x}:string" for x in TRACK_FIELDS.values()) + f",TEMPO:{_TEMPO},POSITION_MARK:{_MARK}>"
-_NODE_FIELDS = "_Name:string,_Type:string,_KeyType:string,_Count:string,_Entries:string,TRACK:array<struct<_Key:string>>"
+#: Attributes of a new track that aren't its source's.
+RECOMPUTED = {"TrackID": "new_id", "Location": "location", "Kind": "kind", "Size": "size", "BitRate": "bit_rate", "SampleRate": "sample_rate", "Comments": "comments"}
 
+_ATTRS = pa.map_(pa.string(), pa.string())
+ELEMENT = pa.schema([
+    ("kind", pa.string()), ("ord", pa.int64()), ("seq", pa.int64()), ("parent", pa.int64()), ("depth", pa.int32()), ("path", pa.list_(pa.string())), ("playlist", pa.bool_()), ("closed", pa.bool_()), ("attrs", _ATTRS),
+    ("children", pa.list_(pa.struct([("tag", pa.string()), ("attrs", _ATTRS)]))), ("reason", pa.string()),
+])
+ELEMENTS = (
+    "kind string, ord long, seq long, parent long, depth int, path array<string>, playlist boolean, closed boolean, attrs map<string,string>, "
+    "children array<struct<tag:string,attrs:map<string,string>>>, reason string"
+)
+_START_TAG = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
 
-def _node(depth: int) -> str:
-    return f"struct<{_NODE_FIELDS},NODE:array<{_node(depth - 1) if depth > 1 else 'string'}>>"
 
-
-DOCUMENT = f"struct<_Version:string,COLLECTION:struct<_Entries:string,TRACK:array<{_TRACK}>>,PLAYLISTS:struct<NODE:{_node(DEPTH)}>>"
-#: Attributes of a new track that aren't its source's.
-RECOMPUTED = {"TrackID": "new_id", "Location": "location", "Kind": "kind", "Size": "size", "BitRate": "bit_rate", "SampleRate": "sample_rate", "Comments": "comments"}
-_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "FAILFAST", "rowTag": "DJ_PLAYLISTS"}
+class Scanner:
+    """Elements of one document from its bytes, fed piece by piece: rows of ELEMENT in rows, those of whole elements only."""
+
+    def __init__(self, encoding: str | None):
+        self.parser = expat.ParserCreate(encoding)
+        self.parser.ordered_attributes = True
+        self.parser.StartElementHandler, self.parser.EndElementHandler = self._start, self._end
+        self.rows: list[dict] = []
+        self.depth, self.count, self.numbers = 0, 0, {"track": 0, "node": 0}
+        self.in_collection = self.in_playlists = False
+        self.track: dict | None = None  # the track whose children are read
+        self.nodes: list[tuple[int, str]] = []  # open nodes: number and name
+        self.current: tuple[int, int] | None = None  # the open playlist: its number, and how many nodes are open in it
+        self.pos = 0
+
+    def feed(self, data: bytes, last: bool) -> None:
+        self.parser.Parse(data, last)
+
+    def taken(self) -> list[dict]:
+        rows, self.rows = self.rows, []
+        return rows
+
+    def _row(self, kind: str, attrs: list[tuple[str, str]], **more) -> dict:
+        base = {"kind": kind, "ord": self.count, "seq": None, "parent": None, "depth": self.depth, "path": None, "playlist": None, "closed": None, "attrs": attrs, "children": None, "reason": None}
+        return base | more
+
+    def _start(self, name: str, flat: list[str]) -> None:
+        attrs = list(zip(flat[::2], flat[1::2], strict=True))
+        if self.track is not None:
+            self.track["children"].append({"tag": name, "attrs": attrs})
+        elif name == "COLLECTION":
+            self.in_collection = True
+        elif name == "PLAYLISTS":
+            self.in_playlists = True
+        elif name == "TRACK" and self.in_collection:
+            self.track = self._row("track", attrs, seq=self.numbers["track"], children=[])
+            self.numbers["track"] += 1
+        elif name == "TRACK" and self.current and self._closed():
+            if any(k == "Key" for k, _ in attrs):
+                self.rows.append(self._row("entry", attrs, seq=self.pos, parent=self.current[0]))
+                self.pos += 1
+        elif name == "NODE" and self.in_playlists:
+            self._node(dict(attrs), attrs)
+        self.depth, self.count = self.depth + 1, self.count + 1
+
+    def _node(self, own: dict[str, str], attrs: list[tuple[str, str]]) -> None:
+        parent = self.nodes[-1][0] if self.nodes else None
+        self.nodes.append((self.count, own.get("Name", "")))
+        closed = self._closed()
+        playlist = own.get("Type") == "1" and len(self.nodes) > 1 and (closed or self.current is None)
+        if playlist and not closed:
+            self.current, self.pos = (self.count, len(self.nodes)), 0
+        self.rows.append(self._row("node", attrs, seq=self.numbers["node"], parent=parent, path=[n for _, n in self.nodes[1:]], playlist=playlist, closed=closed))
+        self.numbers["node"] += 1
+
+    def _closed(self) -> bool:
+        """Whether the start tag at hand closes itself; the parser holds the whole tag."""
+        return _START_TAG.match(self.parser.GetInputContext())[0].endswith(b"/>")
+
+    def _end(self, name: str) -> None:
+        self.depth -= 1
+        if self.track is not None:
+            if self.depth == self.track["depth"]:
+                self.rows.append(self.track)
+                self.track = None
+        elif name == "COLLECTION":
+            self.in_collection = False
+        elif name == "PLAYLISTS":
+            self.in_playlists = False
+        elif name == "NODE" and self.in_playlists and self.nodes:
+            if self.current and self.current[1] == len(self.nodes):
+                self.current = None
+            self.nodes.pop()
+
+
+def flaw(chunks: Iterable[bytes], encoding: str | None) -> str | None:
+    """Why a document can't be read; None if it can. A pass without any work on the elements."""
+    parser = expat.ParserCreate(encoding)
+    try:
+        for data in chunks:
+            parser.Parse(data, False)
+        parser.Parse(b"", True)
+    except expat.ExpatError as e:
+        return f"malformed: {expat.ErrorString(e.code)} at byte {parser.ErrorByteIndex}"
+    return None
+
+
+def rejected(reason: str) -> dict:
+    return {f.name: None for f in ELEMENT} | {"kind": "reject", "reason": reason}
+
+
+def scanned(chunks: Iterable[bytes], encoding: str | None) -> Iterator[list[dict]]:
+    """The elements of a document that can be read, in lists of about BATCH."""
+    scanner = Scanner(encoding)
+    for data in chunks:
+        scanner.feed(data, False)
+        if len(scanner.rows) >= BATCH:
+            yield scanner.taken()
+    scanner.feed(b"", True)
+    yield scanner.taken()
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    return (data[at : at + CHUNK] for at in range(0, len(data), CHUNK))
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    """collection_id (the file's path), xml (its text), doc: one row for each collection file."""
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("collection_id"), F.regexp_replace("value", "^\ufeff", "").alias("xml"))
-    return parse_collections(texts)
+    """collection_id (the file's path) and xml (its text): one row for each collection file."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("collection_id"), F.regexp_replace("value", "^\ufeff", "").alias("xml"))
+
 
+def parse_collections(texts: DataFrame, xml: str = "xml", by: str = "collection_id", strict: bool = False) -> DataFrame:
+    """The elements of XML texts: collection_id and the columns of ELEMENTS.
 
-def parse_collections(texts: DataFrame, xml: str = "xml", by: str = "collection_id") -> DataFrame:
-    """The same from a column of XML texts; a malformed one is an error."""
-    return texts.select(F.col(by).alias("collection_id"), F.col(xml).alias("xml"), F.from_xml(F.col(xml), DOCUMENT, _OPTIONS).alias("doc"))
+    kind is track (attrs, children: all elements in it in order; seq: its place among the tracks), node (path: names from below the root;
+    parent; playlist: it is one; closed: its tag closes itself), entry (a track of a playlist: parent is the playlist, seq the place in it) or
+    reject (reason: no document, or malformed and where); a rejected text has no other rows. strict raises instead. ord numbers a
+    document's elements. A playlist's entries are all self-closing tracks with a key in it, those in nodes in it too.
+    """
+    own = texts.select(F.col(by).cast("string").alias("collection_id"), F.col(xml).alias("xml"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("collection_id").to_pylist(), batch.column("xml"), strict=True):
+                data = (text.as_py() or "").encode()
+                wrong = flaw(_pieces(data), "UTF-8") if text.is_valid else "no document"
+                if wrong and strict:
+                    raise ValueError(f"{wrong} in collection {name}")
+                for rows in [[rejected(wrong)]] if wrong else scanned(_pieces(data), "UTF-8"):
+                    made = pa.RecordBatch.from_pylist(rows, schema=ELEMENT)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *made.columns], names=["collection_id", *ELEMENT.names])
 
-def tracks(collections: DataFrame) -> DataFrame:
-    """One row for each TRACK of the collections, in document order, with its beat grid and cues."""
-    each = collections.select("collection_id", F.posexplode("doc.COLLECTION.TRACK").alias("doc_pos", "t"))
-    named = [F.col(f"t._{x}").alias(k) for k, x in TRACK_FIELDS.items()]
-    return each.select("collection_id", F.col("doc_pos").cast("long").alias("doc_pos"), *named, F.col("t.TEMPO").alias("tempos"), F.col("t.POSITION_MARK").alias("position_marks"))
+    return own.mapInArrow(run, f"collection_id string, {ELEMENTS}").withColumn("collection_id", F.col("collection_id").cast(texts.schema[by].dataType))
 
 
-def nodes(collections: DataFrame) -> DataFrame:
-    """One row for each NODE: place (positions from the root down), path (names, without the root's), type, key_type, count, entries, keys; wrong if the
-    collection can't be taken: too_deep (nodes below the last level, which are left out) or nested_playlist (nodes in a playlist)."""
-    flat = lambda x: F.struct(
-        x["place"].alias("place"), x["path"].alias("path"), x["n"]["_Name"].alias("name"), x["n"]["_Type"].alias("type"), x["n"]["_KeyType"].alias("key_type"), x["n"]["_Count"].alias("count"),
-        x["n"]["_Entries"].alias("entries"), x["n"]["TRACK"]["_Key"].alias("keys"),
-    )
-    below = lambda x: F.transform(F.coalesce(x["n"]["NODE"], F.array()), lambda m, i: F.struct(F.concat(x["place"], F.array(i)).alias("place"), F.concat(x["path"], F.array(m["_Name"])).alias("path"), m.alias("n")))
-    root = F.struct(F.array(F.lit(0)).alias("place"), F.array().cast("array<string>").alias("path"), F.col("doc.PLAYLISTS.NODE").alias("n"))
-    t = collections.where("doc.PLAYLISTS.NODE IS NOT NULL").select("collection_id", F.array(root).alias("level0"))
-    for depth in range(1, DEPTH):  # each level is an array of its own kind of struct, from the level above
-        t = t.withColumn(f"level{depth}", F.flatten(F.transform(f"level{depth - 1}", below)))
-    holds = lambda x: F.coalesce(F.size(x["n"]["NODE"]) > 0, F.lit(False))
-    deeper = F.exists(f"level{DEPTH - 1}", holds)
-    nested = reduce(or_, [F.exists(f"level{d}", lambda x: (x["n"]["_Type"] == "1") & holds(x)) for d in range(DEPTH)])
-    wrong = F.when(deeper, F.concat(F.lit("too_deep: nodes below level "), F.lit(DEPTH))).when(nested, "nested_playlist: nodes in a playlist")
-    every = F.concat(*[F.transform(f"level{d}", flat) for d in range(DEPTH)])
-    return t.select("collection_id", wrong.alias("wrong"), F.explode(every).alias("x")).select("collection_id", "x.*", "wrong")
-
-
-def playlists(all_nodes: DataFrame) -> DataFrame:
-    """Playlists (type 1) with place as their document order; entries as an array. A collection that can't be taken is an error."""
-    error = F.raise_error(F.concat("wrong", F.lit(" in collection "), F.coalesce("collection_id", F.lit("null"))))
-    return all_nodes.where(F.when(F.col("wrong").isNotNull(), error.cast("boolean")).otherwise(F.col("type") == "1")).select("collection_id", F.col("place").alias("playlist_ord"), "path", "key_type", "keys")
-
-
-def entries(all_playlists: DataFrame) -> DataFrame:
+def rejects(elements: DataFrame) -> DataFrame:
+    """collection_id and reason of the documents that can't be read."""
+    return elements.where("kind = 'reject'").select("collection_id", "reason")
+
+
+def tracks(elements: DataFrame) -> DataFrame:
+    """One row for each TRACK of the collections, doc_pos being its place there, with all attributes, its beat grid and its cues as maps."""
+    named = [F.col("attrs")[x].alias(k) for k, x in TRACK_FIELDS.items()]
+    of = lambda tag: F.transform(F.filter("children", lambda c: c["tag"] == tag), lambda c: c["attrs"])
+    return elements.where("kind = 'track'").select("collection_id", F.col("seq").alias("doc_pos"), *named, of("TEMPO").alias("tempos"), of("POSITION_MARK").alias("position_marks"), "attrs")
+
+
+def nodes(elements: DataFrame) -> DataFrame:
+    """One row for each NODE: node_ord (in document order), parent_ord, depth, path (names, without the root's), type, key_type, count, entries, playlist, closed."""
+    kept = [F.col("attrs")[x].alias(k) for k, x in {"name": "Name", "type": "Type", "key_type": "KeyType", "count": "Count", "entries": "Entries"}.items()]
+    return elements.where("kind = 'node'").select("collection_id", F.col("ord").alias("node_ord"), F.col("parent").alias("parent_ord"), F.size("path").alias("depth"), "path", *kept, "playlist", "closed")
+
+
+def playlists(elements: DataFrame) -> DataFrame:
+    """Playlists in document order (playlist_ord), with path, key_type and closed: its tag closes itself, so it has no entries."""
+    return nodes(elements).where("playlist").select("collection_id", F.col("node_ord").alias("playlist_ord"), "path", "key_type", "closed")
+
+
+def entries(elements: DataFrame) -> DataFrame:
     """collection_id, playlist_ord, pos, track_id"""
-    return all_playlists.select("collection_id", "playlist_ord", F.posexplode("keys").alias("pos", "track_id"))
+    return elements.where("kind = 'entry'").select("collection_id", F.col("parent").alias("playlist_ord"), F.col("seq").alias("pos"), F.col("attrs")["Key"].alias("track_id"))
 
 
 def document_text(doc: Column) -> Column:
@@ -95,9 +207,6 @@ def document_text(doc: Column) -> Column:
     return F.regexp_replace(F.to_xml(doc, {"rowTag": "DJ_PLAYLISTS"}), r"\n$", "")
 
 
-_START_TAG = re.compile(rb"""<(?:[^>"']|"[^"]*"|'[^']*')*>""")
-
-
 class _Element:
     """Where an element stands in its document: its start tag, its content, and its attributes in order."""
 
@@ -126,12 +235,12 @@ def _found(data: bytes) -> tuple[_Element | None, _Element | None, list[_Element
     parser.ordered_attributes = True
 
     def start(name: str, attributes: list[str]) -> None:
-        path.append((name, None))
-        names = [x for x, _ in path[1:]] if len(path) < 4 else None
-        if names in (["COLLECTION"], ["PLAYLISTS", "NODE"], ["COLLECTION", "TRACK"]):
+        above = {x for x, _ in path}
+        own = None
+        if "TRACK" not in above and (name == "COLLECTION" or (name == "TRACK" and "COLLECTION" in above) or (name == "NODE" and "PLAYLISTS" in above and "NODE" not in above)):
             own = _Element(name, attributes, data, parser.CurrentByteIndex)
-            path[-1] = (name, own)
             tracks_.append(own) if name == "TRACK" else named.setdefault(name, own)
+        path.append((name, own))
 
     def end(name: str) -> None:
         own = path.pop()[1]
@@ -143,19 +252,25 @@ def _found(data: bytes) -> tuple[_Element | None, _Element | None, list[_Element
     return named.get("COLLECTION"), named.get("NODE"), tracks_
 
 
-def rewritten(xml: str, folder: str, lists: list[dict], made: list[dict], root_count: str, entries: str | None) -> str:
+def _raised(counter: str | None, more: int) -> str:
+    """A stored counter plus more; text that is no number counts as 0."""
+    text = (counter or "").strip()
+    return str((int(text) if re.fullmatch(r"\+?[0-9]+", text, re.ASCII) else 0) + more)
+
+
+def rewritten(xml: str, folder: str, lists: list[dict], made: list[dict]) -> str:
     """The document with a folder of playlists (name, keys) after all nodes below its root, and new tracks (doc_pos of the source, attributes)
-    after all others; root_count and entries are the raised counters."""
+    after all others, and with the counters of both raised."""
     data = xml.encode()
     collection, root, own = _found(data)
     if root is None or (made and collection is None):
         raise ValueError("the document has no root node or no collection")
     inner = "".join(f"<{_tag('NODE', {'Name': x['name'], 'Type': '1', 'KeyType': '0', 'Entries': str(len(x['keys']))})}>" + "".join(f"<{_tag('TRACK', {'Key': k})}/>" for k in x["keys"]) + "</NODE>" for x in lists)
-    changed = [(root, root.grown(data, {"Count": root_count}, f"<{_tag('NODE', {'Name': folder, 'Type': '0', 'Count': str(len(lists))})}>{inner}</NODE>"))]
+    changed = [(root, root.grown(data, {"Count": _raised(root.attributes.get("Count"), 1)}, f"<{_tag('NODE', {'Name': folder, 'Type': '0', 'Count': str(len(lists))})}>{inner}</NODE>"))]
     if made:
         parts = [(own[m["doc_pos"]], {k: v for k, v in m["attributes"].items() if v is not None}) for m in made]
         texts = [t.grown(data, new).decode() + ("" if t.empty else "</TRACK>") for t, new in parts]
-        changed.append((collection, collection.grown(data, {"Entries": entries}, "".join(texts))))
+        changed.append((collection, collection.grown(data, {"Entries": _raised(collection.attributes.get("Entries"), len(made))}, "".join(texts))))
     out, at = [], 0
     for element, text in sorted(changed, key=lambda x: x[0].at):
         out += [data[at : element.at], text]
@@ -164,13 +279,13 @@ def rewritten(xml: str, folder: str, lists: list[dict], made: list[dict], root_c
 
 
 def _exported(rows: DataFrame, folder: str, keys: list[str]) -> DataFrame:
-    """keys, xml from rows keys, xml, lists, made, root_count, entries."""
+    """keys, xml from rows keys, xml, lists, made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).select(["xml", "lists", "made", "root_count", "entries"]).to_pylist()
-                text = rewritten(row["xml"], folder, row["lists"], row["made"], row["root_count"], row["entries"])
+                (row,) = batch.slice(i, 1).select(["xml", "lists", "made"]).to_pylist()
+                text = rewritten(row["xml"], folder, row["lists"], row["made"])
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in keys), pa.array([text], pa.string())], names=[*keys, "xml"])
 
     return rows.mapInArrow(run, rows.select(*keys, "xml").schema)
@@ -187,7 +302,6 @@ def export_sorted(collections: DataFrame, sorted_entries: DataFrame, names: Data
     none = F.array().cast("array<struct<doc_pos:bigint>>").alias("made")
     rows = collections.join(per, "collection_id").select(
         "collection_id", "xml", F.transform("lists", lambda x: F.struct(x["name"].alias("name"), x["keys"].alias("keys"))).alias("lists"), none,
-        bumped(F.col("doc.PLAYLISTS.NODE._Count"), 1).alias("root_count"), F.lit(None).cast("string").alias("entries"),
     )
     return _exported(rows, folder, ["collection_id"])
 
@@ -202,6 +316,5 @@ def export_converted(collections: DataFrame, made: DataFrame, names: DataFrame,
     rows = collections.join(per, "collection_id").select(
         *unit, "xml", F.array(F.struct("name", F.transform("made", lambda m: m["attributes"]["TrackID"]).alias("keys"))).alias("lists"),
         F.transform("made", lambda m: F.struct(m["doc_pos"].alias("doc_pos"), m["attributes"].alias("attributes"))).alias("made"),
-        bumped(F.col("doc.PLAYLISTS.NODE._Count"), 1).alias("root_count"), bumped(F.col("doc.COLLECTION._Entries"), F.size("made")).alias("entries"),
     )
     return _exported(rows, folder, unit)
