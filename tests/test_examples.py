@@ -11,8 +11,9 @@ from waxcrate.functions.keys import camelot, tempo
 from waxcrate.functions.numbers import one_decimal, whole_number
 from waxcrate.functions.paths import decode_location, encode_location, sanitized
 from waxcrate.operators import convert, files, loudness, playlists, report
+from waxcrate.operators.ranks import ranked
 from waxcrate.sources import collection_xml as xml
-from waxcrate.streaming.gain import planned_stream
+from waxcrate.streaming.gain import gain_sink, planned_stream
 
 
 def values(spark, rows, expression, kind="string"):
@@ -131,8 +132,9 @@ def test_gain_thresholds(spark):
 
 def test_report_csv(spark, tmp_path):
     rows = [("c", "x.mp3", "mp3", -3.5, -9.96, 320), ("d", "y.flac", "flac", -3.5, -9.0, None), ("d", "z.flac", "flac", 0.0, -9.0, None)]
-    plan = loudness.gain_plan(spark.createDataFrame(rows, "collection_id string, filename string, ext string, input_tp double, input_i double, kbps int"))
+    plan = loudness.gain_plan(spark.createDataFrame(rows, "collection_id string, filename string, ext string, input_tp double, input_i double, kbps int").repartition(3))
     report.write_csv(plan, str(tmp_path / "r"), by=("collection_id",))
+    assert sorted(len(list(x.glob("*.csv"))) for x in (tmp_path / "r").glob("collection_id=*")) == [1, 1]
     back = spark.read.csv(str(tmp_path / "r"), header=True).orderBy("Filename").collect()
     assert [tuple(r) for r in back] == [("x.mp3", "MP3", "320", "-10.0", "-3.5", "-0.5", "+3.0", "native", "+3.0", "c"), ("y.flac", "Lossless", "-", "-9.0", "-3.5", "-0.5", "+3.0", "ffmpeg", "+3.0", "d")]
 
@@ -391,3 +393,91 @@ def test_planned_stream(spark, tmp_path):
     run = planned_stream(stream).writeStream.format("memory").queryName("plans").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert [(r["name"], r["gain_method"]) for r in spark.sql("SELECT * FROM plans").collect()] == [("a", "None")]
+
+
+LOG_ROWS = "name string, ext string, log string"
+
+
+def test_stream_that_stops_in_the_middle(spark, tmp_path):
+    """Five batches; the third fails between its two writes. Started again, each log is there once, as a plan or a reject."""
+    source, plans, rejected, state = (str(tmp_path / x) for x in ("in", "plans", "rejected", "state"))
+    logs = [(f"n{i}", "mp3", ("no data" if i % 3 == 0 else LOG.replace("0.74", "-inf") if i % 3 == 1 else "Duration: 1, bitrate: 128 kb/s\n" + LOG.replace("0.74", "-4.00"))) for i in range(20)]
+    for i in range(5):
+        spark.createDataFrame(logs[i * 4 : i * 4 + 4], LOG_ROWS).coalesce(1).write.mode("append").parquet(source)
+    stream = lambda: spark.readStream.schema(LOG_ROWS).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def stops(batch):
+        if batch == 2:
+            raise RuntimeError("stopped")
+
+    run = gain_sink(stream(), plans, rejected, state, after=stops).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="stopped"):
+        run.awaitTermination(120)
+    assert spark.read.parquet(rejected).select("batch").distinct().count() == 3 and spark.read.parquet(plans).select("batch").distinct().count() == 2
+    gain_sink(stream(), plans, rejected, state).trigger(availableNow=True).start().awaitTermination(120)
+    found = [(r["name"], r["gain_method"]) for r in spark.read.parquet(plans).collect()] + [(r["name"], r["reason"]) for r in spark.read.parquet(rejected).collect()]
+    assert sorted(found) == sorted((name, ("no_measurement", "not_finite", "Mp3Lossless")[i % 3]) for i, (name, *_) in enumerate(logs))
+
+
+def test_settings_of_libraries(spark):
+    rows = [("a", None, None, None, None, None, None), ("b", -3.0, False, None, None, True, None), ("c", None, True, None, True, None, None), ("d", -3.0, True, None, None, None, None), ("e", None, None, True, True, None, None), ("f", None, None, None, None, True, True), ("g", -1.0, None, None, None, None, None), ("g", -1.0, None, None, None, None, None), (None, -9.0, None, None, None, None, None)]
+    settings = spark.createDataFrame(rows, f"collection_id string, {loudness.SETTINGS}")
+    found = {r["collection_id"]: tuple(r)[1:] for r in loudness.resolved_settings(settings).collect()}
+    void = (None,) * 4
+    assert found == {
+        "a": (-0.5, None, True, False, "ok"), "b": (-3.0, None, True, True, "ok"), "c": (-0.5, -1.0, False, False, "ok"), "d": (*void, "target_and_split"), "e": (*void, "lossless_conflict"),
+        "f": (*void, "reencode_conflict"), "g": (*void, "repeated"), None: (-9.0, None, True, False, "ok"),
+    }
+    files_ = [(c, ext, tp, kbps) for c in "abcdz" for ext, tp, kbps in (("mp3", -1.1, 320), ("mp3", -4.0, 128), ("wav", -2.0, None))]
+    plan = loudness.gain_plan_by_settings(spark.createDataFrame(files_, "collection_id string, ext string, input_tp double, kbps int"), settings)
+    rows = {c: [] for c in "abcdz"}
+    for r in plan.orderBy("collection_id", "input_tp").collect():
+        rows[r["collection_id"]].append((r["target_tp"], r["gain_method"], r["selected"]))
+    assert rows["a"] == rows["z"] == [(-0.5, "Mp3Lossless", True), (-0.5, "FfmpegLossless", True), (-0.5, "Mp3Reencode", False)]
+    assert rows["b"] == [(-3.0, "Mp3Reencode", True), (-3.0, "None", False), (-3.0, "None", False)]
+    assert rows["c"] == [(-1.0, "Mp3Lossless", False), (-0.5, "FfmpegLossless", False), (-0.5, "Mp3Reencode", False)]
+    assert rows["d"] == [(None, None, None)] * 3
+
+
+def test_counts_that_come_with_the_write(spark, tmp_path):
+    """One job writes and counts; its numbers are those of the summary."""
+    rows = [("flac", -3.0, None), ("mp3", -5.0, 320), ("m4a", -9.0, None), ("mp3", -1.0, 320), ("aac", 0.0, None)] * 7
+    plan = loudness.gain_plan(spark.createDataFrame(rows, "ext string, input_tp double, kbps int").repartition(3))
+    watched, seen = loudness.observed(plan)
+    spark.sparkContext.setJobGroup("writes", "one write")
+    watched.write.parquet(str(tmp_path / "plan"))
+    counted = seen.get
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("writes")
+    spark.sparkContext.setJobGroup("other", "")
+    assert counted == loudness.method_summary(plan, ()).first().asDict() | {"failures": 0} and counted["Mp3Reencode"] == 7
+    assert len(jobs) == len(spark.sparkContext.statusTracker().getJobIdsForGroup("writes")) and spark.read.parquet(str(tmp_path / "plan")).count() == 35
+    acted, seen = loudness.observed_actions(spark.createDataFrame([("Copy",), ("Copy",), (None,)], "action string"))
+    acted.write.parquet(str(tmp_path / "acts"))
+    assert seen.get == {"Copy": 2, "ReencodeLossy": 0, "Reencode": 0, "failures": 1}
+
+
+def test_places_in_large_lists(spark):
+    """A list with most of the entries is dealt to many ranges and placed like the windows place it, nulls and ties included."""
+    rng = random.Random(5)
+    tracks = spark.createDataFrame([("c", str(i), rng.choice(["4A", "9B", "x", None]), rng.choice(["120", "121.5", "", None])) for i in range(50)], "collection_id string, track_id string, tonality string, average_bpm string")
+    entries = spark.createDataFrame([("c", 7 if i % 4 else i, i, str(rng.randint(0, 60))) for i in range(6000)], UNIT + ", pos int, track_id string").repartition(6)
+    lists = spark.createDataFrame([("c", n, "0") for n in range(0, 6000)], UNIT + ", key_type string")
+    shown = lambda df: sorted((r["playlist_ord"], r["new_pos"], r["pos"], r["track_id"]) for r in df.collect())
+    small = shown(playlists.harmonic_sort(entries, tracks, lists))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows would be one range
+    try:
+        assert shown(playlists.harmonic_sort(entries, tracks, lists, most=1000)) == small == shown(playlists.harmonic_sort(entries, tracks, lists, most=10**6))
+        big = entries.where("playlist_ord = 7")
+        placed = ranked(big, ["collection_id"], [F.col("track_id").asc(), F.col("pos").desc()], "place")
+        assert [r["place"] for r in placed.orderBy("track_id", F.desc("pos")).collect()] == list(range(1, big.count() + 1))
+        at = F.spark_partition_id()
+        assert big.repartitionByRange("collection_id", "track_id", "pos").groupBy(at).count().count() > 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_order_of_found_files(spark):
+    """Files come in the order of their paths part by part: a folder before a name that begins like it."""
+    paths = ["/m/a/x.mp3", "/m/a b/x.mp3", "/m/a.mp3", "/m/a/b/c.wav", "/m/ab.mp3", "/m/A/z.mp3", "/m/é.mp3", "/m/a-/x.mp3"]
+    found, _ = files.resolve_inputs(spark.createDataFrame([("c", p) for p in paths], "collection_id string, path string"), spark.createDataFrame([("c", "/m")], "collection_id string, input string"))
+    assert [r["path"] for r in found.orderBy("parts").collect()] == sorted(paths, key=lambda p: [x.encode() for x in p.split("/")])

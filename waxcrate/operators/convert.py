@@ -202,25 +202,23 @@ def convert_playlists(targets: DataFrame, playlists: DataFrame, entries: DataFra
 
     A target's status is that of find_target (its last match), else that of the gate, else unfinished if finished lacks one of its
     new files. Either all tracks of a playlist are converted or none; strict raises where one isn't. Files go to out_dir/<collection>/<playlist_ord>.
+    The targets found, the judged entries, the gates and the new tracks are computed once and kept, as both results read them.
     """
     unit = (*by, "playlist_ord")
-    found = find_target(playlists, targets, "last", by)
+    found = kept(find_target(playlists, targets, "last", by), "targets")
     wanted = found.where("status = 'ok'").select(*unit).distinct()
-    own = judged(entries.join(wanted, list(unit), "left_semi"), tracks, probes, files, by, on)
-    gates = gate(own, wanted, unit)
-    whole, named = Window.partitionBy(*unit), Window.partitionBy(*unit, "track_id")
-    bad = F.max(F.col("failure").isNotNull() | (F.col("w_n") > 1)).over(whole)
-    passed = own.withColumn("w_n", F.count("track_id").over(named)).withColumn("w_bad", bad).where(~F.col("w_bad")).drop("w_n", "w_bad")
+    own = kept(judged(entries.join(wanted, list(unit), "left_semi"), tracks, probes, files, by, on), "judged")
+    gates = kept(gate(own, wanted, unit), "gates")
+    passed = own.join(gates.where("status = 'ok'").select(*unit), list(unit), "left_semi")
     folder = F.concat_ws("/", F.lit(out_dir), *[F.col(c).cast("string") for c in unit])
-    made = new_tracks(plan_filenames(passed.withColumn("out_dir", folder)), max_track_id(tracks, by), finished, by, unit)
-    made = made.withColumn("w_late", F.max(F.col("size").isNull()).over(whole))
-    late = made.where("w_late").select(*unit, "w_late").distinct()
+    made = kept(new_tracks(plan_filenames(passed.withColumn("out_dir", folder)), max_track_id(tracks, by), finished, by, unit), "made")
+    late = made.where(F.col("size").isNull()).select(*unit, F.lit(True).alias("w_late")).distinct()
     status = found.join(gates.select(*unit, F.col("status").alias("w_gate")), list(unit), "left").join(late, list(unit), "left")
     state = F.when(F.col("status") != "ok", F.col("status")).when(F.col("w_gate") != "ok", F.col("w_gate")).when(F.col("w_late"), "unfinished").otherwise("ok")
     status = status.select(*by, "target", "playlist_ord", "name", state.alias("status"))
     if strict and (first := status.where("status != 'ok'").first()):
         raise ValueError(f"playlist {first.asDict()} can't be converted")
-    return status, made.where(~F.col("w_late")).drop("w_late")
+    return status, made.join(late, list(unit), "left_anti").select(*made.columns)
 
 
 def converted_collection(tracks: DataFrame, made: DataFrame, by: tuple[str, ...] = ("collection_id",), order: str = "doc_pos") -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, basename, dirname, extension, folder_parts, is_audio, media_class, relative_to
+from ..scratch import kept
+
 
 def scan_audio(files: DataFrame) -> DataFrame:
     """Files with a supported extension whose name doesn't begin with ._, with their class."""
@@ -45,33 +47,51 @@ def fixed_folder(glob: Column) -> Column:
     return F.regexp_extract(glob, r"^([^*?\[]*)/", 1)
 
 
+def folder_tree(files: DataFrame, markers: Sequence[str] = (), by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
+    """One row for each folder that holds files of (by, path, folder) and each folder above it or itself (above; the top is empty), with
+    deepest: the length of the longest of these that holds a marker, 0 if none does. Computed once and kept: folders are far fewer than files."""
+    every = F.explode(F.array_union(F.array(F.lit("")), ancestors(F.concat("folder", F.lit("/")))))
+    folders = files.select(*by, "folder").distinct()
+    if markers:
+        marked = marked_folders(files, markers, by).withColumnRenamed("folder", "above")
+        deepest = folders.withColumn("above", every).join(marked, [*by, "above"], "left_semi").groupBy(*by, "folder").agg(F.max(F.length("above")).alias("deepest"))
+        folders = folders.join(deepest, [*by, "folder"], "left")
+    else:
+        folders = folders.withColumn("deepest", F.lit(0))
+    return kept(folders.select(*by, "folder", F.coalesce("deepest", F.lit(0)).alias("deepest"), every.alias("above")), "folders")
+
+
 def resolve_inputs(files: DataFrame, inputs: DataFrame, markers: Sequence[str] = (), by: tuple[str, ...] = ("collection_id",)) -> tuple[DataFrame, DataFrame]:
     """The audio files that inputs (by, input) name, each once with parts to order by; and the inputs without a match.
 
     An input is a folder, a file or a glob, in this order. Only a glob without a match is an error. A folder, also one that a glob
-    names, gives what a scan of it gives, without folders below it that hold a marker. Everything meets by equality: folders (far
-    fewer than files) by their ancestors, a glob by the folder before its first wildcard; what it meets is then matched.
+    names, gives what a scan of it gives, without folders below it that hold a marker. Everything meets by equality: an input or a glob's
+    folder before its first wildcard meets the folder tree once, and what is asked of each folder meets the files once. What a
+    folder is asked: all its files (it is walked), those that match a pattern, or one file.
     """
     by_given = [*by, "given"]
-    files = files.select(*by, "path", F.when(F.contains(F.col("path"), F.lit("/")), dirname(F.col("path"))).otherwise("").alias("folder"))
-    every = lambda folder: F.explode(F.array_union(F.array(F.lit("")), ancestors(F.concat(folder, F.lit("/")))))
-    up = files.select(*by, "folder").distinct().withColumn("above", every(F.col("folder")))
+    own = files.select(*by, "path", F.when(F.contains(F.col("path"), F.lit("/")), dirname(F.col("path"))).otherwise("").alias("folder"))
+    tree = folder_tree(own, markers, by)
     named = inputs.select(*by, F.when(F.col("input") == "/", "").otherwise(F.rtrim("input", F.lit("/"))).alias("name"), F.col("input").alias("given")).distinct()
-    folders = up.join(named.withColumnRenamed("name", "above"), [*by, "above"]).select(*by_given, "folder", F.col("above").alias("root"))
-    rest = named.join(folders.select(*by_given).distinct(), by_given, "left_anti")
-    single = files.join(rest.withColumnRenamed("name", "path"), [*by, "path"]).select(*by_given, "path")
-    globs = rest.join(single.select(*by_given).distinct(), by_given, "left_anti").select(*by_given, glob_pattern(F.col("name")).alias("pattern"), fixed_folder(F.col("name")).alias("above"))
-    under = up.join(globs, [*by, "above"]).select(*by_given, "folder", "pattern")
-    hits = files.join(under, [*by, "folder"]).where(F.expr("path RLIKE pattern")).select(*by_given, "path").where(is_audio(F.col("path")))
-    dirs = up.select(*by, F.col("above").alias("root")).distinct().withColumn("above", every(F.col("root"))).join(globs, [*by, "above"]).where(F.expr("root RLIKE pattern")).select(*by_given, "root").distinct()
-    by_glob = up.join(dirs.withColumnRenamed("root", "above"), [*by, "above"]).select(*by_given, "folder", F.col("above").alias("root"))
-    walked = folders.unionByName(by_glob)
-    marked = up.join(marked_folders(files, markers, by).withColumnRenamed("folder", "above"), [*by, "above"])
-    hidden = walked.join(marked, [*by, "folder"]).where(F.length("above") > F.length("root")).select(*by_given, "folder", "root").distinct()
-    walked = walked.join(hidden, [*by_given, "folder", "root"], "left_anti")
-    inside = files.join(walked, [*by, "folder"]).where((F.col("root") != "") | F.col("path").startswith("/"))
-    found = inside.select(*by, "path").unionByName(single.select(*by, "path")).unionByName(hits.select(*by, "path")).where(is_audio(F.col("path"))).distinct()
-    unmatched = globs.join(by_glob.select(*by_given).unionByName(hits.select(*by_given)).distinct(), by_given, "left_anti").select(*by, F.col("given").alias("input"))
+    name = F.col("name")
+    wild = named.where(name.rlike(r"[*?\[]")).select(*by_given, fixed_folder(name).alias("above"), glob_pattern(name).alias("pattern"))
+    asked = named.select(*by_given, name.alias("above")).unionByName(wild, allowMissingColumns=True)
+    met = kept(tree.join(asked, [*by, "above"]), "met")
+    whole = met.where("pattern IS NULL").select(*by_given, "folder", "deepest", F.col("above").alias("root"))
+    under = met.where("pattern IS NOT NULL").join(whole.select(*by_given).distinct(), by_given, "left_anti")
+    within = F.explode(F.array_union(F.array(F.lit("")), ancestors(F.concat("folder", F.lit("/")))))
+    matched = under.select(*by_given, "folder", "deepest", "pattern", within.alias("root")).where(F.expr("root RLIKE pattern")).drop("pattern")
+    walked = whole.unionByName(matched).where(F.col("deepest") <= F.length("root")).select(*by, "folder", (F.col("root") == "").alias("top")).distinct()
+    single = named.select(*by_given, F.when(F.contains(name, F.lit("/")), dirname(name)).otherwise("").alias("folder"), name.alias("exact"))
+    asks = walked.unionByName(under.select(*by_given, "folder", "pattern"), allowMissingColumns=True).unionByName(single, allowMissingColumns=True)
+    path = F.col("path")
+    fits = F.when(F.col("exact").isNotNull(), path == F.col("exact")).when(F.col("pattern").isNotNull(), F.expr("path RLIKE pattern") & is_audio(path)).otherwise((~F.col("top") | path.startswith("/")) & is_audio(path))
+    hits = kept(own.join(asks, [*by, "folder"]).where(fits).select(*by_given, "path", F.col("exact").isNotNull().alias("single"), F.col("pattern").isNotNull().alias("wild")), "hits")
+    files_given = hits.where("single").select(*by_given).distinct()
+    kept_hits = hits.where("NOT wild").select(*by, "path").unionByName(hits.where("wild").join(files_given, by_given, "left_anti").select(*by, "path"))
+    found = kept_hits.where(is_audio(path)).distinct()
+    answered = whole.select(*by_given).unionByName(matched.select(*by_given)).unionByName(hits.where("given IS NOT NULL").select(*by_given)).distinct()
+    unmatched = named.join(answered, by_given, "left_anti").select(*by, F.col("given").alias("input"))
     return found.withColumn("parts", F.split("path", "/")), unmatched
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.numbers import whole_number
@@ -117,13 +117,17 @@ def with_bitrate(measured: DataFrame, probes: DataFrame, on: list[str], ext: str
 
 def gain_plan(measured: DataFrame, target: TpTarget = TpTarget(), ext: str = "ext", kbps: str = "kbps") -> DataFrame:  # noqa: B008
     """measured with target_tp, headroom, gain_method, effective_gain and lossless_gain_steps."""
+    return _planned(measured, target.column(media_class(F.col(ext)), F.col(kbps)), ext)
+
+
+def _planned(measured: DataFrame, ceiling: Column, ext: str) -> DataFrame:
     kind = media_class(F.col(ext))
     steps = F.floor(F.col("headroom") / STEP_DB)
     name = F.when(kind == "aac", "Aac").otherwise("Mp3")
     method = F.when(F.col("headroom") < LEAST_HEADROOM, "None").when(~is_lossy(kind), "FfmpegLossless").when(steps >= 1, F.concat(name, F.lit("Lossless"))).otherwise(F.concat(name, F.lit("Reencode")))
     native = F.col("gain_method").isin("Mp3Lossless", "AacLossless")
     return (
-        measured.withColumn("target_tp", target.column(kind, F.col(kbps)))
+        measured.withColumn("target_tp", ceiling)
         .withColumn("headroom", F.col("target_tp") - F.col("input_tp"))
         .withColumn("gain_method", method)
         .withColumn("effective_gain", F.when(F.col("gain_method") == "None", F.lit(0.0)).when(native, steps * STEP_DB).otherwise(F.col("headroom")))
@@ -141,12 +145,70 @@ def select_files(plan: DataFrame, lossless: bool = True, reencode: bool = False)
     return plan.where((method != "None") & F.when(requires_reencode(method), F.lit(reencode)).otherwise(F.lit(lossless)))
 
 
+def _method_counts() -> list[Column]:
+    """The summary's columns as aggregates of a plan."""
+    count = lambda methods: F.count_if(F.col("gain_method").isin(*methods))
+    lossless, again = METHODS[:3], METHODS[3:]
+    return [*(count([m]).alias(m) for m in METHODS), count(lossless).alias("total_lossless"), count(again).alias("total_reencode"), (count(METHODS) > 0).alias("has_processable")]
+
+
 def method_summary(plan: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
     """Counts by method, their totals, and whether there is anything to do."""
-    counts = [F.count_if(F.col("gain_method") == m).alias(m) for m in METHODS]
-    total = plan.groupBy(*by).agg(*counts)
-    lossless, again = F.col("FfmpegLossless") + F.col("Mp3Lossless") + F.col("AacLossless"), F.col("Mp3Reencode") + F.col("AacReencode")
-    return total.select("*", lossless.alias("total_lossless"), again.alias("total_reencode"), (lossless + again > 0).alias("has_processable"))
+    return plan.groupBy(*by).agg(*_method_counts())
+
+
+def observed(plan: DataFrame, name: str = "gain_summary") -> tuple[DataFrame, Observation]:
+    """The plan, and an Observation of its method counts over all rows (as of method_summary): they come with the job that writes the plan,
+    without a second scan. Rows that fail (a null method) are counted as failures."""
+    seen = Observation(name)
+    return plan.observe(seen, *_method_counts(), F.count_if(F.col("gain_method").isNull()).alias("failures")), seen
+
+
+def observed_actions(acted: DataFrame, name: str = "action_summary") -> tuple[DataFrame, Observation]:
+    """A conversion's rows, and an Observation of how many have each action, and how many none (failures)."""
+    seen = Observation(name)
+    counts = [F.count_if(F.col("action") == a).alias(a) for a in ("Copy", "ReencodeLossy", "Reencode")]
+    return acted.observe(seen, *counts, F.count_if(F.col("action").isNull()).alias("failures")), seen
+
+
+SETTINGS = "target double, split boolean, lossless boolean, no_lossless boolean, reencode boolean, no_reencode boolean"
+
+
+def resolved_settings(settings: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
+    """Settings as rows, one for each library, to what they mean: high, low (null for one ceiling), lossless, reencode and status.
+
+    settings has by and the columns of SETTINGS, nulls for what isn't set. An explicit target comes first, then the split ceiling, else
+    the default; native gain is on unless switched off, re-encoding off unless switched on. status: ok, target_and_split,
+    lossless_conflict, reencode_conflict, or repeated (a library with several rows; it is given once); others have no meaning, and nulls there.
+    """
+    given = lambda c: F.coalesce(F.col(c), F.lit(False))
+    one = settings.groupBy(*by).agg(F.count("*").alias("w_n"), *[F.first(c).alias(c) for c in ("target", "split", "lossless", "no_lossless", "reencode", "no_reencode")])
+    status = (
+        F.when(F.col("w_n") > 1, "repeated").when(F.col("target").isNotNull() & given("split"), "target_and_split").when(given("lossless") & given("no_lossless"), "lossless_conflict")
+        .when(given("reencode") & given("no_reencode"), "reencode_conflict").otherwise("ok")
+    )
+    ok = lambda c: F.when(F.col("status") == "ok", c)
+    high = F.when(F.col("target").isNotNull(), F.col("target")).otherwise(F.lit(DEFAULT_TARGET))
+    return one.withColumn("status", status).select(
+        *by, ok(high).alias("high"), ok(F.when(F.col("target").isNull() & given("split"), F.lit(LOW_TARGET))).alias("low"), ok(~given("no_lossless")).alias("lossless"), ok(given("reencode")).alias("reencode"), "status",
+    )
+
+
+def gain_plan_by_settings(measured: DataFrame, settings: DataFrame, by: tuple[str, ...] = ("collection_id",), ext: str = "ext", kbps: str = "kbps") -> DataFrame:
+    """gain_plan under each library's own settings (SETTINGS), with selected (as of select_files) and settings_status.
+
+    A library without a row has the defaults. One whose settings conflict isn't planned: its rows have the status and nulls.
+    """
+    own = resolved_settings(settings, by).select(*by, *[F.col(c).alias(f"w_{c}") for c in ("high", "low", "lossless", "reencode", "status")])
+    joined = measured.join(own, list(by), "left").withColumn("settings_status", F.coalesce("w_status", F.lit("ok")))
+    kind = media_class(F.col(ext))
+    low = F.col("w_low").isNotNull() & is_lossy(kind) & ~F.coalesce(F.col(kbps) >= HIGH_KBPS, F.lit(False))
+    ceiling = F.when(F.col("settings_status") == "ok", F.when(low, F.col("w_low")).otherwise(F.coalesce("w_high", F.lit(DEFAULT_TARGET))))
+    plan = _planned(joined, ceiling, ext)
+    again, planned = requires_reencode(F.col("gain_method")), F.col("target_tp").isNotNull()
+    chosen = (F.col("gain_method") != "None") & F.when(again, F.coalesce("w_reencode", F.lit(False))).otherwise(F.coalesce("w_lossless", F.lit(True)))
+    void = {c: F.when(planned, F.col(c)) for c in ("gain_method", "effective_gain", "lossless_gain_steps")}
+    return plan.withColumn("selected", F.when(planned, chosen)).withColumns(void).drop("w_high", "w_low", "w_lossless", "w_reencode", "w_status")
 
 
 def work_order(plan: DataFrame, ext: str = "ext", kbps: str = "kbps") -> DataFrame:

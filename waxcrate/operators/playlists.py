@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import camelot, tempo, trimmed
+from ..scratch import kept
+from .ranks import ranked
 
 SORTED_FOLDER = "Sorted (Key+BPM)"
 
@@ -69,16 +71,25 @@ def choose(playlists: DataFrame, collections: DataFrame, target: str | None = No
     return found.where("status = 'ok'").select(*by, "playlist_ord", own.alias("name")), found.select(*by, "status")
 
 
-def harmonic_sort(entries: DataFrame, tracks: DataFrame, playlists: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
+def harmonic_sort(entries: DataFrame, tracks: DataFrame, playlists: DataFrame, by: tuple[str, ...] = ("collection_id",), most: int | None = None) -> DataFrame:
     """The entries of the playlists that refer to tracks by id (others are left out), with new_pos: by Camelot key, then tempo,
     unknown ones last, else as they were. playlists has key_type, or is what choose returns.
 
-    Tracks join first; then the playlists' join and the window share the entries' exchange by playlist.
+    Tracks join first; then the playlists' join and the window share the entries' exchange by playlist. A window holds a list in one task:
+    with most, the lists are measured first, and those with more entries are placed in two phases over many tasks (``ranked``).
     """
     wanted = (selected(playlists) if "key_type" in playlists.columns else playlists).select(*by, "playlist_ord")
-    keyed = entries.join(track_keys(tracks, by), [*by, "track_id"], "left").join(wanted, [*by, "playlist_ord"], "left_semi")
-    order = Window.partitionBy(*by, "playlist_ord").orderBy(F.col("camelot").asc_nulls_last(), F.col("bpm").asc_nulls_last(), "pos")
-    return keyed.withColumn("new_pos", F.row_number().over(order))
+    unit = [*by, "playlist_ord"]
+    keyed = entries.join(track_keys(tracks, by), [*by, "track_id"], "left").join(wanted, unit, "left_semi")
+    key = [F.col("camelot").asc_nulls_last(), F.col("bpm").asc_nulls_last(), F.col("pos").asc()]
+    placed = lambda df: df.withColumn("new_pos", F.row_number().over(Window.partitionBy(*unit).orderBy(*key)))
+    if most is None:
+        return placed(keyed)
+    large = kept(entries.groupBy(*unit).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*unit), "large")
+    if large.isEmpty():
+        return placed(keyed)
+    many = ranked(keyed.join(large, unit, "left_semi"), unit, key, "new_pos")
+    return placed(keyed.join(large, unit, "left_anti")).withColumn("new_pos", F.col("new_pos").cast("long")).unionByName(many)
 
 
 def playlist_counts(entries: DataFrame, playlists: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:

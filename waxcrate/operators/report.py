@@ -9,6 +9,7 @@ from ..functions.numbers import one_decimal
 
 #: The order of the report's sections.
 SECTIONS = ("FfmpegLossless", "Mp3Lossless", "AacLossless", "Mp3Reencode", "AacReencode")
+#: The report's headings (fixed values).
 COLUMNS = ("Filename", "Format", "Bitrate (kbps)", "LUFS", "True Peak (dBTP)", "Target (dBTP)", "Headroom (dB)", "Method", "Effective Gain (dB)")
 
 
@@ -36,8 +37,9 @@ def gain_report(plan: DataFrame, filename: str = "filename", by: tuple[str, ...]
 
 
 def write_csv(plan: DataFrame, path: str, by: tuple[str, ...] = (), filename: str = "filename") -> None:
-    """The report as CSV with a header, in a folder for each value of by."""
-    gain_report(plan, filename, by).write.partitionBy(*by).csv(path, header=True)
+    """The report as CSV with a header: one file for each value of by, in a folder named after it; the file has the report's columns."""
+    rows = gain_report(plan, filename, by)
+    (rows.repartition(*by) if by else rows).write.partitionBy(*by).csv(path, header=True)
 
 
 def sectioned_report(plan: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:

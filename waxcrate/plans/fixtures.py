@@ -24,6 +24,8 @@ VIEWS = {
     "repeated_tracks": """SELECT * FROM tracks UNION ALL SELECT doc_pos + 1000000000 AS doc_pos, track_id, concat(name, ' (again)') AS name, CASE WHEN doc_pos % 2 = 0 THEN tonality END AS tonality, CAST(NULL AS VARCHAR(5)) AS average_bpm, location, total_time, comments, size FROM tracks WHERE doc_pos % 5 = 0""",
     "playlists": """SELECT o_orderkey AS playlist_ord, concat(o_orderpriority, '/Order ', CAST(o_orderkey AS VARCHAR(20))) AS path, CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '0' END AS key_type FROM @orders""",
     "entries": """SELECT l_orderkey AS playlist_ord, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS BIGINT) AS pos, CAST(l_partkey + CASE WHEN l_partkey % 97 = 0 THEN 1000000 ELSE 0 END AS VARCHAR(20)) AS track_id FROM @lineitem""",
+    "half_entries": """SELECT CASE WHEN l_orderkey % 2 = 0 THEN CAST(0 AS BIGINT) ELSE l_orderkey END AS playlist_ord, CAST(row_number() OVER (PARTITION BY CASE WHEN l_orderkey % 2 = 0 THEN CAST(0 AS BIGINT) ELSE l_orderkey END ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS BIGINT) AS pos, CAST(l_partkey + CASE WHEN l_partkey % 97 = 0 THEN 1000000 ELSE 0 END AS VARCHAR(20)) AS track_id FROM @lineitem""",
+    "half_lists": """SELECT o_orderkey AS playlist_ord, '0' AS key_type FROM @orders UNION ALL SELECT CAST(0 AS BIGINT), '0' FROM @orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM @orders)""",
     "loudness": f"""SELECT event_id AS media_id, {_EXT.format("event_id")} AS ext,
  CAST(200 - (event_id * 37) % 1200 AS DOUBLE) / 100 AS input_tp, CAST(-700 - (event_id * 53) % 900 AS DOUBLE) / 100 AS input_i,
  CASE event_id % 5 WHEN 0 THEN 320 WHEN 1 THEN 256 WHEN 2 THEN 192 WHEN 3 THEN 128 END AS kbps FROM @events""",

@@ -36,6 +36,12 @@ def _harmonic_sort(entries, tracks, lists):
     return playlists.harmonic_sort(entries, tracks, lists).select("playlist_ord", "new_pos", "track_id", "camelot", "bpm")
 
 
+@query("harmonic_sort_of_huge_list", f"WITH {KEYS} SELECT e.playlist_ord, row_number() OVER (PARTITION BY e.playlist_ord ORDER BY camelot ASC NULLS LAST, bpm ASC NULLS LAST, e.pos) AS new_pos, e.track_id FROM half_entries e LEFT JOIN k ON e.track_id = k.track_id WHERE e.playlist_ord IN (SELECT playlist_ord FROM half_lists)", "half_entries", "tracks", "half_lists")
+def _harmonic_sort_of_huge_list(entries, tracks, lists):
+    """Half of all entries are one list: it is placed by ranges, the others by windows."""
+    return playlists.harmonic_sort(entries, tracks, lists.distinct(), most=1000).select("playlist_ord", "new_pos", "track_id")
+
+
 @query("camelot_keys", f"WITH {KEYS} SELECT * FROM k", "tracks")
 def _camelot_keys(tracks):
     return tracks.select("track_id", camelot(F.col("tonality")).alias("camelot"), tempo(F.col("average_bpm")).alias("bpm"))
@@ -81,6 +87,28 @@ def _processed_summary(measured):
     return loudness.method_summary(loudness.select_files(loudness.gain_plan(measured), lossless=False, reencode=True)).drop("collection_id")
 
 
+@query("gain_plan_by_settings", """WITH c AS (SELECT *, lower(ext) AS e, CASE media_id % 6 WHEN 1 THEN CAST(-2.0 AS DOUBLE) WHEN 2 THEN CASE WHEN lower(ext) IN ('flac','aiff','aif','wav') OR kbps >= 256 THEN CAST(-0.5 AS DOUBLE) ELSE CAST(-1.0 AS DOUBLE) END WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE CAST(-0.5 AS DOUBLE) END AS target_tp,
+ CASE media_id % 6 WHEN 3 THEN 'target_and_split' WHEN 4 THEN 'repeated' ELSE 'ok' END AS settings_status FROM loudness), h AS (SELECT *, target_tp - input_tp AS headroom FROM c),
+m AS (SELECT *, CASE WHEN headroom IS NULL THEN NULL WHEN headroom < CAST(0.05 AS DOUBLE) THEN 'None' WHEN e IN ('flac','aiff','aif','wav') THEN 'FfmpegLossless' WHEN floor(headroom/CAST(1.5 AS DOUBLE)) >= 1 THEN CASE WHEN e='mp3' THEN 'Mp3Lossless' ELSE 'AacLossless' END WHEN e='mp3' THEN 'Mp3Reencode' ELSE 'AacReencode' END AS gain_method FROM h)
+SELECT media_id, target_tp, gain_method, settings_status, CASE WHEN gain_method IS NULL THEN NULL WHEN gain_method = 'None' THEN false WHEN gain_method LIKE '%Reencode' THEN media_id % 6 = 1 ELSE media_id % 6 <> 2 END AS selected FROM m""", "loudness")
+def _gain_plan_by_settings(measured):
+    """Six libraries: defaults, a target with re-encoding, a split ceiling without native gain, two that conflict, and one without settings."""
+    spark = measured.sparkSession
+    rows = [("0", None, None, None, None, None, None), ("1", -2.0, None, None, None, True, None), ("2", None, True, None, True, None, None), ("3", -1.0, True, None, None, None, None), ("4", -1.0, None, None, None, None, None), ("4", None, None, None, None, None, None)]
+    settings = spark.createDataFrame(rows, f"collection_id string, {loudness.SETTINGS}")
+    own = measured.withColumn("collection_id", (F.col("media_id") % 6).cast("string"))
+    return loudness.gain_plan_by_settings(own, settings).select("media_id", "target_tp", "gain_method", "settings_status", "selected")
+
+
+@query("method_summary_with_write", _plan_sql(SPLIT, _SUMMARY.replace(" FROM g", ", count(*) FILTER (gain_method IS NULL) AS failures FROM g")), "loudness")
+def _method_summary_with_write(measured):
+    """The counts that come with the job that writes the plan."""
+    plan, seen = loudness.observed(loudness.gain_plan(measured, TpTarget.split()))
+    kept(plan, "plan")
+    row = seen.get
+    return measured.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{c} {'boolean' if c == 'has_processable' else 'long'}" for c in row))
+
+
 LOGS = r"""p AS (SELECT media_id, ext, CASE WHEN regexp_extract(log, '(?s)\[Parsed_loudnorm_0 @[^{]*(\{[^{}]*\})', 1) <> '' THEN regexp_extract(log, '(?s)\[Parsed_loudnorm_0 @[^{]*(\{[^{}]*\})', 1) ELSE regexp_extract(log, '(?s).*(\{[^{}]*"input_i"[^{}]*\})', 1) END AS body, TRY_CAST(regexp_extract(regexp_extract(log, '(?m)^ *Duration:.*$'), 'bitrate: *([0-9]+) ', 1) AS INT) AS log_kbps FROM loudness_logs),
 q AS (SELECT media_id, ext, log_kbps, TRY_CAST(regexp_extract(body, '"input_i" : "([^"]*)"', 1) AS DOUBLE) AS input_i, TRY_CAST(regexp_extract(body, '"input_tp" : "([^"]*)"', 1) AS DOUBLE) AS input_tp FROM p)"""
 
