@@ -52,6 +52,11 @@ VIEWS = {
     "crate_files": """SELECT c.collection_id, f.path FROM crate_tracks c JOIN located_files f ON c.doc_pos = f.doc_pos""",
     "crate_finished": """SELECT collection_id, concat('/out/', collection_id, '/', CAST(playlist_ord AS VARCHAR(20)), '/', name, CASE WHEN k = 1 THEN '' ELSE concat(' (', CAST(k AS VARCHAR(20)), ')') END, '.mp3') AS path, CAST(4000000 + playlist_ord * 100 + pos AS BIGINT) AS size
  FROM (SELECT c.collection_id, c.playlist_ord, c.pos, t.name, row_number() OVER (PARTITION BY c.playlist_ord, lower(t.name) ORDER BY c.pos) AS k FROM crate_entries c JOIN tracks t ON c.track_id = t.track_id) x WHERE (playlist_ord * 7 + pos) % 19 <> 0""",
+    "hard_locations": """SELECT CAST(p_partkey AS VARCHAR(20)) AS track_id, CASE p_partkey % 13 WHEN 8 THEN concat('http://localhost/', p_name) WHEN 9 THEN concat('file://localhost/D:/', replace(p_name, ' ', '%20')) WHEN 12 THEN concat('file:///', replace(p_name, ' ', '%20'), '/100%') ELSE
+ concat('file://localhost/', replace(p_name, ' ', '%20'), CASE p_partkey % 13 WHEN 0 THEN '%C3%BC' WHEN 1 THEN '%e2%82%ac' WHEN 2 THEN '%zz' WHEN 3 THEN '%FF' WHEN 4 THEN 'a+b' WHEN 5 THEN '%F0%9F%8E%B5' WHEN 6 THEN '%2F' WHEN 7 THEN '%25' WHEN 10 THEN '%C3' ELSE '%C3%A9%20' END, '.mp3') END AS location, p_name AS name, CAST(p_partkey % 13 AS INT) AS kind FROM @part""",
+    "hard_paths": """SELECT CAST(p_partkey AS VARCHAR(20)) AS track_id, concat(CASE WHEN p_partkey % 3 = 0 THEN 'D:' ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '/' END, p_name, CASE p_partkey % 7 WHEN 0 THEN ' (1)*!' WHEN 1 THEN 'ü & €' WHEN 2 THEN '100%+1' WHEN 3 THEN '~a_b-c.d' WHEN 4 THEN '"[x]{y}"' WHEN 5 THEN concat('#?;=', chr(64), ',$') ELSE 'é:é' END, '/', chr(9), '.mp3') AS path FROM @part""",
+    "hard_names": """SELECT p_partkey AS folder, CAST(1 AS BIGINT) AS pos, concat(p_name, CASE p_partkey % 6 WHEN 0 THEN ' a/b:c' WHEN 1 THEN '. .' WHEN 2 THEN '<*>?' WHEN 3 THEN concat(chr(9), 'x') WHEN 4 THEN concat('"|', chr(92)) ELSE '' END) AS name,
+ CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN concat('/in/', p_name, ' a:b?.tar.gz') WHEN 3 THEN '/in/.hidden' WHEN 4 THEN '/in/ . . .wav' WHEN 5 THEN concat('/in/', p_name, '...flac') ELSE '/in/' END AS path FROM @part""",
     "takes": """SELECT CAST(floor(l_orderkey / 16.0) AS BIGINT) AS folder, CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 16.0) ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS BIGINT) AS pos,
  concat('/in/', CASE l_partkey % 7 WHEN 0 THEN 'Take' WHEN 1 THEN 'take (2)' WHEN 2 THEN 'Take (3)' WHEN 3 THEN 'take (2) (2)' WHEN 4 THEN 'Take' WHEN 5 THEN 'TAKE (5)' ELSE concat('other (', CAST(l_partkey % 5 AS VARCHAR(5)), ')') END, '.wav') AS path, 'n' AS name FROM @lineitem""",
     "crate_targets": """SELECT collection_id, concat(' ', path, ' /') AS target FROM crate_lists UNION ALL SELECT DISTINCT collection_id, 'None/Set 1' FROM crate_lists""",

@@ -273,6 +273,25 @@ def _decode_location(tracks):
     return tracks.select("track_id", decode_location(F.col("location")).alias("path"))
 
 
+@query("decode_hard_locations", """SELECT track_id, CASE WHEN kind IN (2, 3, 8, 10) THEN NULL WHEN kind = 9 THEN concat('D:/', name) WHEN kind = 12 THEN concat('/', name, '/100%') ELSE concat('/', name, CASE kind WHEN 0 THEN 'ü' WHEN 1 THEN '€' WHEN 4 THEN 'a+b' WHEN 5 THEN '🎵' WHEN 6 THEN '/' WHEN 7 THEN '%' ELSE 'é ' END, '.mp3') END AS path FROM hard_locations""", "hard_locations")
+def _decode_hard_locations(tracks):
+    """Escapes of several bytes, broken ones, bytes that are no UTF-8, drives, a cut escape at the end and another scheme."""
+    return tracks.select("track_id", decode_location(F.col("location")).alias("path"))
+
+
+@query("encode_hard_locations", "SELECT track_id, concat('file://localhost', CASE WHEN starts_with(path, '/') THEN '' ELSE '/' END, replace(replace(url_encode(path), '%2F', '/'), '%3A', ':')) AS location FROM hard_paths", "hard_paths")
+def _encode_hard_locations(paths):
+    return paths.select("track_id", encode_location(F.col("path")).alias("location"))
+
+
+@query("hard_file_names", """WITH b AS (SELECT folder, CASE folder % 7 WHEN 2 THEN regexp_extract(path, '([^/]*)\\.gz$', 1) WHEN 3 THEN '.hidden' WHEN 4 THEN ' . . ' WHEN 5 THEN regexp_extract(path, '([^/]*)\\.flac$', 1) ELSE name END AS stem FROM hard_names),
+c AS (SELECT folder, rtrim(regexp_replace(stem, '[<>:"/\\\\|?*\\x00-\\x1F]', '_', 'g'), '. ') AS body FROM b)
+SELECT folder, concat(CASE WHEN body = '' THEN 'track' ELSE body END, '.mp3') AS filename FROM c""", "hard_names")
+def _hard_file_names(names):
+    """Forbidden characters, dots and blanks at the end, paths without a name, whose track's name is taken."""
+    return convert.plan_filenames(names, out_dir="folder", keep=["folder"])
+
+
 @query("encode_location", "SELECT file_id, concat('file://localhost', replace(replace(path, '#', '%23'), ' ', '%20')) AS location FROM media_files", "media_files")
 def _encode_location(manifest):
     return manifest.select("file_id", encode_location(F.col("path")).alias("location"))
