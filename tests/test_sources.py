@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from waxcrate import scratch
 from waxcrate.operators import files, playlists
 from waxcrate.sources import collection_files, media_folder
 from waxcrate.sources import collection_xml as xml
@@ -134,3 +135,11 @@ def test_from_folder_to_files(spark, tmp_path):
     assert {r["file"]: r["xml"] for r in new.collect()} == {x.name: x.read_text() for x in (tmp_path / "out").iterdir()}
     back = spark.read.format("collection_xml").load(str(tmp_path / "out")).cache()
     assert xml.playlists(back).count() == 6 and xml.rejects(back).count() == 0 and xml.entries(back).count() == 120
+
+
+def test_kept_tables_can_be_cleared(spark):
+    table = scratch.kept(spark.range(5), "five")
+    (path,) = [x for x in table.inputFiles()[:1]]
+    assert table.count() == 5 and os.path.exists(path.removeprefix("file://").removeprefix("file:"))
+    assert scratch.clear(spark) >= 1 and scratch.clear(spark) == 0
+    assert not os.path.exists(path.removeprefix("file://").removeprefix("file:"))

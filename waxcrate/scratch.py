@@ -19,8 +19,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Tables that this process has kept and not cleared.
+_PATHS: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables kept so far, once no result that reads them is needed any more; returns how many there were."""
+    done = len(_PATHS)
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
