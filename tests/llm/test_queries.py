@@ -148,3 +148,26 @@ def test_op10(spark, texts):
             expected[doc, line] = found[line]
     rows = rows_of(spark, "op10_token_counts", len(expected))
     assert {(r["doc_id"], r["section"]): r["n_tokens"] for r in rows} == expected
+
+
+DOCS = "doc_id long, text string"
+
+
+def test_a_text_that_repeats_items_thousands_of_times(spark):
+    """Windows of one text are many, and each is cut by itself; what is found is the first best window of each item."""
+    from waxcrate.llm.decontaminate import contaminated
+
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30))), (2, " ".join(f"w{i}" for i in range(3, 29))), (3, " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "start " + " ".join(f"w{i % 30}" for i in range(9000))), (3, "w1 w2 w3 w4")], DOCS)
+    found = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start"]) for r in contaminated(docs, items).collect()}
+    assert found[1, 1] == (1.0, 1) and found[1, 2] == (1.0, 4) and (3, 1) not in found and not any(i == 3 for _, i in found)
+
+
+def test_one_row_repeated_through_the_token_files(spark):
+    """A null id with a null text, and one document, thousands of times: each row has its place, and the files add up."""
+    from waxcrate.llm.token_files import token_file_rows
+
+    rows = [(None, None)] * 3000 + [(7, "the same words")] * 2000 + [(9, "others")]
+    out = token_file_rows(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    n = len(Tokenizer.from_file(vocabulary("byte_bpe_50k.json")).encode("the same words", add_special_tokens=False).ids) + 1
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in sorted(out, key=lambda r: r["start"])][:5001] == [*((None, i, 1) for i in range(3000)), *((7, 3000 + i * n, n) for i in range(2000)), (9, 3000 + 2000 * n, out[-1]["n_tokens"])]

@@ -7,7 +7,9 @@ similarity of the shingles.
 
 Which windows are fingerprinted: a window and an item with v and m shingles that are at least t similar share t / (1 + t) * (v + m)
 of them or more. So a text's positions that hold a shingle of the item are gathered, and all windows, and only those, that hold that
-many of them go on: no window of similarity t or more is missed. The radius follows from the threshold too: such a window may differ
+many of them go on: no window of similarity t or more is missed. (Fingerprinting every window of every item's size by rolling counters,
+prefix sums of the packed lanes and one subtraction a window, takes about 900 CPU seconds a GB of text for each size in DataFrame
+functions; README has the figures.) The radius follows from the threshold too: such a window may differ
 in a share d = (1 - t) / (1 + t) of its words, so in each bit with probability acos(1 - d) / pi; it is the mean of that and three and
 a half deviations, 19 bits for 0.8. DataFrame functions only.
 """
@@ -115,13 +117,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     needed = F.ceil(threshold / (1 + threshold) * (length - (WIDTH - 1) + whole) - 1e-9).cast("int")
     starts = candidate_starts(F.col("at"), length - (WIDTH - 1), F.greatest(F.lit(1), needed), F.col("n") - length)
     windows = together.select("doc_id", "key", "size", starts.alias("starts")).where(F.size("starts") > 0)
-    by_doc = windows.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("starts", lambda x: F.struct(x.alias("start"), F.col("size").alias("size")))))).alias("windows"))
+    # a window is one number, start and size: of numbers array_distinct keeps a hash set, of structs it compares all pairs
+    coded = F.transform("starts", lambda x: F.shiftleft(x.cast("long"), 31).bitwiseOR(F.col("size").cast("long")))
+    by_doc = windows.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(coded))).alias("windows"))
     by_doc = written(by_doc, "windows")
 
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
     full = by_doc.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")))
-    cut = let(hashed(word_array(F.col("text"))), lambda h: F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["size"].alias("size"), F.slice(h, w["start"] + 1, w["size"]).alias("h"))))
-    each = full.select("doc_id", "key", F.explode(cut).alias("w")).select("doc_id", "key", "w.start", "w.size", "w.h")
+    # a text's words are hashed once; its windows are cut row by row, so no row holds the words of all of them
+    each = full.select("doc_id", "key", "windows", hashed(word_array(F.col("text"))).alias("h")).select("doc_id", "key", F.explode("windows").alias("w"), "h")
+    each = each.select("doc_id", "key", F.shiftright("w", 31).cast("int").alias("start"), F.col("w").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("size"), "h")
+    each = each.withColumn("h", F.slice("h", F.col("start") + 1, F.col("size")))
     printed = each.withColumn("print", simhash(F.col("h")))
 
     parts = lambda f: F.array(*[F.struct(F.lit(b).alias("b"), block(F.col(f), b).alias("v")) for b in range(BLOCKS)])
