@@ -171,3 +171,12 @@ def test_one_row_repeated_through_the_token_files(spark):
     out = token_file_rows(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
     n = len(Tokenizer.from_file(vocabulary("byte_bpe_50k.json")).encode("the same words", add_special_tokens=False).ids) + 1
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in sorted(out, key=lambda r: r["start"])][:5001] == [*((None, i, 1) for i in range(3000)), *((7, 3000 + i * n, n) for i in range(2000)), (9, 3000 + 2000 * n, out[-1]["n_tokens"])]
+
+
+def test_very_long_texts_are_scored_but_not_trained_on(spark):
+    from waxcrate.llm import toxicity
+
+    docs = spark.createDataFrame([(1, "some words"), (2, "word " * 20_000), (3, None)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id long, toxic int")
+    assert [r["doc_id"] for r in toxicity.training_rows(docs, labels).collect()] == [i for i in (1,) if zlib.crc32(b"1") % 5]
+    assert max(len(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()) < toxicity.LONGEST

@@ -26,6 +26,8 @@ WINDOW, STRIDE = 64, 48
 WORD_BUCKETS, CHAR_BUCKETS, EMBED, HIDDEN, ATTEND = 1 << 15, 1 << 13, 12, 12, 8
 #: Labelled texts taken for training, of each class at most; epochs and steps, at least; the share of epochs that look for the highest windows anew.
 SAMPLE, EPOCHS, LEAST_STEPS, LOOKS = {1: 800, 0: 2000}, 9, 250, 0.34
+#: Characters of the longest text of the sample: 2800 of them are 140 MB at most.
+LONGEST = 50_000
 #: Weight decay of the embeddings; words that a worker keeps, and windows of a step.
 DECAY = 2e-5
 KEPT_WORDS, WINDOWS_AT_ONCE = 200_000, 2048
@@ -278,11 +280,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: dict[int, int] | None = None) -> DataFrame:
-    """text and label of a bounded sample of the labelled rows that aren't held out: the first of each class by a hash of the id."""
+    """text and label of a bounded sample of the labelled rows that aren't held out: the first of each class by a hash of the id, but for
+    those with more than LONGEST characters. So the driver, which trains on whole texts, holds no more than the sample's rows times that."""
     named = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
     parts = [named.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in sorted((sample or SAMPLE).items())]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # as many rows as the sample has at most
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    return docs.where(F.length("text") <= LONGEST).select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[str, np.ndarray]:
