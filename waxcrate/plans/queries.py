@@ -9,8 +9,9 @@ from ..functions.keys import camelot, tempo
 from ..functions.paths import decode_location, encode_location
 from ..operators import convert, files, loudness, playlists, report
 from ..operators.loudness import TpTarget
+from ..sources import collection_files
 from ..sources import collection_xml as xml
-from ..scratch import kept
+from ..scratch import kept, new_path
 from .fixtures import MARKERS, view, with_views
 from .registry import ORACLE, QUERIES
 
@@ -539,6 +540,25 @@ def _export_sorted_xml(tracks, lists, entries, _every):
     return _items(xml.export_sorted(docs, ordered, chosen, playlists.SORTED_FOLDER))
 
 
+@query("exported_files", """WITH n AS (SELECT collection_id, playlist_ord, path, key_type, count(track_id) AS n FROM crate_lists LEFT JOIN crate_entries USING (collection_id, playlist_ord) WHERE collection_id IN (SELECT collection_id FROM crate_lists WHERE key_type = '0') GROUP BY 1, 2, 3, 4)
+SELECT collection_id, path, n FROM n UNION ALL SELECT collection_id, concat('Sorted (Key+BPM)/', string_split(path, '/')[3]), n FROM n WHERE key_type = '0'""", *DOCUMENTS)
+def _exported_files(tracks, lists, entries):
+    """Sorted exports written as files, all or none, and read back from the files piece by piece."""
+    spark = tracks.sparkSession
+    collection_files.register(spark)
+    docs = kept(_documents(tracks, lists, entries), "documents")
+    read = kept(xml.parse_collections(docs).where("kind <> 'reject'"), "elements")
+    chosen, _ = playlists.choose(xml.playlists(read), docs)
+    ordered = playlists.harmonic_sort(xml.entries(read), playlists.last_wins(xml.tracks(read)), chosen)
+    folder = new_path(spark, "files")
+    files_ = xml.export_sorted(docs, ordered, chosen, playlists.SORTED_FOLDER).select(F.concat("collection_id", F.lit(".xml")).alias("file"), "xml")
+    files_.write.format("collection_files").mode("append").save(folder)
+    back = kept(spark.read.format("collection_xml").load(folder).where("kind IN ('node', 'entry')"), "elements")
+    counts = xml.entries(back).groupBy("collection_id", "playlist_ord").agg(F.count("*").alias("n"))
+    held = xml.playlists(back).join(counts, ["collection_id", "playlist_ord"], "left")
+    return held.select(F.regexp_extract("collection_id", "([^/]*)\\.xml$", 1).alias("collection_id"), F.array_join("path", "/").alias("path"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 @query("export_converted_xml", f"""WITH {CONVERTED}, {_items_sql("SELECT collection_id FROM o", "1")}, e AS (SELECT w.*, t.tonality, t.total_time, t.average_bpm FROM w JOIN o ON w.playlist_ord = o.playlist_ord JOIN tracks t ON w.track_id = t.track_id)
 SELECT * FROM items UNION ALL SELECT collection_id, concat('track ', CAST(new_id AS VARCHAR)), concat_ws('|', name, coalesce(tonality, '-'), comments, location, 'MP3 File', CAST(size AS VARCHAR), '320', '44100', coalesce(total_time, '-'), concat('Album "', track_id, '" & more'), '204', track_id, coalesce(average_bpm, '-'), '1.5', '9.5') FROM e
 UNION ALL SELECT collection_id, 'node CDJ-safe (MP3)', '0|-|1|-|-' FROM o UNION ALL SELECT ly.collection_id, concat('node CDJ-safe (MP3)/', p[3]), concat_ws('|', '1', '0', '-', CAST(count(*) AS VARCHAR), string_agg(CAST(new_id AS VARCHAR), ',' ORDER BY pos)) FROM ly JOIN e ON ly.playlist_ord = e.playlist_ord GROUP BY ly.collection_id, p[3]
