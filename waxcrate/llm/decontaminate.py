@@ -117,17 +117,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     needed = F.ceil(threshold / (1 + threshold) * (length - (WIDTH - 1) + whole) - 1e-9).cast("int")
     starts = candidate_starts(F.col("at"), length - (WIDTH - 1), F.greatest(F.lit(1), needed), F.col("n") - length)
     windows = together.select("doc_id", "key", "size", starts.alias("starts")).where(F.size("starts") > 0)
-    # a window is one number, start and size: of numbers array_distinct keeps a hash set, of structs it compares all pairs
+    # to drop repeats a window is one number: of numbers array_distinct keeps a hash set, of structs it compares all pairs
     coded = F.transform("starts", lambda x: F.shiftleft(x.cast("long"), 31).bitwiseOR(F.col("size").cast("long")))
-    by_doc = windows.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(coded))).alias("windows"))
+    by_doc = windows.groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list(coded))).alias("codes"))
+    parted = lambda w: F.struct(F.shiftright(w, 31).cast("int").alias("start"), w.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("size"))
+    by_doc = by_doc.select("doc_id", "key", F.transform("codes", parted).alias("windows"))
     by_doc = written(by_doc, "windows")
 
     texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
     full = by_doc.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")))
     # a text's words are hashed once; its windows are cut row by row, so no row holds the words of all of them
     each = full.select("doc_id", "key", "windows", hashed(word_array(F.col("text"))).alias("h")).select("doc_id", "key", F.explode("windows").alias("w"), "h")
-    each = each.select("doc_id", "key", F.shiftright("w", 31).cast("int").alias("start"), F.col("w").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("size"), "h")
-    each = each.withColumn("h", F.slice("h", F.col("start") + 1, F.col("size")))
+    each = each.select("doc_id", "key", "w.start", "w.size", F.slice("h", F.col("w.start") + 1, F.col("w.size")).alias("h"))
     printed = each.withColumn("print", simhash(F.col("h")))
 
     parts = lambda f: F.array(*[F.struct(F.lit(b).alias("b"), block(F.col(f), b).alias("v")) for b in range(BLOCKS)])
