@@ -375,7 +375,7 @@ f AS (SELECT *, concat(stem, CASE WHEN k = 1 THEN '' ELSE concat(' (', CAST(k AS
 
 def _planned(entries: DataFrame, tracks: DataFrame, keep: list[str] | None = None) -> DataFrame:
     sources = convert.source_tracks(entries, tracks).withColumn("path", decode_location(F.col("location")))
-    return convert.plan_filenames(sources.withColumn("out_dir", F.concat(F.lit("/out/"), F.col("playlist_ord").cast("string"))), keep=keep)
+    return convert.plan_filenames(sources.withColumn("out_dir", F.concat(F.lit("/out/"), F.col("playlist_ord").cast("string"))), keep=keep, among=tracks.withColumn("path", decode_location(F.col("location"))))
 
 
 @query("filename_plan", f"WITH {NAMED} SELECT playlist_ord, pos, filename FROM f", "entries", "tracks")
