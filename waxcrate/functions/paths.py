@@ -66,8 +66,8 @@ def encode_location(path: Column) -> Column:
 
 def sanitized(name: Column) -> Column:
     """A name that FAT32 takes: forbidden characters become _, dots and blanks at the end go; "track" if nothing is left."""
-    kept = F.regexp_replace(F.regexp_replace(name, r"[<>:\"/\\|?*\x00-\x1F]", "_"), r"[. ]+\z", "")
-    return F.when(kept == "", F.lit("track")).otherwise(kept)
+    bare = F.regexp_replace(F.regexp_replace(name, r"[<>:\"/\\|?*\x00-\x1F]", "_"), r"[. ]+\z", "")
+    return F.regexp_replace(bare, r"\A\z", "track")
 
 
 def folder_parts(path: Column) -> Column:

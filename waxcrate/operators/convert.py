@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import whole_number
@@ -79,22 +79,33 @@ def action_summary(acted: DataFrame, by: tuple[str, ...] = ("collection_id",)) -
 _NUMBERED = r"(?s)^(.*) \(([2-9]|[1-9][0-9]{1,8})\)\z"
 
 
-def plan_filenames(sources: DataFrame, out_dir: str = "out_dir", pos: str = "pos", path: str = "path", name: str = "name", keep: list[str] | None = None, among: DataFrame | None = None) -> DataFrame:
+def safe_stem(path: Column, name: Column) -> Column:
+    """The stem of a path, or the track's name where it has none, made safe."""
+    return sanitized(F.coalesce(F.nullif(stem(path), F.lit("")), name))
+
+
+def plan_filenames(sources: DataFrame, out_dir: str = "out_dir", pos: str = "pos", path: str = "path", name: str = "name", keep: list[str] | None = None, among: DataFrame | None = None, safe: str | None = None) -> DataFrame:
     """The columns keep of sources (None: all) with filename: the source's stem made safe, .mp3, and a number where the folder has the name already.
 
+    safe names a column that holds safe_stem already, in place of path and name: tracks that many lists share are then read once each.
+
     Names are taken in the order of pos (one value for each row of a folder), without regard to case. A row's number is its place among
     the rows of its stem, unless a stem like ``x (3)`` stands beside ``x``: then the first row of the one and some row of the other want
     the same name, and the earlier has it (``taken_numbers``). Only those stems are looked at, and only if there are any: with among, a smaller table
-    that holds the path and name of every source (the tracks, say), this is asked of it first.
+    that holds the path and name (or safe) of every source (the tracks, say), this is asked of it first.
     """
-    own, keep = stem(F.col(path)), keep or sources.columns
-    body = sanitized(F.when(F.coalesce(own, F.lit("")) == "", F.col(name)).otherwise(own))
+    keep = keep or sources.columns
+    body = F.col(safe) if safe else safe_stem(F.col(path), F.col(name))
     none = among is not None and among.where(F.lower(body).rlike(_NUMBERED)).isEmpty()
-    folder = F.coalesce(F.concat(F.lit("="), F.col(out_dir).cast("string")), F.lit(""))
-    named = sources.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("w_kept"), F.col(pos).alias("w_pos"), folder.alias("w_dir"), body.alias("w_stem"), F.lower(body).alias("w_key"))
+
+    def named(folder: Column) -> DataFrame:
+        return sources.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("w_kept"), F.col(pos).alias("w_pos"), folder.alias("w_dir"), body.alias("w_stem"), F.lower(body).alias("w_key"))
+
+    # joins below need a folder that isn't null; the window alone takes the column as it is, so that it keeps a partitioning by it
+    text = named(F.coalesce(F.concat(F.lit("="), F.col(out_dir).cast("string")), F.lit("")))
+    taken = None if none else taken_numbers(text.select("w_dir", "w_key", "w_pos"))
     whole = Window.partitionBy("w_dir", "w_key")
-    placed = named.withColumn("w_nth", F.row_number().over(whole.orderBy("w_pos")))
-    taken = None if none else taken_numbers(named.select("w_dir", "w_key", "w_pos"))
+    placed = (named(F.col(out_dir)) if taken is None else text).withColumn("w_nth", F.row_number().over(whole.orderBy("w_pos")))
     nth = F.col("w_nth")
     if taken is not None:
         # the i-th number taken from a stem, m, is skipped from the row on whose place is over m - i - late

@@ -374,8 +374,10 @@ f AS (SELECT *, concat(stem, CASE WHEN k = 1 THEN '' ELSE concat(' (', CAST(k AS
 
 
 def _planned(entries: DataFrame, tracks: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    sources = convert.source_tracks(entries, tracks).withColumn("path", decode_location(F.col("location")))
-    return convert.plan_filenames(sources.withColumn("out_dir", F.concat(F.lit("/out/"), F.col("playlist_ord").cast("string"))), keep=keep, among=tracks.withColumn("path", decode_location(F.col("location"))))
+    """Each playlist has a folder of its own, so names are planned by playlist; out_dir is that folder."""
+    named = tracks.withColumn("path", decode_location(F.col("location"))).withColumn("stem", convert.safe_stem(F.col("path"), F.col("name"))).drop("path")
+    sources = convert.source_tracks(entries, named).withColumn("out_dir", F.concat(F.lit("/out/"), F.col("playlist_ord").cast("string")))
+    return convert.plan_filenames(sources, out_dir="playlist_ord", keep=keep, among=named, safe="stem")
 
 
 @query("filename_plan", f"WITH {NAMED} SELECT playlist_ord, pos, filename FROM f", "entries", "tracks")
