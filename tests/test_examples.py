@@ -167,6 +167,17 @@ def test_file_names(spark):
     assert convert.plan_filenames(df.limit(0)).count() == 0
 
 
+def test_file_names_from_stems(spark):
+    """Stems made beforehand give the same names, with and without numbers among them; no folder and an empty one are two."""
+    rows = [(f, p, path, "n") for f in (None, "", "x") for p, path in enumerate(["/i/a.wav", "/j/A.mp3", "/i/b?.wav", None, "/k/b_", "/i/a.b.c"])]
+    for more in ([], [("x", 9, "/i/a (2).wav", "n")], [("x", -1, "/i/a (2).wav", "n")]):
+        df = spark.createDataFrame(rows + more, "out_dir string, pos int, path string, name string").repartition(3)
+        made = df.withColumn("stem", convert.safe_stem(F.col("path"), F.col("name"))).drop("path", "name")
+        plain, safe = (sorted(map(tuple, x.select("filename", "pos", F.coalesce("out_dir", F.lit("none"))).collect())) for x in (convert.plan_filenames(df), convert.plan_filenames(made, safe="stem", among=made)))
+        assert plain == safe
+        assert [sum(n == "a.mp3" for n, *_ in safe), sum(n == "A (2).mp3" for n, *_ in safe), sum(n == "b_ (2).mp3" for n, *_ in safe)] == [3, 2 if more and more[0][1] < 0 else 3, 3]
+
+
 MARKERS = (".keep-out",)
 
 
