@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from urllib.parse import quote
 
 import pytest
@@ -492,3 +493,13 @@ def test_order_of_found_files(spark):
     paths = ["/m/a/x.mp3", "/m/a b/x.mp3", "/m/a.mp3", "/m/a/b/c.wav", "/m/ab.mp3", "/m/A/z.mp3", "/m/é.mp3", "/m/a-/x.mp3"]
     found, _ = files.resolve_inputs(spark.createDataFrame([("c", p) for p in paths], "collection_id string, path string"), spark.createDataFrame([("c", "/m")], "collection_id string, input string"))
     assert [r["path"] for r in found.orderBy("parts").collect()] == sorted(paths, key=lambda p: [x.encode() for x in p.split("/")])
+
+
+def test_many_files_of_one_folder_named_one_by_one(spark):
+    """Named files meet by their paths, not by their folder, which would make 1.6 thousand million pairs here."""
+    manifest = spark.range(0, 40000, 1, 2).select(F.lit("c").alias("collection_id"), F.concat(F.lit(f"/m/x/{'long name ' * 8}"), "id", F.lit(".mp3")).alias("path"))
+    inputs = manifest.select("collection_id", F.when(F.col("path").endswith("7.mp3"), F.concat("path", F.lit(".none"))).otherwise(F.col("path")).alias("input"))
+    began = time.time()
+    found, unmatched = files.resolve_inputs(manifest, inputs)
+    assert (found.count(), unmatched.count()) == (36000, 4000)
+    assert time.time() - began < 60

@@ -66,8 +66,9 @@ def resolve_inputs(files: DataFrame, inputs: DataFrame, markers: Sequence[str] =
 
     An input is a folder, a file or a glob, in this order. Only a glob without a match is an error. A folder, also one that a glob
     names, gives what a scan of it gives, without folders below it that hold a marker. Everything meets by equality: an input or a glob's
-    folder before its first wildcard meets the folder tree once, and what is asked of each folder meets the files once. What a
-    folder is asked: all its files (it is walked), those that match a pattern, or one file.
+    folder before its first wildcard meets the folder tree once, what is asked of each folder meets the files once, and a file that is
+    named itself is met by its path, as a folder may hold as many files as inputs name. What a folder is asked: all its files (it is
+    walked), or those that match a pattern.
     """
     by_given = [*by, "given"]
     own = files.select(*by, "path", F.when(F.contains(F.col("path"), F.lit("/")), dirname(F.col("path"))).otherwise("").alias("folder"))
@@ -82,11 +83,13 @@ def resolve_inputs(files: DataFrame, inputs: DataFrame, markers: Sequence[str] =
     within = F.explode(F.array_union(F.array(F.lit("")), ancestors(F.concat("folder", F.lit("/")))))
     matched = under.select(*by_given, "folder", "deepest", "pattern", within.alias("root")).where(F.expr("root RLIKE pattern")).drop("pattern")
     walked = whole.unionByName(matched).where(F.col("deepest") <= F.length("root")).select(*by, "folder", (F.col("root") == "").alias("top")).distinct()
-    single = named.select(*by_given, F.when(F.contains(name, F.lit("/")), dirname(name)).otherwise("").alias("folder"), name.alias("exact"))
-    asks = walked.unionByName(under.select(*by_given, "folder", "pattern"), allowMissingColumns=True).unionByName(single, allowMissingColumns=True)
+    single = named.select(*by_given, name.alias("path"))
+    asks = walked.unionByName(under.select(*by_given, "folder", "pattern"), allowMissingColumns=True)
     path = F.col("path")
-    fits = F.when(F.col("exact").isNotNull(), path == F.col("exact")).when(F.col("pattern").isNotNull(), F.expr("path RLIKE pattern") & is_audio(path)).otherwise((~F.col("top") | path.startswith("/")) & is_audio(path))
-    hits = kept(own.join(asks, [*by, "folder"]).where(fits).select(*by_given, "path", F.col("exact").isNotNull().alias("single"), F.col("pattern").isNotNull().alias("wild")), "hits")
+    fits = F.when(F.col("pattern").isNotNull(), F.expr("path RLIKE pattern") & is_audio(path)).otherwise((~F.col("top") | path.startswith("/")) & is_audio(path))
+    from_folders = own.join(asks, [*by, "folder"]).where(fits).select(*by_given, "path", F.lit(False).alias("single"), F.col("pattern").isNotNull().alias("wild"))
+    alone = own.join(single, [*by, "path"]).select(*by_given, "path", F.lit(True).alias("single"), F.lit(False).alias("wild"))
+    hits = kept(from_folders.unionByName(alone), "hits")
     files_given = hits.where("single").select(*by_given).distinct()
     kept_hits = hits.where("NOT wild").select(*by, "path").unionByName(hits.where("wild").join(files_given, by_given, "left_anti").select(*by, "path"))
     found = kept_hits.where(is_audio(path)).distinct()
