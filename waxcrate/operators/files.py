@@ -113,7 +113,7 @@ def common_base(files: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> D
 
 def backup_manifest(files: DataFrame, base: DataFrame | None = None, backup_dir: str | None = None, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
     """files with the path of their backup: below backup_dir, or below backup/ in the base folder, as they lie below the base."""
-    based = files.join(base if base is not None else common_base(files, by), list(by))
+    based = files.join(F.broadcast(base if base is not None else common_base(files, by)), list(by))
     inside = F.when(F.col("base") == "", "backup").otherwise(F.concat(F.rtrim("base", F.lit("/")), F.lit("/backup")))
     target = F.lit(backup_dir.rstrip("/")) if backup_dir else inside
     return based.withColumn("backup_path", F.concat(target, F.lit("/"), relative_to(F.col("path"), F.col("base"))))

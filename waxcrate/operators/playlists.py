@@ -88,8 +88,12 @@ def harmonic_sort(entries: DataFrame, tracks: DataFrame, playlists: DataFrame, b
     large = kept(entries.groupBy(*unit).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*unit), "large")
     if large.isEmpty():
         return placed(keyed)
-    many = ranked(keyed.join(large, unit, "left_semi"), unit, key, "new_pos")
-    return placed(keyed.join(large, unit, "left_anti")).withColumn("new_pos", F.col("new_pos").cast("long")).unionByName(many)
+    # lists over the size are few: their names are broadcast, as by an exchange each such list would be one task's
+    keys = track_keys(tracks, by)
+    own = F.broadcast(large.join(wanted, unit, "left_semi"))
+    many = ranked(entries.join(own, unit, "left_semi").join(keys, [*by, "track_id"], "left"), unit, key, "new_pos").select(*keyed.columns, "new_pos")
+    keyed = entries.join(F.broadcast(large), unit, "left_anti").join(keys, [*by, "track_id"], "left").join(wanted, unit, "left_semi")
+    return placed(keyed).withColumn("new_pos", F.col("new_pos").cast("long")).unionByName(many)
 
 
 def playlist_counts(entries: DataFrame, playlists: DataFrame, by: tuple[str, ...] = ("collection_id",)) -> DataFrame:
@@ -108,14 +112,15 @@ def sorted_nodes(nodes: DataFrame, counts: DataFrame, by: tuple[str, ...] = ("co
     """The playlist tree with a folder of the sorted copies below its root, after all other nodes.
 
     nodes: node_ord, parent_ord (null for the root), name, type, key_type, count, entries. counts: playlist_ord (a node_ord), n.
-    A copy's node_ord goes on from the last one by its source's. A collection without copies stays as it is.
+    A copy's node_ord goes on from the last one by its source's. A collection without copies stays as it is. What has one row a
+    collection is broadcast: shuffled by collection, all nodes of one would meet it in one task.
     """
     ends = nodes.groupBy(*by).agg(F.max("node_ord").alias("end"), F.min(F.when(F.col("parent_ord").isNull(), F.col("node_ord"))).alias("root"))
     totals = counts.groupBy(*by).agg(F.count("*").alias("copies")).join(ends, list(by))
-    old = nodes.join(totals.select(*by, "copies"), list(by), "left")
+    old = nodes.join(F.broadcast(totals.select(*by, "copies")), list(by), "left")
     old = old.withColumn("count", F.when(F.col("parent_ord").isNull() & F.col("copies").isNotNull(), bumped(F.col("count"), 1)).otherwise(F.col("count"))).select(*nodes.columns)
     none = F.lit(None).cast("string")
     head = totals.select(*by, (F.col("end") + 1).alias("node_ord"), F.col("root").alias("parent_ord"), F.lit(folder).alias("name"), F.lit("0").alias("type"), none.alias("key_type"), F.col("copies").cast("string").alias("count"), none.alias("entries"))
     names = nodes.select(*by, F.col("node_ord").alias("playlist_ord"), "name")
-    copies = counts.join(names, [*by, "playlist_ord"]).join(ends, list(by)).select(*by, (F.col("end") + 2 + F.col("playlist_ord")).alias("node_ord"), (F.col("end") + 1).alias("parent_ord"), "name", F.lit("1").alias("type"), F.lit("0").alias("key_type"), none.alias("count"), F.col("n").cast("string").alias("entries"))
+    copies = counts.join(names, [*by, "playlist_ord"]).join(F.broadcast(ends), list(by)).select(*by, (F.col("end") + 2 + F.col("playlist_ord")).alias("node_ord"), (F.col("end") + 1).alias("parent_ord"), "name", F.lit("1").alias("type"), F.lit("0").alias("key_type"), none.alias("count"), F.col("n").cast("string").alias("entries"))
     return old.unionByName(head).unionByName(copies)
