@@ -13,6 +13,7 @@ from waxcrate.functions.numbers import one_decimal, whole_number
 from waxcrate.functions.paths import decode_location, encode_location, sanitized
 from waxcrate.operators import convert, files, loudness, playlists, report
 from waxcrate.operators.ranks import ranked
+from waxcrate.plans import fixtures
 from waxcrate.sources import collection_xml as xml
 from waxcrate.streaming.gain import gain_sink, planned_stream
 
@@ -503,3 +504,58 @@ def test_many_files_of_one_folder_named_one_by_one(spark):
     found, unmatched = files.resolve_inputs(manifest, inputs)
     assert (found.count(), unmatched.count()) == (36000, 4000)
     assert time.time() - began < 60
+
+
+def test_one_collection_is_not_met_in_one_task(spark):
+    """What has one row a collection is broadcast, also where the session broadcasts nothing by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nodes = spark.createDataFrame([("c", 0, None, "R", "0", None, "1", None), ("c", 1, 0, "a", "1", "0", None, "0")], "collection_id string, node_ord long, parent_ord long, name string, type string, key_type string, count string, entries string")
+        counts = spark.createDataFrame([("c", 1, 3)], "collection_id string, playlist_ord long, n long")
+        plan = playlists.sorted_nodes(nodes, counts)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_partitions_follow_the_tables(spark, monkeypatch):
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    monkeypatch.setattr(fixtures, "SHARE", 1000)
+    wanted = fixtures.spread(spark, "/root/testdata/sf0.001", "entries")
+    assert wanted > 50 and spark.conf.get(name) == str(wanted)
+    monkeypatch.setattr(fixtures, "SHARE", 1 << 40)
+    fixtures.spread(spark, "/root/testdata/sf0.001", "entries")
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "7")  # the caller's own
+    monkeypatch.setattr(fixtures, "SHARE", 1000)
+    fixtures.spread(spark, "/root/testdata/sf0.001", "entries")
+    assert spark.conf.get(name) == "7"
+    spark.conf.unset(name)
+
+
+def test_half_of_all_rows_are_placed_over_many_tasks(spark):
+    """The view has no window over a whole list; its rows are those of the view's SQL."""
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").createOrReplaceTempView("half_lineitem")
+    made = fixtures.view(spark, "/root/testdata/sf0.001", "half_entries")
+    windows = [line for line in made._jdf.queryExecution().executedPlan().toString().split("\n") if "row_number" in line and "Window" in line]
+    assert windows and all("w_range" in line for line in windows)
+    plain = spark.sql(fixtures.VIEWS["half_entries"].replace("@lineitem", "half_lineitem"))
+    shown = lambda df: sorted(map(tuple, df.select("playlist_ord", "pos", "track_id").collect()))
+    assert shown(made) == shown(plain)
+
+
+def test_chosen_elements_are_those_of_the_whole(spark):
+    """Kinds, attributes and children that are asked for, in one pass and in two, against all elements; a cut document is one reject."""
+    text = """<D><COLLECTION><TRACK TrackID="1" Name="it's > 'x'"><TEMPO Bpm="1"/><A><B c='"'/></A></TRACK><TRACK/></COLLECTION><PLAYLISTS><NODE Name="R"><NODE Name='a">"' Type="1" KeyType="0"><TRACK Key="1"/><TRACK Key="2"></TRACK><TRACK other="'>'" Key='3'/></NODE></NODE></PLAYLISTS></D>"""
+    docs = spark.createDataFrame([("c", text), ("cut", text[:-30]), ("none", None)], COLLECTION)
+    full = [r.asDict(True) for r in xml.parse_collections(docs).collect()]
+    assert [(r["kind"], r["seq"], r["ord"]) for r in full if r["collection_id"] == "c"] == [("track", 0, 2), ("track", 1, 6), ("node", 0, 8), ("node", 1, 9), ("entry", 0, 10), ("entry", 1, 12)]
+    assert [(c["tag"], c["attrs"]) for c in full[0]["children"]] == [("TEMPO", {"Bpm": "1"}), ("A", {}), ("B", {"c": '"'})]
+    assert [(r["collection_id"], r["kind"]) for r in full[6:]] == [("cut", "reject"), ("none", "reject")]
+    some = [r.asDict(True) for r in xml.parse_collections(docs, kinds=("track", "entry"), attrs=("Key", "TrackID"), children=False).collect()]
+    want = [r | ({"attrs": {k: v for k, v in r["attrs"].items() if k in ("Key", "TrackID")}, "children": [] if r["kind"] == "track" else None} if r["attrs"] is not None else {}) for r in full if r["kind"] != "node"]
+    assert some == want
+    pieces = lambda t: lambda: (t.encode()[i : i + 7] for i in range(0, len(t), 7))
+    one, two = ([b for t in (text, text[:-30]) for b in xml.scanned(pieces(t), size, "UTF-8")] for size in (0, xml.WHOLE + 1))
+    assert one == two and [b.num_rows for b in one] == [6, 1]

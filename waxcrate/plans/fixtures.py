@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ranked
+
 _EXT = "CASE {0} % 7 WHEN 0 THEN 'flac' WHEN 1 THEN 'WAV' WHEN 2 THEN 'aiff' WHEN 3 THEN 'mp3' WHEN 4 THEN 'MP3' WHEN 5 THEN 'm4a' ELSE 'aac' END"
 
 #: A collection of 200 orders.
@@ -75,6 +77,8 @@ MARKERS = (".kept-originals", ".saved-copies")
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The fixture as a DataFrame with collection_id: that of the crate_ views, or one for all."""
     sql = VIEWS[name]
+    if name == "half_entries":
+        return _half_entries(spark, sf_dir)
     for t in TABLES:
         if f"@{t}" in sql:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"waxcrate_{t}")
@@ -87,6 +91,39 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out if "collection_id" in out.columns else out.withColumn("collection_id", F.lit("main"))
 
 
+def _half_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of that name: half of all rows are one list, so its places are counted over many tasks, not by its window in one."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.when(F.col("l_orderkey") % 2 == 0, F.lit(0).cast("long")).otherwise(F.col("l_orderkey")).alias("playlist_ord"), *order)
+    track = F.col("l_partkey") + F.when(F.col("l_partkey") % 97 == 0, 1000000).otherwise(0)
+    placed = ranked(rows, ["playlist_ord"], [F.col(c) for c in order], "pos")
+    return placed.select("playlist_ord", "pos", track.cast("string").alias("track_id"), F.lit("main").alias("collection_id"))
+
+
+#: Bytes of the tables' files for each partition of an exchange.
+SHARE = 4 << 20
+_SPREAD = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_set: dict[str, str] = {}
+
+
+def spread(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """Lets exchanges begin with a partition for each SHARE of the views' tables, if the session's number is smaller; AQE joins small ones.
+
+    A fixed number makes the largest task grow with the tables. A number that the caller has set stays. Returns the number wanted.
+    """
+    sql = " ".join(VIEWS[v] for name in names for v in _with_needed(name))
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in TABLES if f"@{t}" in sql]
+    size = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength() for p in paths)
+    wanted, now = -(-size // SHARE), spark.conf.get(_SPREAD, None)
+    if now is None or now == _set.get(_SPREAD):
+        if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            _set[_SPREAD] = str(wanted)
+            spark.conf.set(_SPREAD, str(wanted))
+        else:
+            spark.conf.unset(_SPREAD)
+    return wanted
+
+
 def _with_needed(name: str) -> list[str]:
     return [*(v for needed in NEEDS.get(name, ()) for v in _with_needed(needed)), name]
 

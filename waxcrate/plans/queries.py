@@ -12,7 +12,7 @@ from ..operators.loudness import TpTarget
 from ..sources import collection_files
 from ..sources import collection_xml as xml
 from ..scratch import kept, new_path
-from .fixtures import MARKERS, view, with_views
+from .fixtures import MARKERS, spread, view, with_views
 from .registry import ORACLE, QUERIES
 
 
@@ -20,7 +20,11 @@ def query(name: str, sql: str | None, *views: str):
     """Registers f(spark, sf_dir); it gets the views as DataFrames after them."""
 
     def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(*[view(spark, sf_dir, v) for v in views])
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spread(spark, sf_dir, *views)
+            return f(*[view(spark, sf_dir, v) for v in views])
+
+        QUERIES[name] = run
         if sql:
             ORACLE[name] = with_views(sql, *views)
         return f
