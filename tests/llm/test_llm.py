@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 pytest.importorskip("waxcrate.llm.queries")
 import corpus_pipeline
 from waxcrate.llm import bagminhash, chat, decontaminate, dedup, licences, packing, pii, quality, shingles, token_files, token_spans, toxicity
-from waxcrate.llm.common import shared_folder
+from waxcrate.llm.common import shared_folder, written
 from waxcrate.llm.queries import ORACLE, QUERIES
 from waxcrate.llm.tokens import PieceEncoder, byte_widths, vocabulary
 
@@ -1026,6 +1026,40 @@ def test_outliers_equal_brute_force(spark, monkeypatch, groups):
     assert quality.quality(nulls).where("q_kept").count() == 120
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_concentration_bound_is_exact_in_large_groups(spark, small):
+    """By an approximate bound, determinants of large groups rise and fall in turn, and the steps of an estimate don't end. One group has many equal rows."""
+    n = 5 * quality.ACCURACY
+    equal = F.col("id") % 5 < 2
+    rows = spark.range(0, 2 * n, 1, 4).select(F.when(F.col("id") % 2 == 0, "+a").otherwise("+b").alias("q_k0"), F.lit("+").alias("q_k1"), *[F.when(equal & (F.col("id") % 2 == 1), 0.5).otherwise(F.randn(i)).alias(f"q_x{i}") for i in range(quality.P)])
+    path = f"{shared_folder(spark)}/large-groups-{small}"
+    rows.write.mode("overwrite").parquet(path)
+    rows = spark.read.parquet(path)
+    unit = {f"p{i}{j}": F.lit(1.0 if i == j else 0.0) for i in range(quality.P) for j in range(i + 1)}
+    found = rows.select("q_k0", "q_k1").distinct().withColumns({"start": F.lit(0), **{f"m{i}": F.lit(0.1 * i) for i in range(quality.P)}, **unit, "det": F.lit(0.0)})
+    far = quality._with_groups(rows, found, small).withColumn("d", quality._distance())
+    bounds = {r["q_k0"]: r["bound"] for r in quality._bounds(far, small)[0].collect()}
+    for k in ("+a", "+b"):
+        d = sorted(r["d"] for r in far.where(F.col("q_k0") == k).select("d").collect())
+        assert len(d) == n and bounds[k] == d[math.ceil(quality.SHARE * n) - 1]
+
+
+def test_groups_end_by_themselves(spark, monkeypatch):
+    """A group whose determinant falls no more is left alone, so steps end also where another's would rise again."""
+    rows = spark.range(0, 4000, 1, 2).select(F.concat(F.lit("+"), (F.col("id") % 2).cast("string")).alias("q_k0"), F.lit("+").alias("q_k1"), F.lit(False).alias("q_base_failed"), *[F.randn(i).alias(f"q_x{i}") for i in range(quality.P)])
+    path, step, steps = f"{shared_folder(spark)}/ends", quality._concentrated, []
+    rows.write.mode("overwrite").parquet(path)
+
+    def noisy(*args):
+        steps.append(1)
+        assert len(steps) < 12
+        rise = F.when(F.col("q_k0") == "+0", 1e-3).otherwise(-1e-3) * (1 if len(steps) % 2 else -1)
+        return written(step(*args).withColumn("det", F.col("det") + rise), "noisy")
+
+    monkeypatch.setattr(quality, "_concentrated", noisy)
+    assert quality.estimates(spark.read.parquet(path))[0].count() == 2
+
+
 @pytest.mark.parametrize("groups", [quality.BROADCAST_GROUPS, 0])
 def test_outliers_of_small_groups(spark, monkeypatch, groups):
     """Groups under LEAST_ROWS are judged by their language's estimate, or that of all rows."""

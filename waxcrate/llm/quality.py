@@ -3,8 +3,9 @@
 Every text gives counts, and from them a vector of transformed rates. For each (lang, source) three estimates start at the medians:
 with the median absolute deviations alone, with the covariance of the rows' directions (spatial signs), and with that of their
 squashed values (tanh). Concentration steps take the mean and covariance of the share of rows that are nearest so far, which never
-raises the determinant. After two steps the start with the least determinant goes on until none falls any more; a last step
-reweights with all rows inside the 97.5 % bound. Rates that hardly vary in a group (no symbols anywhere, say) would make its
+raises the determinant. After two steps the start with the least determinant goes on until its own falls no more; a last step
+reweights with all rows inside the 97.5 % bound. The share's bound is exact in groups of any size: by an approximate one, determinants
+of large groups rise and fall in turn, and the steps never end. Rates that hardly vary in a group (no symbols anywhere, say) would make its
 covariance singular, so each rate has a least standard deviation, added to the diagonal. A row is rejected when its squared
 Mahalanobis distance is over the chi-square bound. A group too small for an estimate of its own is judged by that of all rows of its
 language, and where those are too few as well, by that of all rows. All of it is DataFrame expressions and grouped sums over all
@@ -17,7 +18,7 @@ import math
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, let, written
@@ -28,8 +29,10 @@ RATES = {"length": 0.06, "symbols": 0.25, "capitals": 0.15, "marks": 0.25, "line
 P = len(RATES)
 #: Share of rows in a concentration step, steps of all starts, rows that an estimate needs, and the level of rejection.
 SHARE, FIRST_STEPS, LEAST_ROWS, LEVEL = 0.75, 2, 30, 0.99999
-#: Logarithm by which the determinant of some group must fall for another step.
+#: Logarithm by which the determinant of a group must fall for another step.
 LEAST_FALL = 1e-6
+#: Accuracy of approximate percentiles, whose rank is off by a share of 1 / ACCURACY at most; up to so many rows they are exact.
+ACCURACY = 10_000
 _BLANK = r"[\x20\x09-\x0D]"
 
 
@@ -141,10 +144,10 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
 def _starts(rows: DataFrame, small: bool) -> DataFrame:
     """Three first estimates of each group, all at its medians."""
     floors = list(RATES.values())
-    medians = [F.percentile_approx(f"q_x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)]
+    medians = [F.percentile_approx(f"q_x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in range(P)]
     centre = written(rows.groupBy(*_KEYS).agg(*medians), "mcd-centre")
     apart = _with_groups(rows, centre, small)
-    spread = apart.groupBy(*_KEYS).agg(*[F.percentile_approx(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")), 0.5, 10_000).alias(f"s{i}") for i in range(P)])
+    spread = apart.groupBy(*_KEYS).agg(*[F.percentile_approx(F.abs(F.col(f"q_x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"s{i}") for i in range(P)])
     scaled = spread.select(*_KEYS, *[F.greatest(1.4826 * F.col(f"s{i}"), F.lit(floors[i])).alias(f"s{i}") for i in range(P)], *[(1.4826 * F.col(f"s{i}")).alias(f"w{i}") for i in range(P)])
     scale = written(scaled.join(centre, _KEYS), "mcd-scale")
     z = _with_groups(rows, scale, small).select(*_KEYS, *[((F.col(f"q_x{i}") - F.col(f"m{i}")) / F.col(f"s{i}")).alias(f"z{i}") for i in range(P)])
@@ -170,9 +173,29 @@ def _starts(rows: DataFrame, small: bool) -> DataFrame:
 def _concentrated(rows: DataFrame, found: DataFrame, small: bool) -> DataFrame:
     """The estimates from the share of rows that are nearest by found, for each start."""
     far = _with_groups(rows, found, small).withColumn("d", _distance())
-    bound = far.groupBy(*_STARTS).agg(F.percentile_approx("d", SHARE, 10_000).alias("bound"))
+    bound, band = _bounds(far, small)
     near = _with_groups(far, bound, small, keys=_STARTS).where("d <= bound")
-    return written(_precision(_moments(near, _STARTS), _STARTS, consistency(SHARE, P)), "mcd-step")
+    after = written(_precision(_moments(near, _STARTS), _STARTS, consistency(SHARE, P)), "mcd-step")
+    discard(band)
+    return after
+
+
+def _bounds(far: DataFrame, small: bool) -> tuple[DataFrame, DataFrame]:
+    """The distance d up to which the share of each start's rows lies (bound), exactly: that of row ceil(SHARE * n); and a table it reads.
+
+    Up to ACCURACY rows the percentile is that. In larger groups it gives a band around it, 8 / ACCURACY of the rows wide (more only by
+    equal distances, which are counted once): those in it and the number below it tell the rank.
+    """
+    shares = F.array(*[F.lit(SHARE + x / ACCURACY) for x in (-4, 0, 4)])
+    band = written(far.groupBy(*_STARTS).agg(F.count("d").alias("n"), F.percentile_approx("d", shares, ACCURACY).alias("q")), "mcd-band")
+    exact, large = band.where(F.col("n") <= ACCURACY).select(*_STARTS, F.col("q")[1].alias("bound")), band.where(F.col("n") > ACCURACY)
+    if large.isEmpty():
+        return exact, band
+    upper = _with_groups(far, large, small, keys=_STARTS).where(F.col("d") <= F.col("q")[2])
+    counts = upper.groupBy(*_STARTS, F.when(F.col("d") >= F.col("q")[0], F.col("d")).alias("bound")).agg(F.count("*").alias("rows"), F.first("n").alias("n"))
+    upto = F.sum("rows").over(Window.partitionBy(*_STARTS).orderBy(F.col("bound").asc_nulls_first()))
+    reached = counts.withColumn("upto", upto).where(F.col("upto") >= F.ceil(SHARE * F.col("n")))
+    return exact.unionByName(reached.groupBy(*_STARTS).agg(F.min("bound").alias("bound"))), band
 
 
 def pools(stats: DataFrame) -> DataFrame:
@@ -209,17 +232,15 @@ def estimates(stats: DataFrame) -> tuple[DataFrame, bool]:
         found, old = _concentrated(rows, found, small), found
         discard(old)
     best = found.groupBy(*_KEYS).agg(F.min_by(F.struct(*[c for c in found.columns if c not in _KEYS]), F.struct("det", "start")).alias("x"))
-    found, old = written(best.select(*_KEYS, "x.*"), "mcd-best"), found
+    found, old = written(best.select(*_KEYS, "x.*", F.lit(True).alias("on")), "mcd-found"), found
     discard(old)
-    while True:
-        after = _concentrated(rows, found, small)
-        fell = after.join(found.select(*_STARTS, F.col("det").alias("before")), _STARTS).where(F.col("det") < F.col("before") - LEAST_FALL)
-        if fell.isEmpty():
-            discard(after)
-            break
-        discard(found)
-        found = after
-    inside = _with_groups(rows, found, small).where(_distance() <= chi_square_quantile(0.975, P))
+    while not (on := found.where("on").drop("on")).isEmpty():  # a group whose determinant falls no more has ended, and others go on without it
+        after = _concentrated(rows, on, small)
+        fell = after.select(*_STARTS, F.struct(*[c for c in after.columns if c not in _STARTS]).alias("x"))
+        both = found.join(fell, _STARTS, "left").withColumn("on", F.coalesce(F.col("x.det") < F.col("det") - LEAST_FALL, F.lit(False)))
+        found, old = written(both.select(*_STARTS, *[F.when(F.col("on"), F.col(f"x.{c}")).otherwise(F.col(c)).alias(c) for c in after.columns if c not in _STARTS], "on"), "mcd-found"), found
+        discard(after, old)
+    inside = _with_groups(rows, found.drop("on"), small).where(_distance() <= chi_square_quantile(0.975, P))
     found, old = written(_precision(_moments(inside, _KEYS), _KEYS, consistency(0.975, P)), "mcd-final"), found
     judged = placed.select(*[F.col(k).alias(f"own_{k}") for k in _KEYS], "judge.*").where(F.col("q_k0").isNotNull())
     own = written(_with_groups(judged, found, small).drop(*_KEYS).withColumnsRenamed({f"own_{k}": k for k in _KEYS}), "mcd-groups-final")
