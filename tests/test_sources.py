@@ -3,6 +3,8 @@
 import os
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +20,17 @@ def document(rng, n):
     return f'<?xml version="1.0" encoding="UTF-8"?><D><COLLECTION>{tracks}</COLLECTION><PLAYLISTS><NODE Name="R"><NODE Name="a" Type="1" KeyType="0">{keys}</NODE></NODE></PLAYLISTS></D>'
 
 
+def test_tables_of_documents_are_read_a_few_rows_at_a_time(spark):
+    """Readers and Python workers hold a batch of documents: a row group's, and so many bytes."""
+    df = scratch.kept(spark.range(0, 500, 1, 1).select(F.col("id").cast("string").alias("collection_id"), F.repeat(F.lit("<x/>"), 25_000).alias("xml")), "docs", scratch.DOCUMENT_ROWS)
+    (name,) = (x.removeprefix("file:").replace("//", "/") for x in df.inputFiles())
+    held = pq.ParquetFile(name).metadata
+    assert held.num_rows == 500 and max(held.row_group(i).num_rows for i in range(held.num_row_groups)) <= scratch.DOCUMENT_ROWS
+    xml.parse_collections(df)
+    sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [x.nbytes]}) for x in batches), "n long").agg(F.max("n"), F.sum("n")).first()
+    assert sizes[0] < 1.2 * xml.TEXT_BATCH and sizes[1] > 4.9e7
+
+
 def test_files_are_read_in_pieces(spark, tmp_path):
     """Documents over many pieces, one in another encoding, a broken one and other files: the same elements as from whole texts."""
     collection_files.register(spark)
